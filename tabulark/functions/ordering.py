@@ -171,3 +171,26 @@ def top_k_per_group(
     rn = rank_name or "__r2"
     out = pre.withColumn(rn, F.row_number().over(w2)).where(F.col(rn) <= k)
     return out if rank_name else out.drop(rn)
+
+
+def with_running_sum(
+    df: DataFrame, order_by: Sequence[str | Column], value: str, name: str = "running", partitions: int | None = None
+) -> DataFrame:
+    """Add an inclusive running sum of ``value`` in ``order_by`` order over the
+    whole frame, via range partitions and per-partition offsets (no single-task
+    window). Ties are broken by a hash of the row."""
+    parts = partitions or shuffle_partitions(df)
+    cols = list(df.columns)
+    order = [q(o) if isinstance(o, str) else o for o in order_by]
+    base = df.withColumn("__tie", F.xxhash64(*[q(c) for c in cols]))
+    sort = [*order, F.col("__tie")]
+    parted = base.repartitionByRange(parts, *sort).withColumn("__pid", F.spark_partition_id())
+    wl = Window.partitionBy("__pid").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    local = parted.withColumn("__lc", F.sum(q(value)).over(wl))
+    sums = parted.groupBy("__pid").agg(F.sum(q(value)).alias("__s"))
+    offs = sums.select(
+        "__pid",
+        F.coalesce(F.sum("__s").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+    )
+    out = local.join(F.broadcast(offs), "__pid")
+    return out.select(*[q(c) for c in cols], (F.col("__off") + F.col("__lc")).alias(name))
