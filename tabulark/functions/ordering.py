@@ -12,12 +12,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import q
 
 
+def _pin(df: DataFrame) -> DataFrame:
+    """Materialise a range-partitioned frame once. Its partition ids are read
+    by two branches (per-partition totals and local ranks); run twice, the
+    range shuffle could sample different bounds (the sampler seed depends on
+    the RDD id), so both must read the same cached partitions. Lost cache
+    blocks are recomputed from the same RDD, i.e. with the same bounds."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -76,8 +86,8 @@ def exact_quantiles(
     parts = partitions or shuffle_partitions(df)
     long = long_values(df, cols, by)
     vc = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_w"))
-    parted = vc.repartitionByRange(parts, *[F.col(k) for k in keys], F.col("v")).withColumn(
-        "_pid", F.spark_partition_id()
+    parted = _pin(
+        vc.repartitionByRange(parts, *[F.col(k) for k in keys], F.col("v")).withColumn("_pid", F.spark_partition_id())
     )
     wloc = Window.partitionBy("_pid", *keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     local = parted.withColumn("_cum", F.sum("_w").over(wloc))
@@ -137,7 +147,7 @@ def with_positions(
     order = [q(o) if isinstance(o, str) else o for o in order_by]
     base = df.withColumn("__tie", F.xxhash64(*[q(c) for c in cols]))
     sort = [*order, F.col("__tie")]
-    parted = base.repartitionByRange(parts, *sort).withColumn("__pid", F.spark_partition_id())
+    parted = _pin(base.repartitionByRange(parts, *sort).withColumn("__pid", F.spark_partition_id()))
     local = parted.withColumn("__lrn", F.row_number().over(Window.partitionBy("__pid").orderBy(*sort)))
     counts = parted.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
     # one row per partition: a bounded, single-task window is fine here
@@ -184,7 +194,7 @@ def with_running_sum(
     order = [q(o) if isinstance(o, str) else o for o in order_by]
     base = df.withColumn("__tie", F.xxhash64(*[q(c) for c in cols]))
     sort = [*order, F.col("__tie")]
-    parted = base.repartitionByRange(parts, *sort).withColumn("__pid", F.spark_partition_id())
+    parted = _pin(base.repartitionByRange(parts, *sort).withColumn("__pid", F.spark_partition_id()))
     wl = Window.partitionBy("__pid").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
     local = parted.withColumn("__lc", F.sum(q(value)).over(wl))
     sums = parted.groupBy("__pid").agg(F.sum(q(value)).alias("__s"))

@@ -81,3 +81,34 @@ def column_stats(df: DataFrame, cols: Sequence[str] | None = None, quartiles: bo
         qs = quantile_wide(df, cols, [0.25, 0.5, 0.75], names=["q1", "median", "q3"])
         out = out.join(qs, "column", "left")
     return out
+
+
+def schema_frame(df: DataFrame) -> DataFrame:
+    """The table's schema as a small DataFrame (one row per column): name,
+    position and type classes. Metadata only: its size is the column count."""
+    from ..functions.columns import is_integral, is_numeric, is_string, is_temporal
+
+    rows = [
+        (f.name, i, f.dataType.simpleString(), is_numeric(f.dataType), is_integral(f.dataType), is_string(f.dataType),
+         is_temporal(f.dataType), f.dataType.typeName() == "boolean")
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return df.sparkSession.createDataFrame(
+        rows,
+        "column string, position int, dtype string, is_numeric boolean, is_integer boolean, is_string boolean, "
+        "is_temporal boolean, is_boolean boolean",
+    )
+
+
+def column_facts(df: DataFrame) -> DataFrame:
+    """Schema frame + rows, non-null and distinct counts per column (from
+    ``value_freq``; complex-typed columns get null counts)."""
+    n = df.agg(F.count(F.lit(1))).scalar()
+    vf = value_freq(df)
+    counts = vf.groupBy("column").agg(
+        F.count("value").alias("distinct"),
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))), F.lit(0)).alias("non_null"),
+    )
+    return schema_frame(df).join(counts, "column", "left").select(
+        "*", n.alias("rows")
+    ).withColumn("nulls", F.col("rows") - F.col("non_null"))

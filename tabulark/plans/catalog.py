@@ -36,4 +36,4 @@ def register(key: str, sql: str | None = None):
 
 
 # import the query modules so their registrations run
-from . import queries_core, queries_stats  # noqa: E402,F401
+from . import queries_core, queries_more, queries_rows, queries_stats  # noqa: E402,F401

@@ -237,7 +237,7 @@ def _a19_sql() -> str:
         )
     return (
         "WITH ev AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value, "
-        "CASE WHEN user_id % 7 = 0 THEN NULL ELSE props END AS props FROM events)\n" + "\nUNION ALL\n".join(parts)
+        "CASE WHEN event_type = 'view' THEN NULL ELSE props END AS props FROM events)\n" + "\nUNION ALL\n".join(parts)
     )
 
 
@@ -250,7 +250,7 @@ def dirty_events(spark, sf):
         "user_id",
         "event_type",
         F.when(F.col("event_type") == "error", F.lit(None).cast("double")).otherwise(F.col("value")).alias("value"),
-        F.when(F.col("user_id") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("props")).alias("props"),
+        F.when(F.col("event_type") == "view", F.lit(None).cast("string")).otherwise(F.col("props")).alias("props"),
     )
 
 
@@ -398,7 +398,7 @@ def f1_contains(spark, sf):
     SELECT count(*) AS rows, count_if(value IS NOT NULL AND props IS NOT NULL) AS complete_rows,
            round(CASE WHEN count(*) > 0 THEN (count(*) - count_if(value IS NOT NULL AND props IS NOT NULL)) * 100.0 / count(*) ELSE 0 END, 2) AS missing_pct
     FROM (SELECT CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value,
-                 CASE WHEN user_id % 7 = 0 THEN NULL ELSE props END AS props FROM events)
+                 CASE WHEN event_type = 'view' THEN NULL ELSE props END AS props FROM events)
     """,
 )
 def f4_support(spark, sf):
@@ -409,7 +409,7 @@ def f4_support(spark, sf):
     "f4_complete_cases",
     """
     SELECT event_id, value FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value,
-                 CASE WHEN user_id % 7 = 0 THEN NULL ELSE props END AS props FROM events)
+                 CASE WHEN event_type = 'view' THEN NULL ELSE props END AS props FROM events)
     WHERE value IS NOT NULL AND props IS NOT NULL
     """,
 )
