@@ -1,9 +1,11 @@
 """Document retrieval over a documents table.
 
-Chunks, hashed bag-of-words vectors and cosine search are all DataFrame
-plans: vectors are kept sparse as (id, dim, weight) rows, and the search is a
-join on the hash dimension followed by a per-query top-k. Whole texts are
-processed; nothing is truncated."""
+Chunking and hashed bag-of-words vectors are per-row column expressions (no
+shuffle). Cosine search scores chunk batches against a size-checked,
+broadcast query matrix (Arrow batches, one matrix product each), falling back
+to a sparse join on the hash dimension for larger query sets; a two-round
+per-query top-k picks the results. Whole texts are processed; nothing is
+truncated."""
 
 from __future__ import annotations
 
@@ -22,32 +24,48 @@ EMBED_DIM = 768
 
 
 def collapse_whitespace(c):
-    """' '.join(text.split()): runs of whitespace become one space, ends trimmed."""
-    return F.regexp_replace(F.regexp_replace(c, PY_SPACE + "+", " "), "^ | $", "")
+    """' '.join(text.split()): runs of whitespace become one space, ends trimmed
+    (after the collapse only plain spaces remain, so ``trim`` suffices)."""
+    return F.trim(F.regexp_replace(c, PY_SPACE + "+", " "))
 
 
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 600, overlap: int = 80, min_chars: int = 40) -> DataFrame:
     """Windows of ``size`` characters every ``size - overlap`` over the
     whitespace-collapsed text; chunks with <= ``min_chars`` non-space
-    characters are dropped. ``(doc_id, chunk_idx, start, text)``."""
+    characters are dropped. ``(doc_id, chunk_idx, start, text)``.
+
+    Chunks are cut inside one row with ``transform`` and then exploded, so a
+    long document's text is not copied onto each of its chunk rows."""
     step = size - overlap
     t = docs.select(q(id_col).alias("doc_id"), collapse_whitespace(q(text_col)).alias("_t"))
-    t = t.withColumn("_n", F.length("_t")).where(F.col("_n") > 0)
-    starts = F.sequence(F.lit(0), F.col("_n") - 1, F.lit(step))
-    ex = t.select("doc_id", "_t", F.posexplode(starts).alias("chunk_idx", "start"))
-    body = F.expr(f"substring(_t, start + 1, {size})")
-    ch = ex.select("doc_id", "chunk_idx", "start", body.alias("text"))
-    stripped = F.regexp_replace("text", "^" + PY_SPACE + "+|" + PY_SPACE + "+$", "")
-    return ch.where(F.length(stripped) > min_chars)
+    pieces = F.expr(f"transform(sequence(0, greatest(length(_t) - 1, 0), {step}), s -> substring(_t, s + 1, {size}))")
+    ex = t.where(F.length("_t") > 0).select("doc_id", F.posexplode(pieces).alias("chunk_idx", "text"))
+    ch = ex.select("doc_id", "chunk_idx", (F.col("chunk_idx") * step).alias("start"), "text")
+    return ch.where(F.length(F.trim("text")) > min_chars)
+
+
+def embed_arrays(frame: DataFrame, id_cols=("doc_id", "chunk_idx"), text_col: str = "text", dims: int = EMBED_DIM) -> DataFrame:
+    """D2 as one row per id: ``(*id_cols, dims array<int>, weights
+    array<double>)``. Tokens are lower-cased runs of >= 2 word characters,
+    bucket ``pmod(xxhash64(token), dims)``, counts L2-normalised. Counting is
+    a grouped count with map-side combine; each output row holds at most
+    ``dims`` entries."""
+    ids = [q(c) for c in id_cols]
+    tok = frame.select(*ids, F.explode(F.regexp_extract_all(F.lower(q(text_col)), F.lit(TOKEN_PATTERN), 0)).alias("_tok"))
+    cnt = tok.groupBy(*ids, F.pmod(F.xxhash64("_tok"), F.lit(dims)).cast("int").alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    vec = cnt.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("_v"))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, e: a + e["c"] * e["c"]))
+    return vec.select(
+        *ids, F.transform("_v", lambda e: e["dim"]).alias("dims"), F.transform("_v", lambda e: e["c"] / norm).alias("weights")
+    )
 
 
 def embed_hash(chunks: DataFrame, id_cols=("doc_id", "chunk_idx"), text_col: str = "text", dims: int = EMBED_DIM) -> DataFrame:
-    """Hashed bag of words: lower-cased tokens of >= 2 word characters,
-    bucket ``pmod(xxhash64(token), dims)``, counts L2-normalised. Sparse rows
-    ``(*id_cols, dim, weight)``; weights are non-negative."""
+    """Hashed bag of words as sparse rows ``(*id_cols, dim, weight)``;
+    weights are non-negative and each vector has unit length."""
     ids = [q(c) for c in id_cols]
-    tok = chunks.select(*ids, F.explode(F.regexp_extract_all(F.lower(q(text_col)), F.lit(TOKEN_PATTERN), 0)).alias("tok"))
-    cnt = tok.groupBy(*ids, F.pmod(F.xxhash64("tok"), F.lit(dims)).cast("int").alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    tok = chunks.select(*ids, F.explode(F.regexp_extract_all(F.lower(q(text_col)), F.lit(TOKEN_PATTERN), 0)).alias("_tok"))
+    cnt = tok.groupBy(*ids, F.pmod(F.xxhash64("_tok"), F.lit(dims)).cast("int").alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     norm = cnt.groupBy(*ids).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("_norm"))
     return cnt.join(norm, list(id_cols)).select(*ids, "dim", (F.col("c") / F.col("_norm")).alias("weight"))
 
@@ -59,23 +77,105 @@ def dense_vectors(sparse: DataFrame, id_cols=("doc_id", "chunk_idx"), dims: int
     return g.select(*ids, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("embedding"))
 
 
+# Largest query matrix shipped to every task by the dense search path:
+# queries x dims x 8 bytes = 4096 x 768 x 8 = 24 MiB.
+MAX_DENSE_QUERIES = 4096
+SCORE_DIGITS = 9
+
+
 def search(
-    chunk_vecs: DataFrame, query_vecs: DataFrame, k: int = 4, min_score: float = 0.25,
-    chunk_ids=("doc_id", "chunk_idx"), query_id: str = "query_id",
+    chunk_arrays: DataFrame,
+    query_arrays: DataFrame,
+    k: int = 4,
+    min_score: float = 0.25,
+    chunk_ids=("doc_id", "chunk_idx"),
+    query_id: str = "query_id",
+    dims: int = EMBED_DIM,
+    max_dense_queries: int = MAX_DENSE_QUERIES,
 ) -> DataFrame:
     """D3: cosine top-k chunks per query with score > ``min_score`` (3 dp).
 
-    Vectors are unit length, so cosine is the sparse dot product: a join on
-    ``dim`` and a grouped sum. AQE broadcasts the query side when its runtime
-    size is under the threshold and splits hot dimensions otherwise."""
-    qv = query_vecs.select(q(query_id).alias("query_id"), "dim", F.col("weight").alias("qw"))
-    cv = chunk_vecs.select(*[q(c) for c in chunk_ids], "dim", F.col("weight").alias("cw"))
-    dots = qv.join(cv, "dim").groupBy("query_id", *[q(c) for c in chunk_ids]).agg(F.sum(F.col("qw") * F.col("cw")).alias("score"))
-    hits = dots.where(F.col("score") > min_score)
-    top = top_k_per_group(hits, ["query_id"], [F.col("score").desc(), *[q(c).asc() for c in chunk_ids]], k, rank_name="rank")
+    Inputs are ``embed_arrays`` frames (unit vectors). The query count is
+    checked first: up to ``max_dense_queries`` the query matrix is broadcast
+    and every chunk batch is scored with one matrix product in
+    ``mapInPandas``, emitting only each batch's top-k per query. Beyond that
+    bound the sparse plan (join on hash dimension, grouped sum) is used.
+    Either way a final two-round top-k per query picks the winners."""
+    nq = query_arrays.select(q(query_id)).distinct().count()
+    if nq <= max_dense_queries:
+        hits = _dense_scores(chunk_arrays, query_arrays, k, min_score, list(chunk_ids), query_id, dims)
+    else:
+        hits = _sparse_scores(chunk_arrays, query_arrays, min_score, list(chunk_ids), query_id)
+    order = [F.col("score").desc(), *[q(c).asc() for c in chunk_ids]]
+    top = top_k_per_group(hits, ["query_id"], order, k, rank_name="rank")
     return top.select("query_id", "rank", *[q(c) for c in chunk_ids], F.round("score", 3).alias("score"))
 
 
+def _explode_arrays(frame: DataFrame, ids) -> DataFrame:
+    z = frame.select(*[q(c) for c in ids], F.explode(F.arrays_zip("dims", "weights")).alias("_z"))
+    return z.select(*[q(c) for c in ids], F.col("_z.dims").alias("dim"), F.col("_z.weights").alias("weight"))
+
+
+def _sparse_scores(chunk_arrays, query_arrays, min_score, chunk_ids, query_id) -> DataFrame:
+    qv = _explode_arrays(query_arrays, [query_id]).select(q(query_id).alias("query_id"), "dim", F.col("weight").alias("qw"))
+    cv = _explode_arrays(chunk_arrays, chunk_ids).select(*[q(c) for c in chunk_ids], "dim", F.col("weight").alias("cw"))
+    dots = qv.join(cv, "dim").groupBy("query_id", *[q(c) for c in chunk_ids]).agg(F.sum(F.col("qw") * F.col("cw")).alias("score"))
+    # scores are ranked at 9 decimals so exact copies tie exactly, whatever the
+    # summation order, and ties fall to the ids
+    return dots.select("query_id", *[q(c) for c in chunk_ids], F.round("score", SCORE_DIGITS).alias("score")).where(F.col("score") > min_score)
+
+
+def _dense_scores(chunk_arrays, query_arrays, k, min_score, chunk_ids, query_id, dims) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    # bounded by max_dense_queries x dims (checked by the caller)
+    qrows = query_arrays.select(q(query_id).alias("qid"), "dims", "weights").collect()
+    qids = np.array([r["qid"] for r in qrows])
+    qmat = np.zeros((dims, len(qrows)), dtype=np.float64)
+    for j, r in enumerate(qrows):
+        qmat[np.asarray(r["dims"], dtype=np.int64), j] = np.asarray(r["weights"], dtype=np.float64)
+    spark = chunk_arrays.sparkSession
+    bq = spark.sparkContext.broadcast((qids, qmat))
+    id_fields = [chunk_arrays.schema[c] for c in chunk_ids]
+    out_schema = T.StructType(
+        [T.StructField("query_id", query_arrays.schema[query_id].dataType), *id_fields, T.StructField("score", T.DoubleType())]
+    )
+    names = [f.name for f in out_schema.fields]
+
+    def score_batches(it):
+        qid, qm = bq.value
+        nq = qm.shape[1]
+        rows_per_block = max(1, 4_000_000 // max(nq, 1))
+        for pdf in it:
+            for lo in range(0, len(pdf), rows_per_block):
+                part = pdf.iloc[lo:lo + rows_per_block]
+                n = len(part)
+                lens = part["dims"].map(len).to_numpy()
+                m = np.zeros((n, qm.shape[0]), dtype=np.float64)
+                if lens.sum():
+                    m[np.repeat(np.arange(n), lens), np.concatenate(part["dims"].to_numpy()).astype(np.int64)] = np.concatenate(
+                        part["weights"].to_numpy()
+                    ).astype(np.float64)
+                s = np.round(m @ qm, SCORE_DIGITS)
+                if n > k:
+                    thr = -np.partition(-s, k - 1, axis=0)[k - 1]
+                    mask = (s >= thr[None, :]) & (s > min_score)
+                else:
+                    mask = s > min_score
+                ri, qi = np.nonzero(mask)
+                if len(ri) == 0:
+                    continue
+                res = {"query_id": qid[qi]}
+                for c in chunk_ids:
+                    res[c] = part[c].to_numpy()[ri]
+                res["score"] = s[ri, qi]
+                yield pd.DataFrame(res)[names]
+
+    return chunk_arrays.select(*[q(c) for c in chunk_ids], "dims", "weights").mapInPandas(score_batches, schema=out_schema)
+
+
 def doc_summary(chunks: DataFrame) -> DataFrame:
     """Chunk count per document."""
     return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))

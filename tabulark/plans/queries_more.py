@@ -206,8 +206,8 @@ def d2(spark, sf):
 @register("d3_search_benchmark")
 def d3(spark, sf):
     ch = D.chunk(load(spark, sf, "documents"))
-    cv = D.embed_hash(ch)
-    qv = D.embed_hash(load(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), id_cols=("query_id",))
+    cv = D.embed_arrays(ch)
+    qv = D.embed_arrays(load(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), id_cols=("query_id",))
     return D.search(cv, qv, k=4)
 
 
