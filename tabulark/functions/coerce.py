@@ -24,6 +24,10 @@ DATE_FORMATS = (
     "MMMM d, yyyy",
 )
 
+# The leading shape every layout above can produce (a cheap
+# pre-check so text that cannot be a date skips the parse attempts).
+DATE_SHAPE = r"^(\d{1,4}[-/.]\d|\d{8}$|\d{1,2} [A-Za-z]{3}|[A-Za-z]{3,9} \d)"
+
 # Text tokens read as booleans (lower-cased, trimmed).
 TRUE_TOKENS = ("true", "yes", "1")
 FALSE_TOKENS = ("false", "no", "0")
@@ -43,7 +47,7 @@ def to_number(c: Column) -> Column:
 def to_timestamp_mixed(c: Column, formats=DATE_FORMATS) -> Column:
     """first layout that parses; bad text -> null."""
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    return F.when(s.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]))
 
 
 def to_boolean_token(c: Column) -> Column:

@@ -25,17 +25,19 @@ def infer_types(df: DataFrame) -> DataFrame:
     -> date, else >= .9 parse as numbers -> number, else string. Ratios for
     all text columns come from one aggregate."""
     fields = df.schema.fields
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = q(f.name)
-        s = F.trim(c.cast("string"))
         nn = c.isNotNull()
-        aggs += [
-            F.count_if(nn).alias(f"n{i}"),
-            F.count_if(nn & F.lower(s).isin(*BOOL_TOKENS)).alias(f"b{i}"),
-            F.count_if(nn & to_timestamp_mixed(c).isNotNull()).alias(f"d{i}"),
-            F.count_if(nn & to_number(c).isNotNull()).alias(f"x{i}"),
-        ]
+        aggs.append(F.count_if(nn).alias(f"n{i}"))
+        if f.dataType.typeName() == "string":
+            # only text needs sniffing; typed columns have a fixed contract type
+            s = F.trim(c)
+            aggs += [
+                F.count_if(nn & F.lower(s).isin(*BOOL_TOKENS)).alias(f"b{i}"),
+                F.count_if(nn & to_timestamp_mixed(c).isNotNull()).alias(f"d{i}"),
+                F.count_if(nn & to_number(c).isNotNull()).alias(f"x{i}"),
+            ]
     wide = df.agg(*aggs)
     rows = []
     for i, f in enumerate(fields):
@@ -49,10 +51,12 @@ def infer_types(df: DataFrame) -> DataFrame:
             kind = F.lit("number")
         elif t in ("date", "timestamp", "timestamp_ntz"):
             kind = F.lit("date")
-        else:
+        elif t == "string":
             kind = (
                 F.when(b >= 0.9 * n, "boolean").when(d >= 0.8 * n, "date").when(x >= 0.9 * n, "number").otherwise("string")
             )
+        else:
+            kind = F.lit("string")
         kind = F.when(n == 0, F.lit("string")).otherwise(kind)
         rows.append(F.struct(F.lit(f.name).alias("column"), F.lit(i).alias("position"), kind.alias("type")))
     return wide.select(F.inline(F.array(*rows)))
@@ -70,13 +74,16 @@ def infer_contract(df: DataFrame) -> DataFrame:
     mm_parts = []
     for f in df.schema.fields:
         c = q(f.name)
+        t = f.dataType.typeName()
+        num_ok = t == "string" or (t not in ("date", "timestamp", "timestamp_ntz", "boolean") and t != "binary")
+        date_src = c if t in ("date", "timestamp", "timestamp_ntz") else (to_timestamp_mixed(c) if t == "string" else None)
         mm_parts.append(
             F.struct(
                 F.lit(f.name).alias("column"),
-                F.min(to_number(c)).alias("nmin"),
-                F.max(to_number(c)).alias("nmax"),
-                F.date_format(F.min(to_timestamp_mixed(c)), "yyyy-MM-dd").alias("dmin"),
-                F.date_format(F.max(to_timestamp_mixed(c)), "yyyy-MM-dd").alias("dmax"),
+                (F.min(to_number(c)) if num_ok else F.lit(None).cast("double")).alias("nmin"),
+                (F.max(to_number(c)) if num_ok else F.lit(None).cast("double")).alias("nmax"),
+                (F.date_format(F.min(date_src), "yyyy-MM-dd") if date_src is not None else F.lit(None).cast("string")).alias("dmin"),
+                (F.date_format(F.max(date_src), "yyyy-MM-dd") if date_src is not None else F.lit(None).cast("string")).alias("dmax"),
             )
         )
     mm = df.agg(F.array(*mm_parts).alias("a")).select(F.inline("a"))
