@@ -270,13 +270,16 @@ def duplicate_count(df: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def zero_report(df: DataFrame) -> DataFrame:
-    """Zeros and missing per numeric column; suspicious = zeros and no missing."""
+    """Zeros and missing (null or NaN) per numeric column; suspicious = zeros and no missing."""
     cols = numeric_columns(df)
     if not cols:
         raise ValueError("no numeric columns")
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.count_if(q(c) == 0).alias(f"z{i}"), F.count_if(q(c).isNull()).alias(f"m{i}")]
+        miss = q(c).isNull()
+        if df.schema[c].dataType.typeName() in ("double", "float"):
+            miss = miss | F.isnan(q(c))
+        aggs += [F.count_if(q(c) == 0).alias(f"z{i}"), F.count_if(miss).alias(f"m{i}")]
     pairs = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', z{i}, m{i}" for i, c in enumerate(cols))
     long = df.agg(*aggs).select(F.expr(f"stack({len(cols)}, {pairs}) as (column, zeros, missing)"))
     return long.withColumn("suspicious", (F.col("zeros") > 0) & (F.col("missing") == 0))

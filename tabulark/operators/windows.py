@@ -83,9 +83,14 @@ def period_growth(
 
 
 def running(
-    df: DataFrame, date: str, metric: str, grain: str = "day", window: int = 7, keys: Sequence[str] = (), digits: int = 2
+    df: DataFrame, date: str, metric: str, grain: str = "day", window: int = 7, keys: Sequence[str] = (), digits: int = 2,
+    avg_digits: int = 4,
 ) -> DataFrame:
-    """Cumulative total and ``window``-period moving average over period totals."""
+    """Cumulative total and ``window``-period moving average over period totals.
+
+    The average keeps ``avg_digits`` decimals: an average of cent amounts can
+    sit exactly on a half-cent, where engines round the binary double
+    differently; for windows up to 7 no 4-decimal tie is possible."""
     g = _period_frame(df, date, metric, grain, keys)
     base = Window.partitionBy(*[q(k) for k in keys]).orderBy("period") if keys else Window.orderBy("period")
     cum = F.sum("total").over(base.rowsBetween(Window.unboundedPreceding, 0))
@@ -95,7 +100,7 @@ def running(
         "period",
         F.round("total", digits).alias("total"),
         F.round(cum, digits).alias("cumulative"),
-        F.round(mov, digits).alias("moving_avg"),
+        F.round(mov, avg_digits).alias("moving_avg"),
     )
 
 

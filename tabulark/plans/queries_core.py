@@ -270,14 +270,18 @@ def a20_dups(spark, sf):
     return A.duplicate_count(load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
 
 
+def _nan(c: str) -> str:
+    return f" OR isnan({c})" if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") else ""
+
+
 _A21_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 @register(
     "a21_zero_report",
     "\nUNION ALL\n".join(
-        f"SELECT '{c}' AS \"column\", count_if({c} = 0) AS zeros, count_if({c} IS NULL) AS missing, "
-        f"(count_if({c} = 0) > 0 AND count_if({c} IS NULL) = 0) AS suspicious FROM lineitem"
+        f"SELECT '{c}' AS \"column\", count_if({c} = 0) AS zeros, count_if({c} IS NULL{_nan(c)}) AS missing, "
+        f"(count_if({c} = 0) > 0 AND count_if({c} IS NULL{_nan(c)}) = 0) AS suspicious FROM lineitem"
         for c in _A21_COLS
     ),
 )

@@ -120,7 +120,7 @@ def w2_growth(spark, sf):
                WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2)
     SELECT event_type, period, round(total, 2) AS total,
            round(sum(total) OVER (PARTITION BY event_type ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS cumulative,
-           round(avg(total) OVER (PARTITION BY event_type ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 2) AS moving_avg
+           round(avg(total) OVER (PARTITION BY event_type ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS moving_avg
     FROM g
     """,
 )
