@@ -65,46 +65,56 @@ def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), name
     return stacked.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
 
 
+def _log_scale(v: Column) -> Column:
+    """sign(v) * log1p(|v|): order-preserving in floating point (log1p is
+    semi-monotonic, negation reverses exactly), and it spreads heavy tails."""
+    return F.when(v >= 0, F.log1p(v)).otherwise(-F.log1p(-v))
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    partitions: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas ``linear`` = DuckDB
     ``quantile_cont``) of every column in ``cols`` per ``by`` group.
 
     Returns long rows ``(*by, column, p, value)``. Values are first reduced to
     distinct (group, column, value, weight) with a map-side combine, so a value
-    repeated a billion times is one row; the distinct rows are range-sorted and
-    ranks come from per-partition offsets. No group is ever gathered in one
-    task, unlike Spark's ``percentile`` which keeps every distinct value of a
-    group in one buffer."""
+    repeated a billion times is one row. Each group's distinct values are then
+    split into ``buckets`` value ranges by a deterministic, order-preserving
+    map (log-scaled position between the group's exact min and max), ranks
+    come from a running sum inside each bucket plus the totals of the buckets
+    below, and only the rows holding the wanted ranks are kept. No group is
+    ever gathered in one task (Spark's ``percentile`` keeps every distinct
+    value of a group in one buffer), and because the buckets are a pure
+    function of the data, every branch of the plan sees the same split."""
     by = list(by)
     keys = by + ["column"]
-    parts = partitions or shuffle_partitions(df)
+    nb = buckets or max(8, 4 * shuffle_partitions(df))
     long = long_values(df, cols, by)
     vc = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_w"))
-    parted = _pin(
-        vc.repartitionByRange(parts, *[F.col(k) for k in keys], F.col("v")).withColumn("_pid", F.spark_partition_id())
-    )
-    wloc = Window.partitionBy("_pid", *keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    local = parted.withColumn("_cum", F.sum("_w").over(wloc))
-    part_tot = parted.groupBy("_pid", *keys).agg(F.sum("_w").alias("_pt"))
-    woff = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = part_tot.select("_pid", *keys, F.coalesce(F.sum("_pt").over(woff), F.lit(0)).alias("_off"))
-    ranked = join_null_safe(local, offs, ["_pid", *keys]).select(
+    rng = vc.groupBy(*keys).agg(_log_scale(F.min("v")).alias("_lo"), _log_scale(F.max("v")).alias("_hi"))
+    span = F.col("_hi") - F.col("_lo")
+    bucket = F.when(span > 0, F.least(F.floor((_log_scale(F.col("v")) - F.col("_lo")) / span * nb), F.lit(nb - 1))).otherwise(F.lit(0))
+    vb = join_null_safe(vc, rng, keys).select(*keys, "v", "_w", bucket.cast("int").alias("_b"))
+    wloc = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    local = vb.withColumn("_cum", F.sum("_w").over(wloc))
+    btot = vb.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bt"))
+    # at most ``nb`` rows per group: a bounded window
+    woff = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = btot.select(*keys, "_b", F.coalesce(F.sum("_bt").over(woff), F.lit(0)).alias("_off"))
+    ranked = join_null_safe(local, offs, [*keys, "_b"]).select(
         *keys,
         "v",
         (F.col("_off") + F.col("_cum") - F.col("_w")).alias("_start"),
         (F.col("_off") + F.col("_cum") - 1).alias("_end"),
     )
-    sizes = part_tot.groupBy(*keys).agg(F.sum("_pt").alias("_n"))
+    sizes = btot.groupBy(*keys).agg(F.sum("_bt").alias("_n"))
     plist = F.array(*[F.lit(float(p)) for p in probs])
-    tg = sizes.select(*keys, "_n", F.explode(plist).alias("p")).withColumn(
-        "_h", F.col("p") * (F.col("_n") - 1)
-    )
+    tg = sizes.select(*keys, "_n", F.explode(plist).alias("p")).withColumn("_h", F.col("p") * (F.col("_n") - 1))
     tg = tg.select(
         *keys,
         "p",
