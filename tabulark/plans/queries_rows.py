@@ -365,3 +365,87 @@ def q18_fp(spark, sf):
 @register("a5_measure_eligibility")
 def a5_elig(spark, sf):
     return Q.measure_eligibility(load(spark, sf, "orders"))
+
+
+# ---- single cleaning actions and coercions -----------------------------------------
+
+
+@register("q8_drop_empty_columns", "WITH " + _DIRTY_SQL + " SELECT event_id, user_id, event_type, value, props FROM d")
+def q8_drop_empty(spark, sf):
+    cleaned, _ = Q.clean(dirty_table(spark, sf), ["drop_empty_columns"])
+    return cleaned
+
+
+@register(
+    "q10_fill_numeric_median",
+    "WITH " + _DIRTY_SQL + ", m AS (SELECT median(value) AS mv FROM d) "
+    "SELECT event_id, user_id, event_type, coalesce(value, mv) AS value, props, empty_col FROM d, m",
+)
+def q10_median(spark, sf):
+    cleaned, _ = Q.clean(dirty_table(spark, sf), ["fill_numeric_median"])
+    return cleaned
+
+
+@register(
+    "q11_fill_categorical_mode",
+    "WITH " + _DIRTY_SQL + """,
+    mo AS (SELECT props AS mp FROM d WHERE props IS NOT NULL GROUP BY props ORDER BY count(*) DESC, props LIMIT 1),
+    me AS (SELECT event_type AS me FROM d WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)
+    SELECT event_id, user_id, coalesce(event_type, me) AS event_type, value, coalesce(props, mp) AS props, empty_col FROM d, mo, me
+    """,
+)
+def q11_mode(spark, sf):
+    cleaned, _ = Q.clean(dirty_table(spark, sf), ["fill_categorical_mode"])
+    return cleaned
+
+
+@register(
+    "s8_clean_export",
+    "WITH " + _DIRTY_SQL + """
+    SELECT (SELECT count(*) FROM d) AS rows_before, (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS rows_after,
+           (SELECT count(*) FROM d) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS rows_removed,
+           6 AS columns_before, 5 AS columns_after, 1 AS columns_removed
+    """,
+)
+def s8_export(spark, sf):
+    from ..sources.io import clean_export
+
+    path = os.path.join(checkpoint_dir(spark), f"s8-{uuid.uuid4().hex}")
+    return clean_export(dirty_table(spark, sf), ["drop_empty_columns", "remove_duplicate_rows"], path)
+
+
+@register(
+    "f6_to_number",
+    """
+    SELECT event_id, try_cast(trim(CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END) AS DOUBLE) AS value
+    FROM events
+    """,
+)
+def f6_number(spark, sf):
+    from ..operators.filters import coerce_numbers
+
+    ev = load(spark, sf, "events")
+    txt = ev.select("event_id", F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("value"))
+    return coerce_numbers(txt, ["value"])
+
+
+@register(
+    "f7_to_date_mixed",
+    """
+    SELECT o_orderkey, CASE WHEN o_orderstatus IS DISTINCT FROM 'F' AND o_orderpriority = '5-LOW' THEN NULL ELSE o_orderdate END AS o_orderdate FROM orders
+    """,
+)
+def f7_dates(spark, sf):
+    """Order dates written as text in three layouts (one unparsable) and
+    parsed back with the mixed-format coercion."""
+    from ..operators.filters import coerce_dates
+
+    o = load(spark, sf, "orders")
+    txt = o.select(
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "MM/dd/yyyy"))
+        .when(F.col("o_orderpriority") == "5-LOW", F.lit("someday"))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .alias("o_orderdate"),
+    )
+    return coerce_dates(txt, ["o_orderdate"]).select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
