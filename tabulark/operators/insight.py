@@ -13,14 +13,14 @@ from ..functions.columns import numeric_columns, q
 from . import aggregate as A
 from . import relate as R
 from . import windows as W
-from .quality import profile, quality_issues, quality_score
+from .quality import profile, quality_facts, quality_issues, quality_score
 from .roles import column_roles
 
 
-def pick_columns(df: DataFrame) -> dict:
+def pick_columns(df: DataFrame, facts: dict | None = None) -> dict:
     """Primary metric, dimension and time column by role rank (small collect:
     one row per role assignment)."""
-    roles = column_roles(df).collect()
+    roles = column_roles(df, facts["flags"] if facts else None).collect()
     by = {}
     for r in sorted(roles, key=lambda r: (r["role"], r["rank"])):
         by.setdefault(r["role"], []).append(r["column"])
@@ -36,8 +36,9 @@ def pick_columns(df: DataFrame) -> dict:
 def readiness(df: DataFrame) -> DataFrame:
     """Q20: Q5 score - 20 (no metric) - 10 (no dimension) - 10 (< 30 rows)
     - 10 (needs attention), clamped 0-100; ready >= 85, caution >= 65; risk flags."""
-    cols = pick_columns(df)
-    qs = quality_score(df)
+    facts = quality_facts(df)
+    cols = pick_columns(df, facts)
+    qs = quality_score(df, facts)
     n = df.agg(F.count(F.lit(1))).scalar()
     no_metric, no_dim = cols["metric"] is None, cols["dimension"] is None
     pen = F.lit(20 if no_metric else 0) + F.lit(10 if no_dim else 0) + F.when(n < 30, 10).otherwise(0) + F.when(
@@ -62,8 +63,9 @@ def readiness(df: DataFrame) -> DataFrame:
 
 def kpis(df: DataFrame, metric: str | None = None, digits: int = 2) -> DataFrame:
     """Q21: rows, health score, total and average of the primary metric."""
-    metric = metric or pick_columns(df)["metric"]
-    qs = quality_score(df).select("score").scalar()
+    facts = quality_facts(df)
+    metric = metric or pick_columns(df, facts)["metric"]
+    qs = quality_score(df, facts).select("score").scalar()
     m = q(metric).cast("double") if metric else F.lit(None).cast("double")
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -96,7 +98,8 @@ def insights(df: DataFrame, metric: str | None = None, dim: str | None = None, l
     """Q23: insight rows ``(kind, subject, value, detail)`` with evidence
     numbers: kpi, segment leader share, quality score, strongest relationship
     (|r| >= 0.3), IQR anomalies; at most ``limit``."""
-    cols = pick_columns(df)
+    facts = quality_facts(df)
+    cols = pick_columns(df, facts)
     metric, dim = metric or cols["metric"], dim or cols["dimension"]
     parts = []
     if metric:
@@ -104,7 +107,7 @@ def insights(df: DataFrame, metric: str | None = None, dim: str | None = None, l
     if metric and dim:
         sd = A.segment_driver(df, dim, metric)
         parts.append(sd.select(F.lit(2), F.lit("segment"), F.col("leader"), F.col("leader_share_pct"), F.lit("leader_share_pct")))
-    qs = quality_score(df)
+    qs = quality_score(df, facts)
     parts.append(qs.select(F.lit(3), F.lit("quality"), F.lit("health_score"), F.col("score").cast("double"), F.col("status")))
     nums = numeric_columns(df)
     if len(nums) >= 2:
@@ -123,7 +126,8 @@ def investigate(df: DataFrame, metric: str | None = None, dim: str | None = None
     """Q24: evidence steps in order: trend, segment driver, z-score anomalies,
     strongest pair, leading quality issue. ``(step, name, status, facts)``
     where facts is a string map."""
-    cols = pick_columns(df)
+    facts = quality_facts(df)
+    cols = pick_columns(df, facts)
     metric, dim, date = metric or cols["metric"], dim or cols["dimension"], date or cols["time"]
     steps = []
     str_map = lambda fr: F.map_from_arrays(F.array(*[F.lit(c) for c in fr.columns]), F.array(*[F.col(c).cast("string") for c in fr.columns]))
@@ -140,7 +144,7 @@ def investigate(df: DataFrame, metric: str | None = None, dim: str | None = None
     if len(nums) >= 2:
         c = R.top_correlations(df, k=1, cols=nums)
         steps.append(c.select(F.lit(4), F.lit("relationship"), F.lit("complete"), str_map(c)))
-    qi = quality_issues(df).orderBy("seq").limit(1)
+    qi = quality_issues(df, facts).orderBy("seq").limit(1)
     steps.append(qi.select(F.lit(5), F.lit("quality"), F.lit("complete"), str_map(qi)))
     out = steps[0]
     for s in steps[1:]:
@@ -169,7 +173,8 @@ def decision_triggers(df: DataFrame, metric: str | None = None, dim: str | None
     """Q26: triggers ``(trigger, level, value)``: leader share >= 40% (high);
     trend |change| >= 5% (a drop > 10% is high); quality warnings; model
     readiness (>= 50 rows and >= 2 numeric columns)."""
-    cols = pick_columns(df)
+    facts = quality_facts(df)
+    cols = pick_columns(df, facts)
     metric, dim, date = metric or cols["metric"], dim or cols["dimension"], date or cols["time"]
     parts = []
     if metric and dim:
@@ -178,7 +183,7 @@ def decision_triggers(df: DataFrame, metric: str | None = None, dim: str | None
     if metric and date:
         t = W.trend(df, date, metric).where((F.col("periods") >= 3) & (F.abs("pct_change") >= 5))
         parts.append(t.select(F.lit("trend"), F.when(F.col("pct_change") < -10, "high").otherwise("medium"), F.col("pct_change").cast("double")))
-    qi = quality_issues(df).where(F.col("severity") == "warn")
+    qi = quality_issues(df, facts).where(F.col("severity") == "warn")
     parts.append(qi.groupBy().agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0).select(F.lit("quality"), F.lit("medium"), F.col("n").cast("double")))
     n = df.agg(F.count(F.lit(1))).scalar()
     nn = len(numeric_columns(df))

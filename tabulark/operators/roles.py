@@ -55,11 +55,11 @@ def role_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def column_roles(df: DataFrame) -> DataFrame:
+def column_roles(df: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     """Q2: long ``(column, role, rank)``; a column may hold several roles.
     Without any metric-named column, the first three numeric non-ids are metrics;
     without target candidates, the first three metrics are."""
-    fl = role_flags(df)
+    fl = role_flags(df) if flags is None else flags
     any_metric = fl.agg(F.count_if("is_metric")).scalar()
     fallback = F.col("is_numeric") & ~F.col("is_id")
     w = Window.orderBy("position")  # one row per column: bounded by the schema
