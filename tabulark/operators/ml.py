@@ -223,13 +223,19 @@ def importances(model: TrainedModel, top: int = 12, digits: int = 4) -> DataFram
     return df.orderBy(F.col("importance").desc(), "feature").limit(top).select("feature", F.round("importance", digits).alias("importance"))
 
 
-def permutation_importance(model: TrainedModel, df: DataFrame, repeats: int = 5, buckets: int = 64, digits: int = 4) -> DataFrame:
+def permutation_importance(
+    model: TrainedModel, df: DataFrame, repeats: int = 5, buckets: int | None = None, rows_per_bucket: int = 50_000, digits: int = 4
+) -> DataFrame:
     """M5: drop in the metric (accuracy or R2) when one input column is
     permuted, mean and std over ``repeats``. The permutation rotates the column
     by one row inside random hash buckets (window per bucket), so it is
-    distributed and needs no join. All (feature, repeat) copies are scored in
-    one transform and aggregated in one pass."""
+    distributed and needs no join; the bucket count grows with the row count
+    (about ``rows_per_bucket`` rows per window). All (feature, repeat) copies
+    are scored in one transform and aggregated in one pass."""
     base = prepare(model, df).withColumn("__rid", F.xxhash64(*[q(c) for c in df.columns]))
+    if buckets is None:
+        # bucket count grows with the data so each rotation window stays small
+        buckets = max(64, -(-df.count() // rows_per_bucket))
     feats = [*model.numeric, *model.categorical]
     copies = []
     for r in range(repeats):
