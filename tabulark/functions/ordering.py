@@ -177,19 +177,16 @@ def top_k_per_group(
     order: Sequence[Column],
     k: int,
     rank_name: str | None = None,
-    salt: int = 64,
 ) -> DataFrame:
-    """Top-k rows per group in two window rounds: first per (group, salt
-    bucket), then per group over at most ``salt*k`` survivors, so a hot group
-    is never sorted in one task. Ties must be broken by ``order`` itself."""
-    group_cols = list(group_cols)
-    cols = list(df.columns)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[q(c) for c in cols]), F.lit(salt)))
-    w1 = Window.partitionBy(*[q(g) for g in group_cols], F.col("__salt")).orderBy(*order)
-    pre = salted.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k).drop("__r1", "__salt")
-    w2 = Window.partitionBy(*[q(g) for g in group_cols]).orderBy(*order)
-    rn = rank_name or "__r2"
-    out = pre.withColumn(rn, F.row_number().over(w2)).where(F.col(rn) <= k)
+    """Top-k rows per group: ``row_number() <= k`` over a per-group window.
+
+    Spark plans this filter with a partial ``WindowGroupLimit`` before the
+    shuffle (each map task keeps only its top k per group), so a hot group
+    sends at most k rows per map partition to its final sort. Ties must be
+    broken by ``order`` itself."""
+    w = Window.partitionBy(*[q(g) for g in group_cols]).orderBy(*order)
+    rn = rank_name or "__rank"
+    out = df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) <= k)
     return out if rank_name else out.drop(rn)
 
 
