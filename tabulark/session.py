@@ -17,6 +17,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # a long-running driver keeps status history for every job; cap it
+        .config("spark.ui.retainedJobs", "200")
+        .config("spark.ui.retainedStages", "400")
+        .config("spark.ui.retainedTasks", "20000")
+        .config("spark.sql.ui.retainedExecutions", "100")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
