@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_numeric, numeric_columns, q, resolve, string_columns
+from ..functions.columns import numeric_columns, q, resolve, string_columns
 from ..functions.coerce import to_number, to_timestamp_mixed
 from ..functions.ordering import exact_quantiles, join_null_safe, long_values, quantile_wide, top_k_per_group
 from ..functions.stats import safe_div

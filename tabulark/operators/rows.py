@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric, numeric_columns, q, resolve
-from ..functions.coerce import to_number
 from ..functions.ordering import long_values, quantile_wide, with_positions
 
 

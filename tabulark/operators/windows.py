@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_temporal, q, resolve
 from ..functions.coerce import to_number, to_timestamp_mixed
-from ..functions.ordering import exact_quantiles, quantile_wide, with_running_sum
+from ..functions.ordering import quantile_wide, with_running_sum
 from ..functions.stats import safe_div
 from .aggregate import period_col
 
