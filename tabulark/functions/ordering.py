@@ -90,20 +90,30 @@ def exact_quantiles(
     below, and only the rows holding the wanted ranks are kept. No group is
     ever gathered in one task (Spark's ``percentile`` keeps every distinct
     value of a group in one buffer), and because the buckets are a pure
-    function of the data, every branch of the plan sees the same split."""
+    function of the data, every branch of the plan sees the same split.
+    Buckets have two levels (log-scaled, then linear within each level-1
+    bucket), so a far outlier does not collapse the rest into one bucket;
+    both maps are monotonic in floating point, so bucket order is value order."""
     by = list(by)
     keys = by + ["column"]
     nb = buckets or max(8, 4 * shuffle_partitions(df))
     long = long_values(df, cols, by)
     vc = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_w"))
+    # level 1: log-scaled position between the group's exact min and max
     rng = vc.groupBy(*keys).agg(_log_scale(F.min("v")).alias("_lo"), _log_scale(F.max("v")).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
-    bucket = F.when(span > 0, F.least(F.floor((_log_scale(F.col("v")) - F.col("_lo")) / span * nb), F.lit(nb - 1))).otherwise(F.lit(0))
-    vb = join_null_safe(vc, rng, keys).select(*keys, "v", "_w", bucket.cast("int").alias("_b"))
+    b1 = F.when(span > 0, F.least(F.floor((_log_scale(F.col("v")) - F.col("_lo")) / span * nb), F.lit(nb - 1))).otherwise(F.lit(0))
+    vb1 = join_null_safe(vc, rng, keys).select(*keys, "v", "_w", b1.cast("long").alias("_b1"))
+    # level 2: linear position between each level-1 bucket's own min and max,
+    # so one far outlier cannot leave nearly all values in a single bucket
+    rng2 = vb1.groupBy(*keys, "_b1").agg(F.min("v").alias("_lo2"), F.max("v").alias("_hi2"))
+    span2 = F.col("_hi2") - F.col("_lo2")
+    b2 = F.when(span2 > 0, F.least(F.floor((F.col("v") - F.col("_lo2")) / span2 * nb), F.lit(nb - 1))).otherwise(F.lit(0))
+    vb = join_null_safe(vb1, rng2, [*keys, "_b1"]).select(*keys, "v", "_w", (F.col("_b1") * nb + b2.cast("long")).alias("_b"))
     wloc = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     local = vb.withColumn("_cum", F.sum("_w").over(wloc))
     btot = vb.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bt"))
-    # at most ``nb`` rows per group: a bounded window
+    # at most ``nb * nb`` rows per group: a bounded window
     woff = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = btot.select(*keys, "_b", F.coalesce(F.sum("_bt").over(woff), F.lit(0)).alias("_off"))
     ranked = join_null_safe(local, offs, [*keys, "_b"]).select(
