@@ -205,7 +205,7 @@ def a16_means(spark, sf):
       UNION ALL SELECT 'o_orderpriority', CAST(o_orderpriority AS VARCHAR), o_totalprice FROM orders),
     g AS (SELECT dimension, label, sum(m) AS total FROM long WHERE label IS NOT NULL AND m IS NOT NULL GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY total DESC, label) AS rank FROM g)
-    SELECT dimension, label, round(total, 2) AS total, rank FROM r WHERE rank <= 3
+    SELECT dimension, label, round(total, 2) AS total, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
     """,
 )
 def a17_breakdowns(spark, sf):
@@ -232,7 +232,7 @@ def _a19_sql() -> str:
     for c in _A19_COLS:
         extra = f" OR isnan({c})" if c == "value" else ""
         parts.append(
-            f"SELECT '{c}' AS \"column\", count_if({c} IS NULL{extra}) AS missing, "
+            f"SELECT '{c}' AS \"column\", CAST(count_if({c} IS NULL{extra}) AS BIGINT) AS missing, "
             f"round(count_if({c} IS NULL{extra}) * 100.0 / count(*), 2) AS missing_pct FROM ev"
         )
     return (
@@ -263,7 +263,7 @@ def a19_missing(spark, sf):
     "a20_duplicates",
     """
     WITH g AS (SELECT count(*) AS c FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity)
-    SELECT sum(c) AS rows, sum(c - 1) AS duplicates, round(coalesce(sum(c - 1) * 100.0 / sum(c), 0), 2) AS duplicate_pct FROM g
+    SELECT CAST(sum(c) AS BIGINT) AS rows, CAST(sum(c - 1) AS BIGINT) AS duplicates, round(coalesce(sum(c - 1) * 100.0 / sum(c), 0), 2) AS duplicate_pct FROM g
     """,
 )
 def a20_dups(spark, sf):
@@ -280,7 +280,7 @@ _A21_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity
 @register(
     "a21_zero_report",
     "\nUNION ALL\n".join(
-        f"SELECT '{c}' AS \"column\", count_if({c} = 0) AS zeros, count_if({c} IS NULL{_nan(c)}) AS missing, "
+        f"SELECT '{c}' AS \"column\", CAST(count_if({c} = 0) AS BIGINT) AS zeros, CAST(count_if({c} IS NULL{_nan(c)}) AS BIGINT) AS missing, "
         f"(count_if({c} = 0) > 0 AND count_if({c} IS NULL{_nan(c)}) = 0) AS suspicious FROM lineitem"
         for c in _A21_COLS
     ),
@@ -341,7 +341,7 @@ def a24_hist(spark, sf):
            round(min(q3), 4) AS q3, round(max(x), 4) AS max,
            round(min(CASE WHEN x >= q1 - 1.5 * iqr THEN x END), 4) AS lower_whisker,
            round(max(CASE WHEN x <= q3 + 1.5 * iqr THEN x END), 4) AS upper_whisker,
-           count_if(x < q1 - 1.5 * iqr OR x > q3 + 1.5 * iqr) AS outliers
+           CAST(count_if(x < q1 - 1.5 * iqr OR x > q3 + 1.5 * iqr) AS BIGINT) AS outliers
     FROM j GROUP BY 1
     """,
 )
@@ -355,7 +355,7 @@ def a25_box(spark, sf):
     WITH g AS (SELECT o_orderstatus AS g, count(o_totalprice) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v
                FROM orders WHERE o_orderstatus IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1 HAVING count(o_totalprice) >= 2),
     s AS (SELECT count(*) AS k, sum(n) AS nn, sum(n * m) / sum(n) AS grand, sum(n * m * m) AS snm2, sum((n - 1) * v) AS ssw FROM g)
-    SELECT 'anova_f' AS test, k AS groups, nn AS n,
+    SELECT 'anova_f' AS test, k AS groups, CAST(nn AS BIGINT) AS n,
            round(((snm2 - nn * grand * grand) / (k - 1)) / (ssw / (nn - k)), 4) AS statistic,
            round(CAST(k - 1 AS DOUBLE), 4) AS df1, round(CAST(nn - k AS DOUBLE), 4) AS df2
     FROM s
@@ -399,7 +399,7 @@ def f1_contains(spark, sf):
 @register(
     "f4_support",
     """
-    SELECT count(*) AS rows, count_if(value IS NOT NULL AND props IS NOT NULL) AS complete_rows,
+    SELECT count(*) AS rows, CAST(count_if(value IS NOT NULL AND props IS NOT NULL) AS BIGINT) AS complete_rows,
            round(CASE WHEN count(*) > 0 THEN (count(*) - count_if(value IS NOT NULL AND props IS NOT NULL)) * 100.0 / count(*) ELSE 0 END, 2) AS missing_pct
     FROM (SELECT CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value,
                  CASE WHEN event_type = 'view' THEN NULL ELSE props END AS props FROM events)

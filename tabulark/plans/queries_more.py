@@ -186,7 +186,7 @@ _D1_SQL = f"""
 WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{_WS}+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents),
 s AS (SELECT doc_id, t, unnest(generate_series(0, length(t) - 1, 520)) AS start FROM t WHERE length(t) > 0),
 c AS (SELECT doc_id, CAST(start / 520 AS INTEGER) AS chunk_idx, start, substring(t, start + 1, 600) AS text FROM s)
-SELECT doc_id, chunk_idx, start, length(text) AS n_chars, md5(text) AS text_md5 FROM c
+SELECT doc_id, chunk_idx, CAST(start AS INTEGER) AS start, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5 FROM c
 WHERE length(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')) > 40
 """
 

@@ -135,9 +135,9 @@ def t9_entity(spark, sf):
                       CASE WHEN event_type = 'view' THEN NULL ELSE props END AS props FROM events),
     m AS (SELECT count(*) AS rows, count_if(value IS NULL OR isnan(value)) + count_if(props IS NULL) AS missing FROM d),
     g AS (SELECT count(*) AS c FROM d GROUP BY ALL)
-    SELECT rows, 6 AS columns, 3 AS numeric_features, missing AS missing_total,
+    SELECT rows, 6 AS columns, 3 AS numeric_features, CAST(missing AS BIGINT) AS missing_total,
            round(CASE WHEN rows * 6 > 0 THEN missing * 100.0 / (rows * 6) ELSE 0 END, 1) AS missing_pct,
-           (SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM d GROUP BY event_id, ts, user_id, event_type, value, props)) AS duplicate_rows
+           CAST((SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM d GROUP BY event_id, ts, user_id, event_type, value, props)) AS BIGINT) AS duplicate_rows
     FROM m
     """,
 )

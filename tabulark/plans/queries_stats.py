@@ -20,7 +20,7 @@ def _pairs(cols, diagonal=False):
     "a9_correlation",
     "\nUNION ALL\n".join(
         f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 3) + 0.0 AS corr, "
-        f"count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM lineitem"
+        f"CAST(count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS BIGINT) AS n FROM lineitem"
         for a, b in _pairs(_LI)
     ),
 )
@@ -33,7 +33,7 @@ def a9_corr(spark, sf):
     "WITH c AS ("
     + "\nUNION ALL\n".join(
         f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 3) + 0.0 AS corr, "
-        f"count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM lineitem"
+        f"CAST(count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS BIGINT) AS n FROM lineitem"
         for a, b in _pairs(_LI)
     )
     + """)
@@ -50,7 +50,7 @@ def a10_top(spark, sf):
     "a11_correlate_with_target",
     "\nUNION ALL\n".join(
         f"SELECT '{a}' AS feature, round(corr({a}, l_extendedprice), 3) + 0.0 AS corr, "
-        f"count_if({a} IS NOT NULL AND l_extendedprice IS NOT NULL) AS n FROM lineitem"
+        f"CAST(count_if({a} IS NOT NULL AND l_extendedprice IS NOT NULL) AS BIGINT) AS n FROM lineitem"
         for a in ("l_quantity", "l_discount", "l_tax")
     ),
 )
@@ -135,8 +135,8 @@ def w3_running(spark, sf):
                WHERE l_suppkey IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY 1),
     t AS (SELECT 'top' AS side, row_number() OVER (ORDER BY total DESC, label) AS rank, label, total FROM g),
     b AS (SELECT 'bottom' AS side, row_number() OVER (ORDER BY total ASC, label) AS rank, label, total FROM g)
-    SELECT side, rank, label, round(total, 2) AS total FROM t WHERE rank <= 5
-    UNION ALL SELECT side, rank, label, round(total, 2) FROM b WHERE rank <= 5
+    SELECT side, CAST(rank AS INTEGER) AS rank, label, round(total, 2) AS total FROM t WHERE rank <= 5
+    UNION ALL SELECT side, CAST(rank AS INTEGER), label, round(total, 2) FROM b WHERE rank <= 5
     """,
 )
 def w4_top_bottom(spark, sf):
@@ -175,7 +175,7 @@ def w6_zscore(spark, sf):
     WITH s AS (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS sd, count(l_extendedprice) AS n,
                       min(l_extendedprice) AS mn, max(l_extendedprice) AS mx FROM lineitem)
     SELECT 'l_extendedprice' AS metric, n, round(m, 4) AS mean, round(sd, 4) AS std,
-           (SELECT count_if(abs((l_extendedprice - m) / sd) >= 2) FROM lineitem) AS outliers, round(mn, 4) AS min, round(mx, 4) AS max
+           CAST((SELECT count_if(abs((l_extendedprice - m) / sd) >= 2) FROM lineitem) AS BIGINT) AS outliers, round(mn, 4) AS min, round(mx, 4) AS max
     FROM s WHERE n >= 3 AND sd > 0
     """,
 )
@@ -191,7 +191,7 @@ def w6_summary(spark, sf):
     st AS (SELECT "column", count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM long GROUP BY 1),
     f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM st WHERE n >= 8 AND q3 - q1 <> 0)
     SELECT f."column", f.n, round(q1, 4) AS q1, round(q3, 4) AS q3, round(iqr, 4) AS iqr, round(lower, 4) AS lower, round(upper, 4) AS upper,
-           count_if(v < lower OR v > upper) AS outliers
+           CAST(count_if(v < lower OR v > upper) AS BIGINT) AS outliers
     FROM f JOIN long USING ("column") GROUP BY ALL
     """,
 )
