@@ -96,7 +96,8 @@ def exact_quantiles(
     both maps are monotonic in floating point, so bucket order is value order."""
     by = list(by)
     keys = by + ["column"]
-    nb = buckets or max(8, 4 * shuffle_partitions(df))
+    # buckets per level; two levels give at most nb * nb non-empty buckets per group
+    nb = buckets or min(256, max(8, 4 * shuffle_partitions(df)))
     long = long_values(df, cols, by)
     vc = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_w"))
     # level 1: log-scaled position between the group's exact min and max
