@@ -8,6 +8,7 @@ from ..operators import aggregate as A
 from ..operators import filters as FL
 from ..operators import joins as J
 from .catalog import load, register
+from .derived import dirty_events
 
 
 @register(
@@ -241,19 +242,6 @@ def _a19_sql() -> str:
     )
 
 
-def dirty_events(spark, sf):
-    """Events with missing values made by rule from the table itself."""
-    ev = load(spark, sf, "events")
-    return ev.select(
-        "event_id",
-        "ts",
-        "user_id",
-        "event_type",
-        F.when(F.col("event_type") == "error", F.lit(None).cast("double")).otherwise(F.col("value")).alias("value"),
-        F.when(F.col("event_type") == "view", F.lit(None).cast("string")).otherwise(F.col("props")).alias("props"),
-    )
-
-
 @register("a19_missing_report", _a19_sql())
 def a19_missing(spark, sf):
     return A.missing_report(dirty_events(spark, sf))

@@ -15,7 +15,7 @@ from ..operators import rows as T
 from ..session import checkpoint_dir
 from ..streaming.validate import run_validation
 from .catalog import load, register
-from .queries_core import dirty_events
+from .derived import dirty_events
 
 # ---- T ------------------------------------------------------------------------
 

@@ -170,3 +170,14 @@ def test_drift(spark):
     assert d["revenue"]["mean_delta"] == 100.0 and d["revenue"]["drift_level"] == "Significant"
     sch = {r["column"]: r["change"] for r in Q.compare_schemas(v1, v2).collect()}
     assert sch["new_col"] == "added"
+
+
+def test_cleaning_plan_estimate_and_issue_cut(spark):
+    rows = [(1, " Tools", 10, None), (2, "Toys", None, None), (3, "Toys", 30, None), (3, "Toys", 30, None)]
+    df = spark.createDataFrame(rows, "order_id int, category string, revenue int, empty_col string")
+    plan = {r["action"]: r for r in Q.cleaning_plan(df).collect()}
+    assert plan["fill_categorical_mode"]["default"] is False if "fill_categorical_mode" in plan else True
+    assert {"drop_empty_columns", "remove_duplicate_rows", "trim_string_whitespace", "fill_numeric_median"} <= set(plan)
+    before = Q.quality_score(df).first()["score"]
+    assert next(iter(plan.values()))["estimated_score_after"] >= before
+    assert Q.quality_issues(dirty_quality(spark), keep=1).count() == 1
