@@ -160,8 +160,48 @@ def q1_numeric(spark, sf):
     return Q.numeric_profile(load(spark, sf, "lineitem"))
 
 
-@register("q2_column_roles")
+_Q2_COLS = (("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True),
+            ("o_orderdate", False), ("o_orderpriority", False))
+
+
+def _q2_sql() -> str:
+    """Role rules of Q2 in SQL: name words and type from the schema, distinct
+    counts from the data."""
+    metric = " OR ".join(f"contains(name, '{t}')" for t in RO.METRIC_TERMS)
+    time_ = " OR ".join(f"contains(name, '{t}')" for t in RO.TIME_TERMS)
+    dim = " OR ".join(f"contains(name, '{t}')" for t in RO.DIMENSION_TERMS)
+    facts = " UNION ALL ".join(
+        f"SELECT '{c}' AS name, {i} AS position, {str(num).lower()} AS is_numeric, count(DISTINCT {c}) AS nunique, count(*) AS n FROM orders"
+        for i, (c, num) in enumerate(_Q2_COLS)
+    )
+    return f"""
+    WITH f AS ({facts}),
+    g AS (SELECT *, regexp_replace(name, '[^a-z0-9]+', '', 'g') AS compact FROM f),
+    r AS (SELECT name, position, is_numeric,
+                 is_numeric AND ({metric}) AS is_metric,
+                 is_numeric AND NOT ({metric}) AND NOT suffix(name, 'id') AND name <> 'id' AND nunique < greatest(n * 0.95, 2) AS is_target,
+                 ({time_}) AS is_time,
+                 NOT ({time_}) AND (name = 'id' OR suffix(name, '_id') OR suffix(name, ' id') OR suffix(compact, 'id')
+                      OR (is_numeric AND nunique > 0.95 * greatest(n, 1) AND (suffix(compact, 'id') OR compact IN ('id', 'identifier') OR suffix(compact, 'number')))) AS is_id
+          FROM g),
+    r2 AS (SELECT r.*, NOT r.is_time AND NOT r.is_id AND NOT r.is_numeric AND (({dim.replace('name', 'r.name')}) OR g.nunique BETWEEN 2 AND 50) AS is_dim
+           FROM r JOIN g USING (name)),
+    roles AS (
+      SELECT name, position, 'metrics' AS role FROM r2 WHERE is_metric
+      UNION ALL SELECT name, position, 'time' FROM r2 WHERE is_time
+      UNION ALL SELECT name, position, 'dimensions' FROM r2 WHERE is_dim
+      UNION ALL SELECT name, position, 'ids' FROM r2 WHERE is_id
+      UNION ALL SELECT name, position, 'numeric' FROM r2 WHERE is_numeric
+      UNION ALL SELECT name, position, 'target_candidates' FROM r2 WHERE is_target)
+    SELECT name AS "column", role, CAST(row_number() OVER (PARTITION BY role ORDER BY position) AS INTEGER) AS rank FROM roles
+    """
+
+
+@register("q2_column_roles", _q2_sql())
 def q2_roles(spark, sf):
+    """Roles of the orders table. (The oracle encodes the case where metric
+    and target words are present, which holds for orders; the no-metric
+    fallbacks are covered by tests.)"""
     return RO.column_roles(load(spark, sf, "orders"))
 
 
