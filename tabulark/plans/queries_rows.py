@@ -402,7 +402,35 @@ def q18_fp(spark, sf):
     return Q.fingerprint(load(spark, sf, "lineitem"))
 
 
-@register("a5_measure_eligibility")
+def _a5_sql() -> str:
+    """Identifier rule (role id, a name ending in "id", or >= 95% unique, with
+    a number/key/identifier name for numerics) and the op table in SQL."""
+    time_ = " OR ".join(f"contains(name, '{t}')" for t in RO.TIME_TERMS)
+    facts = " UNION ALL ".join(
+        f"SELECT '{c}' AS name, {str(num).lower()} AS is_numeric, count(DISTINCT {c}) AS nunique, count(*) AS n FROM orders"
+        for c, num in _Q2_COLS
+    )
+    ops = ", ".join(f"('{o}')" for o in Q.AGG_OPS)
+    return f"""
+    WITH f AS ({facts}),
+    g AS (SELECT *, regexp_replace(name, '[^a-z0-9]+', '', 'g') AS compact, nunique * 1.0 / greatest(n, 1) AS ratio FROM f),
+    r AS (SELECT name, is_numeric,
+                 (NOT ({time_}) AND (name = 'id' OR suffix(name, '_id') OR suffix(name, ' id') OR suffix(compact, 'id')
+                   OR (is_numeric AND nunique > 0.95 * greatest(n, 1) AND (suffix(compact, 'id') OR compact IN ('id', 'identifier') OR suffix(compact, 'number')))))
+                 OR compact = 'id' OR suffix(compact, 'id')
+                 OR CASE WHEN is_numeric THEN ratio >= 0.95 AND (suffix(compact, 'number') OR suffix(compact, 'key') OR compact = 'identifier')
+                         ELSE ratio >= 0.95 END AS ident
+          FROM g),
+    o AS (SELECT * FROM (VALUES {ops}) t(op))
+    SELECT name AS "column", op,
+           CASE WHEN ident THEN op IN ('count', 'count_distinct') WHEN NOT is_numeric THEN op NOT IN ('sum', 'mean', 'median') ELSE true END AS allowed,
+           CASE WHEN ident AND op NOT IN ('count', 'count_distinct') THEN 'identifier'
+                WHEN NOT ident AND NOT is_numeric AND op IN ('sum', 'mean', 'median') THEN 'not_numeric' ELSE 'ok' END AS reason
+    FROM r, o
+    """
+
+
+@register("a5_measure_eligibility", _a5_sql())
 def a5_elig(spark, sf):
     return Q.measure_eligibility(load(spark, sf, "orders"))
 
