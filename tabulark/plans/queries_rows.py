@@ -120,7 +120,44 @@ def t8_compare(spark, sf):
     return T.compare_to_median(load(spark, sf, "customer"), "c_custkey", 42)
 
 
-@register("t9_entity_columns")
+_T9_COLS = (("c_custkey", True), ("c_name", False), ("c_nationkey", True), ("c_acctbal", True), ("c_mktsegment", False))
+
+
+def _t9_sql() -> str:
+    """Entity columns of the customer table in SQL: identifier rule, display
+    words, dimension rule; distinct counts from the data."""
+    time_ = " OR ".join(f"contains(name, '{t}')" for t in RO.TIME_TERMS)
+    dim = " OR ".join(f"contains(name, '{t}')" for t in RO.DIMENSION_TERMS)
+    disp = " OR ".join(f"list_contains(words, '{t}') OR suffix(name, '{t}')" for t in RO.DISPLAY_TERMS)
+    facts = " UNION ALL ".join(
+        f"SELECT '{c}' AS name, {i} AS position, {str(num).lower()} AS is_numeric, count(DISTINCT {c}) AS nunique, count(*) AS n FROM customer"
+        for i, (c, num) in enumerate(_T9_COLS)
+    )
+    return f"""
+    WITH f AS ({facts}),
+    g AS (SELECT *, regexp_replace(name, '[^a-z0-9]+', '', 'g') AS compact, nunique * 1.0 / greatest(n, 1) AS ratio,
+                 string_split(regexp_replace(name, '[^a-z0-9]+', ' ', 'g'), ' ') AS words FROM f),
+    r AS (SELECT *, ({time_}) AS is_time,
+                 NOT ({time_}) AND (name = 'id' OR suffix(name, '_id') OR suffix(name, ' id') OR suffix(compact, 'id')
+                   OR (is_numeric AND nunique > 0.95 * greatest(n, 1) AND (suffix(compact, 'id') OR compact IN ('id', 'identifier') OR suffix(compact, 'number')))) AS is_id
+          FROM g),
+    r2 AS (SELECT *,
+                  is_id OR compact = 'id' OR suffix(compact, 'id')
+                    OR CASE WHEN is_numeric THEN ratio >= 0.95 AND (suffix(compact, 'number') OR suffix(compact, 'key') OR compact = 'identifier')
+                            ELSE ratio >= 0.95 END AS is_identifier,
+                  NOT is_time AND NOT is_id AND NOT is_numeric AND (({dim}) OR nunique BETWEEN 2 AND 50) AS is_dim,
+                  ({disp}) AS disp_word
+           FROM r),
+    a AS (SELECT count_if(is_id) AS any_id FROM r2),
+    e AS (SELECT r2.*, CASE WHEN any_id > 0 THEN is_id ELSE is_identifier END AS ident FROM r2, a)
+    SELECT 'identifier' AS kind, name AS "column", CAST(row_number() OVER (ORDER BY position) AS INTEGER) AS rank FROM e WHERE ident
+    UNION ALL
+    SELECT 'display', name, CAST(row_number() OVER (ORDER BY CASE WHEN disp_word THEN 0 ELSE 1 END, position) AS INTEGER)
+    FROM e WHERE disp_word OR (is_dim AND NOT ident)
+    """
+
+
+@register("t9_entity_columns", _t9_sql())
 def t9_entity(spark, sf):
     return RO.entity_columns(load(spark, sf, "customer"))
 
