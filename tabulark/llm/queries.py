@@ -6,11 +6,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import END, ROLE, TEXT, format_chats, read_back
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .mixing import mix
+from .packing import pack
 from .quality_rules import judge
+from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,6 +56,53 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+@register("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), ids=False)
+
+
+PROBE = "</s>[INST] ok [/INST]"
+_TURN_CHARS = len(ROLE + TEXT + END)
+
+
+@register(
+    "op8_chat_format",
+    f"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
+         n AS (SELECT *, {_TURN_CHARS} + length(role || text)
+                       + length(regexp_replace(role || text, '[^~<\\[]', '', 'g')) AS chars,
+                      row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS turns FROM c
+               WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+         r AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM n)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(upto) FILTER (role = 'assistant' OR i = turns) AS BIGINT) AS formatted_chars
+    FROM r GROUP BY conv_id
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE).alias("text"),
+    )
+    return read_back(format_chats(chats.unionByName(probe)))
+
+
+#: the contract's rules (fixed values)
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@register("op9_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @register("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
