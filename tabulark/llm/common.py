@@ -7,6 +7,7 @@ bounded by its Arrow batch plus the longest document."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulark.session import cut_lineage
+from tabulark.session import checkpoint_dir, cut_lineage
 
 BLOCK_BYTES = 1 << 20
 #: odd multiplier of the polynomial prefix hash and its inverse modulo 2^64
@@ -30,6 +31,15 @@ def shared(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared folder, for what is
+    too large to keep as checkpointed rows."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def text_or_empty(c: str):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
@@ -132,3 +142,20 @@ def chain(hashes: list[np.ndarray]) -> np.ndarray:
 
 def segment_ids(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
+
+
+#: groups that count as hot are larger than 1 / HOT_GROUPS of all rows, so
+#: there are fewer than HOT_GROUPS of them: a bound for what is broadcast
+HOT_GROUPS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with ``groups`` (materialised; one row per key, with the
+    number of rows of that key in ``size``). Rows of the hot groups, fewer
+    than ``HOT_GROUPS``, meet them by broadcast and stay where they are; only
+    the others are shuffled by key."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    edge = max(100, total // HOT_GROUPS)
+    hot = groups.where(F.col(size) > edge)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) <= edge), keys)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys))

@@ -12,8 +12,10 @@ from .chat import END, ROLE, TEXT, format_chats, read_back
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .mixing import mix
+from .near_dedup import near_groups
 from .packing import pack
 from .quality_rules import judge
+from .suffix_dedup import drop_repeats
 from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +63,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), ids=False)
 
 
+@register("op6_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@register("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeats(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256")
+    )
+
+
 PROBE = "</s>[INST] ok [/INST]"
 _TURN_CHARS = len(ROLE + TEXT + END)
 
