@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .exact_dedup import BLOCK_BITS, _places
 
@@ -71,3 +72,22 @@ def with_maybe(rows: DataFrame, filter_, column: str) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, _maybe boolean")
 
 
+
+
+def meet(rows: DataFrame, per_key: DataFrame, keys: tuple[str, ...] = ("doc_id", "th")) -> tuple[DataFrame, DataFrame]:
+    """``rows`` against ``per_key`` (materialised, one row per key, null keys
+    included): (rows that the filter lets through, with the other columns of
+    ``per_key`` or nulls; all other rows). Only the first kind is shuffled."""
+    hashes = per_key.select(F.xxhash64(*keys).alias("_k"))
+    tested = with_maybe(rows.withColumn("_k", F.xxhash64(*keys)), key_filter(hashes, per_key.count(), "_k"), "_k").drop("_k")
+    t, r = tested.where("_maybe").drop("_maybe").alias("t"), per_key.alias("r")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return t.join(r, same, "left").select("t.*", *[f"r.{c}" for c in per_key.columns if c not in keys]), tested.where("not _maybe").drop("_maybe")
+
+
+def without(rows: DataFrame, keys_gone: DataFrame, keys: tuple[str, ...] = ("doc_id", "th")) -> DataFrame:
+    """``rows`` whose key is not in ``keys_gone`` (materialised, distinct)."""
+    some, none = meet(rows, keys_gone.withColumn("_gone", F.lit(True)), keys)
+    return none.unionByName(some.where("_gone is null").drop("_gone"))

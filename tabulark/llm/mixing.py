@@ -12,7 +12,12 @@ plus one per source) reach the driver."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,7 +88,8 @@ def mix(
     seed: int = 17,
     share: float = 1.0,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
+    """One row per document: doc_id, th (xxhash64 of the text), size,
+    source_size, target, taken.
 
     ``size`` counts words, null text 0. Sources sorted by code point, null
     last, take the weights in turn and share ``share`` of all words; targets
@@ -91,12 +97,13 @@ def mix(
     3 times the size. Rows that repeat are mixed one by one (equal rows get
     neighbouring places on the line); empty tables give an empty result;
     other columns are not read. Reruns agree: order and phase depend on
-    ``seed``, ids and sizes alone."""
+    ``seed``, ids and texts alone."""
     spark = docs.sparkSession
     sized = shared(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("_source"),
+            F.xxhash64(text_or_empty(text_col)).alias("th"),
             F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
         )
     )
@@ -112,8 +119,8 @@ def mix(
     source_row = "_source string, _s int, _shards int, source_size long, target double"
     table = spark.createDataFrame([(x._source, i, shards[i], sizes[i], target[i]) for i, x in enumerate(totals)], source_row)
     placed = sized.join(F.broadcast(table), sized["_source"].eqNullSafe(table["_source"])).drop("_source")
-    placed = placed.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.col("_shards")).cast("int"))
+    placed = placed.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "th"))
+    placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "th"), F.col("_shards")).cast("int"))
     lines = {(x._s, x._shard): int(x.n) for x in placed.groupBy("_s", "_shard").agg(F.sum("size").alias("n")).collect()}
 
     quota: list[tuple[int, int, int, int]] = []
@@ -129,7 +136,7 @@ def mix(
     plan = spark.createDataFrame(quota, "_s int, _shard int, _line long, _quota long")
     placed = placed.join(F.broadcast(plan), ["_s", "_shard"])
 
-    on_line = Window.partitionBy("_s", "_shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    on_line = Window.partitionBy("_s", "_shard").orderBy("_order", "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("size").over(on_line)
     placed = placed.withColumn("_to", end).withColumn("_from", end - F.col("size"))
     # whole passes, then _pick of the line's _n equal stretches from a seeded phase
@@ -152,4 +159,36 @@ def mix(
 
     picked = f"({before('_to')} - {before('_from')})"
     taken = F.expr(f"size * _passes + {picked}").cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("doc_id", "th", "size", "source_size", "target", taken.alias("taken"))
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as often as the mix takes them; a last part of one ends with the
+    last word that is taken."""
+    word = re.compile(WORD)
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        row, out = [], []
+        for i, (t, size, taken) in enumerate(zip(texts, b.column("size").to_pylist(), b.column("taken").to_pylist(), strict=True)):
+            whole, part = divmod(taken, size) if size else (0, 0)
+            row += [i] * (whole + (part > 0))
+            out += [t] * whole
+            if part:
+                out.append(t[: next(islice(word.finditer(t), part - 1, None)).end()])
+        b = b.drop_columns(["size", "taken"]).take(pa.array(row, pa.int64()))
+        yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+
+
+def mixed_documents(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, text and the columns ``keep`` of the mix itself: a document
+    comes as often as :func:`mix` takes it whole, and once more with its
+    leading words where part of it is taken. Rows that agree in id and text
+    share evenly what they take. Texts without words have nothing to give."""
+    taken = mix(docs, **options).groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.expr("sum(taken) div count(1)").alias("taken"))
+    taken = taken.where("taken > 0")
+    text = text_or_empty("text")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"), *keep).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.th") == F.col("m.th"))
+    rows = rows.join(taken.alias("m"), same).select("d.doc_id", "d.text", *[f"d.{c}" for c in keep], "m.size", "m.taken")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    return rows.mapInArrow(_copies, fields)

@@ -26,7 +26,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_distinct_words", "n_letters", "n_chars")
-_SCHEMA = "doc_id {id}, " + ", ".join(f"{c} long" for c in BASE + MORE)
+_SCHEMA = "doc_id {id}, th long, " + ", ".join(f"{c} long" for c in BASE + MORE)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -111,12 +111,14 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, off = buffers(b.column("text"))
         for i, j in blocks(off):
             s = block_statistics(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            cols = [b.column("doc_id").slice(i, j - i)] + [pa.array(s[c].astype(np.int64)) for c in BASE + MORE]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *BASE, *MORE])
+            cols = [b.column("doc_id").slice(i, j - i), b.column("th").slice(i, j - i)]
+            cols += [pa.array(s[c].astype(np.int64)) for c in BASE + MORE]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", *BASE, *MORE])
 
 
 def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     return rows.mapInArrow(_statistics, _SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
@@ -212,7 +214,7 @@ def calibrate(counts: dict[int, tuple[int, int]], most: float = MAX_LOSS) -> flo
 
 
 def judge(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """doc_id, the statistics, base_failed, anomaly, kept: one row per row of
+    """doc_id, th (xxhash64 of the text), the statistics, base_failed, anomaly, kept: one row per row of
     ``docs``, null ids and repeated rows included (each is judged by its text).
 
     A null text has no words, so it fails the base rules. ``labels`` (doc_id,

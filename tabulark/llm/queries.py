@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat import END, ROLE, TEXT, format_chats, read_back
 from .exact_dedup import exact_dedup
 from .language_id import identify
+from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dedup import near_groups
 from .packing import pack
@@ -41,6 +42,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+@register("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @register(
     "op3_exact_dedup",
     """
@@ -55,7 +62,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op4_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("th")
 
 
 @register("op5_packing")
@@ -120,4 +127,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import key_filter, maybe, with_maybe
+from .bloom import key_filter, maybe, meet
 from .common import Spans, _byte_codes, blocks, buffers, join_groups, mix64, shared, shared_table, text_or_empty
 
 LENGTH = 100
@@ -165,11 +165,7 @@ def _with_runs(texts: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]
     not shuffled."""
     per_text = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("r"))
     per_text = shared(per_text.select("doc_id", "th", F.col("r.start").alias("starts"), F.col("r.n").alias("ns")))
-    keys = per_text.select(F.xxhash64("doc_id", "th").alias("_k"))
-    tested = with_maybe(texts.withColumn("_k", F.xxhash64("doc_id", "th")), key_filter(keys, per_text.count(), "_k"), "_k").drop("_k")
-    t, r = tested.where("_maybe").alias("t"), per_text.alias("r")
-    same = F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.th") == F.col("r.th"))
-    return t.join(r, same, "left").select("t.doc_id", "t.th", "t.text", "r.starts", "r.ns"), tested.where("not _maybe").select("doc_id", "text")
+    return meet(texts, per_text)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -206,8 +202,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     some, none = _with_runs(texts, copies.unionByName(later))
     out = f"doc_id {kind}, n_bytes long, n_removed long, spans {_SPANS}, kept_bytes binary"
-    cut = some.where("starts is not null").drop("th").mapInArrow(_cut(length), out)
-    whole = none.unionByName(some.where("starts is null").select("doc_id", "text")).select(
+    cut = some.where("starts is not null").select("doc_id", "text", "starts", "ns").mapInArrow(_cut(length), out)
+    whole = none.select("doc_id", "text").unionByName(some.where("starts is null").select("doc_id", "text")).select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"),
