@@ -27,8 +27,8 @@ def _bits(n_blocks: int):
             block, off = _places(b.column(0).to_numpy(zero_copy_only=False), n_blocks)
             bits = np.unique(np.concatenate([bits, (block * BLOCK_BITS + off).reshape(-1)]))
         blocks = bits // BLOCK_BITS
-        cut = np.flatnonzero(np.diff(blocks, prepend=-1))
-        for i, j in zip(cut, [*cut[1:], len(bits)], strict=True):
+        cut = np.append(np.flatnonzero(np.diff(blocks, prepend=-1)), len(bits))
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
             yield pa.RecordBatch.from_pydict({"block": [int(blocks[i])], "bits": [(bits[i:j] % BLOCK_BITS).astype("<u2").tobytes()]})
 
     return run

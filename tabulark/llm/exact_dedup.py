@@ -47,8 +47,8 @@ def _note_bits(n_blocks: int):
             np.add.at(n, c, np.concatenate([counts, np.ones(len(new), np.int64)]))
             bits, counts = u, np.minimum(n, 2)
         blocks = bits // BLOCK_BITS
-        cut = np.flatnonzero(np.diff(blocks, prepend=-1))
-        for i, j in zip(cut, [*cut[1:], len(bits)], strict=True):
+        cut = np.append(np.flatnonzero(np.diff(blocks, prepend=-1)), len(bits))
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
             o = (bits[i:j] % BLOCK_BITS).astype("<u2")
             c = counts[i:j]
             yield pa.RecordBatch.from_pydict({"block": [int(blocks[i])], "once": [o[c == 1].tobytes()], "twice": [o[c > 1].tobytes()]})
