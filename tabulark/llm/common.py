@@ -45,8 +45,8 @@ def text_or_empty(c: str):
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of an Arrow string column; a null is an empty run."""
-    wide = pa.types.is_large_string(col.type)
+    """(bytes, offsets) of an Arrow string or binary column; a null is an empty run."""
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     _, off, data = col.buffers()
     if off is None or len(col) == 0:
         return np.zeros(0, np.uint8), np.zeros(len(col) + 1, np.int64)
@@ -144,18 +144,10 @@ def segment_ids(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
-#: groups that count as hot are larger than 1 / HOT_GROUPS of all rows, so
-#: there are fewer than HOT_GROUPS of them: a bound for what is broadcast
-HOT_GROUPS = 10_000
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """``rows`` joined with ``groups`` (materialised; one row per key, with the
-    number of rows of that key in ``size``). Rows of the hot groups, fewer
-    than ``HOT_GROUPS``, meet them by broadcast and stay where they are; only
-    the others are shuffled by key."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    edge = max(100, total // HOT_GROUPS)
-    hot = groups.where(F.col(size) > edge)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) <= edge), keys)
-    return rest.unionByName(rows.join(F.broadcast(hot), keys))
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups``, one materialised row per key. Both
+    sides are shuffled for this join alone, so where a key has a large part of
+    all rows Spark's skew handling splits that partition over many tasks and
+    hands each the group's one row; a grouped result joined straight away
+    would keep its partitioning and could not be split."""
+    return rows.join(groups, keys, how)

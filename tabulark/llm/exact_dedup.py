@@ -113,7 +113,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     last = F.struct("doc_id", "_row")
     maybe = tested.where("_maybe")
     groups = maybe.groupBy("text_sha256").agg(F.max(last).alias("_last"), F.count(F.lit(1)).alias("group_size"))
-    grouped = join_groups(maybe, shared(groups), ["text_sha256"], "group_size").select(
+    grouped = join_groups(maybe, shared(groups), ["text_sha256"]).select(
         "doc_id",
         F.col("_last.doc_id").alias("keep_id"),
         "group_size",

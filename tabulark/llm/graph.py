@@ -10,12 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_groups, shared
 
 
+#: signature coordinates whose low bytes make a sketch
+SKETCH = 64
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find inside one partition: a star to the least node for each of
     its components replaces its links."""
@@ -46,31 +50,32 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """``links`` (bigint a, b) to (node, root): every linked node with the
     least node it can reach. Union-find per partition, then large-star and
-    small-star steps over all partitions until nothing changes."""
+    small-star steps over all partitions until only stars are left."""
     edges = shared(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long"))
-    mark = None
-    while True:
+    while not _only_stars(edges):
         # large star: the larger neighbours of a node go to its least neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("_n"))
-        large = join_groups(both, shared(least), ["a"], "_n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = shared(large.where("a <> b").distinct())
+        least = shared(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        large = join_groups(both, least, ["a"]).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its smaller neighbours go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
-        low = join_groups(large, shared(least), ["a"], "_n")
-        small = low.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = shared(small.where("a <> b").distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = now
+        low = large.distinct().withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        to = F.explode(F.array("a", "b"))
+        edges = shared(low.select(to.alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one other, which points nowhere."""
+    ends = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    nodes = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return nodes.where("out > 1 or out = 1 and in = 1").isEmpty()
 
 
 def crowded(keys: DataFrame) -> DataFrame:
     """``keys`` (bigint node, key; distinct) in buckets of two or more, with
     the bucket's least node as ``pivot``."""
-    groups = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return shared(join_groups(keys, shared(groups), ["key"], "_n").select("node", "key", "pivot"))
+    groups = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return shared(join_groups(keys, shared(groups), ["key"]).select("node", "key", "pivot"))
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -78,16 +83,25 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def cross_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
+def cross_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs inside buckets that star pairs leave open: of different
     components, one of them outside the bucket's largest component. With
-    these every pair of a bucket is either verified or already connected."""
+    these every pair of a bucket is either verified or already connected,
+    but for those whose ``sketches`` (node, size of the set, array of
+    signature bytes) rule a similarity of ``percent`` hundredths out: by set
+    sizes for certain, by the share of equal bytes beyond four standard
+    deviations."""
     comp = F.coalesce("root", "node").alias("comp")
     known = shared(members.join(roots, "node", "left").select("node", "key", comp))
     sizes = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("_n")).where("comps > 1")
-    open_ = shared(join_groups(known, shared(top.select("key", F.col("top.comp").alias("main"), "_n")), ["key"], "_n"))
-    few = open_.where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    all_ = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), "main")
-    pairs = few.join(all_, "key").where("ca <> cb and (cb = main or a < b)")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    open_ = join_groups(known, shared(top.select("key", F.col("top.comp").alias("main"))), ["key"])
+    open_ = shared(open_.join(sketches.select("node", "size", "sketch"), "node"))
+    few = open_.where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
+    all_ = open_.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("comp").alias("cb"), "main", F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+    p = percent / 100
+    least = p - 4 * (p * (1 - p) / SKETCH) ** 0.5
+    equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    on = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+    on = on & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (equal >= int(least * SKETCH))
+    return few.join(all_, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

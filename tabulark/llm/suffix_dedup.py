@@ -8,12 +8,11 @@ around it once; the parse says where it occurs.
 
 A passage is a suffix of a dictionary entry, cut at ``length`` bytes. Only the
 order of equal suffixes is wanted (which occurrence comes first), so suffixes
-are ranked by a 64-bit fingerprint of those bytes instead of being compared.
-Combined with the parse this gives the corpus order in two steps: of a
-repeated entry all suffixes repeat, and its first occurrence speaks for it;
-only entries that share a trigger but differ around it, at the ends of a copy
-or near an edit, have their suffixes ranked one by one. Text without repeated
-triggers never leaves its partition."""
+are sorted by a 64-bit fingerprint of those bytes. Combined with the parse this
+gives the corpus order in two steps: of a repeated entry all suffixes repeat
+and its first occurrence speaks for it; only the suffixes of entries that
+share a trigger but differ around it, at the ends of a copy or near an edit,
+are sorted. The bytes of all other text never leave their partition."""
 
 from __future__ import annotations
 
@@ -21,15 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bloom import key_filter, maybe, meet
+from .bloom import meet
 from .common import Spans, _byte_codes, blocks, buffers, join_groups, mix64, shared, shared_table, text_or_empty
 
 LENGTH = 100
 #: bytes that the rolling hash covers, a power of two
 GRAM = 32
+#: triggers with more dictionary entries than this are not sorted in one task
+HOT_ROWS = 20_000
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -76,58 +78,141 @@ def triggers(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return row_of[s], s, count, at[s], h[at[s]]
 
 
-def _scan_hashes(length: int, gram: int):
+def _scan_phrases(length: int, gram: int):
+    """The parse: trigger hash, dictionary entry (a hash of the bytes of all
+    passages of the run), place, number of starts. Of equal entries in one
+    batch only the first goes on to its trigger's group; the others are known
+    to be copies (``known``) and get a key of their own, so a phrase that is
+    everywhere does not fill one partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = buffers(b.column("text"))
+            parts = []
             for i, j in blocks(off):
-                f = triggers(raw[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)[4]
-                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64))], ["f"])
+                r, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+                row, start, count, at, f = triggers(r, o, length, gram)
+                if len(row):
+                    entry = mix64(Spans(r).hash(start, start + count + length - 1) + (at - start).astype(np.uint64) + f)
+                    parts.append((i + row, start - o[row], count, f, entry))
+            if not parts:
+                continue
+            row, start, count, f, entry = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # order of texts in the batch; texts that agree in id and hash are one place
+            ids = pa.table({"doc_id": b.column("doc_id"), "th": b.column("th")})
+            by = pc.sort_indices(ids, sort_keys=[("doc_id", "ascending"), ("th", "ascending")], null_placement="at_start").to_numpy()
+            th, same_id = b.column("th").to_numpy()[by], _equal_to_last(b.column("doc_id").take(pa.array(by)))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.cumsum(~(same_id & np.append(False, th[1:] == th[:-1])))
+            order = np.lexsort((start, rank[row], entry))
+            e, k, s = entry[order], rank[row][order], start[order]
+            head = np.ones(len(e), bool)
+            head[1:] = e[1:] != e[:-1]
+            first = np.maximum.accumulate(np.where(head, np.arange(len(e)), 0))
+            later = (k != k[first]) | (s != s[first])
+            use = order[head | later]
+            known = later[head | later]
+            key = np.where(known, mix64(entry[use] ^ (row[use].astype(np.uint64) << np.uint64(32)) ^ start[use].astype(np.uint64)), f[use])
+            take = pa.array(row[use])
+            cols = [pa.array(key.view(np.int64)), pa.array(entry[use].view(np.int64)), b.column("doc_id").take(take), b.column("th").take(take)]
+            cols += [pa.array(start[use].astype(np.int32)), pa.array(count[use].astype(np.int32)), pa.array(known)]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "entry", "doc_id", "th", "start", "n", "known"])
 
     return run
 
 
-def _scan_entries(filter_, length: int, gram: int):
-    """The parse, where the trigger may repeat: dictionary entry (a hash of the
-    bytes of all passages of the run), trigger hash, place, number of starts."""
+def _equal_to_last(col: pa.Array) -> np.ndarray:
+    """Whether each value equals the one before it (null equals null)."""
+    if len(col) < 2:
+        return np.zeros(len(col), bool)
+    a, b = col.slice(0, len(col) - 1), col.slice(1)
+    both = pc.and_(pc.is_null(a), pc.is_null(b))
+    return np.append(False, np.asarray(pc.or_(pc.fill_null(pc.equal(a, b), False), both)))
+
+
+def _scan_contexts(length: int):
+    """The bytes of all passages of the wanted runs of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            runs = b.column("runs")
+            ends = runs.offsets.to_numpy()
+            flat = runs.flatten()
+            row = pa.array(np.repeat(np.arange(b.num_rows), np.diff(ends)))
             raw, off = buffers(b.column("text"))
-            for i, j in blocks(off):
-                r, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-                row, start, count, at, f = triggers(r, o, length, gram)
-                keep = np.flatnonzero(maybe(filter_, f.view(np.int64))) if len(f) else np.zeros(0, np.int64)
-                if not len(keep):
-                    continue
-                row, start, count, at, f = row[keep], start[keep], count[keep], at[keep], f[keep]
-                entry = mix64(Spans(r).hash(start, start + count + length - 1) + (at - start).astype(np.uint64))
-                take = pa.array(i + row)
-                cols = [b.column("doc_id").take(take), b.column("th").take(take), pa.array(start - o[row]), pa.array(count), pa.array(f.view(np.int64)), pa.array(entry.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "start", "n", "f", "entry"])
+            start, n, f, hot = (flat.field(c) for c in ("start", "n", "f", "hot"))
+            lo = off[np.asarray(row)] + start.to_numpy()
+            hi = lo + n.to_numpy() + length - 1
+            data = raw.tobytes()
+            text = pa.array([data[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+            cols = [f, b.column("doc_id").take(row), b.column("th").take(row), start, n, hot, text]
+            yield pa.RecordBatch.from_arrays(cols, ["f", "doc_id", "th", "start", "n", "hot", "bytes"])
 
     return run
 
 
-def _scan_suffixes(length: int):
-    """Fingerprint of each passage of the wanted runs of a text."""
+def _suffixes(bytes_: pa.Array, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, fingerprint) of each passage of the rows."""
+    raw, off = buffers(bytes_)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place = off[row] + at
+    return row, at, Spans(raw, 5).hash(place, place + length)
+
+
+def _rank_suffixes(length: int):
+    """Rows sorted by trigger and place, to the runs of passages that come
+    earlier in another row of the same trigger."""
+
+    def later(t: pa.Table) -> pa.RecordBatch:
+        f, n = t.column("f").to_numpy().view(np.uint64), t.column("n").to_numpy().astype(np.int64)
+        same = [_equal_to_last(t.column(c).combine_chunks()) for c in ("f", "doc_id", "th", "start")]
+        place = np.cumsum(~(same[0] & same[1] & same[2] & same[3]))
+        row, at, h = _suffixes(t.column("bytes").combine_chunks(), n, length)
+        key = mix64(h + mix64(f)[row])
+        order = np.lexsort((place[row], key))
+        k, p = key[order], place[row][order]
+        head = np.ones(len(k), bool)
+        head[1:] = k[1:] != k[:-1]
+        first = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
+        flag = np.zeros(len(k), bool)
+        flag[order] = p != p[first]
+        opens = flag.copy()
+        opens[1:] &= ~flag[:-1] | (at[1:] == 0)
+        lo = np.flatnonzero(opens)
+        count = np.add.reduceat(flag.astype(np.int32), lo) if len(lo) else np.zeros(0, np.int32)
+        take = pa.array(row[lo])
+        t = t.combine_chunks()
+        start = (t.column("start").to_numpy()[row[lo]] + at[lo]).astype(np.int32)
+        cols = [t.column("doc_id").combine_chunks().take(take), t.column("th").combine_chunks().take(take), pa.array(start), pa.array(count.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
         for b in batches:
-            raw, off = buffers(b.column("text"))
-            ends, starts, counts = b.column("starts").offsets.to_numpy(), b.column("starts").flatten().to_numpy(), b.column("ns").flatten().to_numpy()
-            ends = ends - ends[0]
-            for i, j in blocks(off):
-                s, n = starts[ends[i] : ends[j]], counts[ends[i] : ends[j]]
-                row = np.repeat(np.arange(i, j), np.diff(ends[i : j + 1]))
-                ramp = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                place = np.repeat(s, n) + ramp
-                row = np.repeat(row, n)
-                at = place + (off[row] - off[i])
-                h = Spans(raw[off[i] : off[j]], 5).hash(at, at + length)
-                take = pa.array(row)
-                cols = [b.column("doc_id").take(take), b.column("th").take(take), pa.array(place), pa.array(h.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "start", "h"])
+            t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
+            f = t.column("f").to_numpy()
+            # the last trigger's rows may go on in the next batch
+            cut = int(np.flatnonzero(f[:-1] != f[1:])[-1]) + 1 if len(f) and f[0] != f[-1] else 0
+            if cut:
+                yield later(t.slice(0, cut))
+            left = t.slice(cut)
+        if left is not None and len(left):
+            yield later(left)
+
+    return run
+
+
+def _hash_suffixes(length: int):
+    """Each passage of the rows with its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, at, h = _suffixes(b.column("bytes"), b.column("n").to_numpy().astype(np.int64), length)
+            take = pa.array(row)
+            start = (b.column("start").to_numpy()[row] + at).astype(np.int32)
+            cols = [b.column("doc_id").take(take), b.column("th").take(take), pa.array(start), pa.array(h.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "start", "h"])
 
     return run
 
@@ -159,15 +244,6 @@ def _cut(length: int):
     return run
 
 
-def _with_runs(texts: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts that may have ``runs``, with their starts and counts as arrays or
-    null; texts that have none). The second kind is told apart in place and
-    not shuffled."""
-    per_text = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("r"))
-    per_text = shared(per_text.select("doc_id", "th", F.col("r.start").alias("starts"), F.col("r.n").alias("ns")))
-    return meet(texts, per_text)
-
-
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, end in bytes), kept_bytes.
 
@@ -179,29 +255,33 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     end inside a character. An empty table gives an empty result; other
     columns are not read."""
     text = text_or_empty(text_col)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    counts = texts.select("text").mapInArrow(_scan_hashes(length, gram), "f long").groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    repeated = shared(counts.where("n > 1").select("f"))
-    seen = key_filter(repeated, repeated.count(), "f")
-    schema = f"doc_id {kind}, th long, start long, n long, f long, entry long"
-    parse = shared_table(texts.mapInArrow(_scan_entries(seen, length, gram), schema))
-
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
+    id_ = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, th int"
+    parse = texts.mapInArrow(_scan_phrases(length, gram), f"key long, entry long, {id_}, start int, n int, known boolean").repartition("key")
+    group = Window.partitionBy("key")
+    parse = parse.withColumn("r", F.rank().over(Window.partitionBy("key", "entry").orderBy("doc_id", "th", "start")))
+    parse = parse.withColumns({"lo": F.min("entry").over(group), "hi": F.max("entry").over(group), "g": F.count(F.lit(1)).over(group)})
+    copy = (F.col("known") | (F.col("r") > 1)).alias("copy")
+    found = parse.where("known or r > 1 or lo < hi").select("doc_id", "th", "start", "n", F.col("key").alias("f"), copy, (F.col("g") > HOT_ROWS).alias("hot"))
+    found = shared_table(found)
+    copies = found.where("copy").select("doc_id", "th", "start", "n")
+
+    ends = found.where("not copy").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n", "f", "hot")).alias("runs"))
+    about, _ = meet(texts, shared(ends))
+    contexts = about.where("runs is not null").mapInArrow(_scan_contexts(length), f"f long, {id_}, start int, n int, hot boolean, bytes binary")
+    contexts = shared_table(contexts)
+    cold = contexts.where("not hot").drop("hot").repartition("f").sortWithinPartitions("f", "doc_id", "th", "start")
+    later = cold.mapInArrow(_rank_suffixes(length), f"{id_}, start int, n int")
+    # triggers with very many entries: their suffixes are grouped over all partitions
     place = F.struct("doc_id", "th", "start")
-    entries = shared_table(parse.groupBy("entry").agg(F.min(place).alias("first"), F.min("f").alias("f"), F.min("n").alias("n"), F.count(F.lit(1)).alias("_n")))
-    copies = join_groups(parse.drop("f", "n"), entries.where("_n > 1").select("entry", "first", "n", "_n"), ["entry"], "_n")
-    copies = copies.where(place != F.col("first")).select("doc_id", "th", "start", "n")
-
-    shared_f = shared(entries.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    ends = join_groups(entries.select("f", "first.*", "n"), shared_f, ["f"], "_n").select("doc_id", "th", "start", "n")
-    about = _with_runs(texts, ends)[0].where("starts is not null")
-    suffixes = shared_table(about.mapInArrow(_scan_suffixes(length), f"doc_id {kind}, th long, start long, h long"))
-    firsts = suffixes.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    later = join_groups(suffixes, shared(firsts), ["h"], "_n").where(place != F.col("first"))
-    later = later.select("doc_id", "th", "start", F.lit(1).cast("long").alias("n"))
-
-    some, none = _with_runs(texts, copies.unionByName(later))
-    out = f"doc_id {kind}, n_bytes long, n_removed long, spans {_SPANS}, kept_bytes binary"
+    wide = contexts.where("hot").mapInArrow(_hash_suffixes(length), f"{id_}, start int, h long")
+    firsts = shared(wide.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    more = join_groups(wide, firsts, ["h"]).where(place != F.col("first")).select("doc_id", "th", "start", F.lit(1).alias("n"))
+
+    every = copies.unionByName(later).unionByName(more)
+    per_text = every.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("r"))
+    some, none = meet(texts, shared(per_text.select("doc_id", "th", F.col("r.start").alias("starts"), F.col("r.n").alias("ns"))))
+    out = f"{id_.split(',')[0]}, n_bytes long, n_removed long, spans {_SPANS}, kept_bytes binary"
     cut = some.where("starts is not null").select("doc_id", "text", "starts", "ns").mapInArrow(_cut(length), out)
     whole = none.select("doc_id", "text").unionByName(some.where("starts is null").select("doc_id", "text")).select(
         "doc_id",

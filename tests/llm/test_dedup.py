@@ -8,10 +8,11 @@ import pytest
 
 from tabulark.llm import exact_dedup as ed
 from tabulark.llm import near_dedup as nd
+from tabulark.llm import suffix_dedup as sd
 from tabulark.llm.common import Spans, buffers, mix64, word_spans
 from tabulark.llm.exact_dedup import exact_dedup
 from tabulark.llm.graph import components
-from tabulark.llm.line_dedup import dedup_lines, similar
+from tabulark.llm.line_dedup import dedup_lines, shingle_set as line_set, similar
 from tabulark.llm.near_dedup import near_groups
 from tabulark.llm.suffix_dedup import drop_repeats
 
@@ -158,6 +159,13 @@ def test_drop_repeats(spark, length, gram):
     assert got == brute_repeats(texts, length)
 
 
+def test_drop_repeats_with_hot_triggers(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT_ROWS", 1)
+    texts = hostile_texts()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], [tuple(s) for s in r["spans"]], bytes(r["kept_bytes"])) for r in rows_of(drop_repeats(documents(spark, texts)))}
+    assert got == brute_repeats(texts, 100)
+
+
 def test_dedup_lines(spark):
     texts = hostile_texts()
     where = collections.defaultdict(list)
@@ -168,7 +176,7 @@ def test_dedup_lines(spark):
     g, names = Groups(), list(where)
     for a in range(len(names)):
         for b in range(a + 1, len(names)):
-            if similar(names[a], names[b], 6, 80):
+            if similar(line_set(names[a], 6), line_set(names[b], 6), 80):
                 g.join(a, b)
     parts = collections.defaultdict(list)
     for a, x in enumerate(names):
