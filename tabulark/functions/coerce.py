@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import dtype_of, is_numeric, q, value
+
 # The accepted date/time layouts for mixed-format text dates, tried
 # in this order (first match wins).
 DATE_FORMATS = (
@@ -39,9 +41,27 @@ NA_TOKENS = (
 )
 
 
+# The characters Python's str.split() treats as whitespace, as a
+# regex class (works in Java regex and RE2).
+PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip(c: Column) -> Column:
+    """Text without white space at either end."""
+    return F.regexp_replace(c, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
+
+
 def to_number(c: Column) -> Column:
-    """try_cast(trim(string) as double); bad text -> null."""
-    return F.trim(c.cast("string")).try_cast("double")
+    """F6 for text: try_cast(trim(string) as double); bad text and text that
+    reads as NaN -> null."""
+    x = F.trim(c.cast("string")).try_cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def number(df: DataFrame, name: str) -> Column:
+    """F6 for any column as double: a numeric column is cast, never rendered
+    as text; NaN is missing."""
+    return value(df, name).cast("double") if is_numeric(dtype_of(df, name)) else to_number(q(name))
 
 
 def to_timestamp_mixed(c: Column, formats=DATE_FORMATS) -> Column:
@@ -50,11 +70,6 @@ def to_timestamp_mixed(c: Column, formats=DATE_FORMATS) -> Column:
     return F.when(s.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]))
 
 
-def to_boolean_token(c: Column) -> Column:
-    s = F.lower(F.trim(c.cast("string")))
-    return F.when(s.isin(*TRUE_TOKENS), F.lit(True)).when(s.isin(*FALSE_TOKENS), F.lit(False))
-
-
 def is_blank(c: Column) -> Column:
-    """Missing for validation: null or empty after trim."""
-    return c.isNull() | (F.trim(c.cast("string")) == "")
+    """Missing for validation: null, or nothing but white space."""
+    return c.isNull() | (strip(c.cast("string")) == "")

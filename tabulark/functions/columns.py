@@ -59,10 +59,6 @@ def scalar_columns(df: DataFrame) -> list[str]:
     ]
 
 
-def type_name(dt: T.DataType) -> str:
-    return dt.simpleString()
-
-
 def _squash(name: str) -> str:
     return re.sub(r"[\s_]+", "", name.lower())
 
@@ -81,17 +77,19 @@ def resolve(df: DataFrame, name: str) -> str:
     raise KeyError(f"unknown column {name!r}; have {cols}")
 
 
+def value(df: DataFrame, name: str) -> Column:
+    """The column with NaN, a value in Spark, as null: missing."""
+    c = q(name)
+    return F.when(~F.isnan(c), c) if isinstance(dtype_of(df, name), (T.FloatType, T.DoubleType)) else c
+
+
+def present(df: DataFrame, name: str) -> Column:
+    """Whether the column holds a value: neither null nor NaN."""
+    c = q(name)
+    floating = isinstance(dtype_of(df, name), (T.FloatType, T.DoubleType))
+    return c.isNotNull() & ~F.isnan(c) if floating else c.isNotNull()
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN is a value in Spark but 'missing' in the reference: make it null."""
-    out = []
-    for f in df.schema.fields:
-        c = q(f.name)
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = F.when(F.isnan(c), F.lit(None).cast(f.dataType)).otherwise(c)
-        out.append(c.alias(f.name))
-    return df.select(*out)
-
-
-def as_text(name: str) -> Column:
-    """String form of any scalar column (for value tables and searches)."""
-    return q(name).cast("string")
+    """NaN made null in every floating column."""
+    return df.select(*[value(df, c).alias(c) for c in df.columns])

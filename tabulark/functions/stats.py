@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def pair_mask(a: Column, b: Column) -> tuple[Column, Column]:
-    """Pairwise-complete rows: both values present."""
-    both = a.isNotNull() & b.isNotNull()
+    """Pairwise-complete rows: both values (doubles) present, NaN is missing."""
+    both = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
     return F.when(both, a), F.when(both, b)
 
 

@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, q, resolve, string_columns
-from ..functions.coerce import to_number, to_timestamp_mixed
+from ..functions.columns import numeric_columns, q, resolve, string_columns, value
+from ..functions.coerce import number, to_timestamp_mixed
 from ..functions.ordering import exact_quantiles, join_null_safe, long_values, quantile_wide, top_k_per_group
 from ..functions.stats import safe_div
 from .filters import apply_filters
@@ -48,7 +48,7 @@ def group_agg(
     dim = resolve(base, dim)
     if dropna:
         base = base.where(q(dim).isNotNull())
-    c = q(resolve(base, col)) if col else None
+    c = value(base, resolve(base, col)) if col else None
     if op in ("count_distinct", "sum", "mean", "median", "min", "max") and c is None:
         op = "count"
     g = base.groupBy(q(dim))
@@ -82,7 +82,7 @@ def scalar_agg(df: DataFrame, op: str, col: str, filters: Sequence = (), label:
     base = apply_filters(df, filters) if filters else df
     col = resolve(base, col)
     label = label or col
-    x = q(col)
+    x = value(base, col)
     if op in ("count", "row_count"):
         e = F.count(F.lit(1))
     elif op in ("count_distinct", "nunique"):
@@ -115,7 +115,7 @@ def shape(df: DataFrame) -> DataFrame:
 def group_top(df: DataFrame, dim: str, col: str, agg: str = "sum", n: int = 15, label: str = "value") -> DataFrame:
     """Total or average of ``col`` by ``dim`` (null groups dropped), top ``n``."""
     dim, col = resolve(df, dim), resolve(df, col)
-    x = to_number(q(col))
+    x = number(df, col)
     e = F.avg(x) if agg in ("mean", "avg", "average") else F.coalesce(F.sum(x), F.lit(0.0))
     out = df.where(q(dim).isNotNull()).groupBy(q(dim)).agg(F.round(e, 4).alias(label))
     return out.orderBy(F.col(label).desc_nulls_last(), q(dim).asc()).limit(n)
@@ -150,8 +150,8 @@ def share_of_total(df: DataFrame, dim: str, col: str, digits: int = 2) -> DataFr
     """Each category's total and its % of the grand total (null groups dropped)."""
     dim, col = resolve(df, dim), resolve(df, col)
     base = df.where(q(dim).isNotNull())
-    g = base.groupBy(q(dim)).agg(F.coalesce(F.sum(to_number(q(col))), F.lit(0.0)).alias("total"))
-    grand = base.agg(F.sum(to_number(q(col))).alias("t")).scalar()
+    g = base.groupBy(q(dim)).agg(F.coalesce(F.sum(number(df, col)), F.lit(0.0)).alias("total"))
+    grand = base.agg(F.sum(number(df, col)).alias("t")).scalar()
     return g.select(
         q(dim), F.round("total", digits).alias("total"), F.round(safe_div(F.col("total") * 100.0, grand), digits).alias("share_pct")
     ).orderBy(F.col("total").desc(), q(dim))
@@ -161,7 +161,7 @@ def segment_driver(df: DataFrame, dim: str, metric: str, top: int = 5, digits: i
     """Leader / laggard / gap / leader share / top segments. One row; no
     row when fewer than two groups. Ties broken by the dimension value."""
     dim, metric = resolve(df, dim), resolve(df, metric)
-    x = to_number(q(metric))
+    x = number(df, metric)
     g = (
         df.select(q(dim).cast("string").alias("label"), x.alias("m"))
         .where(F.col("label").isNotNull() & F.col("m").isNotNull())
@@ -217,7 +217,7 @@ def breakdowns(df: DataFrame, metric: str, dims: Sequence[str] | None = None, to
     if not dims:
         raise ValueError("no categorical columns")
     pairs = ", ".join(f"'{d}', cast(`{d}` as string)" for d in dims)
-    long = df.select(to_number(q(metric)).alias("m"), *[q(d) for d in dims]).select(
+    long = df.select(number(df, metric).alias("m"), *[q(d) for d in dims]).select(
         "m", F.expr(f"stack({len(dims)}, {pairs}) as (dimension, label)")
     )
     g = long.where(F.col("label").isNotNull() & F.col("m").isNotNull()).groupBy("dimension", "label").agg(
@@ -309,7 +309,7 @@ def crosstab(df: DataFrame, a: str, b: str, value: str | None = None, agg: str =
     if value is None or agg == "count":
         e = F.count(F.lit(1))
     else:
-        v = to_number(q(resolve(df, value)))
+        v = number(df, resolve(df, value))
         e = {"sum": F.sum(v), "mean": F.avg(v), "min": F.min(v), "max": F.max(v)}[agg]
     if not wide:
         return df.groupBy(q(a), q(b)).agg(e.alias("value"))
@@ -323,9 +323,10 @@ def histogram(df: DataFrame, col: str, bins: int = 10, by: str | None = None) ->
     """Equal-width bins between the column's min and max (last bin closed).
 
     Edges come from scalar subqueries, so this is a single aggregation plan.
-    Only non-empty bins are emitted."""
+    Bins without rows are emitted with a count of 0 (for each group); a
+    constant column has one bin."""
     col = resolve(df, col)
-    x = to_number(q(col))
+    x = number(df, col)
     base = df.select(*([q(resolve(df, by)).alias("group")] if by else []), x.alias("x")).where(F.col("x").isNotNull())
     lo = base.agg(F.min("x")).scalar()
     hi = base.agg(F.max("x")).scalar()
@@ -333,6 +334,11 @@ def histogram(df: DataFrame, col: str, bins: int = 10, by: str | None = None) ->
     b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((F.col("x") - lo) / width).cast("int"), F.lit(bins - 1)))
     keys = (["group"] if by else []) + ["bin"]
     g = base.withColumn("bin", b).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    # one more row per bin and group, with a count of 0
+    every = F.explode(F.when(hi == lo, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(bins - 1))))
+    empty = g.select(*keys[:-1]).distinct() if by else base.agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    empty = empty.select(*keys[:-1], every.alias("bin"), F.lit(0).cast("long").alias("count"))
+    g = g.unionByName(empty).groupBy(*keys).agg(F.sum("count").alias("count"))
     return g.select(
         *keys,
         (lo + F.col("bin") * width).alias("lower"),
@@ -346,7 +352,7 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, digits: int = 4) -
     and outlier count, per group."""
     col = resolve(df, col)
     by_l = [resolve(df, by)] if by else []
-    base = df.select(*[q(b) for b in by_l], to_number(q(col)).alias("x")).where(F.col("x").isNotNull())
+    base = df.select(*[q(b) for b in by_l], number(df, col).alias("x")).where(F.col("x").isNotNull())
     qs = quantile_wide(base, ["x"], [0.25, 0.5, 0.75], by=by_l, names=["q1", "median", "q3"]).drop("column")
     if by_l:
         j = join_null_safe(base, qs, by_l)
@@ -378,7 +384,7 @@ def mean_difference_test(df: DataFrame, dim: str, col: str, digits: int = 4) ->
     Group n/mean/variance are one distributed aggregate; the statistic is an
     aggregate over that grouped frame. p-values are not computed."""
     dim, col = resolve(df, dim), resolve(df, col)
-    x = to_number(q(col))
+    x = number(df, col)
     g = (
         df.select(q(dim).alias("g"), x.alias("x"))
         .where(F.col("g").isNotNull() & F.col("x").isNotNull())
@@ -386,20 +392,20 @@ def mean_difference_test(df: DataFrame, dim: str, col: str, digits: int = 4) ->
         .agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v"))
         .where(F.col("n") >= 2)
     )
+    # deviations from the grand mean, not sums of squares: no cancellation far from 0
+    grand = g.agg(F.sum(F.col("n") * F.col("m")) / F.sum("n")).scalar()
     s = g.agg(
+        F.sum(F.col("n") * (F.col("m") - grand) * (F.col("m") - grand)).alias("ssb"),
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("N"),
-        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"),
-        F.sum(F.col("n") * F.col("m") * F.col("m")).alias("snm2"),
         F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"),
         F.min_by(F.struct("n", "m", "v"), F.col("g")).alias("a"),
         F.max_by(F.struct("n", "m", "v"), F.col("g")).alias("b"),
     )
-    ssb = F.col("snm2") - F.col("N") * F.col("grand") * F.col("grand")
     va, vb = F.col("a.v") / F.col("a.n"), F.col("b.v") / F.col("b.n")
     welch_t = safe_div(F.col("a.m") - F.col("b.m"), F.sqrt(va + vb))
     welch_df = safe_div((va + vb) * (va + vb), va * va / (F.col("a.n") - 1) + vb * vb / (F.col("b.n") - 1))
-    anova_f = safe_div(ssb / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k")))
+    anova_f = safe_div(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k")))
     two = F.col("k") == 2
     return s.where(F.col("k") >= 2).select(
         F.when(two, F.lit("welch_t")).otherwise(F.lit("anova_f")).alias("test"),
@@ -428,7 +434,7 @@ def period_totals(df: DataFrame, date: str, metric: str, grain: str = "month", d
     """Total of ``metric`` per period (day/week/month/quarter/year)."""
     date, metric = resolve(df, date), resolve(df, metric)
     ts = to_timestamp_mixed(q(date)) if not _is_ts(df, date) else q(date).cast("timestamp")
-    base = df.select(period_col(ts, grain).alias("period"), to_number(q(metric)).alias("m")).where(
+    base = df.select(period_col(ts, grain).alias("period"), number(df, metric).alias("m")).where(
         F.col("period").isNotNull() & F.col("m").isNotNull()
     )
     return base.groupBy("period").agg(F.round(F.sum("m"), digits).alias("total"), F.count(F.lit(1)).alias("rows"))

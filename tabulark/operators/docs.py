@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.coerce import PY_SPACE
 from ..functions.columns import q
 from ..functions.ordering import top_k_per_group
 
-# The characters Python's str.split() treats as whitespace, as a
-# regex class (works in Java regex and RE2).
-PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Token rule of the hashed bag-of-words (two or more word characters).
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 EMBED_DIM = 768

@@ -5,14 +5,18 @@ columns reach the scan as pushed filters."""
 
 from __future__ import annotations
 
+import operator
 import re
+import uuid
 from collections.abc import Mapping, Sequence
+from decimal import ROUND_FLOOR, Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import is_numeric, is_string, q, resolve, scalar_columns
-from ..functions.coerce import to_number, to_timestamp_mixed
+from ..functions.columns import is_integral, is_numeric, is_string, present, q, resolve, scalar_columns
+from ..functions.coerce import number, to_number, to_timestamp_mixed
 
 FILTER_OPS = ("==", "!=", ">", "<", ">=", "<=", "contains", "in")
 
@@ -28,6 +32,41 @@ def _literal_matches(dt, value) -> bool:
     return True
 
 
+COMPARE = {"==": operator.eq, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
+
+
+def numeric_condition(c: Column, dt, op: str, value) -> Column:
+    """``c op value`` with a literal of the column's own type, so that the
+    column is not cast and the comparison is pushed to the scan. A value that
+    is no number raises ValueError for an ordering and matches nothing for
+    ``==``; NaN in the column matches nothing."""
+    try:
+        v = Decimal(str(value).strip())
+    except ArithmeticError:
+        v = None
+    if v is None or not v.is_finite():
+        if op == "==":
+            return F.lit(False)
+        return COMPARE[op](c.cast("double"), F.lit(float(value))) & ~F.isnan(c.cast("double"))
+    if is_integral(dt):
+        # between two integers: compare with the one on the side that decides
+        whole = v.to_integral_value(ROUND_FLOOR)
+        if v != whole:
+            if op == "==":
+                return F.lit(False)
+            op = {">": ">", ">=": ">", "<": "<=", "<=": "<="}[op]
+        bound = 2 ** (8 * {"byte": 1, "short": 2, "integer": 4, "long": 8}[dt.typeName()] - 1)
+        if not -bound <= whole < bound:
+            high = whole >= bound
+            return c.isNotNull() if (op in ("<", "<=")) == high and op != "==" else F.lit(False)
+        return COMPARE[op](c, F.lit(int(whole)).cast(dt))
+    if isinstance(dt, T.DecimalType):
+        return COMPARE[op](c, F.lit(v))
+    hit = COMPARE[op](c, F.lit(float(v)))
+    # NaN sorts above every number
+    return hit & ~F.isnan(c) if op in (">", ">=") else hit
+
+
 def filter_condition(df: DataFrame, col: str, op: str, value, regex: bool = False) -> Column:
     """One F1 predicate as a Column. Raises KeyError / ValueError when invalid."""
     name = resolve(df, col)
@@ -41,9 +80,9 @@ def filter_condition(df: DataFrame, col: str, op: str, value, regex: bool = Fals
         # pandas keeps missing values for "!=": null-safe negation
         return ~c.eqNullSafe(F.lit(value)) if _literal_matches(dt, value) else F.lit(True)
     if op in (">", "<", ">=", "<="):
-        v = float(value)
-        x = to_number(c) if not is_numeric(dt) else c.cast("double")
-        return {">": x > v, "<": x < v, ">=": x >= v, "<=": x <= v}[op]
+        if is_numeric(dt):
+            return numeric_condition(c, dt, op, value)
+        return COMPARE[op](to_number(c), F.lit(float(value)))
     if op == "contains":
         s = c.cast("string")
         if regex:
@@ -85,7 +124,7 @@ def support(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
     cols = [resolve(df, c) for c in cols]
     complete = F.lit(True)
     for c in cols:
-        complete = complete & q(c).isNotNull()
+        complete = complete & present(df, c)
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(complete).alias("complete_rows")).select(
         "rows",
         "complete_rows",
@@ -114,7 +153,7 @@ def search_rows(df: DataFrame, text: str, cols: Sequence[str] | None = None) ->
 def coerce_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """F6 over columns: bad values become null."""
     names = {resolve(df, c) for c in cols}
-    return df.select(*[to_number(q(c)).alias(c) if c in names else q(c) for c in df.columns])
+    return df.select(*[number(df, c).alias(c) if c in names else q(c) for c in df.columns])
 
 
 def coerce_dates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -127,44 +166,44 @@ def above_average(df: DataFrame, col: str) -> DataFrame:
     """F8: rows whose value is above the column's own mean (mean as a scalar
     subquery: computed once, no cross join)."""
     col = resolve(df, col)
-    mean = df.agg(F.avg(to_number(q(col)))).scalar()
-    return df.where(to_number(q(col)) > mean)
-
-
-# Statement words refused by the read-only SQL guard.
-WRITE_WORDS = (
-    "insert", "update", "delete", "drop", "alter", "create", "truncate", "merge",
-    "grant", "revoke", "attach", "detach", "pragma", "vacuum", "copy", "load",
-    "set", "reset", "use", "cache", "uncache", "refresh", "msck", "add",
-)
-
-
-def _strip_literals(sql: str) -> str:
-    return re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`", " ", sql)
-
-
-def check_read_only(sql: str) -> str:
-    """F9 guard: one SELECT/WITH statement, no write or session words.
-
-    Unlike the reference this looks at words outside string literals and
-    quoted names, so ``replace()`` and a column called ``update_ts`` are fine."""
-    s = sql.strip().rstrip(";").strip()
-    bare = _strip_literals(s)
-    if ";" in bare:
-        raise ValueError("only one statement is allowed")
-    bare_l = re.sub(r"--[^\n]*|/\*.*?\*/", " ", bare, flags=re.S).lower()
-    head = bare_l.strip().split(None, 1)[0] if bare_l.strip() else ""
-    if head not in ("select", "with"):
+    mean = df.agg(F.avg(number(df, col))).scalar()
+    return df.where(number(df, col) > mean)
+
+
+def check_read_only(spark: SparkSession, sql: str, tables: Sequence[str] = ("data",)) -> str:
+    """F9 guard: one query, no command or insert, that reads ``tables``, its
+    own WITH names and nothing else: no files, catalog tables or other views.
+    Spark's own parser decides, so words in names and texts do not matter."""
+    text = sql.strip().rstrip(";").strip()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:
+        raise ValueError(f"not one SELECT or WITH query: {e}") from e
+    tree = plan.toString()
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    if command.isInstance(plan) or re.search(r"^[ :+-]*'?(InsertIntoStatement|DeleteFromTable|UpdateTable|MergeIntoTable)\b", tree, re.M):
         raise ValueError("only SELECT or WITH queries are allowed")
-    for w in WRITE_WORDS:
-        if re.search(rf"\b{w}\b", bare_l):
-            raise ValueError(f"statement word {w!r} is not allowed")
-    return s
+    allowed = {t.lower() for t in tables}
+    for names in re.findall(r"^[ :+-]*CTE \[(.*)\]$", tree, re.M):
+        allowed |= {x.strip().lower() for x in names.split(",")}
+    for found in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
+        if found.strip().lower() not in allowed:
+            raise ValueError(f"relation {found!r} is not allowed")
+    return text
 
 
 def sql_select(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """read-only SQL over named DataFrames (``data`` by convention)."""
-    s = check_read_only(sql)
-    for name, frame in tables.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(s)
+    """one read-only statement over the given DataFrames and nothing else.
+
+    The frames are bound under names of their own, so views of the caller are
+    neither read nor replaced, and those names are dropped again."""
+    text = check_read_only(spark, sql, list(tables))
+    views = {t: f"_t{uuid.uuid4().hex}" for t in tables}
+    for t, view in views.items():
+        tables[t].createOrReplaceTempView(view)
+    try:
+        bound = ", ".join(f"`{t}` AS (SELECT * FROM {view})" for t, view in views.items())
+        return spark.sql(f"WITH {bound} SELECT * FROM (\n{text}\n)" if bound else text)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)

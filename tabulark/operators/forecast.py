@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import q, resolve
-from ..functions.coerce import to_number
+from ..functions.coerce import number
 from ..functions.ordering import join_null_safe
 from .windows import as_timestamp, resample, resolve_freq
 
@@ -31,7 +31,7 @@ def _shift(period: Column, freq: str, h: Column) -> Column:
 
 def _eligible(df: DataFrame, date: str, value: str, keys: Sequence[str], min_rows: int) -> DataFrame:
     kc = [q(k) for k in keys]
-    base = df.select(*kc, as_timestamp(df, date).alias("t"), to_number(q(value)).alias("y")).where(
+    base = df.select(*kc, as_timestamp(df, date).alias("t"), number(df, value).alias("y")).where(
         F.col("t").isNotNull() & F.col("y").isNotNull()
     )
     return base.groupBy(*kc).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_rows).drop("_rows")

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, q
+from ..functions.columns import numeric_columns, q, value
+from ..session import cut_lineage
 from . import aggregate as A
 from . import relate as R
 from . import windows as W
-from .quality import profile, quality_facts, quality_issues, quality_score
+from .quality import issue_list, profile, quality_facts, quality_issues, quality_score
 from .roles import column_roles
 
 
@@ -35,11 +36,12 @@ def pick_columns(df: DataFrame, facts: dict | None = None) -> dict:
 
 def readiness(df: DataFrame) -> DataFrame:
     """Q20: Q5 score - 20 (no metric) - 10 (no dimension) - 10 (< 30 rows)
-    - 10 (needs attention), clamped 0-100; ready >= 85, caution >= 65; risk flags."""
+    - 10 (needs attention), clamped 0-100; ready >= 85, caution >= 65; risk
+    flags, among them a missing time field, which costs nothing."""
     facts = quality_facts(df)
     cols = pick_columns(df, facts)
     qs = quality_score(df, facts)
-    n = df.agg(F.count(F.lit(1))).scalar()
+    n = facts["prof"].select("rows").scalar()
     no_metric, no_dim = cols["metric"] is None, cols["dimension"] is None
     pen = F.lit(20 if no_metric else 0) + F.lit(10 if no_dim else 0) + F.when(n < 30, 10).otherwise(0) + F.when(
         F.col("status") == "needs_attention", 10
@@ -49,6 +51,7 @@ def readiness(df: DataFrame) -> DataFrame:
         F.array(
             F.when(F.lit(no_metric), F.lit("no_metric")),
             F.when(F.lit(no_dim), F.lit("no_dimension")),
+            F.when(F.lit(cols["time"] is None), F.lit("no_time_field")),
             F.when(n < 30, F.lit("small_sample")),
             F.when(F.col("status") == "needs_attention", F.lit("quality_needs_attention")),
         )
@@ -77,7 +80,7 @@ def kpis(df: DataFrame, metric: str | None = None, digits: int = 2) -> DataFrame
 def dashboard_series(df: DataFrame, metric: str | None = None, dim: str | None = None, date: str | None = None) -> dict[str, DataFrame]:
     """Q22: the series behind a dashboard: trend by month, segment totals (top
     15), segment counts (top 10), histogram of the metric, metric pair."""
-    cols = pick_columns(df)
+    cols = {"metrics": numeric_columns(df)} if metric and dim and date else pick_columns(df)
     metric, dim, date = metric or cols["metric"], dim or cols["dimension"], date or cols["time"]
     out: dict[str, DataFrame] = {}
     if metric and date:
@@ -94,32 +97,44 @@ def dashboard_series(df: DataFrame, metric: str | None = None, dim: str | None =
     return out
 
 
-def insights(df: DataFrame, metric: str | None = None, dim: str | None = None, limit: int = 6) -> DataFrame:
+def insights(df: DataFrame, metric: str | None = None, dim: str | None = None, limit: int | None = None) -> DataFrame:
     """Q23: insight rows ``(kind, subject, value, detail)`` with evidence
-    numbers: kpi, segment leader share, quality score, strongest relationship
-    (|r| >= 0.3), IQR anomalies; at most ``limit``."""
-    facts = quality_facts(df)
-    cols = pick_columns(df, facts)
-    metric, dim = metric or cols["metric"], dim or cols["dimension"]
-    parts = []
+    numbers: profile (rows), kpi (total, mean), segment leader share, quality
+    (missing cells, duplicate rows), strongest relationship (|r| >= 0.3), IQR
+    anomalies (from 8 values on). ``limit`` cuts the list."""
+    miss = cut_lineage(A.missing_report(df))
+    prof = cut_lineage(profile(df, miss))
+    if metric is None or dim is None:
+        cols = pick_columns(df)
+        metric, dim = metric or cols["metric"], dim or cols["dimension"]
+    fact = lambda name, c: F.concat(F.lit(name + "="), c.cast("string"))
+    parts = [
+        prof.select(
+            F.lit(0).alias("o"), F.lit("profile").alias("kind"), F.lit("rows").alias("subject"), F.col("rows").cast("double").alias("value"),
+            F.concat_ws(" ", fact("columns", F.col("columns")), fact("numeric", F.col("numeric_features"))).alias("detail"),
+        )
+    ]
     if metric:
-        parts.append(df.agg(F.sum(q(metric).cast("double")).alias("v")).select(F.lit(1).alias("o"), F.lit("kpi").alias("kind"), F.lit(metric).alias("subject"), F.round("v", 2).alias("value"), F.lit("total").alias("detail")))
+        x = value(df, metric).cast("double")
+        total = df.agg(F.round(F.sum(x), 2).alias("v"), F.round(F.avg(x), 2).alias("m"))
+        parts.append(total.select(F.lit(1), F.lit("kpi"), F.lit(metric), "v", fact("mean", F.col("m"))))
     if metric and dim:
         sd = A.segment_driver(df, dim, metric)
         parts.append(sd.select(F.lit(2), F.lit("segment"), F.col("leader"), F.col("leader_share_pct"), F.lit("leader_share_pct")))
-    qs = quality_score(df, facts)
-    parts.append(qs.select(F.lit(3), F.lit("quality"), F.lit("health_score"), F.col("score").cast("double"), F.col("status")))
+    parts.append(prof.select(F.lit(3), F.lit("quality"), F.lit("missing_cells"), F.col("missing_total").cast("double"), fact("duplicate_rows", F.col("duplicate_rows"))))
     nums = numeric_columns(df)
     if len(nums) >= 2:
         tc = R.top_correlations(df, k=1, min_abs=0.3, cols=nums)
         parts.append(tc.select(F.lit(4), F.lit("relationship"), F.concat_ws(" ~ ", "left", "right"), F.col("corr"), F.col("strength")))
     if metric:
-        io = W.iqr_outliers(df, [metric]).where(F.col("outliers") > 0)
+        enough = df.agg(F.count(value(df, metric))).scalar() >= 8
+        io = W.iqr_outliers(df, [metric]).where((F.col("outliers") > 0) & enough)
         parts.append(io.select(F.lit(5), F.lit("anomaly"), F.col("column"), F.col("outliers").cast("double"), F.lit("iqr_outliers")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.orderBy("o").limit(limit).drop("o")
+    out = out.orderBy("o")
+    return (out.limit(limit) if limit else out).drop("o")
 
 
 def investigate(df: DataFrame, metric: str | None = None, dim: str | None = None, date: str | None = None) -> DataFrame:
@@ -127,8 +142,9 @@ def investigate(df: DataFrame, metric: str | None = None, dim: str | None = None
     strongest pair, leading quality issue. ``(step, name, status, facts)``
     where facts is a string map."""
     facts = quality_facts(df)
-    cols = pick_columns(df, facts)
-    metric, dim, date = metric or cols["metric"], dim or cols["dimension"], date or cols["time"]
+    if not (metric and dim and date):
+        cols = pick_columns(df, facts)
+        metric, dim, date = metric or cols["metric"], dim or cols["dimension"], date or cols["time"]
     steps = []
     str_map = lambda fr: F.map_from_arrays(F.array(*[F.lit(c) for c in fr.columns]), F.array(*[F.col(c).cast("string") for c in fr.columns]))
     if metric and date:
@@ -155,9 +171,10 @@ def investigate(df: DataFrame, metric: str | None = None, dim: str | None = None
 def story_facts(df: DataFrame, metric: str | None = None, dims=None) -> dict[str, DataFrame]:
     """Q25: profile, primary metric total/mean, 3 dimensions x top 5, and the
     3 strongest pairs."""
-    cols = pick_columns(df)
-    metric = metric or cols["metric"]
-    dims = list(dims or cols["dimensions"][:3])
+    if not (metric and dims):
+        cols = pick_columns(df)
+        metric, dims = metric or cols["metric"], dims or cols["dimensions"][:3]
+    dims = list(dims)
     out = {"profile": profile(df)}
     if metric:
         out["metric"] = df.agg(F.round(F.sum(q(metric).cast("double")), 2).alias("total"), F.round(F.avg(q(metric).cast("double")), 2).alias("mean"))
@@ -170,24 +187,30 @@ def story_facts(df: DataFrame, metric: str | None = None, dims=None) -> dict[str
 
 
 def decision_triggers(df: DataFrame, metric: str | None = None, dim: str | None = None, date: str | None = None) -> DataFrame:
-    """Q26: triggers ``(trigger, level, value)``: leader share >= 40% (high);
-    trend |change| >= 5% (a drop > 10% is high); quality warnings; model
-    readiness (>= 50 rows and >= 2 numeric columns)."""
+    """Q26: triggers ``(trigger, level, subject, value)``: the leader's share
+    from two groups on (high from 40%, else medium); trend |change| >= 5% (a
+    drop > 10% is high); one high row for each warning among the first two
+    quality issues; model readiness (a metric, >= 50 rows, >= 2 numeric
+    columns; medium)."""
     facts = quality_facts(df)
-    cols = pick_columns(df, facts)
-    metric, dim, date = metric or cols["metric"], dim or cols["dimension"], date or cols["time"]
+    if metric is None or dim is None or date is None:
+        cols = pick_columns(df, facts)
+        metric, dim, date = metric or cols["metric"], dim or cols["dimension"], date or cols["time"]
     parts = []
     if metric and dim:
         s = A.segment_driver(df, dim, metric)
-        parts.append(s.where(F.col("leader_share_pct") >= 40).select(F.lit("concentration").alias("trigger"), F.lit("high").alias("level"), F.col("leader_share_pct").cast("double").alias("value")))
+        groups = df.where(q(dim).isNotNull()).agg(F.count_distinct(q(dim))).scalar()
+        share = F.col("leader_share_pct").cast("double")
+        level = F.when(share >= 40, "high").otherwise("medium")
+        parts.append(s.where(groups >= 2).select(F.lit("concentration").alias("trigger"), level.alias("level"), F.col("leader").alias("subject"), share.alias("value")))
     if metric and date:
         t = W.trend(df, date, metric).where((F.col("periods") >= 3) & (F.abs("pct_change") >= 5))
-        parts.append(t.select(F.lit("trend"), F.when(F.col("pct_change") < -10, "high").otherwise("medium"), F.col("pct_change").cast("double")))
-    qi = quality_issues(df, facts).where(F.col("severity") == "warn")
-    parts.append(qi.groupBy().agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0).select(F.lit("quality"), F.lit("medium"), F.col("n").cast("double")))
-    n = df.agg(F.count(F.lit(1))).scalar()
-    nn = len(numeric_columns(df))
-    parts.append(df.agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 50) & F.lit(nn >= 2)).select(F.lit("model_ready"), F.lit("info"), F.col("n").cast("double")))
+        parts.append(t.select(F.lit("trend").alias("trigger"), F.when(F.col("pct_change") < -10, "high").otherwise("medium").alias("level"), F.lit(metric).alias("subject"), F.col("pct_change").cast("double").alias("value")))
+    first_two = issue_list(quality_issues(df, facts)).orderBy("seq").limit(2).where(F.col("severity") == "warn")
+    parts.append(first_two.select(F.lit("quality").alias("trigger"), F.lit("high").alias("level"), F.col("code").alias("subject"), F.col("value")))
+    if metric:
+        enough = (F.col("rows") >= 50) & (F.col("numeric_features") >= 2)
+        parts.append(facts["prof"].where(enough).select(F.lit("model_ready"), F.lit("medium"), F.lit(metric), F.col("rows").cast("double")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric, q, resolve
+from ..functions.columns import value as cell
 from ..functions.ordering import exact_quantiles, quantile_wide
+from ..session import cut_lineage
 from .profile import modes, value_freq
 from .roles import identifier_flags
 
+# Levels of a usable text feature, rows needed to train
 MAX_LEVELS = 15
 MIN_ROWS = 30
 
@@ -73,7 +76,8 @@ def select_features(df: DataFrame, target: str) -> tuple[list[str], list[str]]:
         if r is None:
             continue
         ratio = (r["distinct"] or 0) / max(r["rows"] or 1, 1)
-        idlike = name in ("id", "index") or name.endswith("_id") or name.endswith("id") or (
+        # fixed rule: names, or integers that are nearly all different
+        idlike = name in ("id", "index") or name.endswith("_id") or (
             f.dataType.typeName() in ("integer", "long", "short", "byte") and ratio > 0.95
         )
         if idlike:
@@ -91,7 +95,7 @@ def feature_pipeline(df: DataFrame, target: str, numeric: Sequence[str], categor
     indexed alphabetically; a level unseen in training encodes as all zeros
     (trees need no dropped reference level). Returns (prepared frame, stages)."""
     prepared = df.where(q(target).isNotNull()).select(
-        *[F.coalesce(q(c).cast("double"), F.lit(medians.get(c))).alias(c) for c in numeric],
+        *[F.coalesce(cell(df, c).cast("double"), F.lit(medians.get(c))).alias(c) for c in numeric],
         *[F.coalesce(q(c).cast("string"), F.lit("__missing__")).alias(c) for c in categorical],
         q(target),
     )
@@ -105,13 +109,26 @@ def feature_pipeline(df: DataFrame, target: str, numeric: Sequence[str], categor
     return prepared, stages
 
 
-def split(df: DataFrame, train_pct: int = 75, seed: int = 42, key_cols: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Deterministic 75/25 split by a row hash: reproducible, per-row
-    independent (so every class splits in the same proportion in expectation),
-    and needs no window over a class."""
-    cols = list(key_cols or df.columns)
-    h = F.pmod(F.xxhash64(*[q(c) for c in cols], F.lit(seed)), F.lit(100))
-    return df.where(h < train_pct), df.where(h >= train_pct)
+def split(df: DataFrame, by: str, train_pct: int = 75, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """M2: exact ``train_pct``/rest split inside each value of ``by``. Rows get
+    seeded random keys that do not depend on their values, so copies of a row
+    spread over both sides. A row's place in its class is its place in its
+    key bucket plus the sizes of the buckets before it: no task holds a class,
+    however large. Written to the shared folder once, so both sides agree."""
+    keyed = cut_lineage(df.withColumn("__u", F.rand(seed)))
+    size = keyed.groupBy(q(by).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    # about 50,000 rows per (class, bucket)
+    buckets = max(1, -(-(size.agg(F.max("__n")).first()[0] or 1) // 50_000))
+    keyed = keyed.withColumn("__b", F.floor(F.col("__u") * buckets).cast("int"))
+    parts = keyed.groupBy(q(by).alias("__cls"), F.col("__b").alias("__bk")).agg(F.count(F.lit(1)).alias("__k"))
+    upto = F.sum("__k").over(Window.partitionBy("__cls").orderBy("__bk").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("__before", upto - F.col("__k")).join(size, F.col("__cls").eqNullSafe(F.col("__c"))).drop("__c", "__k")
+    w = Window.partitionBy("__cls", "__bk").orderBy("__u")
+    joined = keyed.join(parts, q(by).eqNullSafe(F.col("__cls")) & (F.col("__b") == F.col("__bk")))
+    place = F.col("__before") + F.row_number().over(w)
+    joined = cut_lineage(joined.withColumn("__train", place <= F.round(F.col("__n") * train_pct / 100.0)))
+    cols = [q(c) for c in df.columns]
+    return joined.where("__train").select(*cols), joined.where("not __train").select(*cols)
 
 
 def train(df: DataFrame, target: str, trees: int = 50, seed: int = 42, max_depth: int | None = None) -> tuple[TrainedModel, DataFrame]:
@@ -131,7 +148,6 @@ def train(df: DataFrame, target: str, trees: int = 50, seed: int = 42, max_depth
     if task == "classification":
         prepared = prepared.withColumn("__label_txt", q(target).cast("string"))
         lab = StringIndexer(inputCol="__label_txt", outputCol="label", stringOrderType="alphabetAsc")
-        stages.insert(0, lab)
         classes = prepared.select("__label_txt").distinct().count()
         if classes < 2:
             raise ValueError("target has a single class")
@@ -139,10 +155,17 @@ def train(df: DataFrame, target: str, trees: int = 50, seed: int = 42, max_depth
     else:
         prepared = prepared.withColumn("label", q(target).cast("double"))
         est = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=max_depth or 12, seed=seed)
-    tr, te = split(prepared, seed=seed)
-    pm = Pipeline(stages=[*stages, est]).fit(tr)
     if task == "classification":
-        labels = list(pm.stages[0].labels)
+        # fitted on all labelled rows and kept out of the scoring pipeline:
+        # rows without a target, or with a class unseen in training, can be scored
+        indexer = lab.fit(prepared)
+        prepared = indexer.transform(prepared)
+        labels = list(indexer.labels)
+        tr, te = split(prepared, "__label_txt", seed=seed)
+    else:
+        tr, te = split(prepared.withColumn("__all", F.lit(0)), "__all", seed=seed)
+        tr, te = tr.drop("__all"), te.drop("__all")
+    pm = Pipeline(stages=[*stages, est]).fit(tr)
     names = list(num)
     for c in cat:
         idx = [s for s in pm.stages if getattr(s, "getOutputCol", lambda: "")() == f"{c}__idx"][0]
@@ -155,16 +178,17 @@ def train(df: DataFrame, target: str, trees: int = 50, seed: int = 42, max_depth
 
 def prepare(model: TrainedModel, df: DataFrame) -> DataFrame:
     """Rows shaped like training input (same fills), target kept when present."""
-    cols = [F.coalesce(q(c).cast("double"), F.lit(model.medians.get(c))).alias(c) for c in model.numeric]
+    cols = [F.coalesce(cell(df, c).cast("double"), F.lit(model.medians.get(c))).alias(c) for c in model.numeric]
     cols += [F.coalesce(q(c).cast("string"), F.lit("__missing__")).alias(c) for c in model.categorical]
     extra = [c for c in df.columns if c not in model.numeric and c not in model.categorical]
     out = df.select(*cols, *[q(c) for c in extra])
-    if model.task == "classification" and model.target in out.columns:
-        out = out.withColumn("__label_txt", q(model.target).cast("string"))
-    elif model.target in out.columns:
-        out = out.withColumn("label", q(model.target).cast("double"))
-    if model.task == "classification" and model.target not in out.columns:
-        out = out.withColumn("__label_txt", F.lit(model.labels[0]))
+    if model.target in out.columns:
+        if model.task == "classification":
+            # null for an unknown target or a class that no labelled row had
+            at = F.array_position(F.array(*[F.lit(x) for x in model.labels]), q(model.target).cast("string"))
+            out = out.withColumn("label", F.when(at > 0, (at - 1).cast("double")))
+        else:
+            out = out.withColumn("label", q(model.target).cast("double"))
     return out
 
 
@@ -182,16 +206,15 @@ def score(model: TrainedModel, df: DataFrame) -> DataFrame:
 
 
 def _r2(y, p):
-    """1 - SSE/SST in one aggregate pass (SST = sum(y^2) - sum(y)^2 / n)."""
-    n = F.count(y)
-    sst = F.sum(y * y) - F.sum(y) * F.sum(y) / n
-    return 1 - F.sum((y - p) * (y - p)) / sst
+    """1 - SSE/SST in one aggregate pass; null for a constant target. The
+    variance aggregate updates a mean, so large offsets do not cancel."""
+    return 1 - F.try_divide(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y))
 
 
 def evaluate(model: TrainedModel, df: DataFrame, digits: int = 4) -> DataFrame:
     """M3: accuracy and weighted F1 (classification) or R2 and MAE
-    (regression), as SQL aggregates over the scored frame."""
-    s = model.pipeline.transform(prepare(model, df))
+    (regression), as SQL aggregates over the scored rows with a known target."""
+    s = model.pipeline.transform(prepare(model, df)).where(F.col("label").isNotNull())
     if model.task == "classification":
         per = s.groupBy("label").agg(
             F.count(F.lit(1)).alias("support"),
@@ -224,27 +247,35 @@ def importances(model: TrainedModel, top: int = 12, digits: int = 4) -> DataFram
 
 
 def permutation_importance(
-    model: TrainedModel, df: DataFrame, repeats: int = 5, buckets: int | None = None, rows_per_bucket: int = 50_000, digits: int = 4
+    model: TrainedModel, df: DataFrame, repeats: int = 5, rows_per_range: int = 50_000, digits: int = 4
 ) -> DataFrame:
     """M5: drop in the metric (accuracy or R2) when one input column is
-    permuted, mean and std over ``repeats``. The permutation rotates the column
-    by one row inside random hash buckets (window per bucket), so it is
-    distributed and needs no join; the bucket count grows with the row count
-    (about ``rows_per_bucket`` rows per window). All (feature, repeat) copies
-    are scored in one transform and aggregated in one pass."""
-    base = prepare(model, df).withColumn("__rid", F.xxhash64(*[q(c) for c in df.columns]))
-    if buckets is None:
-        # bucket count grows with the data so each rotation window stays small
-        buckets = max(64, -(-df.count() // rows_per_bucket))
+    permuted, mean and std over ``repeats``.
+
+    For each (feature, repeat) rows get seeded random keys and the column is
+    rotated along them: row k takes the value of row k + 1, the last one that
+    of the first. Keys are independent of the row's values, so copies of a row
+    are spread, and with two rows or more none keeps its own. Rotation runs in
+    key ranges of about ``rows_per_range`` rows; the last row of a range takes
+    the first value of the next, so the number of ranges never shows."""
+    base = cut_lineage(prepare(model, df).where(F.col("label").isNotNull()).withColumn("__rid", F.monotonically_increasing_id()))
+    ranges = max(1, -(-base.count() // rows_per_range))
     feats = [*model.numeric, *model.categorical]
     copies = []
     for r in range(repeats):
-        bucket = F.pmod(F.xxhash64("__rid", F.lit(r)), F.lit(buckets))
-        b = base.withColumn("__b", bucket)
         for f in feats:
-            w = Window.partitionBy("__b").orderBy(F.xxhash64("__rid", F.lit(r), F.lit(f)), "__rid")
-            nxt = F.coalesce(F.lead(q(f)).over(w), F.first(q(f)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-            copies.append(b.withColumn(f, nxt).withColumn("__feature", F.lit(f)).withColumn("__repeat", F.lit(r)).drop("__b"))
+            # a bijection of the unique row number, as good as a random key
+            u = F.xxhash64("__rid", F.lit(r), F.lit(f), F.lit(model.seed))
+            keyed = base.withColumn("__u", u).withColumn("__b", F.floor((F.col("__u") / float(1 << 64) + 0.5) * ranges).cast("int"))
+            heads = keyed.groupBy("__b").agg(F.min_by(F.struct(q(f).alias("v")), F.struct("__u", "__rid")).alias("h"))
+            # one row per range: the first value of the next one, cyclically
+            around = Window.orderBy("__b")
+            whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            heads = heads.select(F.col("__b").alias("__hb"), F.coalesce(F.lead("h").over(around), F.first("h").over(whole)).alias("__next"))
+            w = Window.partitionBy("__b").orderBy("__u", "__rid")
+            moved = F.coalesce(F.lead(F.struct(q(f).alias("v"))).over(w), F.col("__next"))["v"]
+            c = keyed.join(F.broadcast(heads), F.col("__b") == F.col("__hb")).withColumn(f, moved)
+            copies.append(c.select(*base.columns).withColumn("__feature", F.lit(f)).withColumn("__repeat", F.lit(r)))
     orig = base.withColumn("__feature", F.lit(None).cast("string")).withColumn("__repeat", F.lit(-1))
     allc = orig
     for c in copies:
@@ -309,37 +340,43 @@ def score_with_interval(model: TrainedModel, df: DataFrame, z: float = 1.645, di
 
 def scenario(model: TrainedModel, df: DataFrame, changes: Sequence[tuple[str, str, object]], digits: int = 4) -> DataFrame:
     """M9: score rows before and after ``changes`` [(feature, "set"|"delta"|
-    "percent", amount)]; percent is v*(1+p/100) rounded to 4 dp."""
-    base = df.withColumn("__row", F.xxhash64(*[q(c) for c in df.columns]))
-    after = base
+    "percent", amount)], each result rounded to 4 dp and a missing number
+    counting as 0; percent is v*(1+p/100). Returns the caller's columns with
+    ``before``, ``after`` and the change, one row per row: the edited features
+    travel in the row, so nothing is joined."""
+    edited = {}
     for feat, kind, amount in changes:
         feat = resolve(df, feat)
-        c = q(feat)
+        numeric = is_numeric(df.schema[feat].dataType)
+        c = edited.get(feat, F.coalesce(cell(df, feat).cast("double"), F.lit(0.0)) if numeric else q(feat))
         if kind == "set":
-            e = F.lit(amount).cast(df.schema[feat].dataType)
+            edited[feat] = F.round(F.lit(float(amount)), 4) if numeric else F.lit(amount).cast("string")
         elif kind == "delta":
-            e = c + F.lit(amount)
+            edited[feat] = F.round(c + F.lit(float(amount)), 4)
         elif kind == "percent":
-            e = F.round(c * (1 + F.lit(float(amount)) / 100.0), 4)
+            edited[feat] = F.round(c * (1 + F.lit(float(amount)) / 100.0), 4)
         else:
             raise ValueError(f"unknown change kind {kind!r}")
-        after = after.withColumn(feat, e)
-    b = score(model, base).select("__row", F.col("predicted").alias("before"))
-    a = score(model, after).select("__row", F.col("predicted").alias("after"))
-    j = b.join(a, "__row")
+    inputs = [c for c in df.columns if c in model.numeric or c in model.categorical]
+    base = df.withColumn("__row", F.struct(*[q(c) for c in df.columns]))
+    start = base.select("__row", *[q(c) for c in inputs], F.struct(*[edited.get(c, q(c)).alias(c) for c in inputs]).alias("__after"))
+    first = score(model, start).select("__row", "__after", F.col("predicted").alias("before"))
+    second = first.select("__row", "before", *[F.col("__after").getField(c).alias(c) for c in inputs])
+    j = score(model, second).select("__row.*", "before", F.col("predicted").alias("after"))
+    rows = [q(c) for c in df.columns]
     if model.task == "regression":
         return j.select(
-            "__row", F.round("before", digits).alias("before"), F.round("after", digits).alias("after"),
+            *rows, F.round("before", digits).alias("before"), F.round("after", digits).alias("after"),
             F.round(F.col("after") - F.col("before"), digits).alias("delta"),
             F.round((F.col("after") - F.col("before")) / F.greatest(F.abs("before"), F.lit(1e-9)) * 100, 2).alias("pct_change"),
         )
-    return j.select("__row", "before", "after", (F.col("before") != F.col("after")).alias("label_changed"))
+    return j.select(*rows, "before", "after", (F.col("before") != F.col("after")).alias("label_changed"))
 
 
-def feature_defaults(df: DataFrame, features: Sequence[str] | None = None, max_options: int = 30) -> DataFrame:
+def feature_defaults(df: DataFrame, features: Sequence[str] | None = None, max_options: int | None = None) -> DataFrame:
     """Default input row: exact medians for numeric features, modes for
-    the others, with the sorted options (<= ``max_options`` values) of each
-    categorical feature. ``(feature, kind, default, options)``."""
+    the others, with the sorted options of each categorical feature (null
+    above ``max_options`` values, where that is given). ``(feature, kind, default, options)``."""
     feats = list(features) if features else list(df.columns)
     nums = [c for c in feats if is_numeric(df.schema[c].dataType)]
     cats = [c for c in feats if c not in nums]
@@ -350,8 +387,10 @@ def feature_defaults(df: DataFrame, features: Sequence[str] | None = None, max_o
     if cats:
         md = modes(df, cats)
         vf = value_freq(df, cats).where(F.col("value").isNotNull())
-        small = vf.groupBy("column").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") <= max_options)
-        opts = vf.join(small, "column").groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("options"))
+        if max_options is not None:
+            small = vf.groupBy("column").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") <= max_options)
+            vf = vf.join(small, "column", "left_semi")
+        opts = vf.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("options"))
         parts.append(md.join(opts, "column", "left").select(F.col("column").alias("feature"), F.lit("categorical").alias("kind"), F.col("mode").alias("default"), "options"))
     out = parts[0]
     for p in parts[1:]:

@@ -11,19 +11,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_numeric, numeric_columns, q, resolve
+from ..functions.columns import is_numeric, is_string, numeric_columns, q, resolve
+from ..functions.columns import value as cell
 from ..functions.ordering import long_values, quantile_wide, with_positions
+from .filters import numeric_condition
 
 
 def sort_rows(df: DataFrame, col: str, direction: str = "asc") -> DataFrame:
     """Sort by one column, nulls last in both directions."""
-    c = q(resolve(df, col))
+    c = cell(df, resolve(df, col))
     return df.orderBy(c.desc_nulls_last() if direction == "desc" else c.asc_nulls_last())
 
 
 def top_rows(df: DataFrame, col: str, n: int = 10, descending: bool = True, tie_break: Sequence[str] = ()) -> DataFrame:
     """First ``n`` rows by a column (a distributed TakeOrderedAndProject)."""
-    c = q(resolve(df, col))
+    c = cell(df, resolve(df, col))
     key = c.desc_nulls_last() if descending else c.asc_nulls_last()
     return df.orderBy(key, *[q(resolve(df, t)).asc_nulls_last() for t in tie_break]).limit(n)
 
@@ -31,7 +33,7 @@ def top_rows(df: DataFrame, col: str, n: int = 10, descending: bool = True, tie_
 def extreme(df: DataFrame, col: str, op: str = "max") -> DataFrame:
     """Max or min value and the non-null count (one row)."""
     col = resolve(df, col)
-    x = q(col)
+    x = cell(df, col)
     e = F.max(x) if op == "max" else F.min(x)
     return df.agg(e.alias("value"), F.count(x).alias("non_null")).select(F.lit(col).alias("column"), F.lit(op).alias("op"), "value", "non_null")
 
@@ -42,7 +44,7 @@ def extreme_rows(
     """T4: every row holding the extreme value (all ties), with its 1-based
     position in ``order_by`` order and the tie count."""
     col = resolve(df, col)
-    x = q(col)
+    x = cell(df, col)
     best = df.agg(F.max(x) if op == "max" else F.min(x)).scalar()
     keep = [resolve(df, c) for c in return_cols] or list(df.columns)
     pos = with_positions(df.select(*[q(c) for c in dict.fromkeys([*keep, col, *order_by])]), list(order_by), name="position")
@@ -54,7 +56,7 @@ def extreme_rows(
 def extreme_first(df: DataFrame, col: str, op: str, label_col: str, order_by: Sequence[str]) -> DataFrame:
     """T5: the first row (in ``order_by`` order) holding the extreme value, with its label."""
     col, label_col = resolve(df, col), resolve(df, label_col)
-    x = q(col)
+    x = cell(df, col)
     best = df.agg(F.max(x) if op == "max" else F.min(x)).scalar()
     hits = df.where(x == best)
     order = F.struct(*[q(resolve(df, o)) for o in order_by])
@@ -90,13 +92,15 @@ def lookup(df: DataFrame, id_col: str, value, cols: Sequence[str] | None = None)
     string form, or numeric match when the column is numeric. A miss is an
     empty result (never a positional fallback)."""
     id_col = resolve(df, id_col)
-    c = q(id_col)
-    cond = F.trim(c.cast("string")) == str(value).strip()
-    if is_numeric(df.schema[id_col].dataType):
-        try:
-            cond = cond | (c.cast("double") == float(value))
-        except (TypeError, ValueError):
-            pass
+    c, dt = q(id_col), df.schema[id_col].dataType
+    text = str(value).strip()
+    if is_numeric(dt):
+        # one literal of the column's own type, so the comparison reaches the scan
+        cond = numeric_condition(c, dt, "==", text)
+    elif is_string(dt):
+        cond = F.trim(c) == text
+    else:
+        cond = F.trim(c.cast("string")) == text
     out = df.where(cond)
     return out.select(*[q(resolve(df, x)) for x in cols]) if cols else out
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_temporal, q, resolve
-from ..functions.coerce import to_number, to_timestamp_mixed
+from ..functions.coerce import number, to_timestamp_mixed
 from ..functions.ordering import quantile_wide, with_running_sum
 from ..functions.stats import safe_div
 from .aggregate import period_col
@@ -30,7 +30,7 @@ def trend(df: DataFrame, date: str, metric: str, digits: int = 2) -> DataFrame:
     """Total per distinct date; first vs latest total, delta, % change
     (0 when the first total is 0), direction. One row; none if < 2 rows."""
     date, metric = resolve(df, date), resolve(df, metric)
-    base = df.select(as_timestamp(df, date).alias("t"), to_number(q(metric)).alias("m")).where(
+    base = df.select(as_timestamp(df, date).alias("t"), number(df, metric).alias("m")).where(
         F.col("t").isNotNull() & F.col("m").isNotNull()
     )
     g = base.groupBy("t").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("rows"))
@@ -61,7 +61,7 @@ def trend(df: DataFrame, date: str, metric: str, digits: int = 2) -> DataFrame:
 def _period_frame(df: DataFrame, date: str, metric: str, grain: str, keys: Sequence[str]) -> DataFrame:
     date, metric = resolve(df, date), resolve(df, metric)
     keys = [resolve(df, k) for k in keys]
-    base = df.select(*[q(k) for k in keys], period_col(as_timestamp(df, date), grain).alias("period"), to_number(q(metric)).alias("m"))
+    base = df.select(*[q(k) for k in keys], period_col(as_timestamp(df, date), grain).alias("period"), number(df, metric).alias("m"))
     base = base.where(F.col("period").isNotNull() & F.col("m").isNotNull())
     return base.groupBy(*[q(k) for k in keys], "period").agg(F.sum("m").alias("total"))
 
@@ -107,7 +107,7 @@ def running(
 def _category_totals(df: DataFrame, dim: str, metric: str) -> DataFrame:
     dim, metric = resolve(df, dim), resolve(df, metric)
     return (
-        df.select(q(dim).cast("string").alias("label"), to_number(q(metric)).alias("m"))
+        df.select(q(dim).cast("string").alias("label"), number(df, metric).alias("m"))
         .where(F.col("label").isNotNull() & F.col("m").isNotNull())
         .groupBy("label")
         .agg(F.sum("m").alias("total"))
@@ -142,23 +142,23 @@ def pareto(df: DataFrame, dim: str, metric: str, threshold: float = 0.8, digits:
 def zscore_outliers(df: DataFrame, col: str, k: float = 2.0, digits: int = 4) -> DataFrame:
     """Rows with |x - mean| / population std >= k (needs >= 3 values, std > 0)."""
     col = resolve(df, col)
-    x = to_number(q(col))
+    x = number(df, col)
     stats = df.select(x.alias("x")).where(F.col("x").isNotNull())
     mean = stats.agg(F.avg("x")).scalar()
     std = stats.agg(F.stddev_pop("x")).scalar()
     n = stats.agg(F.count(F.lit(1))).scalar()
-    z = (x - mean) / std
+    z = F.try_divide(x - mean, std)
     return df.where((n >= 3) & (std > 0) & x.isNotNull() & (F.abs(z) >= k)).withColumn("zscore", F.round(z, digits))
 
 
 def zscore_summary(df: DataFrame, col: str, k: float = 2.0, digits: int = 4) -> DataFrame:
     """W6 summary: n, mean, population std, outlier count, min, max (one row)."""
     col = resolve(df, col)
-    x = df.select(to_number(q(col)).alias("x")).where(F.col("x").isNotNull())
+    x = df.select(number(df, col).alias("x")).where(F.col("x").isNotNull())
     s = x.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
     mean = x.agg(F.avg("x")).scalar()
     std = x.agg(F.stddev_pop("x")).scalar()
-    outl = x.agg(F.count_if(F.abs((F.col("x") - mean) / std) >= k)).scalar()
+    outl = x.agg(F.count_if(F.abs(F.try_divide(F.col("x") - mean, std)) >= k)).scalar()
     return s.where((F.col("n") >= 3) & (F.col("std") > 0)).select(
         F.lit(col).alias("metric"), "n", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"),
         outl.alias("outliers"), F.round("min", digits).alias("min"), F.round("max", digits).alias("max"),
@@ -232,7 +232,7 @@ def resample(df: DataFrame, date: str, value: str, freq: str = "auto", keys: Seq
     keys = [resolve(df, k) for k in keys]
     freq = resolve_freq(df, date, freq)
     kc = [q(k) for k in keys]
-    base = df.select(*kc, as_timestamp(df, date).alias("t"), to_number(q(value)).alias("y")).where(
+    base = df.select(*kc, as_timestamp(df, date).alias("t"), number(df, value).alias("y")).where(
         F.col("t").isNotNull() & F.col("y").isNotNull()
     )
     means = base.groupBy(*kc, bucket_col(F.col("t"), freq).alias("period")).agg(F.avg("y").alias("y"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import NA_TOKENS
-from ..functions.columns import q, resolve
+from ..functions.columns import nan_to_null, q, resolve
 from ..functions.ordering import with_positions
 from ..operators.filters import search_condition
 
@@ -62,9 +62,11 @@ def infer_text_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, infer: bool = True) -> DataFrame:
-    """CSV with header; pandas NA tokens become null, then types are inferred."""
-    raw = spark.read.csv(path, sep=sep, header=header, inferSchema=False, multiLine=False, escape='"')
+def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, infer: bool = True, multi_line: bool = False) -> DataFrame:
+    """CSV with header; pandas NA tokens become null, then types are
+    inferred. Quotes inside a cell are doubled. ``multi_line`` reads cells with
+    line breaks; Spark cannot split such files, so each file is one task."""
+    raw = spark.read.csv(path, sep=sep, header=header, inferSchema=False, multiLine=multi_line, escape='"')
     if not header:
         raw = raw.toDF(*[f"col_{i + 1}" for i in range(len(raw.columns))])
     raw = raw.select(*[_na_to_null(q(c)).alias(c) for c in raw.columns])
@@ -87,8 +89,8 @@ def read_delimited(spark: SparkSession, path: str, has_header: bool = True) -> D
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """S3."""
-    return spark.read.parquet(path)
+    """S3; NaN becomes null."""
+    return nan_to_null(spark.read.parquet(path))
 
 
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
@@ -116,12 +118,12 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.json(path, multiLine=True)
     if "data" in raw.columns and isinstance(raw.schema["data"].dataType, T.ArrayType):
         raw = raw.select(F.inline(q("data")))
-    return flatten(raw)
+    return nan_to_null(flatten(raw))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """JSON Lines, flattened."""
-    return flatten(spark.read.json(path))
+    return nan_to_null(flatten(spark.read.json(path)))
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
@@ -134,7 +136,7 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite", partition_b
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with header (struct/array columns must be flattened first)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def clean_export(df: DataFrame, actions: Sequence[str], path: str) -> DataFrame:

@@ -41,9 +41,20 @@ def test_sql_guard(spark):
     df = sales(spark)
     assert FL.sql_select(spark, "SELECT category, sum(revenue) AS t FROM data GROUP BY category", {"data": df}).count() == 3
     assert FL.sql_select(spark, "SELECT replace(category, 'E', 'e') AS c FROM data WHERE revenue > 5000", {"data": df}).count() == 0
-    for bad in ("DROP TABLE data", "SELECT 1; SELECT 2", "INSERT INTO data VALUES (1)", "WITH x AS (SELECT 1) DELETE FROM data"):
+    spark.createDataFrame([(1,)], "mine int").createOrReplaceTempView("data")
+    bad_ones = (
+        "DROP TABLE data", "SELECT 1; SELECT 2", "INSERT INTO data VALUES (1)", "WITH x AS (SELECT 1) DELETE FROM data",
+        "SELECT * FROM parquet.`/tmp`", "SELECT * FROM other", "SELECT * FROM data WHERE revenue IN (SELECT x FROM a.b)",
+        "WITH q AS (SELECT 1) INSERT INTO data SELECT * FROM q", "SET a = 1", "",
+    )
+    for bad in bad_ones:
         with pytest.raises(ValueError):
-            FL.check_read_only(bad)
+            FL.sql_select(spark, bad, {"data": df})
+    # words are no statements, WITH names are fine, the caller's own view stays
+    words = df.select(F.col("revenue").alias("load"), F.col("category").alias("set"))
+    assert FL.sql_select(spark, "WITH u AS (SELECT load, `set` FROM data) SELECT load FROM u ORDER BY load", {"data": words}).columns == ["load"]
+    assert spark.table("data").columns == ["mine"]
+    spark.catalog.dropTempView("data")
 
 
 def test_above_average_and_search(spark):
