@@ -140,6 +140,19 @@ def chain(hashes: list[np.ndarray]) -> np.ndarray:
     return x
 
 
+def multiplied(x: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """MinHash of sets of well-mixed 32-bit values by odd multipliers, each a
+    bijection, (sets, size). Set i is x[first[i]:first[i + 1]], not empty."""
+    factors = mix64(np.arange(1, size + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    out = np.empty((len(first) - 1, size), np.uint32)
+    # blocks of whole sets that stay in the cache
+    for i, j in blocks(first, 1 << 14):
+        s, f = x[first[i] : first[j]], first[i:j] - first[i]
+        for k in range(size):
+            out[i:j, k] = np.minimum.reduceat(s * factors[k], f)
+    return out
+
+
 def segment_ids(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 

@@ -10,14 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, shared
-
-
-#: signature coordinates whose low bytes make a sketch
-SKETCH = 64
+from .common import join_groups, multiplied, shared
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,35 +69,65 @@ def _only_stars(edges: DataFrame) -> bool:
 
 def crowded(keys: DataFrame) -> DataFrame:
     """``keys`` (bigint node, key; distinct) in buckets of two or more, with
-    the bucket's least node as ``pivot``."""
-    groups = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return shared(join_groups(keys, shared(groups), ["key"]).select("node", "key", "pivot"))
+    one member as the bucket's ``pivot``, another one in each bucket."""
+    any_ = F.xxhash64("node", "key")
+    groups = keys.groupBy("key").agg(F.min(F.struct(any_, "node")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return shared(join_groups(keys, shared(groups.select("key", F.col("p.node").alias("pivot"))), ["key"]).select("node", "key", "pivot"))
+
+
+def sketch(x: np.ndarray, first: np.ndarray, bits: int) -> pa.Array:
+    """One bit of each of ``bits`` MinHash coordinates of sets of well-mixed
+    32-bit values, as rows of bits / 64 longs; sets must not be empty."""
+    low = (multiplied(x, first, bits) & np.uint32(1)).astype(np.uint8)
+    words = np.packbits(low, axis=1, bitorder="little").view(np.int64)
+    ends = np.arange(len(words) + 1, dtype=np.int32) * (bits // 64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(words.reshape(-1)))
+
+
+def plausible(na, sa, nb, sb, percent: int, bits: int) -> Column:
+    """False only where set sizes rule a Jaccard similarity of ``percent``
+    hundredths out, or the share of equal sketch bits does, which for a pair
+    at that similarity is (1 + percent / 100) / 2, by more than 3.5 standard
+    deviations, over its first 512 bits or all (each once in 4,000 such pairs)."""
+    q = (1 + percent / 100) / 2
+
+    def most(n: int) -> int:
+        return int(n * (1 - q) + 3.5 * (n * q * (1 - q)) ** 0.5)
+
+    # a few words decide most pairs; spelling all out makes the compiled join too long to be optimised
+    head = min(bits, 512)
+    few = sum((F.bit_count(F.col(sa)[i].bitwiseXOR(F.col(sb)[i])) for i in range(head // 64)), F.lit(0))
+    every = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return F.when(sizes & (few <= most(head)), F.lit(True) if bits <= head else every <= most(bits)).otherwise(F.lit(False))
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a crowded bucket with the bucket's pivot."""
-    return members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+def star_pairs(members: DataFrame, sketches: DataFrame, percent: int, bits: int) -> DataFrame:
+    """Each member of a crowded bucket with the bucket's pivot, where their
+    ``sketches`` (node, size of the set, sketch) leave it possible."""
+    pairs = members.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    a = sketches.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
+    b = sketches.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.join(a, "a").join(b, "b").where(plausible("na", "sa", "nb", "sb", percent, bits)).select("a", "b")
 
 
-def cross_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int, bits: int) -> DataFrame:
     """The pairs inside buckets that star pairs leave open: of different
-    components, one of them outside the bucket's largest component. With
-    these every pair of a bucket is either verified or already connected,
-    but for those whose ``sketches`` (node, size of the set, array of
-    signature bytes) rule a similarity of ``percent`` hundredths out: by set
-    sizes for certain, by the share of equal bytes beyond four standard
-    deviations."""
+    components, one of them outside the bucket's largest component, and
+    possible by their sketches. With these every pair of a bucket is either
+    verified, already connected or ruled out."""
     comp = F.coalesce("root", "node").alias("comp")
     known = shared(members.join(roots, "node", "left").select("node", "key", comp))
     sizes = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     open_ = join_groups(known, shared(top.select("key", F.col("top.comp").alias("main"))), ["key"])
-    open_ = shared(open_.join(sketches.select("node", "size", "sketch"), "node"))
-    few = open_.where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
-    all_ = open_.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("comp").alias("cb"), "main", F.col("size").alias("nb"), F.col("sketch").alias("sb"))
-    p = percent / 100
-    least = p - 4 * (p * (1 - p) / SKETCH) ** 0.5
-    equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    # a pair is made in the first of the buckets that its members share
+    keys = open_.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    open_ = shared(open_.join(sketches.select("node", "size", "sketch"), "node").join(keys, "node"))
+    a = open_.where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("sketch").alias("sa"), F.col("keys").alias("ka"))
+    b = open_.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("comp").alias("cb"), "main", F.col("size").alias("nb"), F.col("sketch").alias("sb"), F.col("keys").alias("kb"))
     on = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-    on = on & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (equal >= int(least * SKETCH))
-    return few.join(all_, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # the dear test comes last, and only for pairs that pass the others
+    first = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
+    on = on & F.when(plausible("na", "sa", "nb", "sb", percent, bits), first).otherwise(F.lit(False))
+    return a.join(b, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
