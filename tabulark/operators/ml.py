@@ -147,14 +147,14 @@ def train(df: DataFrame, target: str, trees: int = 50, seed: int = 42, max_depth
     labels: list[str] = []
     if task == "classification":
         prepared = prepared.withColumn("__label_txt", q(target).cast("string"))
-        lab = StringIndexer(inputCol="__label_txt", outputCol="label", stringOrderType="alphabetAsc")
+        lab = StringIndexer(inputCol="__label_txt", outputCol="__label", stringOrderType="alphabetAsc")
         classes = prepared.select("__label_txt").distinct().count()
         if classes < 2:
             raise ValueError("target has a single class")
-        est = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=max_depth or 10, seed=seed)
+        est = RandomForestClassifier(featuresCol="features", labelCol="__label", numTrees=trees, maxDepth=max_depth or 10, seed=seed)
     else:
-        prepared = prepared.withColumn("label", q(target).cast("double"))
-        est = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=max_depth or 12, seed=seed)
+        prepared = prepared.withColumn("__label", q(target).cast("double"))
+        est = RandomForestRegressor(featuresCol="features", labelCol="__label", numTrees=trees, maxDepth=max_depth or 12, seed=seed)
     if task == "classification":
         # fitted on all labelled rows and kept out of the scoring pipeline:
         # rows without a target, or with a class unseen in training, can be scored
@@ -186,9 +186,9 @@ def prepare(model: TrainedModel, df: DataFrame) -> DataFrame:
         if model.task == "classification":
             # null for an unknown target or a class that no labelled row had
             at = F.array_position(F.array(*[F.lit(x) for x in model.labels]), q(model.target).cast("string"))
-            out = out.withColumn("label", F.when(at > 0, (at - 1).cast("double")))
+            out = out.withColumn("__label", F.when(at > 0, (at - 1).cast("double")))
         else:
-            out = out.withColumn("label", q(model.target).cast("double"))
+            out = out.withColumn("__label", q(model.target).cast("double"))
     return out
 
 
@@ -201,7 +201,7 @@ def score(model: TrainedModel, df: DataFrame) -> DataFrame:
         out = out.withColumn("predicted", labels[F.col("prediction").cast("int")]).withColumn("confidence", F.array_max(prob))
     else:
         out = out.withColumn("predicted", F.col("prediction"))
-    drop = [c for c in out.columns if c.endswith("__idx") or c.endswith("__ohe") or c in ("features", "rawPrediction", "__label_txt")]
+    drop = [c for c in out.columns if c.endswith("__idx") or c.endswith("__ohe") or c in ("features", "rawPrediction", "__label_txt", "__label")]
     return out.drop(*drop)
 
 
@@ -214,14 +214,14 @@ def _r2(y, p):
 def evaluate(model: TrainedModel, df: DataFrame, digits: int = 4) -> DataFrame:
     """M3: accuracy and weighted F1 (classification) or R2 and MAE
     (regression), as SQL aggregates over the scored rows with a known target."""
-    s = model.pipeline.transform(prepare(model, df)).where(F.col("label").isNotNull())
+    s = model.pipeline.transform(prepare(model, df)).where(F.col("__label").isNotNull())
     if model.task == "classification":
-        per = s.groupBy("label").agg(
+        per = s.groupBy("__label").agg(
             F.count(F.lit(1)).alias("support"),
-            F.count_if(F.col("prediction") == F.col("label")).alias("tp"),
+            F.count_if(F.col("prediction") == F.col("__label")).alias("tp"),
         )
-        pred_n = s.groupBy(F.col("prediction").alias("label")).agg(F.count(F.lit(1)).alias("pred_n"))
-        j = per.join(pred_n, "label", "left").fillna(0, ["pred_n"])
+        pred_n = s.groupBy(F.col("prediction").alias("__label")).agg(F.count(F.lit(1)).alias("pred_n"))
+        j = per.join(pred_n, "__label", "left").fillna(0, ["pred_n"])
         f1 = F.when((F.col("support") + F.col("pred_n")) > 0, 2 * F.col("tp") / (F.col("support") + F.col("pred_n"))).otherwise(0.0)
         return j.agg(
             F.round(F.sum("tp") / F.sum("support"), digits).alias("accuracy"),
@@ -229,8 +229,8 @@ def evaluate(model: TrainedModel, df: DataFrame, digits: int = 4) -> DataFrame:
             F.sum("support").alias("rows"),
         )
     return s.agg(
-        F.round(_r2(F.col("label"), F.col("prediction")), digits).alias("r2"),
-        F.round(F.avg(F.abs(F.col("label") - F.col("prediction"))), digits).alias("mae"),
+        F.round(_r2(F.col("__label"), F.col("prediction")), digits).alias("r2"),
+        F.round(F.avg(F.abs(F.col("__label") - F.col("prediction"))), digits).alias("mae"),
         F.count(F.lit(1)).alias("rows"),
     )
 
@@ -258,7 +258,7 @@ def permutation_importance(
     are spread, and with two rows or more none keeps its own. Rotation runs in
     key ranges of about ``rows_per_range`` rows; the last row of a range takes
     the first value of the next, so the number of ranges never shows."""
-    base = cut_lineage(prepare(model, df).where(F.col("label").isNotNull()).withColumn("__rid", F.monotonically_increasing_id()))
+    base = cut_lineage(prepare(model, df).where(F.col("__label").isNotNull()).withColumn("__rid", F.monotonically_increasing_id()))
     ranges = max(1, -(-base.count() // rows_per_range))
     feats = [*model.numeric, *model.categorical]
     copies = []
@@ -282,9 +282,9 @@ def permutation_importance(
         allc = allc.unionByName(c)
     scored = model.pipeline.transform(allc)
     if model.task == "classification":
-        m = scored.groupBy("__feature", "__repeat").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("metric"))
+        m = scored.groupBy("__feature", "__repeat").agg(F.avg((F.col("__label") == F.col("prediction")).cast("double")).alias("metric"))
     else:
-        m = scored.groupBy("__feature", "__repeat").agg(_r2(F.col("label"), F.col("prediction")).alias("metric"))
+        m = scored.groupBy("__feature", "__repeat").agg(_r2(F.col("__label"), F.col("prediction")).alias("metric"))
     baseline = m.where(F.col("__repeat") == -1).select(F.max("metric")).scalar()
     drops = m.where(F.col("__repeat") >= 0).withColumn("drop", baseline - F.col("metric"))
     return drops.groupBy(F.col("__feature").alias("feature")).agg(
