@@ -176,7 +176,7 @@ def test_dedup_lines(spark):
     g, names = Groups(), list(where)
     for a in range(len(names)):
         for b in range(a + 1, len(names)):
-            if similar(line_set(names[a], 6), line_set(names[b], 6), 80):
+            if similar(line_set(names[a], 6), line_set(names[b], 6), 85):
                 g.join(a, b)
     parts = collections.defaultdict(list)
     for a, x in enumerate(names):
