@@ -1,11 +1,9 @@
 """Document retrieval over a documents table.
 
 Chunking and hashed bag-of-words vectors are per-row column expressions (no
-shuffle). Cosine search scores chunk batches against a size-checked,
-broadcast query matrix (Arrow batches, one matrix product each), falling back
-to a sparse join on the hash dimension for larger query sets; a two-round
-per-query top-k picks the results. Whole texts are processed; nothing is
-truncated."""
+shuffle). Cosine search takes queries in blocks of a fixed size, each one
+broadcast matrix and one matrix product per Arrow batch; a per-query top-k
+picks the results. Whole texts are processed; nothing is truncated."""
 
 from __future__ import annotations
 
@@ -43,41 +41,35 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 
 def embed_arrays(frame: DataFrame, id_cols=("doc_id", "chunk_idx"), text_col: str = "text", dims: int = EMBED_DIM) -> DataFrame:
-    """D2 as one row per id: ``(*id_cols, dims array<int>, weights
-    array<double>)``. Tokens are lower-cased runs of >= 2 word characters,
-    bucket ``pmod(xxhash64(token), dims)``, counts L2-normalised. Counting is
-    a grouped count with map-side combine; each output row holds at most
-    ``dims`` entries."""
+    """D2 as one row per text with a token: ``(*id_cols, dims array<int>,
+    weights array<double>)``. Tokens are lower-cased runs of >= 2 word
+    characters, bucket ``pmod(xxhash64(token), dims)``, counts L2-normalised.
+    A vector depends on its own text alone, so it is made inside the row: no
+    shuffle."""
     ids = [q(c) for c in id_cols]
-    tok = frame.select(*ids, F.explode(F.regexp_extract_all(F.lower(q(text_col)), F.lit(TOKEN_PATTERN), 0)).alias("_tok"))
-    cnt = tok.groupBy(*ids, F.pmod(F.xxhash64("_tok"), F.lit(dims)).cast("int").alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    vec = cnt.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("_v"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, e: a + e["c"] * e["c"]))
-    return vec.select(
-        *ids, F.transform("_v", lambda e: e["dim"]).alias("dims"), F.transform("_v", lambda e: e["c"] / norm).alias("weights")
-    )
+    tokens = F.regexp_extract_all(F.lower(q(text_col)), F.lit(TOKEN_PATTERN), 0)
+    hashed = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
+    rows = frame.select(*ids, F.array_sort(hashed).alias("_h")).where(F.size("_h") > 0)
+    rows = rows.withColumn("dims", F.array_distinct("_h"))
+    # sorted buckets: a count is the distance between the starts of two of them
+    start = F.transform("dims", lambda d: F.array_position("_h", d))
+    rows = rows.withColumn("_s", F.concat(start, F.array(F.size("_h").cast("long") + 1)))
+    rows = rows.withColumn("_c", F.transform("dims", lambda d, i: (F.get("_s", i + 1) - F.get("_s", i)).cast("double")))
+    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c * c))
+    return rows.withColumn("_n", norm).select(*ids, "dims", F.transform("_c", lambda c: c / F.col("_n")).alias("weights"))
 
 
 def embed_hash(chunks: DataFrame, id_cols=("doc_id", "chunk_idx"), text_col: str = "text", dims: int = EMBED_DIM) -> DataFrame:
     """Hashed bag of words as sparse rows ``(*id_cols, dim, weight)``;
     weights are non-negative and each vector has unit length."""
     ids = [q(c) for c in id_cols]
-    tok = chunks.select(*ids, F.explode(F.regexp_extract_all(F.lower(q(text_col)), F.lit(TOKEN_PATTERN), 0)).alias("_tok"))
-    cnt = tok.groupBy(*ids, F.pmod(F.xxhash64("_tok"), F.lit(dims)).cast("int").alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    norm = cnt.groupBy(*ids).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("_norm"))
-    return cnt.join(norm, list(id_cols)).select(*ids, "dim", (F.col("c") / F.col("_norm")).alias("weight"))
-
-
-def dense_vectors(sparse: DataFrame, id_cols=("doc_id", "chunk_idx"), dims: int = EMBED_DIM) -> DataFrame:
-    """D2 as dense ``array<double>`` of length ``dims`` (for export)."""
-    ids = [q(c) for c in id_cols]
-    g = sparse.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("_m"))
-    return g.select(*ids, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("embedding"))
+    rows = embed_arrays(chunks, id_cols, text_col, dims).select(*ids, F.explode(F.arrays_zip("dims", "weights")).alias("_z"))
+    return rows.select(*ids, F.col("_z.dims").alias("dim"), F.col("_z.weights").alias("weight"))
 
 
-# Largest query matrix shipped to every task by the dense search path:
+# Queries of one block: its matrix, shipped to every task, has about
 # queries x dims x 8 bytes = 4096 x 768 x 8 = 24 MiB.
-MAX_DENSE_QUERIES = 4096
+QUERY_BLOCK = 4096
 SCORE_DIGITS = 9
 
 
@@ -89,46 +81,33 @@ def search(
     chunk_ids=("doc_id", "chunk_idx"),
     query_id: str = "query_id",
     dims: int = EMBED_DIM,
-    max_dense_queries: int = MAX_DENSE_QUERIES,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """D3: cosine top-k chunks per query with score > ``min_score`` (3 dp).
 
-    Inputs are ``embed_arrays`` frames (unit vectors). The query count is
-    checked first: up to ``max_dense_queries`` the query matrix is broadcast
-    and every chunk batch is scored with one matrix product in
-    ``mapInPandas``, emitting only each batch's top-k per query. Beyond that
-    bound the sparse plan (join on hash dimension, grouped sum) is used.
-    Either way a final two-round top-k per query picks the winners."""
+    Inputs are ``embed_arrays`` frames (unit vectors). Queries are split by a
+    hash of their id into blocks of about ``query_block``; for each block every
+    chunk batch is scored with one matrix product in ``mapInPandas``, emitting
+    only each batch's top-k per query. A final top-k per query picks the
+    winners. The plan is the same for any number of queries."""
     nq = query_arrays.select(q(query_id)).distinct().count()
-    if nq <= max_dense_queries:
-        hits = _dense_scores(chunk_arrays, query_arrays, k, min_score, list(chunk_ids), query_id, dims)
-    else:
-        hits = _sparse_scores(chunk_arrays, query_arrays, min_score, list(chunk_ids), query_id)
+    blocks = max(1, -(-nq // query_block))
+    hits = None
+    for b in range(blocks):
+        part = query_arrays.where(F.pmod(F.xxhash64(q(query_id)), F.lit(blocks)) == b)
+        h = _dense_scores(chunk_arrays, part, k, min_score, list(chunk_ids), query_id, dims)
+        hits = h if hits is None else hits.unionByName(h)
     order = [F.col("score").desc(), *[q(c).asc() for c in chunk_ids]]
     top = top_k_per_group(hits, ["query_id"], order, k, rank_name="rank")
     return top.select("query_id", "rank", *[q(c) for c in chunk_ids], F.round("score", 3).alias("score"))
 
 
-def _explode_arrays(frame: DataFrame, ids) -> DataFrame:
-    z = frame.select(*[q(c) for c in ids], F.explode(F.arrays_zip("dims", "weights")).alias("_z"))
-    return z.select(*[q(c) for c in ids], F.col("_z.dims").alias("dim"), F.col("_z.weights").alias("weight"))
-
-
-def _sparse_scores(chunk_arrays, query_arrays, min_score, chunk_ids, query_id) -> DataFrame:
-    qv = _explode_arrays(query_arrays, [query_id]).select(q(query_id).alias("query_id"), "dim", F.col("weight").alias("qw"))
-    cv = _explode_arrays(chunk_arrays, chunk_ids).select(*[q(c) for c in chunk_ids], "dim", F.col("weight").alias("cw"))
-    dots = qv.join(cv, "dim").groupBy("query_id", *[q(c) for c in chunk_ids]).agg(F.sum(F.col("qw") * F.col("cw")).alias("score"))
-    # scores are ranked at 9 decimals so exact copies tie exactly, whatever the
-    # summation order, and ties fall to the ids
-    return dots.select("query_id", *[q(c) for c in chunk_ids], F.round("score", SCORE_DIGITS).alias("score")).where(F.col("score") > min_score)
-
-
 def _dense_scores(chunk_arrays, query_arrays, k, min_score, chunk_ids, query_id, dims) -> DataFrame:
     import numpy as np
     import pandas as pd
     from pyspark.sql import types as T
 
-    # bounded by max_dense_queries x dims (checked by the caller)
+    # about QUERY_BLOCK x dims (the caller splits queries)
     qrows = query_arrays.select(q(query_id).alias("qid"), "dims", "weights").collect()
     qids = np.array([r["qid"] for r in qrows])
     qmat = np.zeros((dims, len(qrows)), dtype=np.float64)

@@ -30,12 +30,6 @@ def value_freq(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, distinct) with nulls not counted (pandas ``nunique``)."""
-    vf = value_freq(df, cols)
-    return vf.groupBy("column").agg(F.count("value").alias("distinct"))
-
-
 def modes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, mode, mode_count): most frequent non-null value, smallest text on ties.
     An aggregate (bounded buffer), not a sort of all distinct values."""

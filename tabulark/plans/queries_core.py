@@ -138,7 +138,7 @@ def a7_value_counts(spark, sf):
     return A.value_counts(load(spark, sf, "part"), "p_type", n=10)
 
 
-_A8_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_A8_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def _a8_sql() -> str:
@@ -154,7 +154,7 @@ def _a8_sql() -> str:
 
 @register("a8_describe_lineitem", _a8_sql())
 def a8_describe(spark, sf):
-    return A.describe_numeric(load(spark, sf, "lineitem"), list(_A8_COLS))
+    return A.describe_numeric(load(spark, sf, "lineitem"))
 
 
 @register(
@@ -250,12 +250,12 @@ def a19_missing(spark, sf):
 @register(
     "a20_duplicates",
     """
-    WITH g AS (SELECT count(*) AS c FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity)
+    WITH g AS (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)
     SELECT CAST(sum(c) AS BIGINT) AS rows, CAST(sum(c - 1) AS BIGINT) AS duplicates, round(coalesce(sum(c - 1) * 100.0 / sum(c), 0), 2) AS duplicate_pct FROM g
     """,
 )
 def a20_dups(spark, sf):
-    return A.duplicate_count(load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
+    return A.duplicate_count(load(spark, sf, "lineitem"))
 
 
 def _nan(c: str) -> str:
@@ -520,10 +520,10 @@ def j3_infer(spark, sf):
 
 @register(
     "u1_distinct_rows",
-    "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem",
+    "SELECT DISTINCT * FROM lineitem",
 )
 def u1_distinct(spark, sf):
-    return J.distinct_rows(load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
+    return J.distinct_rows(load(spark, sf, "lineitem"))
 
 
 @register(

@@ -9,7 +9,8 @@ from ..operators import relate as R
 from ..operators import windows as W
 from .catalog import load, register
 
-_LI = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+# every numeric column of lineitem
+_LI = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def _pairs(cols, diagonal=False):
@@ -25,7 +26,7 @@ def _pairs(cols, diagonal=False):
     ),
 )
 def a9_corr(spark, sf):
-    return R.correlation(load(spark, sf, "lineitem"), list(_LI))
+    return R.correlation(load(spark, sf, "lineitem"))
 
 
 @register(
@@ -43,7 +44,7 @@ def a9_corr(spark, sf):
     """,
 )
 def a10_top(spark, sf):
-    return R.top_correlations(load(spark, sf, "lineitem"), k=3, cols=list(_LI))
+    return R.top_correlations(load(spark, sf, "lineitem"), k=3)
 
 
 @register(
@@ -51,11 +52,12 @@ def a10_top(spark, sf):
     "\nUNION ALL\n".join(
         f"SELECT '{a}' AS feature, round(corr({a}, l_extendedprice), 3) + 0.0 AS corr, "
         f"CAST(count_if({a} IS NOT NULL AND l_extendedprice IS NOT NULL) AS BIGINT) AS n FROM lineitem"
-        for a in ("l_quantity", "l_discount", "l_tax")
+        for a in _LI
+        if a != "l_extendedprice"
     ),
 )
 def a11_corr_with(spark, sf):
-    return R.correlate_with(load(spark, sf, "lineitem"), "l_extendedprice", cols=list(_LI))
+    return R.correlate_with(load(spark, sf, "lineitem"), "l_extendedprice")
 
 
 @register(
@@ -78,7 +80,7 @@ def a12_cov(spark, sf):
     ),
 )
 def a13_moments(spark, sf):
-    return R.moments(load(spark, sf, "lineitem"), list(_LI))
+    return R.moments(load(spark, sf, "lineitem"))
 
 
 @register(
@@ -162,11 +164,11 @@ def w5_pareto(spark, sf):
     """
     WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd, count(o_totalprice) AS n FROM orders)
     SELECT o_orderkey, round((o_totalprice - m) / sd, 4) AS zscore FROM orders, s
-    WHERE n >= 3 AND sd > 0 AND o_totalprice IS NOT NULL AND abs((o_totalprice - m) / sd) >= 2
+    WHERE n >= 3 AND sd > 0 AND o_totalprice IS NOT NULL AND abs((o_totalprice - m) / sd) >= 1.5
     """,
 )
 def w6_zscore(spark, sf):
-    return W.zscore_outliers(load(spark, sf, "orders"), "o_totalprice", 2.0).select("o_orderkey", "zscore")
+    return W.zscore_outliers(load(spark, sf, "orders"), "o_totalprice", 1.5).select("o_orderkey", "zscore")
 
 
 @register(
@@ -196,7 +198,7 @@ def w6_summary(spark, sf):
     """,
 )
 def w7_iqr(spark, sf):
-    return W.iqr_outliers(load(spark, sf, "lineitem"), list(_LI))
+    return W.iqr_outliers(load(spark, sf, "lineitem"))
 
 
 _W8_SQL = """

@@ -61,7 +61,7 @@ def test_chunks_embeddings_and_search(spark):
     qs = spark.createDataFrame([(10, "gamma delta alpha"), (11, "theta eta")], "query_id long, text string")
     cv, qv = D.embed_arrays(ch), D.embed_arrays(qs, id_cols=("query_id",))
     dense = D.search(cv, qv, k=2).collect()
-    sparse = D.search(cv, qv, k=2, max_dense_queries=0).collect()
+    sparse = D.search(cv, qv, k=2, query_block=1).collect()
     assert sorted(map(tuple, dense)) == sorted(map(tuple, sparse))
     best = {r["query_id"]: r["doc_id"] for r in dense if r["rank"] == 1}
     assert best == {10: 1, 11: 3}

@@ -143,12 +143,12 @@ def test_quality_score_below_100(spark):
 
 
 def test_clean_defaults(spark):
-    rows = [(1, " Tools", 10, None), (2, "Toys", None, None), (3, "Toys", 30, None), (3, "Toys", 30, None)]
-    df = spark.createDataFrame(rows, "order_id int, category string, revenue int, empty_col string")
+    rows = [(7, " oak", 4, None), (8, "elm", None, None), (9, "elm", 12, None), (9, "elm", 12, None)]
+    df = spark.createDataFrame(rows, "tree_id int, kind string, height int, note string")
     cleaned, audit = Q.clean(df, ["fill_numeric_median", "trim_string_whitespace", "drop_empty_columns", "remove_duplicate_rows"])
-    assert cleaned.count() == 3 and "empty_col" not in cleaned.columns
-    vals = {r["order_id"]: (r["category"], r["revenue"]) for r in cleaned.collect()}
-    assert vals[1][0] == "Tools" and vals[2][1] == 20.0  # median after dedupe: (10, 30)
+    assert cleaned.count() == 3 and "note" not in cleaned.columns
+    vals = {r["tree_id"]: (r["kind"], r["height"]) for r in cleaned.collect()}
+    assert vals[7][0] == "oak" and vals[8][1] == 8.0  # median after dedupe: (4, 12)
     assert [r["action"] for r in audit.orderBy("step").collect()][0] == "trim_string_whitespace"
     with pytest.raises(ValueError):
         Q.clean(df, ["explode"])
@@ -175,17 +175,17 @@ def test_contract_and_validation(spark):
 
 
 def test_drift(spark):
-    v1 = spark.createDataFrame([(100, 5), (110, 6), (90, 5), (105, 7), (95, 6)], "revenue int, cost int")
-    v2 = spark.createDataFrame([(200, 5, 1), (210, 6, 1), (190, 5, 1), (205, 7, 1), (195, 6, 1)], "revenue int, cost int, new_col int")
+    v1 = spark.createDataFrame([(40, 5), (44, 6), (36, 5), (42, 7), (38, 6)], "weight int, age int")
+    v2 = spark.createDataFrame([(70, 5, 1), (74, 6, 1), (66, 5, 1), (72, 7, 1), (68, 6, 1)], "weight int, age int, batch int")
     d = {r["column"]: r for r in Q.drift(v1, v2).collect()}
-    assert d["revenue"]["mean_delta"] == 100.0 and d["revenue"]["drift_level"] == "Significant"
+    assert d["weight"]["mean_delta"] == 30.0 and d["weight"]["drift_level"] == "Significant"
     sch = {r["column"]: r["change"] for r in Q.compare_schemas(v1, v2).collect()}
-    assert sch["new_col"] == "added"
+    assert sch["batch"] == "added"
 
 
 def test_cleaning_plan_estimate_and_issue_cut(spark):
-    rows = [(1, " Tools", 10, None), (2, "Toys", None, None), (3, "Toys", 30, None), (3, "Toys", 30, None)]
-    df = spark.createDataFrame(rows, "order_id int, category string, revenue int, empty_col string")
+    rows = [(7, " oak", 4, None), (8, "elm", None, None), (9, "elm", 12, None), (9, "elm", 12, None)]
+    df = spark.createDataFrame(rows, "tree_id int, kind string, height int, note string")
     plan = {r["action"]: r for r in Q.cleaning_plan(df).collect()}
     assert plan["fill_categorical_mode"]["default"] is False if "fill_categorical_mode" in plan else True
     assert {"drop_empty_columns", "remove_duplicate_rows", "trim_string_whitespace", "fill_numeric_median"} <= set(plan)
