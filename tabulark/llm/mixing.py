@@ -13,6 +13,7 @@ plus one per source) reach the driver."""
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
@@ -123,30 +124,33 @@ def mix(
     placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "th"), F.col("_shards")).cast("int"))
     lines = {(x._s, x._shard): int(x.n) for x in placed.groupBy("_s", "_shard").agg(F.sum("size").alias("n")).collect()}
 
-    quota: list[tuple[int, int, int, int]] = []
-    of_source = sainte_lague(np.array(target), round(sum(target) / block)) if target else []
     of: dict[int, list[tuple[int, int]]] = {}
     for k in sorted(lines):
         of.setdefault(k[0], []).append(k)
+    quota = []
+    of_source = sainte_lague(np.array(target), round(sum(target) / block)) if target else []
     for s, seats in enumerate(of_source):
         keys = of.get(s, [])
         votes = np.array([lines[k] for k in keys], np.int64)
         got = sainte_lague(votes, int(seats), MAX_REPEAT * votes // block)
-        quota += [(s, k[1], int(v), int(g)) for k, v, g in zip(keys, votes, got, strict=True)]
-    plan = spark.createDataFrame(quota, "_s int, _shard int, _line long, _quota long")
+        carry = 0
+        for (_, shard), line, blocks in zip(keys, votes.tolist(), got.tolist(), strict=True):
+            # whole passes, then pick of the line's n stretches from a seeded
+            # phase; what rounding leaves goes on to the source's next shard
+            passes, rest = divmod(blocks * block, max(line, 1))
+            n = max(1, min(STRETCHES, line // STRETCHES))
+            size = max(1, line // n)
+            pick = 0 if passes >= MAX_REPEAT else min(n, max(0, round((rest + carry) / size)))
+            phase = zlib.crc32(f"{seed}:{s}:{shard}".encode()) % n
+            last = (n * pick + phase) // n > ((n - 1) * pick + phase) // n
+            carry += rest - (pick * size + last * (line - n * size))
+            quota.append((s, shard, passes, n, size, pick, phase))
+    plan = spark.createDataFrame(quota, "_s int, _shard int, _passes long, _n long, _len long, _pick long, _phase long")
     placed = placed.join(F.broadcast(plan), ["_s", "_shard"])
 
     on_line = Window.partitionBy("_s", "_shard").orderBy("_order", "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("size").over(on_line)
     placed = placed.withColumn("_to", end).withColumn("_from", end - F.col("size"))
-    # whole passes, then _pick of the line's _n equal stretches from a seeded phase
-    placed = placed.withColumn("_passes", F.expr(f"_quota * {block}L div greatest(_line, 1L)"))
-    placed = placed.withColumn("_n", F.expr(f"greatest(1L, least(_line, {STRETCHES}L))"))
-    placed = placed.withColumn("_len", F.expr("greatest(1L, _line div _n)"))
-    # a rest of part of a stretch is rounded up in that part of the shards
-    rest = f"(_quota * {block}L - _passes * _line)"
-    placed = placed.withColumn("_pick", F.expr(f"least(_n, ({rest} + _len * (2 * _shard + 1) div (2 * _shards)) div _len)"))
-    placed = placed.withColumn("_phase", F.pmod(F.xxhash64(F.lit(seed + 2), "_s", "_shard"), F.col("_n")))
 
     def before(x: str) -> str:
         """Words of chosen stretches left of place x of the line: stretch i is
