@@ -11,6 +11,7 @@ sequences. Only counts reach the driver."""
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ PART = 8192
 RELEASE = 8
 ROUNDS = 6
 #: words whose ids a worker remembers
-CACHE = 400_000
+CACHE = 600_000
 
 #: white space for Python's split, but not for the tokenizer's
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -40,6 +41,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokenizer:
     """ids of texts, word by word: the vocabulary drops white space and never
     merges across it, so a text's ids are those of its white-space-separated
@@ -64,11 +70,12 @@ class WordTokenizer:
             new.update(w)
         new.difference_update(known)
         if len(known) + len(new) > CACHE:
-            self.known = known = {}
-            new = set().union(*words)
+            # the words of these texts stay, frequent ones among them
+            here = set().union(*words)
+            self.known = known = {w: known[w] for w in here.intersection(known)}
         todo = list(new)
         for w, e in zip(todo, self.encode(todo, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+            known[w] = pack_ids(e.ids)
         return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
