@@ -4,21 +4,16 @@ The budget (all words) is cut into equal blocks. Highest quotients
 target / (2k + 1) hand the blocks to sources, and again each source's blocks
 to its shards, so every shard has an integer quota. Inside a shard documents
 lie on a line in seeded order; whole passes over the line come first, and the
-rest of the quota takes evenly spaced stretches of blocks (the line has
-``STRETCHES``, so most documents are taken whole or not at all) from a seeded
-phase. What a document gives is the overlap with the chosen stretches, plain integer
-arithmetic on its offset. Only per-shard totals (at most ``SHARDS``
+rest of the quota takes whole documents from the line's start, up to the one
+that would overshoot. That one is taken too where this brings the source
+nearer to its quotas so far; the difference goes on to the source's next
+shard, long documents first, so a source ends within half of its longest
+document and mostly much nearer. Only per-shard numbers (at most ``SHARDS``
 plus one per source) reach the driver."""
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Iterator
-from itertools import islice
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +21,6 @@ from .common import WORD, shared, text_or_empty
 
 BLOCKS = 1 << 20
 SHARDS = 1024
-STRETCHES = 32
 MAX_REPEAT = 3
 WEIGHTS = (5, 2, 1)
 
@@ -90,15 +84,20 @@ def mix(
     share: float = 1.0,
 ) -> DataFrame:
     """One row per document: doc_id, th (xxhash64 of the text), size,
-    source_size, target, taken.
+    source_size, target, taken (a multiple of size: documents stay whole).
 
     ``size`` counts words, null text 0. Sources sorted by code point, null
     last, take the weights in turn and share ``share`` of all words; targets
     stop at 3 times their source. ``taken`` counts words with repeats, at most
     3 times the size. Rows that repeat are mixed one by one (equal rows get
     neighbouring places on the line); empty tables give an empty result;
-    other columns are not read. Reruns agree: order and phase depend on
-    ``seed``, ids and texts alone."""
+    other columns are not read. Reruns agree: the order depends on ``seed``,
+    ids and texts alone."""
+    return _mix(docs, id_col, text_col, source_col, weights, seed, share).drop("_source")
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], seed: int, share: float) -> DataFrame:
+    """:func:`mix` with each row's ``_source``."""
     spark = docs.sparkSession
     sized = shared(
         docs.select(
@@ -119,7 +118,7 @@ def mix(
     shards = [max(1, round(SHARDS * n / all_words)) for n in sizes]
     source_row = "_source string, _s int, _shards int, source_size long, target double"
     table = spark.createDataFrame([(x._source, i, shards[i], sizes[i], target[i]) for i, x in enumerate(totals)], source_row)
-    placed = sized.join(F.broadcast(table), sized["_source"].eqNullSafe(table["_source"])).drop("_source")
+    placed = sized.join(F.broadcast(table), sized["_source"].eqNullSafe(table["_source"])).drop(table["_source"])
     placed = placed.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "th"))
     placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "th"), F.col("_shards")).cast("int"))
     lines = {(x._s, x._shard): int(x.n) for x in placed.groupBy("_s", "_shard").agg(F.sum("size").alias("n")).collect()}
@@ -133,66 +132,57 @@ def mix(
         keys = of.get(s, [])
         votes = np.array([lines[k] for k in keys], np.int64)
         got = sainte_lague(votes, int(seats), MAX_REPEAT * votes // block)
-        carry = 0
         for (_, shard), line, blocks in zip(keys, votes.tolist(), got.tolist(), strict=True):
-            # whole passes, then pick of the line's n stretches from a seeded
-            # phase; what rounding leaves goes on to the source's next shard
             passes, rest = divmod(blocks * block, max(line, 1))
-            n = max(1, min(STRETCHES, line // STRETCHES))
-            size = max(1, line // n)
-            pick = 0 if passes >= MAX_REPEAT else min(n, max(0, round((rest + carry) / size)))
-            phase = zlib.crc32(f"{seed}:{s}:{shard}".encode()) % n
-            last = (n * pick + phase) // n > ((n - 1) * pick + phase) // n
-            carry += rest - (pick * size + last * (line - n * size))
-            quota.append((s, shard, passes, n, size, pick, phase))
-    plan = spark.createDataFrame(quota, "_s int, _shard int, _passes long, _n long, _len long, _pick long, _phase long")
-    placed = placed.join(F.broadcast(plan), ["_s", "_shard"])
-
+            quota.append((s, shard, passes, 0 if passes >= MAX_REPEAT else rest))
+    plan = spark.createDataFrame(quota, "_s int, _shard int, _passes long, _rest long")
     on_line = Window.partitionBy("_s", "_shard").orderBy("_order", "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("size").over(on_line)
-    placed = placed.withColumn("_to", end).withColumn("_from", end - F.col("size"))
-
-    def before(x: str) -> str:
-        """Words of chosen stretches left of place x of the line: stretch i is
-        chosen when (i * pick + phase) div n steps up at it; the last one also
-        holds the line's odd words."""
-        i = f"least({x} div _len, _n - 1)"
-        full = f"(({i} * _pick + _phase) div _n - _phase div _n)"
-        chosen = f"((({i} + 1) * _pick + _phase) div _n - ({i} * _pick + _phase) div _n)"
-        return f"({full} * _len + {chosen} * ({x} - {i} * _len))"
-
-    picked = f"({before('_to')} - {before('_from')})"
-    taken = F.expr(f"size * _passes + {picked}").cast("long")
-    return placed.select("doc_id", "th", "size", "source_size", "target", taken.alias("taken"))
-
-
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as often as the mix takes them; a last part of one ends with the
-    last word that is taken."""
-    word = re.compile(WORD)
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        row, out = [], []
-        for i, (t, size, taken) in enumerate(zip(texts, b.column("size").to_pylist(), b.column("taken").to_pylist(), strict=True)):
-            whole, part = divmod(taken, size) if size else (0, 0)
-            row += [i] * (whole + (part > 0))
-            out += [t] * whole
-            if part:
-                out.append(t[: next(islice(word.finditer(t), part - 1, None)).end()])
-        b = b.drop_columns(["size", "taken"]).take(pa.array(row, pa.int64()))
-        yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
-
-
-def mixed_documents(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    placed = shared(placed.join(F.broadcast(plan), ["_s", "_shard"]).withColumn("_to", F.sum("size").over(on_line)).drop("_order"))
+
+    # the two places between documents that are next to the rest of the quota
+    low, high = F.max(F.when(F.col("_to") <= F.col("_rest"), F.col("_to"))), F.min(F.when(F.col("_to") > F.col("_rest"), F.col("_to")))
+    ends = {(x._s, x._shard): (x.low or 0, x.high) for x in placed.groupBy("_s", "_shard").agg(low.alias("low"), high.alias("high")).collect()}
+    cuts, carry = [], dict.fromkeys(of, 0)
+    # the longest documents are decided on first, so the short ones even out what is carried
+    for s, shard, passes, rest in sorted(quota, key=lambda x: (ends[x[:2]][0] - (ends[x[:2]][1] or 0), x)):
+        low, high = ends[s, shard]
+        carry[s] += rest
+        cut = high if high is not None and passes < MAX_REPEAT and 2 * carry[s] > low + high else low
+        carry[s] -= cut
+        cuts.append((s, shard, cut))
+    cuts = spark.createDataFrame(cuts, "_s int, _shard int, _cut long")
+    taken = F.col("size") * (F.col("_passes") + (F.col("_to") <= F.col("_cut")).cast("long"))
+    placed = placed.join(F.broadcast(cuts), ["_s", "_shard"])
+    return placed.select("doc_id", "th", "_source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame,
+    keep: tuple[str, ...] = (),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    seed: int = 17,
+    share: float = 1.0,
+) -> DataFrame:
     """doc_id, text and the columns ``keep`` of the mix itself: a document
-    comes as often as :func:`mix` takes it whole, and once more with its
-    leading words where part of it is taken. Rows that agree in id and text
-    share evenly what they take. Texts without words have nothing to give."""
-    taken = mix(docs, **options).groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.expr("sum(taken) div count(1)").alias("taken"))
-    taken = taken.where("taken > 0")
-    text = text_or_empty("text")
-    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"), *keep).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.th") == F.col("m.th"))
-    rows = rows.join(taken.alias("m"), same).select("d.doc_id", "d.text", *[f"d.{c}" for c in keep], "m.size", "m.taken")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    return rows.mapInArrow(_copies, fields)
+    comes, whole, as often as :func:`mix` takes it. Rows that agree in id, text
+    and source share evenly what they take; an odd copy goes to the least of
+    them by ``keep``. Texts without words have nothing to give."""
+    mixed = _mix(docs, id_col, text_col, source_col, weights, seed, share).where("size > 0")
+    copies, n = F.sum(F.expr("taken div size")), F.count(F.lit(1))
+    per_text = mixed.groupBy("doc_id", "th", "_source").agg(copies.alias("_copies"), n.alias("_n"))
+    per_text = shared(per_text.where("_copies > 0").selectExpr("*", "_copies div _n as _each", "_copies % _n as _odd"))
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(source_col).alias("_source"), text.alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep]).alias("d")
+    same = F.lit(True)
+    for c in ("doc_id", "th", "_source"):
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}"))
+    even = rows.join(per_text.where("_odd = 0").alias("m"), same).select("d.*", "m._each")
+    # at most one text of a shard, the last one taken, has odd copies
+    odd = rows.join(F.broadcast(per_text.where("_odd > 0")).alias("m"), same).select("d.*", "m._each", "m._odd")
+    place = F.row_number().over(Window.partitionBy("doc_id", "th", "_source").orderBy(*[f"_keep_{c}" for c in keep] or ["th"]))
+    odd = odd.withColumn("_each", F.col("_each") + (place <= F.col("_odd")).cast("long")).drop("_odd").where("_each > 0")
+    out = even.unionByName(odd).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_each")))
+    return out.select("doc_id", "text", *[F.col(f"_keep_{c}").alias(c) for c in keep])

@@ -81,6 +81,38 @@ def test_mixed_documents_take_what_the_mix_says(spark):
     assert got == collections.Counter({i: n for i, n in taken.items() if n})
 
 
+def test_mix_keeps_documents_whole(spark):
+    """Also where rows agree in id and text, inside a source or across two."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(3 + i * 7 % 40)), "abc"[i % 3], str(i)) for i in range(300)]
+    rows += [(i, "one two three four five", s, f"{i}{s}{k}") for i in range(1000, 1040) for s in "bc" for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mark string").repartition(3)
+    out = rows_of(mix(docs))
+    assert all(r["taken"] % r["size"] == 0 for r in out)
+    got = rows_of(mixed_documents(docs, keep=("source", "mark")))
+    texts = {(i, t, s, m) for i, t, s, m in rows}
+    assert got and all((r["doc_id"], r["text"], r["source"], r["mark"]) in texts for r in got)
+    words = collections.Counter()
+    for r in got:
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+    taken = collections.Counter()
+    for r in out:
+        taken[r["doc_id"]] += r["taken"]
+    assert words == +taken
+    copies = collections.Counter((r["doc_id"], r["source"], r["mark"]) for r in got)
+    for i in range(1000, 1040):
+        for s in "bc":
+            n = [copies[i, s, f"{i}{s}{k}"] for k in range(3)]
+            assert max(n) - min(n) <= 1 and max(n) <= 3
+    sizes = collections.Counter()
+    for i, t, s, m in rows:
+        sizes[s] += len(t.split())
+    by = collections.Counter()
+    for r in got:
+        by[r["source"]] += len(r["text"].split())
+    want = capped_targets([sizes[s] for s in "abc"], [5, 2, 1], sum(sizes.values()))
+    assert all(abs(by[s] - t) <= 22 + sum(sizes.values()) / 1000 for s, t in zip("abc", want, strict=True))
+
+
 def test_best_fit_and_bounds():
     rng = np.random.default_rng(5)
     for _ in range(40):
