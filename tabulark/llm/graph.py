@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, multiplied, shared
+from .common import join_groups, mix64, multiplied, shared
+
+#: standard deviations below the threshold at which a sketch rules a pair out
+DEVIATIONS = 6
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,9 +80,15 @@ def crowded(keys: DataFrame) -> DataFrame:
 
 def sketch(x: np.ndarray, first: np.ndarray, bits: int) -> pa.Array:
     """One bit of each of ``bits`` MinHash coordinates of sets of well-mixed
-    32-bit values, as rows of bits / 64 longs; sets must not be empty."""
-    low = (multiplied(x, first, bits) & np.uint32(1)).astype(np.uint8)
-    words = np.packbits(low, axis=1, bitorder="little").view(np.int64)
+    32-bit values, as rows of bits / 64 longs; sets must not be empty. The
+    least values are mixed first: an odd multiplier keeps a value's low bit, so
+    in a small set the same few bits would come back in every coordinate."""
+    words = np.empty((len(first) - 1, bits // 64), np.int64)
+    # blocks whose mixed values stay small
+    for i in range(0, len(words), 256):
+        f = first[i : i + 257]
+        low = (mix64(multiplied(x[f[0] : f[-1]], f - f[0], bits).astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+        words[i : i + 256] = np.packbits(low, axis=1, bitorder="little").view(np.int64)
     ends = np.arange(len(words) + 1, dtype=np.int32) * (bits // 64)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(words.reshape(-1)))
 
@@ -87,12 +96,14 @@ def sketch(x: np.ndarray, first: np.ndarray, bits: int) -> pa.Array:
 def plausible(na, sa, nb, sb, percent: int, bits: int) -> Column:
     """False only where set sizes rule a Jaccard similarity of ``percent``
     hundredths out, or the share of equal sketch bits does, which for a pair
-    at that similarity is (1 + percent / 100) / 2, by more than 3.5 standard
-    deviations, over its first 512 bits or all (each once in 4,000 such pairs)."""
+    at that similarity is (1 + percent / 100) / 2, by more than ``DEVIATIONS``
+    standard deviations, over its first 512 bits or all (a tail of about one in
+    10^8 such pairs at 6). That holds for sets of any size, since mixed bits
+    vary like independent ones."""
     q = (1 + percent / 100) / 2
 
     def most(n: int) -> int:
-        return int(n * (1 - q) + 3.5 * (n * q * (1 - q)) ** 0.5)
+        return int(n * (1 - q) + DEVIATIONS * (n * q * (1 - q)) ** 0.5)
 
     # a few words decide most pairs; spelling all out makes the compiled join too long to be optimised
     head = min(bits, 512)

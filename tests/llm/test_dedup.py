@@ -11,7 +11,7 @@ from tabulark.llm import near_dedup as nd
 from tabulark.llm import suffix_dedup as sd
 from tabulark.llm.common import Spans, buffers, mix64, word_spans
 from tabulark.llm.exact_dedup import exact_dedup
-from tabulark.llm.graph import components
+from tabulark.llm.graph import components, plausible, sketch
 from tabulark.llm.line_dedup import dedup_lines, shingle_set as line_set, similar
 from tabulark.llm.near_dedup import near_groups
 from tabulark.llm.suffix_dedup import drop_repeats
@@ -123,6 +123,19 @@ def test_bucket_that_the_pivot_does_not_hold_together(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows_of(out)} == {i: g.root(i) for i in sets}
 
 
+@pytest.mark.parametrize(("union", "percent", "bits"), [(7, 85, 2048), (20, 85, 2048), (20, 80, 2048), (5, 80, 512)])
+def test_sketches_rule_out_no_small_pair_at_the_threshold(spark, union, percent, bits):
+    n, common = 400, -(-percent * union // 100)
+    own = (union - common) // 2
+    x = mix64(np.random.default_rng(7).integers(0, 1 << 62, (n, union)).astype(np.uint64)).astype(np.uint32)
+    two = [x[:, : common + own], np.concatenate([x[:, :common], x[:, common + own :]], axis=1)]
+    sa, sb = (sketch(s.reshape(-1), np.arange(n + 1) * s.shape[1], bits).to_pylist() for s in two)
+    rows = [(common + own, union - own, a, b, c) for a, b, c in zip(sa, sb, sb[1:] + sb[:1], strict=True)]
+    df = spark.createDataFrame(rows, "na int, nb int, sa array<bigint>, sb array<bigint>, sc array<bigint>")
+    got = rows_of(df.select(plausible("na", "sa", "nb", "sb", percent, bits).alias("near"), plausible("na", "sa", "nb", "sc", percent, bits).alias("far")))
+    assert all(r["near"] for r in got) and not any(r["far"] for r in got)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     chain = [(i, i + 1) for i in range(0, 60)]
