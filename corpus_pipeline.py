@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm.bloom import without
+from tabulark.llm.bloom import meet, without
 from tabulark.llm.common import WORD, shared, shared_table
 from tabulark.llm.line_dedup import dedup_lines
 from tabulark.llm.mixing import mixed_documents
@@ -42,9 +42,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6 with five-word shingles and a similarity of 0.8: of each
-    group the document with the smallest id stays."""
-    gone = shared(near_groups(docs).where(~F.col("kept")).select("doc_id").distinct())
-    return _columns(without(docs, gone, ("doc_id",)))
+    group the document with the smallest id, then text hash, stays, and of rows
+    that agree in both the least by the other columns."""
+    keyed = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    verdicts = near_groups(docs).where("n_shingles > 0").groupBy("doc_id", "th").agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    some, none = meet(keyed, shared(verdicts.where("not _kept or _n > 1")))
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    one = some.where("_kept").groupBy("doc_id", "th").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("_row"))
+    one = one.select("doc_id", *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return _columns(none).unionByName(_columns(some.where("_kept is null"))).unionByName(_columns(one))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

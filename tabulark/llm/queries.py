@@ -72,7 +72,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return near_groups(table(spark, sf_dir, "documents"), words=3, percent=85).drop("th")
 
 
 @register("op7_suffix_dedup")

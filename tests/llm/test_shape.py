@@ -213,6 +213,21 @@ def test_queries_match_sql(spark, key):
     assert ": OK" in compare(spark, con, SF, key, QUERIES[key], ORACLE[key])
 
 
+def test_pipeline_near_dedup_tells_texts_of_one_id_apart(spark):
+    """Null and repeated ids: only copies go, and one of each copy stays."""
+    import corpus_pipeline as cp
+
+    def words(k, n=12):
+        return " ".join(f"t{k}w{i}" for i in range(n))
+
+    rows = [(1, words(1)), (None, words(1)), (None, words(2)), (None, words(3)), (None, words(3)), (7, words(1)), (7, words(4)), (None, words(2).upper()), (None, "")]
+    rows += [(9, words(5)), (9, words(5)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in rows_of(cp.near_dedup(spark, docs, SF))]
+    want = [(1, words(1)), (None, words(2)), (None, words(3)), (7, words(4)), (9, words(5)), (None, ""), (None, "")]
+    assert collections.Counter(got) == collections.Counter(want)
+
+
 def test_pipeline(spark):
     """Each stage against the one before it; the last against the tokenizer."""
     import corpus_pipeline as cp
