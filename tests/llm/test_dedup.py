@@ -95,6 +95,12 @@ def test_near_groups(spark, words, percent):
     assert {i: (len(sets[i]), g.root(i), g.root(i) == i) for i in sets} == {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in out.items()}
 
 
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_bands_find_pairs_at_the_threshold(percent):
+    rows = nd.band_rows(percent)
+    assert 1 - (1 - (percent / 100) ** rows) ** nd.BANDS >= 0.9996 and (percent != 85 or rows == 6)
+
+
 def test_signature_is_circulant():
     sets = np.sort(mix64(np.arange(50, dtype=np.uint64)))
     sig = nd.signatures(sets, np.array([0, 50]), 8)
