@@ -7,8 +7,11 @@ bounded by its Arrow batch plus the longest document."""
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,17 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once for each worker process. Functions are
+    shipped by value, so a module-level variable would be new in every task;
+    reused workers find this one again in the interpreter's modules."""
+    name = "_tabulark_worker"
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def text_or_empty(c: str):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import decode, encode
 from .chat import END, ROLE, TEXT, format_chats, read_back
 from .exact_dedup import exact_dedup
 from .language_id import identify
@@ -128,3 +129,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
+@register("op12_byte_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode(encode(table(spark, sf_dir, "documents")))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
