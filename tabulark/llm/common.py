@@ -123,12 +123,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first word of each row) of the words [^\\x20\\x09-\\x0D]+;
-    no word crosses a row. ``offsets`` starts at 0 and has one more entry than
-    rows; the third array too."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of each row) of the words [^\\x20\\x09-\\x0D]+, or
+    runs of other bytes than ``space`` flags; no word crosses a row.
+    ``offsets`` starts at 0 and has one more entry than rows; the third array
+    too."""
     n = len(raw)
-    solid = ~_SPACE[raw]
+    solid = ~space[raw]
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
     before = np.zeros(n, bool)

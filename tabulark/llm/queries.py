@@ -12,6 +12,7 @@ from .byte_bpe import decode, encode
 from .chat import END, ROLE, TEXT, format_chats, read_back
 from .exact_dedup import exact_dedup
 from .language_id import identify
+from .lexical_search import search
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dedup import near_groups
@@ -136,3 +137,27 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode(encode(table(spark, sf_dir, "documents")))
     n = (F.octet_length("ids") / 4).cast("long")
     return coded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register(
+    "op13_lexical_search",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+         i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+         s AS (SELECT count(*) AS nd, CAST(sum(len(t)) AS BIGINT) AS nt FROM d WHERE len(t) > 0),
+         c AS (SELECT r, doc_id, term, tf, 100 - 90 + (90 * n * nd) // nt AS m
+               FROM (SELECT r, doc_id, term, n, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d)
+                     WHERE term IN (SELECT term FROM i) GROUP BY ALL), s),
+         w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+               FROM (SELECT term, count(*) AS df FROM c GROUP BY term), s),
+         x AS (SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+               FROM i JOIN w USING (term) JOIN c USING (term) GROUP BY ALL),
+         k AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+               FROM x WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
