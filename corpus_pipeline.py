@@ -61,8 +61,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: every piece of every document with its place."""
-    return pack(docs, ids=False)
+    """Operator 5: every piece of every document with its ids and its place."""
+    return pack(docs)
 
 
 STAGES = [
