@@ -1,4 +1,5 @@
-"""Links to groups: pairs out of buckets, and distributed union-find.
+"""Links to groups: pairs out of buckets in linear rounds, and distributed
+union-find.
 
 Nothing here collects links or components: every step is a grouped minimum
 (pre-aggregated before its shuffle) and a join in which hot keys are handled
@@ -6,7 +7,7 @@ apart (see :func:`tabulark.llm.common.join_groups`)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,12 @@ from .common import join_groups, mix64, multiplied, shared
 
 #: standard deviations below the threshold at which a sketch rules a pair out
 DEVIATIONS = 6
+#: buckets of at most so many members are compared in full
+SMALL = 64
+#: fresh pivots of a larger bucket in one round
+PIVOTS = 8
+#: least share of the open members that a round must link for another one
+YIELD = 1 / 16
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +79,11 @@ def _only_stars(edges: DataFrame) -> bool:
 
 def crowded(keys: DataFrame) -> DataFrame:
     """``keys`` (bigint node, key; distinct) in buckets of two or more, with
-    one member as the bucket's ``pivot``, another one in each bucket."""
+    one member as the bucket's ``pivot``, another one in each bucket, and the
+    bucket's number of members."""
     any_ = F.xxhash64("node", "key")
     groups = keys.groupBy("key").agg(F.min(F.struct(any_, "node")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return shared(join_groups(keys, shared(groups.select("key", F.col("p.node").alias("pivot"))), ["key"]).select("node", "key", "pivot"))
+    return shared(join_groups(keys, shared(groups.select("key", F.col("p.node").alias("pivot"), "n")), ["key"]).select("node", "key", "pivot", "n"))
 
 
 def sketch(x: np.ndarray, first: np.ndarray, bits: int) -> pa.Array:
@@ -113,32 +121,85 @@ def plausible(na, sa, nb, sb, percent: int, bits: int) -> Column:
     return F.when(sizes & (few <= most(head)), F.lit(True) if bits <= head else every <= most(bits)).otherwise(F.lit(False))
 
 
-def star_pairs(members: DataFrame, sketches: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Each member of a crowded bucket with the bucket's pivot, where their
-    ``sketches`` (node, size of the set, sketch) leave it possible."""
-    pairs = members.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int, bits: int) -> DataFrame:
+    """The different ``pairs`` (a, b) whose ``sketches`` (node, size of the
+    set, sketch) leave them possible."""
     a = sketches.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
     b = sketches.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").where(plausible("na", "sa", "nb", "sb", percent, bits)).select("a", "b")
-
-
-def cross_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int, bits: int) -> DataFrame:
-    """The pairs inside buckets that star pairs leave open: of different
-    components, one of them outside the bucket's largest component, and
-    possible by their sketches. With these every pair of a bucket is either
-    verified, already connected or ruled out."""
-    comp = F.coalesce("root", "node").alias("comp")
-    known = shared(members.join(roots, "node", "left").select("node", "key", comp))
-    sizes = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    open_ = join_groups(known, shared(top.select("key", F.col("top.comp").alias("main"))), ["key"])
-    # a pair is made in the first of the buckets that its members share
-    keys = open_.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    open_ = shared(open_.join(sketches.select("node", "size", "sketch"), "node").join(keys, "node"))
-    a = open_.where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("sketch").alias("sa"), F.col("keys").alias("ka"))
-    b = open_.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("comp").alias("cb"), "main", F.col("size").alias("nb"), F.col("sketch").alias("sb"), F.col("keys").alias("kb"))
-    on = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-    # the dear test comes last, and only for pairs that pass the others
+    return pairs.distinct().join(a, "a").join(b, "b").where(plausible("na", "sa", "nb", "sb", percent, bits)).select("a", "b")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def small_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs inside buckets of at most ``SMALL`` members that star pairs
+    leave open: of different components, each pair in the first of the small
+    buckets that its members share."""
+    small = members.where(F.col("n") <= SMALL).join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("comp"))
+    small = shared(small)
+    split = small.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    known = join_groups(small, shared(split.select("key")), ["key"])
+    keys = known.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    known = shared(known.join(keys, "node"))
+    a = known.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("keys").alias("ka"))
+    b = known.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("keys").alias("kb"))
     first = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
-    on = on & F.when(plausible("na", "sa", "nb", "sb", percent, bits), first).otherwise(F.lit(False))
-    return a.join(b, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & first).select("a", "b")
+
+
+def _open(members: DataFrame, roots: DataFrame, links: DataFrame, turn: int) -> DataFrame:
+    """``members`` (node, key) of the buckets that hold more than one
+    component, with ``PIVOTS`` fresh pivots: any members, but ones with many
+    links rather than few, since those are near the middle of a component."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    known = members.join(roots, "node", "left").join(degree, "node", "left")
+    known = shared(known.select("node", "key", F.coalesce("root", "node").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree")))
+
+    def pivot(k: int) -> Column:
+        luck = (F.pmod(F.xxhash64(F.lit(turn * PIVOTS + k), "node", "key"), F.lit(1 << 30)) + 1) / (1 << 30)
+        return F.min(F.struct(-F.log(luck) / (F.col("degree") + 1), "node", "comp"))
+
+    picked = F.array(*[pivot(k) for k in range(PIVOTS)]).alias("pivots")
+    groups = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), picked).where("lo < hi")
+    return join_groups(known.select("node", "key", "comp"), shared(groups.select("key", "pivots")), ["key"])
+
+
+def linked(members: DataFrame, sketches: DataFrame, percent: int, bits: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components (node, root) of the similar pairs of ``members`` (as
+    :func:`crowded` gives them); ``confirm`` keeps the pairs that are similar.
+
+    Every member meets its bucket's pivot. In buckets of at most ``SMALL``
+    members all pairs of different components follow, so there each pair is
+    verified, already connected or ruled out. Larger buckets go on in rounds
+    in which fresh pivots meet the members of other components, for as long as
+    a round links a fair share of them. All steps are linear in the members;
+    what is left out are links inside a large bucket between components that
+    none of its pivots joins."""
+    star = members.where("node <> pivot").select(*_pair("pivot", "node"))
+    links = shared(confirm(possible(star, sketches, percent, bits)))
+    roots = components(links)
+
+    def after(found: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+
+    found = shared(confirm(possible(small_pairs(members, roots), sketches, percent, bits)))
+    if not found.isEmpty():
+        links, roots = links.unionByName(found), after(found)
+    large = members.where(F.col("n") > SMALL).select("node", "key")
+    turn = 0
+    while True:
+        turn += 1
+        large = shared(_open(large, roots, links, turn))
+        n = large.count()
+        if not n:
+            return roots
+        met = large.select("node", "comp", F.explode("pivots").alias("p")).where("comp <> p.comp").select("node", F.col("p.node").alias("pivot"))
+        found = shared(confirm(possible(met.select(*_pair("pivot", "node")), sketches, percent, bits)))
+        new = found.count()
+        if new:
+            links, roots = links.unionByName(found), after(found)
+        if new < YIELD * n:
+            return roots
+        large = large.select("node", "key")

@@ -12,13 +12,21 @@ from tabulark.llm import suffix_dedup as sd
 from tabulark.llm.common import Spans, buffers, mix64, word_spans
 from tabulark.llm.exact_dedup import exact_dedup
 from tabulark.llm.graph import components, plausible, sketch
-from tabulark.llm.line_dedup import dedup_lines, shingle_set as line_set, similar
+from tabulark.llm.line_dedup import common, dedup_lines
 from tabulark.llm.near_dedup import near_groups
 from tabulark.llm.suffix_dedup import drop_repeats
 
 from .fixtures import AZ, WORD, documents, hostile_texts, rows_of
 
 
+def line_set(text, size):
+    return {text[i : i + size] for i in range(max(1, len(text) - size + 1))}
+
+
+def similar(x, y, percent):
+    return 100 * len(x & y) >= percent * len(x | y)
+
+
 class Groups:
     def __init__(self):
         self.up = {}
@@ -228,3 +236,47 @@ def test_repeated_rows_and_empty_tables(spark):
     none = docs.where("false")
     for f in (exact_dedup, near_groups, drop_repeats, dedup_lines):
         assert rows_of(f(none)) == []
+
+
+def test_line_sets_are_compared_exactly():
+    import pyarrow as pa
+
+    texts = ["", "ab", "aaaaaaaaaaaa", "naïve café naïve café", "the quick brown fox", "the quick brown fix", "x" * 300]
+    pairs = [(a, b) for a in texts for b in texts]
+    na, nb, n = common(*(pa.array(c, pa.string()) for c in zip(*pairs, strict=True)), 6)
+    for k, (a, b) in enumerate(pairs):
+        x, y = line_set(a, 6), line_set(b, 6)
+        assert (na[k], nb[k], n[k]) == (len(x), len(y), len(x & y))
+
+
+def test_candidates_of_template_lines_grow_in_proportion(spark, monkeypatch):
+    """Lines that differ in one word: pairs to confirm per line stay level, and
+    nearly every line that brute force links is linked."""
+    from tabulark.llm import graph, line_dedup
+
+    made = []
+    was = graph.possible
+
+    def counted(pairs, *rest):
+        out = was(pairs, *rest)
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(graph, "possible", counted)
+    rng = np.random.default_rng(5)
+    for n in (200, 800):
+        made.append(0)
+        lines = sorted({f"the order numbered {a:05d} was shipped from the main store to its customer on monday" for a in rng.integers(0, 99999, n)})
+        docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+        kept = [r["text"] for r in line_dedup.dedup_lines(docs).where("n_removed = 0").collect()]
+        sets = [line_set(x, 6) for x in lines]
+        groups = Groups()
+        for i, x in enumerate(sets):
+            groups.root(i)
+            for j in range(i):
+                if similar(x, sets[j], 80):
+                    groups.join(i, j)
+        want = len({groups.root(i) for i in range(len(lines))})
+        assert want <= len(kept) <= want + 0.1 * (len(lines) - want), (want, len(kept), made)
+    # four times the lines; the pairs of a bucket would be sixteen times as many
+    assert 0 < made[1] < 8 * made[0]
