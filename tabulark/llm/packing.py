@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared, text_or_empty
+from .common import per_process, shared, text_or_empty
 
 CAPACITY = 4096
 EOT = 1
@@ -79,9 +79,10 @@ class WordTokenizer:
         return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
-def _tokenise(path: str, capacity: int, eot: int):
+def _tokenise(path: str | None, capacity: int, eot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(path)
+        # the words that a process has seen serve all its tasks
+        tok = per_process(("words", path), lambda: WordTokenizer(path or default_tokenizer()))
         end = np.array([eot], "<u4").tobytes()
         for b in batches:
             texts, i = b.column("text").to_pylist(), 0
@@ -109,10 +110,11 @@ def _tokenise(path: str, capacity: int, eot: int):
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, eot: int = EOT) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit): the
     ids of each text and the end id, cut every ``capacity`` ids. A null text
-    is empty and gives one piece that holds the end id."""
+    is empty and gives one piece that holds the end id. ``tokenizer`` is a path
+    that every worker can open; without one each looks up the public one."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_tokenise(tokenizer or default_tokenizer(), capacity, eot), f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(_tokenise(tokenizer, capacity, eot), f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
