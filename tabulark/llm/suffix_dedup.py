@@ -255,8 +255,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     end inside a character. An empty table gives an empty result; other
     columns are not read."""
     text = text_or_empty(text_col)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
-    id_ = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, th int"
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    id_ = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, th long"
     parse = texts.mapInArrow(_scan_phrases(length, gram), f"key long, entry long, {id_}, start int, n int, known boolean").repartition("key")
     group = Window.partitionBy("key")
     parse = parse.withColumn("r", F.rank().over(Window.partitionBy("key", "entry").orderBy("doc_id", "th", "start")))
