@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, buffers, text_or_empty
@@ -21,8 +21,9 @@ from .common import blocks, buffers, text_or_empty
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 DIM = 16
-#: rows of each language that are sampled, about this many in expectation
+#: rows of each language that are sampled at most, and characters of each
 PER_LANG = 400
+SAMPLE_CHARS = 1 << 16
 EPOCHS, RATE = 6, 4.0
 #: wanted error rate among accepted texts
 ERROR = 0.01
@@ -95,6 +96,9 @@ class Model:
         self.langs, self.table, self.to_class = langs, table, to_class
         self.temperature, self.threshold = temperature, threshold
 
+    def arrays(self) -> tuple:
+        return self.langs, self.table, self.to_class, self.temperature, self.threshold
+
     def probabilities(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         z = means(raw, offsets, self.table)
         if self.to_class is not None:
@@ -148,7 +152,7 @@ def train(texts: list[str], langs: list[str], held: np.ndarray, seed: int = 3) -
 
 def _predict(shared_model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared_model.value
+        model = Model(*shared_model.value)
         names = np.array([*model.langs, "und"], object)
         for b in batches:
             col = b.column("text")
@@ -172,8 +176,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from rows with a known language whose crc32(id as text) mod 4 is
     not 2 (0 and 1 train, 3 calibrates); a null id is never learned from and
-    counts as not held out. ``per_lang`` bounds the sample: about so many rows
-    of each language, chosen by a hash of the id. A text that is null or has
+    counts as not held out. ``per_lang`` bounds the sample: at most so many rows
+    of each language, drawn row by row whatever ids or texts repeat, of which
+    training reads ``SAMPLE_CHARS`` characters each; predictions read whole
+    texts. A text that is null or has
     no letter is ``und`` with score 0, and so is every text where no row can
     be learned from. ``accepted`` is the calibrated decision: accepted texts
     have an expected error of at most ``ERROR``. Only id, text and language
@@ -185,12 +191,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(rest == 2, F.lit(False)).alias("held_out"), text_or_empty(text_col).alias("text"))
     if not counts:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
-    share = spark.createDataFrame([(k, min(1 << 20, int((1 << 20) * per_lang / n) + 1)) for k, n in counts.items()], "_lang string, _share int")
-    draw = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 20))
-    sample = known.join(F.broadcast(share), F.col(lang_col).cast("string") == F.col("_lang")).where(draw < F.col("_share"))
-    sample = sample.select("_lang", (rest == 3).alias("held"), text_or_empty(text_col).alias("text"), draw.alias("o")).toPandas()
+    # about twice the wanted rows, drawn row by row so that repeated ids and texts
+    # are neither all in nor all out; the first of them by the draw are taken
+    share = spark.createDataFrame([(k, min(1 << 20, int((1 << 20) * 2 * per_lang / n) + 1)) for k, n in counts.items()], "_lang string, _share int")
+    draw = F.pmod(F.xxhash64(F.lit(11), F.col(id_col), F.monotonically_increasing_id()), F.lit(1 << 20))
+    drawn = known.select(F.col(lang_col).cast("string").alias("_lang"), (rest == 3).alias("held"), F.substring(text_or_empty(text_col), 1, SAMPLE_CHARS).alias("text"), draw.alias("o"))
+    drawn = drawn.join(F.broadcast(share), "_lang").where(F.col("o") < F.col("_share"))
+    first = F.row_number().over(Window.partitionBy("_lang").orderBy("o", F.xxhash64("text")))
+    sample = drawn.withColumn("r", first).where(F.col("r") <= per_lang).select("_lang", "held", "text", "o").toPandas()
     sample = sample.sort_values(["_lang", "o", "text"])
     model = train(sample["text"].tolist(), sample["_lang"].tolist(), sample["held"].to_numpy(bool))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, held_out boolean, lang_pred string, score double, accepted boolean"
-    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), out)
+    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model.arrays())), out)

@@ -232,7 +232,8 @@ def judge(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
     labelled = usable.join(known, "doc_id")
     n = labelled.count()
     part = min(1.0, SAMPLE_ROWS / max(n, 1))
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "n_chars"), F.lit(1 << 20)) < int(part * (1 << 20)))
+    # drawn row by row, so that a repeated row is neither all in nor all out
+    sample = labelled.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "th", F.monotonically_increasing_id()), F.lit(1 << 20)) < int(part * (1 << 20)))
     sample = sample.select("quality", *BASE, *MORE).toPandas().sort_values(["quality", *BASE, *MORE])
     good = features({c: sample.loc[sample["quality"] > 0, c].to_numpy() for c in sample})
     if not len(good):
