@@ -16,6 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .columns import q
 
 
@@ -71,79 +72,102 @@ def _log_scale(v: Column) -> Column:
     return F.when(v >= 0, F.log1p(v)).otherwise(-F.log1p(-v))
 
 
+#: first-level buckets per unit of the log scale, and parts of a bucket that is split
+_FINE, _SPLIT = 64, 1024
+#: values of one bucket that are sorted together
+SORTED = 1 << 16
+#: wanted buckets that are broadcast to the rows; beyond that they are joined by shuffle
+_BROADCAST_ROWS = 1 << 15
+
+
+def _histogram(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (*keys, v, _b: bucket, _in: the bucket it is part of) counted,
+    materialised; only one row per bucket and task is shuffled."""
+    agg = rows.groupBy(*keys, "_in", "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    return cut_lineage(agg)
+
+
+def _offsets(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """``hist`` with the rank of each bucket's first row inside _in (_off)."""
+    # a bounded window: the buckets of one group
+    before = Window.partitionBy(*keys, "_in").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return hist.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+
+
+def _held(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that pair buckets with ranks (_r inside _in), to the ranks that
+    the bucket holds: the rank inside it, its path, size and limits."""
+    hit = ranked.where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_c")))
+    path = F.concat_ws("/", "_in", "_b").alias("_in")
+    return cut_lineage(hit.select(*keys, path, "_p", "_side", "_frac", (F.col("_r") - F.col("_off")).alias("_r"), "_c", "_lo", "_hi"))
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    buckets: int | None = None,
+    limit: int = SORTED,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas ``linear`` = DuckDB
-    ``quantile_cont``) of every column in ``cols`` per ``by`` group.
-
-    Returns long rows ``(*by, column, p, value)``. Values are first reduced to
-    distinct (group, column, value, weight) with a map-side combine, so a value
-    repeated a billion times is one row. Each group's distinct values are then
-    split into ``buckets`` value ranges by a deterministic, order-preserving
-    map (log-scaled position between the group's exact min and max), ranks
-    come from a running sum inside each bucket plus the totals of the buckets
-    below, and only the rows holding the wanted ranks are kept. No group is
-    ever gathered in one task (Spark's ``percentile`` keeps every distinct
-    value of a group in one buffer), and because the buckets are a pure
-    function of the data, every branch of the plan sees the same split.
-    Buckets have two levels (log-scaled, then linear within each level-1
-    bucket), so a far outlier does not collapse the rest into one bucket;
-    both maps are monotonic in floating point, so bucket order is value order."""
+    ``quantile_cont``) of every column in ``cols`` per ``by`` group, as long
+    rows ``(*by, column, p, value)``; nulls and NaN do not count.
+
+    Selection by refining histograms: one pass over the rows counts buckets on
+    a log scale (partial aggregates, so a task sends one row per bucket); only
+    buckets that hold a wanted rank matter from then on. A bucket whose least
+    and largest value agree is an answer, however many rows it has. One with
+    more than ``limit`` rows is split evenly between its least and largest
+    value by another pass over the rows, which isolates repeated values and
+    clusters at any scale in a few passes; the rows of the others are sorted,
+    at most ``limit`` at a time. Values are never a shuffle key, and no group
+    meets in one task."""
     by = list(by)
     keys = by + ["column"]
-    # buckets per level; two levels give at most nb * nb non-empty buckets per group
-    nb = buckets or min(256, max(8, 4 * shuffle_partitions(df)))
     long = long_values(df, cols, by)
-    vc = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_w"))
-    # level 1: log-scaled position between the group's exact min and max
-    rng = vc.groupBy(*keys).agg(_log_scale(F.min("v")).alias("_lo"), _log_scale(F.max("v")).alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
-    b1 = F.when(span > 0, F.least(F.floor((_log_scale(F.col("v")) - F.col("_lo")) / span * nb), F.lit(nb - 1))).otherwise(F.lit(0))
-    vb1 = join_null_safe(vc, rng, keys).select(*keys, "v", "_w", b1.cast("long").alias("_b1"))
-    # level 2: linear position between each level-1 bucket's own min and max,
-    # so one far outlier cannot leave nearly all values in a single bucket
-    rng2 = vb1.groupBy(*keys, "_b1").agg(F.min("v").alias("_lo2"), F.max("v").alias("_hi2"))
-    span2 = F.col("_hi2") - F.col("_lo2")
-    b2 = F.when(span2 > 0, F.least(F.floor((F.col("v") - F.col("_lo2")) / span2 * nb), F.lit(nb - 1))).otherwise(F.lit(0))
-    vb = join_null_safe(vb1, rng2, [*keys, "_b1"]).select(*keys, "v", "_w", (F.col("_b1") * nb + b2.cast("long")).alias("_b"))
-    wloc = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    local = vb.withColumn("_cum", F.sum("_w").over(wloc))
-    btot = vb.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bt"))
-    # at most ``nb * nb`` rows per group: a bounded window
-    woff = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = btot.select(*keys, "_b", F.coalesce(F.sum("_bt").over(woff), F.lit(0)).alias("_off"))
-    ranked = join_null_safe(local, offs, [*keys, "_b"]).select(
-        *keys,
-        "v",
-        (F.col("_off") + F.col("_cum") - F.col("_w")).alias("_start"),
-        (F.col("_off") + F.col("_cum") - 1).alias("_end"),
-    )
-    sizes = btot.groupBy(*keys).agg(F.sum("_bt").alias("_n"))
-    plist = F.array(*[F.lit(float(p)) for p in probs])
-    tg = sizes.select(*keys, "_n", F.explode(plist).alias("p")).withColumn("_h", F.col("p") * (F.col("_n") - 1))
-    tg = tg.select(
-        *keys,
-        "p",
-        (F.col("_h") - F.floor("_h")).alias("_frac"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("side"), F.floor("_h").cast("long").alias("r")),
-                F.struct(F.lit(1).alias("side"), F.ceil("_h").cast("long").alias("r")),
-            )
-        ).alias("_t"),
-    ).select(*keys, "p", "_frac", F.col("_t.side").alias("_side"), F.col("_t.r").alias("_r"))
-    hit = join_null_safe(tg, ranked, keys).where((F.col("_r") >= F.col("_start")) & (F.col("_r") <= F.col("_end")))
-    res = hit.groupBy(*keys, "p").agg(
+    # order-preserving, also for infinite values
+    first = F.least(F.greatest(F.floor(_log_scale(F.col("v")) * _FINE), F.lit(-100_000)), F.lit(100_000)).cast("long")
+    hist = _histogram(long.withColumns({"_in": F.lit(""), "_b": first}), keys)
+    spots = []
+    for p in probs:
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        for side, r in enumerate((F.floor(h), F.ceil(h))):
+            spots.append(F.struct(F.lit(float(p)).alias("_p"), F.lit(side).alias("_side"), (h - F.floor(h)).alias("_frac"), r.cast("long").alias("_r")))
+    placed = _offsets(hist, keys).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys, "_in")))
+    at = _held(placed.select("*", F.explode(F.array(*spots)).alias("_s")).select("*", "_s.*"), keys)
+    # rows carry the path of buckets that they lie in, as far as it is of use
+    rows = long.withColumn("_in", F.concat_ws("/", F.lit(""), first))
+    answer = [*keys, "_p", "_side", "_frac", F.col("_lo").alias("v")]
+    found = at.where("_lo = _hi").select(*answer)
+    while True:
+        n, large = at.agg(F.count_if(F.expr("_lo < _hi")), F.count_if(F.expr(f"_lo < _hi and _c > {limit}"))).first()
+        if not n:
+            break
+        at = at.where("_lo < _hi")
+        buckets = at.select(*keys, "_in", "_c", "_lo", "_hi").distinct()
+        here = join_null_safe(rows, F.broadcast(buckets) if n <= _BROADCAST_ROWS else buckets, [*keys, "_in"])
+        few = here.where(F.col("_c") <= limit).select(*keys, "_in", "v")
+        rank = F.row_number().over(Window.partitionBy(*keys, "_in").orderBy("v")) - 1
+        sorted_ = join_null_safe(few.withColumn("_at", rank), at.where(F.col("_c") <= limit), [*keys, "_in"]).where("_at = _r")
+        found = found.unionByName(sorted_.select(*keys, "_p", "_side", "_frac", "v"))
+        if not large:
+            break
+        at = at.where(F.col("_c") > limit)
+        # halves first, so that the width of a bucket cannot overflow
+        part = F.floor(((F.col("v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)) * _SPLIT)
+        part = F.when(F.col("v") == F.col("_lo"), 0).when(F.col("v") == F.col("_hi"), _SPLIT).otherwise(F.least(part, F.lit(_SPLIT)).cast("long"))
+        split = here.where(F.col("_c") > limit).withColumn("_b", part)
+        ranks = at.select(*keys, "_in", "_p", "_side", "_frac", "_r")
+        at = _held(join_null_safe(ranks, _offsets(_histogram(split, keys), keys), [*keys, "_in"]), keys)
+        rows = split.select(*keys, "v", F.concat_ws("/", "_in", "_b").alias("_in"))
+        found = found.unionByName(at.where("_lo = _hi").select(*answer))
+    res = found.groupBy(*keys, F.col("_p").alias("p")).agg(
         F.max(F.when(F.col("_side") == 0, F.col("v"))).alias("_lo"),
         F.max(F.when(F.col("_side") == 1, F.col("v"))).alias("_hi"),
         F.max("_frac").alias("_frac"),
     )
-    return res.select(*keys, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("value"))
+    between = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
+    return res.select(*keys, "p", between.alias("value"))
 
 
 def quantile_wide(

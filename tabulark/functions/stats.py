@@ -9,26 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def pair_mask(a: Column, b: Column) -> tuple[Column, Column]:
-    """Pairwise-complete rows: both values (doubles) present, NaN is missing."""
-    both = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
-    return F.when(both, a), F.when(both, b)
-
-
-def corr_expr(a: Column, b: Column) -> Column:
-    """Pearson r on pairwise-complete rows; null (not an error) for a constant
-    side. ``F.corr`` raises DIVIDE_BY_ZERO under ANSI mode on constants."""
-    x, y = pair_mask(a.cast("double"), b.cast("double"))
-    den = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(F.count(x) >= 2, F.try_divide(F.covar_pop(x, y), F.when(den > 0, den)))
-
-
-def covar_expr(a: Column, b: Column) -> Column:
-    """Sample covariance on pairwise-complete rows (pandas ``cov``)."""
-    x, y = pair_mask(a.cast("double"), b.cast("double"))
-    return F.covar_samp(x, y)
-
-
 def skew_expr(c: Column) -> Column:
     """Bias-corrected skewness G1 (pandas / DuckDB); null for n<3 or constant."""
     x = c.cast("double")

@@ -1,7 +1,7 @@
 """Relationships between columns.
 
-All pairs are computed in ONE aggregate pass (each pair is a few running sums
-in the partial-aggregation buffer), never by looping over column pairs."""
+All pairs come from one pass that keeps a co-moment matrix per partition (see
+``functions.comoments``), never from a loop over column pairs."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, q, resolve
+from ..functions.columns import numeric_columns, resolve
+from ..functions.comoments import pair_moments
 from ..functions.ordering import long_values
-from ..functions.stats import corr_expr, covar_expr, cv_expr, kurt_expr, pair_mask, skew_expr
+from ..functions.stats import cv_expr, kurt_expr, skew_expr
 
 
 def _pairs(cols: Sequence[str], diagonal: bool = False):
@@ -21,13 +22,9 @@ def _pairs(cols: Sequence[str], diagonal: bool = False):
             yield a, b
 
 
-def _stack_pairs(agg: DataFrame, pairs, stat_names: Sequence[str]) -> DataFrame:
-    rows = []
-    for k, (a, b) in enumerate(pairs):
-        ea, eb = a.replace("'", "''"), b.replace("'", "''")
-        rows.append(f"'{ea}', '{eb}', " + ", ".join(f"`{s}{k}`" for s in stat_names))
-    cols = ", ".join(["left", "right", *stat_names])
-    return agg.select(F.expr(f"stack({len(rows)}, {', '.join(rows)}) as ({cols})"))
+def _corr(digits: int):
+    """r of a pair's co-moments; null where a side is constant."""
+    return F.round(F.when(F.col("n") >= 2, F.try_divide("c", F.nullif(F.sqrt("m2_left") * F.sqrt("m2_right"), F.lit(0.0)))), digits).alias("corr")
 
 
 def correlation(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 3) -> DataFrame:
@@ -37,11 +34,7 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None, digits: int =
     pairs = list(_pairs(cols))
     if not pairs:
         raise ValueError("need at least two numeric columns")
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        x, _ = pair_mask(q(a), q(b))
-        aggs += [F.round(corr_expr(q(a), q(b)), digits).alias(f"corr{k}"), F.count(x).alias(f"n{k}")]
-    return _stack_pairs(df.agg(*aggs), pairs, ["corr", "n"])
+    return pair_moments(df, cols, cols, pairs).select("left", "right", _corr(digits), "n")
 
 
 def top_correlations(df: DataFrame, k: int = 3, min_abs: float = 0.0, cols: Sequence[str] | None = None) -> DataFrame:
@@ -61,20 +54,17 @@ def correlate_with(df: DataFrame, target: str, cols: Sequence[str] | None = None
     """R of every numeric feature with ``target`` ``(feature, corr, n)``."""
     target = resolve(df, target)
     feats = [c for c in (cols or numeric_columns(df)) if c != target]
-    aggs = []
-    for k, f in enumerate(feats):
-        x, _ = pair_mask(q(f), q(target))
-        aggs += [F.round(corr_expr(q(f), q(target)), digits).alias(f"corr{k}"), F.count(x).alias(f"n{k}")]
-    st = _stack_pairs(df.agg(*aggs), [(f, target) for f in feats], ["corr", "n"])
-    return st.select(F.col("left").alias("feature"), "corr", "n")
+    found = pair_moments(df, feats, [target], [(f, target) for f in feats])
+    return found.select(F.col("left").alias("feature"), _corr(digits), "n")
 
 
 def covariance(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
-    """Sample covariance for every pair including the diagonal (variance)."""
+    """Sample covariance for every pair including the diagonal (variance);
+    null for fewer than two complete rows."""
     cols = list(cols) if cols else numeric_columns(df)
-    pairs = list(_pairs(cols, diagonal=True))
-    aggs = [F.round(covar_expr(q(a), q(b)), digits).alias(f"cov{k}") for k, (a, b) in enumerate(pairs)]
-    return _stack_pairs(df.agg(*aggs), pairs, ["cov"])
+    found = pair_moments(df, cols, cols, list(_pairs(cols, diagonal=True)))
+    cov = F.when(F.col("n") >= 2, F.try_divide("c", F.col("n") - 1))
+    return found.select("left", "right", F.round(cov, digits).alias("cov"))
 
 
 def moments(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -> DataFrame:

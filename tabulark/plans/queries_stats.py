@@ -64,11 +64,11 @@ def a11_corr_with(spark, sf):
     "a12_covariance",
     "\nUNION ALL\n".join(
         f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(covar_samp({a}, {b}), 4) + 0.0 AS cov FROM lineitem"
-        for a, b in _pairs(("l_quantity", "l_discount", "l_tax"), diagonal=True)
+        for a, b in _pairs(_LI, diagonal=True)
     ),
 )
 def a12_cov(spark, sf):
-    return R.covariance(load(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    return R.covariance(load(spark, sf, "lineitem"))
 
 
 @register(
