@@ -22,6 +22,7 @@ from ..functions.columns import is_numeric, q, resolve
 from ..functions.columns import value as cell
 from ..functions.ordering import exact_quantiles, quantile_wide
 from ..session import cut_lineage
+from .forest import mean_by_setting, node_table, with_spread
 from .profile import modes, value_freq
 from .roles import identifier_flags
 
@@ -41,7 +42,7 @@ class TrainedModel:
     categorical: list[str]
     medians: dict = field(default_factory=dict)
     labels: list[str] = field(default_factory=list)
-    feature_names: list[str] = field(default_factory=list)
+    feature_names: list[str | None] = field(default_factory=list)
     seed: int = 42
 
     @property
@@ -131,7 +132,7 @@ def split(df: DataFrame, by: str, train_pct: int = 75, seed: int = 42) -> tuple[
     return joined.where("__train").select(*cols), joined.where("not __train").select(*cols)
 
 
-def train(df: DataFrame, target: str, trees: int = 50, seed: int = 42, max_depth: int | None = None) -> tuple[TrainedModel, DataFrame]:
+def train(df: DataFrame, target: str, trees: int = 200, seed: int = 42, max_depth: int | None = None) -> tuple[TrainedModel, DataFrame]:
     """M2: random forest; classification for a text target or <= 10 classes,
     else regression (depth 10 / 12). Returns (model, held-out 25% test frame)."""
     target = resolve(df, target)
@@ -169,10 +170,8 @@ def train(df: DataFrame, target: str, trees: int = 50, seed: int = 42, max_depth
     names = list(num)
     for c in cat:
         idx = [s for s in pm.stages if getattr(s, "getOutputCol", lambda: "")() == f"{c}__idx"][0]
-        # with handleInvalid="keep" the extra invalid slot is the one dropped,
-        # so every seen level keeps a column and unseen levels encode as zeros
-        levels = list(idx.labels)
-        names += [f"{c}_{lv}" for lv in levels]
+        # the indexer keeps a place for unseen levels behind the known ones
+        names += [*(f"{c}_{level}" for level in idx.labels), None]
     return TrainedModel(pm, task, target, list(num), list(cat), medians, labels, names, seed), te
 
 
@@ -238,7 +237,7 @@ def evaluate(model: TrainedModel, df: DataFrame, digits: int = 4) -> DataFrame:
 def importances(model: TrainedModel, top: int = 12, digits: int = 4) -> DataFrame:
     """M4: impurity importances with feature names, top ``top``."""
     vals = model.forest.featureImportances.toArray().tolist()
-    rows = [(n, float(v)) for n, v in zip(model.feature_names, vals)]
+    rows = [(n, float(v)) for n, v in zip(model.feature_names, vals, strict=True) if n is not None]
     from pyspark.sql import SparkSession
 
     # one row per model feature: metadata of the fitted model, not table data
@@ -292,46 +291,77 @@ def permutation_importance(
     )
 
 
+def feature_slots(model: TrainedModel) -> dict[str, dict[str | None, int]]:
+    """Each input column's places in the feature vector: {None: place} of a
+    number, {level: place} of a category."""
+    slots: dict[str, dict[str | None, int]] = {c: {None: i} for i, c in enumerate(model.numeric)}
+    at = len(model.numeric)
+    for c in model.categorical:
+        index = next(s for s in model.pipeline.stages if getattr(s, "getOutputCol", lambda: "")() == f"{c}__idx")
+        slots[c] = {level: at + k for k, level in enumerate(index.labels)}
+        at += len(index.labels) + 1
+    return slots
+
+
+def leading_features(model: TrainedModel, k: int = 2) -> list[str]:
+    """The ``k`` input columns with the largest impurity importance, all
+    levels of a category together."""
+    weight = model.forest.featureImportances.toArray()
+    total = {c: sum(float(weight[i]) for i in places.values()) for c, places in feature_slots(model).items()}
+    return sorted(total, key=lambda c: (-total[c], c))[:k]
+
+
 def partial_dependence(model: TrainedModel, df: DataFrame, feature: str, grid: int = 20, digits: int = 4) -> DataFrame:
-    """M6: mean prediction with ``feature`` set to each of ``grid`` quantile
-    points (numeric) or each level (categorical), over all rows. The grid is a
-    scalar subquery; every row explodes into one copy per grid value."""
-    base = prepare(model, df)
+    """M6: mean prediction (of the second class's probability for two classes)
+    with ``feature`` set to each of ``grid`` quantile points (numeric) or each
+    level (categorical), over all rows. Equal feature vectors are counted
+    first, and each is scored once per grid value inside its task; only sums
+    per value leave it."""
+    spark = df.sparkSession
+    base = model.pipeline.transform(prepare(model, df))
+    slots = feature_slots(model)
     if feature in model.numeric:
         probs = [i / (grid - 1) for i in range(grid)] if grid > 1 else [0.5]
-        pts = exact_quantiles(df, [feature], probs).agg(F.array_sort(F.collect_set("value")).alias("g")).scalar()
-        ex = base.withColumn("__v", F.explode(pts)).withColumn(feature, F.col("__v"))
+        points = sorted({r["value"] for r in exact_quantiles(df, [feature], probs).collect()})
+        settings = [(str(v), {slots[feature][None]: float(v)}) for v in points]
     else:
-        lv = value_freq(df, [feature]).where(F.col("value").isNotNull()).agg(F.array_sort(F.collect_list("value")).alias("g")).scalar()
-        ex = base.withColumn("__v", F.explode(lv)).withColumn(feature, F.col("__v"))
-    sc = model.pipeline.transform(ex)
-    if model.task == "classification":
-        y = vector_to_array("probability")[1] if len(model.labels) == 2 else F.col("prediction")
+        # at most MAX_LEVELS values at training; a level unseen there sets no place
+        values = sorted(r["value"] for r in value_freq(df, [feature]).collect() if r["value"] is not None)
+        settings = [(v, {i: float(level == v) for level, i in slots[feature].items()}) for v in values]
+    vectors = base.groupBy("features").agg(F.count(F.lit(1)).alias("weight"))
+    if model.task == "regression":
+        outcome = lambda y: y[:, 0]
+    elif len(model.labels) == 2:
+        outcome = lambda y: y[:, 1]
     else:
-        y = F.col("prediction")
-    return sc.groupBy(F.col("__v").cast("string").alias("value")).agg(F.round(F.avg(y), digits).alias("mean_prediction"), F.count(F.lit(1)).alias("rows"))
+        outcome = lambda y: y.argmax(axis=1).astype(float)
+    sums = mean_by_setting(vectors, node_table(model.forest, spark), len(model.feature_names), settings, outcome)
+    return sums.select("value", F.round(F.col("total") / F.col("rows"), digits).alias("mean_prediction"), "rows")
+
+
+def leading_dependence(model: TrainedModel, df: DataFrame, k: int = 2, grid: int = 20) -> DataFrame:
+    """M6 for the ``k`` leading features: (feature, value, mean_prediction, rows)."""
+    parts = [partial_dependence(model, df, c, grid).select(F.lit(c).alias("feature"), "*") for c in leading_features(model, k)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def score_with_interval(model: TrainedModel, df: DataFrame, z: float = 1.645, digits: int = 4) -> DataFrame:
     """M8: regression prediction with a 90% interval: +- z * population std of
-    the per-tree predictions."""
+    the per-tree predictions. The columns of ``df`` come first; what
+    :func:`train` added to its test rows is left out."""
     if model.task != "regression":
         raise ValueError("intervals are for regression models")
-    feats = model.pipeline.transform(prepare(model, df))
-    cols = []
-    for i, tree in enumerate(model.forest.trees):
-        tree.setFeaturesCol("features").setPredictionCol(f"__t{i}")
-        feats = tree.transform(feats)
-        cols.append(F.col(f"__t{i}"))
-    arr = F.array(*cols)
-    n = len(cols)
-    mean = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / n
-    out = feats.withColumn("__mean", mean).withColumn(
-        "__sd", F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + (x - F.col("__mean")) * (x - F.col("__mean"))) / n)
+    df = df.select(*[q(c) for c in df.columns if not c.startswith("__label")])
+    spread = with_spread(
+        model.pipeline.transform(prepare(model, df)).select(*[q(c) for c in df.columns], "features", "prediction"),
+        node_table(model.forest, df.sparkSession),
+        len(model.feature_names),
     )
-    keep = [c for c in df.columns]
-    return out.select(
-        *[q(c) for c in keep if c in out.columns],
+    return spread.select(
+        *[q(c) for c in df.columns],
         F.round("prediction", digits).alias("prediction"),
         F.round(F.col("prediction") - z * F.col("__sd"), digits).alias("lower"),
         F.round(F.col("prediction") + z * F.col("__sd"), digits).alias("upper"),
