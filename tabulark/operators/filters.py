@@ -45,7 +45,8 @@ def numeric_condition(c: Column, dt, op: str, value) -> Column:
     except ArithmeticError:
         v = None
     if v is None or not v.is_finite():
-        if op == "==":
+        # nothing equals such a value, and nothing compares with NaN
+        if op == "==" or float(value) != float(value):
             return F.lit(False)
         return COMPARE[op](c.cast("double"), F.lit(float(value))) & ~F.isnan(c.cast("double"))
     if is_integral(dt):

@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, q, value
-from ..session import cut_lineage
 from . import aggregate as A
 from . import relate as R
 from . import windows as W
-from .quality import issue_list, profile, quality_facts, quality_issues, quality_score
+from .quality import issue_list, quality_facts, quality_issues, quality_score, table_facts
 from .roles import column_roles
 
 
@@ -69,6 +68,7 @@ def kpis(df: DataFrame, metric: str | None = None, digits: int = 2) -> DataFrame
     facts = quality_facts(df)
     metric = metric or pick_columns(df, facts)["metric"]
     qs = quality_score(df, facts).select("score").scalar()
+    df = facts["table"]
     m = q(metric).cast("double") if metric else F.lit(None).cast("double")
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -102,10 +102,10 @@ def insights(df: DataFrame, metric: str | None = None, dim: str | None = None, l
     numbers: profile (rows), kpi (total, mean), segment leader share, quality
     (missing cells, duplicate rows), strongest relationship (|r| >= 0.3), IQR
     anomalies (from 8 values on). ``limit`` cuts the list."""
-    miss = cut_lineage(A.missing_report(df))
-    prof = cut_lineage(profile(df, miss))
+    facts = quality_facts(df)
+    prof, df = facts["prof"], facts["table"]
     if metric is None or dim is None:
-        cols = pick_columns(df)
+        cols = pick_columns(df, facts)
         metric, dim = metric or cols["metric"], dim or cols["dimension"]
     fact = lambda name, c: F.concat(F.lit(name + "="), c.cast("string"))
     parts = [
@@ -127,8 +127,7 @@ def insights(df: DataFrame, metric: str | None = None, dim: str | None = None, l
         tc = R.top_correlations(df, k=1, min_abs=0.3, cols=nums)
         parts.append(tc.select(F.lit(4), F.lit("relationship"), F.concat_ws(" ~ ", "left", "right"), F.col("corr"), F.col("strength")))
     if metric:
-        enough = df.agg(F.count(value(df, metric))).scalar() >= 8
-        io = W.iqr_outliers(df, [metric]).where((F.col("outliers") > 0) & enough)
+        io = facts["outliers"].where((F.col("column") == metric) & (F.col("outliers") > 0))
         parts.append(io.select(F.lit(5), F.lit("anomaly"), F.col("column"), F.col("outliers").cast("double"), F.lit("iqr_outliers")))
     out = parts[0]
     for p in parts[1:]:
@@ -145,6 +144,7 @@ def investigate(df: DataFrame, metric: str | None = None, dim: str | None = None
     if not (metric and dim and date):
         cols = pick_columns(df, facts)
         metric, dim, date = metric or cols["metric"], dim or cols["dimension"], date or cols["time"]
+    df = facts["table"]
     steps = []
     str_map = lambda fr: F.map_from_arrays(F.array(*[F.lit(c) for c in fr.columns]), F.array(*[F.col(c).cast("string") for c in fr.columns]))
     if metric and date:
@@ -171,11 +171,12 @@ def investigate(df: DataFrame, metric: str | None = None, dim: str | None = None
 def story_facts(df: DataFrame, metric: str | None = None, dims=None) -> dict[str, DataFrame]:
     """Q25: profile, primary metric total/mean, 3 dimensions x top 5, and the
     3 strongest pairs."""
+    facts = table_facts(df)
     if not (metric and dims):
-        cols = pick_columns(df)
+        cols = pick_columns(facts["table"])
         metric, dims = metric or cols["metric"], dims or cols["dimensions"][:3]
-    dims = list(dims)
-    out = {"profile": profile(df)}
+    dims, df = list(dims), facts["table"]
+    out = {"profile": facts["prof"]}
     if metric:
         out["metric"] = df.agg(F.round(F.sum(q(metric).cast("double")), 2).alias("total"), F.round(F.avg(q(metric).cast("double")), 2).alias("mean"))
         if dims:
@@ -196,6 +197,7 @@ def decision_triggers(df: DataFrame, metric: str | None = None, dim: str | None
     if metric is None or dim is None or date is None:
         cols = pick_columns(df, facts)
         metric, dim, date = metric or cols["metric"], dim or cols["dimension"], date or cols["time"]
+    df = facts["table"]
     parts = []
     if metric and dim:
         s = A.segment_driver(df, dim, metric)

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import numeric_columns, q, scalar_columns
 from ..functions.ordering import long_values, quantile_wide, top_k_per_group
@@ -94,15 +95,42 @@ def schema_frame(df: DataFrame) -> DataFrame:
     )
 
 
-def column_facts(df: DataFrame) -> DataFrame:
-    """Schema frame + rows, non-null and distinct counts per column (from
-    ``value_freq``; complex-typed columns get null counts)."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    vf = value_freq(df)
-    counts = vf.groupBy("column").agg(
-        F.count("value").alias("distinct"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))), F.lit(0)).alias("non_null"),
-    )
-    return schema_frame(df).join(counts, "column", "left").select(
-        "*", n.alias("rows")
-    ).withColumn("nulls", F.col("rows") - F.col("non_null"))
+def comparable(df: DataFrame, name: str) -> Column:
+    """The column as something that can be hashed: maps, which cannot, as JSON
+    of their sorted entries."""
+    c, kind = q(name), df.schema[name].dataType
+    if isinstance(kind, T.MapType):
+        return F.to_json(F.array_sort(F.map_entries(c))) if "map<" not in kind.valueType.simpleString() else F.to_json(c)
+    return F.to_json(c) if "map<" in kind.simpleString() else c
+
+
+def row_hashes(df: DataFrame) -> list[Column]:
+    """128 bits of a whole row. Nulls count: a bare hash would skip them."""
+    cells = [x for c in df.columns for x in (comparable(df, c), q(c).isNull())]
+    return [F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells)]
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, rows: bool = False) -> DataFrame:
+    """(column, distinct, non_null) of the scalar columns' values as text and,
+    with ``rows``, of whole rows under a null name. Values travel as 128 bits,
+    whatever their length; with D different values a clash has a probability
+    of about D^2 / 2^129."""
+    cols = list(cols) if cols is not None else scalar_columns(df)
+    cells = [(i, q(c).cast("string")) for i, c in enumerate(cols)]
+    hashed = [F.struct(F.lit(i).alias("i"), F.when(c.isNotNull(), F.xxhash64(c)).alias("h1"), F.when(c.isNotNull(), F.xxhash64(F.lit(1), c)).alias("h2")) for i, c in cells]
+    if rows:
+        h1, h2 = row_hashes(df)
+        hashed.append(F.struct(F.lit(-1).alias("i"), h1.alias("h1"), h2.alias("h2")))
+    long = df.select(F.explode(F.array(*hashed)).alias("c")).select("c.*")
+    counted = long.groupBy("i", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy("i").agg(F.count("h1").alias("distinct"), F.coalesce(F.sum(F.when(F.col("h1").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1) if cols else F.lit(None)
+    return totals.select(F.when(F.col("i") >= 0, name).alias("column"), "distinct", "non_null")
+
+
+def column_facts(df: DataFrame, counts: DataFrame | None = None, rows: int | Column | None = None) -> DataFrame:
+    """Schema frame + rows, non-null and distinct counts per column (complex
+    columns get null counts). ``counts`` and ``rows`` where they are known."""
+    n = df.agg(F.count(F.lit(1))).scalar() if rows is None else F.lit(rows).cast("long")
+    counts = distinct_counts(df) if counts is None else counts.where(F.col("column").isNotNull())
+    return schema_frame(df).join(counts, "column", "left").select("*", n.alias("rows")).withColumn("nulls", F.col("rows") - F.col("non_null"))

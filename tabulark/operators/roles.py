@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .profile import column_facts
 
 # Name words (substring match on the lower-cased name) per role.
@@ -25,10 +26,11 @@ def _has_any(name: Column, terms) -> Column:
     return out
 
 
-def role_flags(df: DataFrame) -> DataFrame:
+def role_flags(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """One row per column with boolean role flags: metric, target_candidate,
-    time, id, dimension (before the no-metric fallback)."""
-    f = column_facts(df)
+    time, id, dimension (before the no-metric fallback). ``facts``: the
+    table's ``column_facts``, where they are known."""
+    f = column_facts(df) if facts is None else facts
     name = F.lower("column")
     compact = F.regexp_replace(name, "[^a-z0-9]+", "")
     rows = F.greatest(F.col("rows"), F.lit(1))
@@ -84,10 +86,10 @@ def column_roles(df: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     return long.select("column", "role", F.row_number().over(wr).alias("rank"))
 
 
-def identifier_flags(df: DataFrame) -> DataFrame:
+def identifier_flags(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(column, is_identifier): an id role, a name ending in "id", or >= 95%
     unique (numeric columns also need a number/key/identifier name)."""
-    fl = role_flags(df)
+    fl = role_flags(df, facts)
     name = F.regexp_replace(F.lower("column"), "[^a-z0-9]+", "")
     ratio = F.col("distinct") / F.greatest(F.col("rows"), F.lit(1))
     numeric_rule = (ratio >= 0.95) & (name.endswith("number") | name.endswith("key") | (name == "identifier"))
@@ -98,9 +100,8 @@ def identifier_flags(df: DataFrame) -> DataFrame:
 def entity_columns(df: DataFrame, entity: str | None = None) -> DataFrame:
     """Identifier candidates and display candidates, long
     ``(kind, column, rank)`` with kind in {identifier, display}."""
-    fl = identifier_flags(df)
-    roles = role_flags(df).select("column", "is_id")
-    fl = fl.join(roles, "column")
+    known = cut_lineage(column_facts(df))
+    fl = identifier_flags(df, known).join(role_flags(df, known).select("column", "is_id"), "column")
     norm = F.regexp_replace(F.lower("column"), "[^a-z0-9]+", "")
     any_id = fl.agg(F.count_if("is_id")).scalar()
     preferred = F.lit(False)

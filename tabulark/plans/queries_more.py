@@ -12,6 +12,7 @@ from ..operators import insight as I
 from ..operators import ml as M
 from ..session import checkpoint_dir
 from ..sources import io as S
+from . import quality_sql as QS
 from .catalog import load, register
 
 # ---- insight bundles --------------------------------------------------------------
@@ -26,23 +27,47 @@ def sales_frame(spark, sf):
     )
 
 
-@register("q20_readiness")
+@register("q20_readiness", QS.READINESS)
 def q20(spark, sf):
-    return I.readiness(sales_frame(spark, sf))
+    return I.readiness(sales_frame(spark, sf)).withColumn("risk_flags", F.array_join("risk_flags", ","))
 
 
-@register("q21_kpis")
+@register("q21_kpis", QS.KPIS)
 def q21(spark, sf):
     return I.kpis(sales_frame(spark, sf), metric="o_totalprice")
 
 
-@register("q22_dashboard_segments")
+def _dashboard(spark, sf):
+    return I.dashboard_series(sales_frame(spark, sf), metric="o_totalprice", dim="c_mktsegment", date="o_orderdate")
+
+
+@register("q22_dashboard_trend", QS.TREND)
+def q22_trend(spark, sf):
+    return _dashboard(spark, sf)["trend"]
+
+
+@register("q22_dashboard_segments", QS.TOTALS)
 def q22(spark, sf):
-    series = I.dashboard_series(sales_frame(spark, sf), metric="o_totalprice", dim="c_mktsegment", date="o_orderdate")
-    return series["segment_totals"]
+    return _dashboard(spark, sf)["segment_totals"]
+
+
+@register("q22_dashboard_counts", QS.COUNTS)
+def q22_counts(spark, sf):
+    return _dashboard(spark, sf)["segment_counts"]
 
 
-@register("q23_insights")
+@register("q22_dashboard_histogram", QS.HISTOGRAM)
+def q22_histogram(spark, sf):
+    h = _dashboard(spark, sf)["histogram"]
+    return h.select("bin", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"), "count")
+
+
+@register("q22_dashboard_pair", QS.PAIR)
+def q22_pair(spark, sf):
+    return _dashboard(spark, sf)["metric_pair"]
+
+
+@register("q23_insights", QS.INSIGHTS)
 def q23(spark, sf):
     return I.insights(sales_frame(spark, sf), metric="o_totalprice", dim="c_mktsegment")
 
@@ -52,26 +77,46 @@ def q24(spark, sf):
     return I.investigate(sales_frame(spark, sf), metric="o_totalprice", dim="c_mktsegment", date="o_orderdate")
 
 
-@register("q25_story_breakdowns")
+def _story(spark, sf):
+    return I.story_facts(sales_frame(spark, sf), metric="o_totalprice", dims=["c_mktsegment", "o_orderpriority"])
+
+
+@register("q25_story_profile", QS.PROFILE)
+def q25_profile(spark, sf):
+    return _story(spark, sf)["profile"]
+
+
+@register("q25_story_metric", QS.METRIC)
+def q25_metric(spark, sf):
+    return _story(spark, sf)["metric"]
+
+
+@register("q25_story_breakdowns", QS.BREAKDOWNS)
 def q25(spark, sf):
-    return I.story_facts(sales_frame(spark, sf), metric="o_totalprice", dims=["c_mktsegment", "o_orderpriority"])["breakdowns"]
+    return _story(spark, sf)["breakdowns"]
+
 
+@register("q25_story_pairs", QS.PAIRS)
+def q25_pairs(spark, sf):
+    return _story(spark, sf)["pairs"]
 
-@register("q26_decision_triggers")
+
+@register("q26_decision_triggers", QS.TRIGGERS)
 def q26(spark, sf):
     return I.decision_triggers(sales_frame(spark, sf), metric="o_totalprice", dim="c_mktsegment", date="o_orderdate")
 
 
 # ---- models -----------------------------------------------------------------------
 
-TREES = 50
+#: as many as the models are meant to have
+TREES = 200
 
 
-def part_model(spark, sf, trees=TREES):
+def part_model(spark, sf):
     """Regression forest: part retail price from size and type (brand has more
     than 15 levels, so it is left out by the feature rules)."""
     part = load(spark, sf, "part").drop("p_name")
-    return M.train(part, "p_retailprice", trees=trees)
+    return M.train(part, "p_retailprice", trees=TREES)
 
 
 def labels_frame(spark, sf):
@@ -112,14 +157,14 @@ def m4(spark, sf):
 
 @register("m5_permutation_importance")
 def m5(spark, sf):
-    model, test = part_model(spark, sf, trees=20)
+    model, test = part_model(spark, sf)
     return M.permutation_importance(model, test, repeats=5)
 
 
 @register("m6_partial_dependence")
 def m6(spark, sf):
-    model, _ = part_model(spark, sf, trees=20)
-    return M.partial_dependence(model, load(spark, sf, "part"), "p_size", grid=20)
+    model, _ = part_model(spark, sf)
+    return M.leading_dependence(model, load(spark, sf, "part"), k=2, grid=20)
 
 
 @register("m7_batch_scoring")
@@ -130,13 +175,13 @@ def m7(spark, sf):
 
 @register("m8_prediction_interval")
 def m8(spark, sf):
-    model, test = part_model(spark, sf, trees=20)
-    return M.score_with_interval(model, test.select("p_size", "p_type", "label"))
+    model, test = part_model(spark, sf)
+    return M.score_with_interval(model, test)
 
 
 @register("m9_scenario")
 def m9(spark, sf):
-    model, _ = part_model(spark, sf, trees=20)
+    model, _ = part_model(spark, sf)
     part = load(spark, sf, "part")
     return M.scenario(model, part, [("p_size", "percent", 10), ("p_type", "set", "PROMO")])
 

@@ -14,6 +14,7 @@ from ..operators import roles as RO
 from ..operators import rows as T
 from ..session import checkpoint_dir
 from ..streaming.validate import run_validation
+from . import quality_sql as QS
 from .catalog import load, register
 from .derived import dirty_events
 
@@ -242,17 +243,22 @@ def q2_roles(spark, sf):
     return RO.column_roles(load(spark, sf, "orders"))
 
 
-@register("q3_semantic_schema")
+_CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
+_CUSTOMER_KINDS = [(c, {"bigint": "integer", "int": "integer"}.get(t, t)) for c, t in _CUSTOMER.items()]
+
+
+@register("q3_semantic_schema", QS.semantic_schema_sql("SELECT * FROM customer", _CUSTOMER_KINDS, _CUSTOMER))
 def q3_semantic(spark, sf):
-    return Q.semantic_schema(load(spark, sf, "customer"))
+    f = Q.semantic_schema(load(spark, sf, "customer"))
+    return f.withColumns({"samples": F.array_join("samples", "|"), "candidate_roles": F.array_join("candidate_roles", ",")})
 
 
-@register("q4_quality_issues")
+@register("q4_quality_issues", QS.ISSUES)
 def q4_issues(spark, sf):
     return Q.quality_issues(dirty_events(spark, sf))
 
 
-@register("q5_quality_score")
+@register("q5_quality_score", QS.SCORE)
 def q5_score(spark, sf):
     return Q.quality_score(dirty_events(spark, sf))
 
@@ -425,7 +431,26 @@ def q17_drift(spark, sf):
     return Q.drift(a, b)
 
 
-@register("q17_compare_schemas")
+_Q17_COLUMNS = {
+    "l_orderkey": ("bigint",) * 2, "l_partkey": ("bigint",) * 2, "l_suppkey": ("bigint",) * 2, "l_linenumber": ("int", "bigint"),
+    "l_quantity": ("double",) * 2, "l_extendedprice": ("double",) * 2, "l_discount": ("double",) * 2, "l_tax": ("double", None),
+    "l_returnflag": ("string",) * 2, "l_linestatus": ("string",) * 2, "l_shipdate": ("timestamp_ntz",) * 2, "l_net": (None, "double"),
+}
+_Q17_SQL = (
+    "WITH n AS (SELECT count_if(l_shipdate < TIMESTAMP '1998-01-01') AS a, count_if(l_shipdate >= TIMESTAMP '1998-01-01') AS b FROM lineitem), c AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {f"'{x}'" if x else 'CAST(NULL AS VARCHAR)'} AS v1_type, {f"'{y}'" if y else 'CAST(NULL AS VARCHAR)'} AS v2_type"
+        for c, (x, y) in _Q17_COLUMNS.items()
+    )
+    + """)
+    SELECT "column", v1_type, v2_type,
+           CASE WHEN v1_type IS NULL THEN 'added' WHEN v2_type IS NULL THEN 'removed' WHEN v1_type <> v2_type THEN 'type_changed' ELSE 'same' END AS change,
+           CAST(a AS BIGINT) AS v1_rows, CAST(b AS BIGINT) AS v2_rows, CAST(b - a AS BIGINT) AS row_delta, round((b - a) * 100.0 / greatest(a, 1), 1) AS row_pct_change
+    FROM c, n"""
+)
+
+
+@register("q17_compare_schemas", _Q17_SQL)
 def q17_schema(spark, sf):
     li = load(spark, sf, "lineitem")
     a = li.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))

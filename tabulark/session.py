@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tabulark") -> SparkSession:
@@ -59,3 +61,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, for several readers
+    that each need few columns; any column names are kept."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    plain = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    kinds = [f.dataType.typeName() for f in df.schema.fields]
+    plain = [c.cast("string") if k == "void" else c for c, k in zip(plain, kinds, strict=True)]
+    df.select(*[c.alias(f"c{i}") for i, c in enumerate(plain)]).write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
