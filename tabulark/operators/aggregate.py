@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import numeric_columns, q, resolve, string_columns, value
 from ..functions.coerce import number, to_timestamp_mixed
 from ..functions.ordering import exact_quantiles, join_null_safe, long_values, quantile_wide, top_k_per_group
-from ..functions.stats import safe_div
+from ..functions.stats import p_value_f, p_value_t, safe_div
 from .filters import apply_filters
 
 GROUP_OPS = ("count", "count_distinct", "sum", "mean", "median", "min", "max", "percentage")
@@ -382,7 +382,8 @@ def mean_difference_test(df: DataFrame, dim: str, col: str, digits: int = 4) ->
     """Welch t (two groups) or one-way ANOVA F (three or more).
 
     Group n/mean/variance are one distributed aggregate; the statistic is an
-    aggregate over that grouped frame. p-values are not computed."""
+    aggregate over that grouped frame, one row, whose p-value (two-sided for t,
+    6 dp) comes from the incomplete beta function."""
     dim, col = resolve(df, dim), resolve(df, col)
     x = number(df, col)
     g = (
@@ -407,14 +408,21 @@ def mean_difference_test(df: DataFrame, dim: str, col: str, digits: int = 4) ->
     welch_df = safe_div((va + vb) * (va + vb), va * va / (F.col("a.n") - 1) + vb * vb / (F.col("b.n") - 1))
     anova_f = safe_div(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k")))
     two = F.col("k") == 2
-    return s.where(F.col("k") >= 2).select(
-        F.when(two, F.lit("welch_t")).otherwise(F.lit("anova_f")).alias("test"),
+    found = s.where(F.col("k") >= 2).select(
+        F.when(two, welch_t).otherwise(anova_f).alias("s"),
+        F.when(two, welch_df).otherwise(F.col("k") - 1).cast("double").alias("df1"),
+        F.when(two, F.lit(None)).otherwise(F.col("N") - F.col("k")).cast("double").alias("df2"),
         F.col("k").alias("groups"),
         F.col("N").alias("n"),
-        F.round(F.when(two, welch_t).otherwise(anova_f), digits).alias("statistic"),
-        F.round(F.when(two, welch_df).otherwise(F.col("k") - 1), digits).alias("df1"),
-        F.round(F.when(two, F.lit(None)).otherwise(F.col("N") - F.col("k")), digits).cast("double").alias("df2"),
     )
+    rows = []
+    for r in found.collect():  # one row at most
+        p = None
+        if r["s"] is not None and r["df1"]:
+            p = p_value_t(r["s"], r["df1"]) if r["groups"] == 2 else p_value_f(r["s"], r["df1"], r["df2"])
+        rows.append(("welch_t" if r["groups"] == 2 else "anova_f", r["groups"], r["n"], r["s"], r["df1"], r["df2"], p))
+    out = df.sparkSession.createDataFrame(rows, "test string, groups long, n long, statistic double, df1 double, df2 double, p_value double")
+    return out.withColumns({c: F.round(c, digits) for c in ("statistic", "df1", "df2")} | {"p_value": F.round("p_value", 6)})
 
 
 GRAINS = {"day": "day", "week": "week", "month": "month", "quarter": "quarter", "year": "year"}

@@ -7,12 +7,17 @@ picks the results. Whole texts are processed; nothing is truncated."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import PY_SPACE
 from ..functions.columns import q
 from ..functions.ordering import top_k_per_group
+from ..session import written
 
 # Token rule of the hashed bag-of-words (two or more word characters).
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
@@ -50,11 +55,12 @@ def embed_arrays(frame: DataFrame, id_cols=("doc_id", "chunk_idx"), text_col: st
     tokens = F.regexp_extract_all(F.lower(q(text_col)), F.lit(TOKEN_PATTERN), 0)
     hashed = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
     rows = frame.select(*ids, F.array_sort(hashed).alias("_h")).where(F.size("_h") > 0)
-    rows = rows.withColumn("dims", F.array_distinct("_h"))
-    # sorted buckets: a count is the distance between the starts of two of them
-    start = F.transform("dims", lambda d: F.array_position("_h", d))
-    rows = rows.withColumn("_s", F.concat(start, F.array(F.size("_h").cast("long") + 1)))
-    rows = rows.withColumn("_c", F.transform("dims", lambda d, i: (F.get("_s", i + 1) - F.get("_s", i)).cast("double")))
+    # sorted buckets: a count is the distance from where a bucket starts to where
+    # the next one does, found in one walk along the array
+    first = F.transform("_h", lambda h, i: F.when((i == 0) | (h != F.get("_h", i - 1)), i))
+    rows = rows.withColumn("_s", F.array_compact(first))
+    rows = rows.withColumn("dims", F.transform("_s", lambda s: F.get("_h", s)))
+    rows = rows.withColumn("_c", F.transform("_s", lambda s, i: (F.coalesce(F.get("_s", i + 1), F.size("_h")) - s).cast("double")))
     norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c * c))
     return rows.withColumn("_n", norm).select(*ids, "dims", F.transform("_c", lambda c: c / F.col("_n")).alias("weights"))
 
@@ -87,11 +93,14 @@ def search(
 
     Inputs are ``embed_arrays`` frames (unit vectors). Queries are split by a
     hash of their id into blocks of about ``query_block``; for each block every
-    chunk batch is scored with one matrix product in ``mapInPandas``, emitting
+    chunk batch is scored with one matrix product in ``mapInArrow``, emitting
     only each batch's top-k per query. A final top-k per query picks the
     winners. The plan is the same for any number of queries."""
     nq = query_arrays.select(q(query_id)).distinct().count()
     blocks = max(1, -(-nq // query_block))
+    if blocks > 1:
+        # the vectors are made once, however many blocks read them
+        chunk_arrays = written(chunk_arrays)
     hits = None
     for b in range(blocks):
         part = query_arrays.where(F.pmod(F.xxhash64(q(query_id)), F.lit(blocks)) == b)
@@ -103,54 +112,36 @@ def search(
 
 
 def _dense_scores(chunk_arrays, query_arrays, k, min_score, chunk_ids, query_id, dims) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
     # about QUERY_BLOCK x dims (the caller splits queries)
     qrows = query_arrays.select(q(query_id).alias("qid"), "dims", "weights").collect()
-    qids = np.array([r["qid"] for r in qrows])
+    qids = [r["qid"] for r in qrows]
     qmat = np.zeros((dims, len(qrows)), dtype=np.float64)
     for j, r in enumerate(qrows):
         qmat[np.asarray(r["dims"], dtype=np.int64), j] = np.asarray(r["weights"], dtype=np.float64)
-    spark = chunk_arrays.sparkSession
-    bq = spark.sparkContext.broadcast((qids, qmat))
-    id_fields = [chunk_arrays.schema[c] for c in chunk_ids]
-    out_schema = T.StructType(
-        [T.StructField("query_id", query_arrays.schema[query_id].dataType), *id_fields, T.StructField("score", T.DoubleType())]
-    )
-    names = [f.name for f in out_schema.fields]
-
-    def score_batches(it):
+    bq = chunk_arrays.sparkSession.sparkContext.broadcast((qids, qmat))
+    kind = query_arrays.schema[query_id].dataType.simpleString()
+    fields = ", ".join(f"`{c}` {chunk_arrays.schema[c].dataType.simpleString()}" for c in chunk_ids)
+
+    def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, qm = bq.value
-        nq = qm.shape[1]
-        rows_per_block = max(1, 4_000_000 // max(nq, 1))
-        for pdf in it:
-            for lo in range(0, len(pdf), rows_per_block):
-                part = pdf.iloc[lo:lo + rows_per_block]
-                n = len(part)
-                lens = part["dims"].map(len).to_numpy()
-                m = np.zeros((n, qm.shape[0]), dtype=np.float64)
-                if lens.sum():
-                    m[np.repeat(np.arange(n), lens), np.concatenate(part["dims"].to_numpy()).astype(np.int64)] = np.concatenate(
-                        part["weights"].to_numpy()
-                    ).astype(np.float64)
+        qid = pa.array(qid)
+        step = max(1, 4_000_000 // max(qm.shape[1], qm.shape[0], 1))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                m = np.zeros((b.num_rows, qm.shape[0]))
+                row = np.repeat(np.arange(b.num_rows), np.diff(b.column("dims").offsets.to_numpy()))
+                m[row, b.column("dims").flatten().to_numpy()] = b.column("weights").flatten().to_numpy()
                 s = np.round(m @ qm, SCORE_DIGITS)
-                if n > k:
-                    thr = -np.partition(-s, k - 1, axis=0)[k - 1]
-                    mask = (s >= thr[None, :]) & (s > min_score)
-                else:
-                    mask = s > min_score
+                mask = s > min_score
+                if b.num_rows > k:
+                    mask &= s >= -np.partition(-s, k - 1, axis=0)[k - 1]
                 ri, qi = np.nonzero(mask)
-                if len(ri) == 0:
-                    continue
-                res = {"query_id": qid[qi]}
-                for c in chunk_ids:
-                    res[c] = part[c].to_numpy()[ri]
-                res["score"] = s[ri, qi]
-                yield pd.DataFrame(res)[names]
-
-    return chunk_arrays.select(*[q(c) for c in chunk_ids], "dims", "weights").mapInPandas(score_batches, schema=out_schema)
+                if len(ri):
+                    cols = [b.column(c).take(pa.array(ri)) for c in chunk_ids]
+                    yield pa.RecordBatch.from_arrays([qid.take(pa.array(qi)), *cols, pa.array(s[ri, qi])], ["query_id", *chunk_ids, "score"])
+
+    return chunk_arrays.select(*[q(c) for c in chunk_ids], "dims", "weights").mapInArrow(score_batches, f"query_id {kind}, {fields}, score double")
 
 
 def doc_summary(chunks: DataFrame) -> DataFrame:

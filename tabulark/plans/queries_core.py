@@ -178,24 +178,25 @@ def a14_share(spark, sf):
          lag AS (SELECT label, total FROM g ORDER BY total ASC, label DESC LIMIT 1)
     SELECT 'c_mktsegment' AS dimension, 'c_acctbal' AS metric, lead.label AS leader, round(lead.total, 2) AS leader_value,
            lag.label AS laggard, round(lag.total, 2) AS laggard_value, round(lead.total - lag.total, 2) AS gap,
-           round(lead.total / (SELECT sum(total) FROM g) * 100, 2) AS leader_share_pct, (SELECT count(*) FROM g) AS groups
+           round(lead.total / (SELECT sum(total) FROM g) * 100, 2) AS leader_share_pct, (SELECT count(*) FROM g) AS groups,
+           (SELECT string_agg(label, ',' ORDER BY total DESC, label) FROM (SELECT * FROM g ORDER BY total DESC, label LIMIT 5)) AS top_labels,
+           (SELECT round(sum(v), 2) FROM (SELECT round(total, 2) AS v FROM g ORDER BY total DESC, label LIMIT 5)) AS top_total
     FROM lead, lag
     """,
 )
 def a15_driver(spark, sf):
-    return A.segment_driver(load(spark, sf, "customer"), "c_mktsegment", "c_acctbal").drop("top_segments")
+    d = A.segment_driver(load(spark, sf, "customer"), "c_mktsegment", "c_acctbal")
+    # the five leading segments as plain columns, in order
+    total = F.round(F.aggregate("top_segments.value", F.lit(0.0), lambda a, x: a + x), 2)
+    return d.withColumns({"top_labels": F.array_join("top_segments.label", ","), "top_total": total}).drop("top_segments")
 
 
 @register(
     "a16_group_means",
-    """
-    SELECT l_returnflag, round(avg(l_quantity), 4) AS mean_l_quantity, round(avg(l_extendedprice), 4) AS mean_l_extendedprice,
-           round(avg(l_discount), 4) AS mean_l_discount
-    FROM lineitem GROUP BY l_returnflag
-    """,
+    "SELECT l_returnflag, " + ", ".join(f"round(avg({c}), 4) AS mean_{c}" for c in _A8_COLS) + " FROM lineitem GROUP BY l_returnflag",
 )
 def a16_means(spark, sf):
-    return A.group_means(load(spark, sf, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount"])
+    return A.group_means(load(spark, sf, "lineitem"), "l_returnflag")
 
 
 @register(
@@ -206,11 +207,11 @@ def a16_means(spark, sf):
       UNION ALL SELECT 'o_orderpriority', CAST(o_orderpriority AS VARCHAR), o_totalprice FROM orders),
     g AS (SELECT dimension, label, sum(m) AS total FROM long WHERE label IS NOT NULL AND m IS NOT NULL GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY total DESC, label) AS rank FROM g)
-    SELECT dimension, label, round(total, 2) AS total, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
+    SELECT dimension, label, round(total, 2) AS total, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
     """,
 )
 def a17_breakdowns(spark, sf):
-    return A.breakdowns(load(spark, sf, "orders"), "o_totalprice", ["o_orderstatus", "o_orderpriority"], top=3)
+    return A.breakdowns(load(spark, sf, "orders"), "o_totalprice")
 
 
 @register(
@@ -340,13 +341,26 @@ def a25_box(spark, sf):
 @register(
     "a26_mean_difference_anova",
     """
-    WITH g AS (SELECT o_orderstatus AS g, count(o_totalprice) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v
+    WITH RECURSIVE g AS (SELECT o_orderstatus AS g, count(o_totalprice) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v
                FROM orders WHERE o_orderstatus IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1 HAVING count(o_totalprice) >= 2),
-    s AS (SELECT count(*) AS k, sum(n) AS nn, sum(n * m) / sum(n) AS grand, sum(n * m * m) AS snm2, sum((n - 1) * v) AS ssw FROM g)
-    SELECT 'anova_f' AS test, k AS groups, CAST(nn AS BIGINT) AS n,
-           round(((snm2 - nn * grand * grand) / (k - 1)) / (ssw / (nn - k)), 4) AS statistic,
-           round(CAST(k - 1 AS DOUBLE), 4) AS df1, round(CAST(nn - k AS DOUBLE), 4) AS df2
-    FROM s
+    s AS (SELECT count(*) AS k, sum(n) AS nn, sum(n * m) / sum(n) AS grand, sum(n * m * m) AS snm2, sum((n - 1) * v) AS ssw FROM g),
+    f AS (SELECT k, nn, CAST(k - 1 AS DOUBLE) AS df1, CAST(nn - k AS DOUBLE) AS df2,
+                 ((snm2 - nn * grand * grand) / (k - 1)) / (ssw / (nn - k)) AS f FROM s),
+    -- incomplete beta function with a = df2 / 2, b = df1 / 2 at x, from the side on which its fraction converges
+    x AS (SELECT *, df2 / (df2 + df1 * f) AS x0, df2 / 2 AS a0, df1 / 2 AS b0 FROM f),
+    y AS (SELECT *, x0 < (a0 + 1) / (a0 + b0 + 2) AS low FROM x),
+    z AS (SELECT *, CASE WHEN low THEN a0 ELSE b0 END AS a, CASE WHEN low THEN b0 ELSE a0 END AS b, CASE WHEN low THEN x0 ELSE 1 - x0 END AS x FROM y),
+    -- the two steps of each round of the fraction, one after the other
+    cf AS (SELECT 0 AS i, a, b, x, CAST(1 AS DOUBLE) AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h FROM z
+           UNION ALL
+           SELECT i + 1, a, b, x, 1 + t / c, 1 / (1 + t * d), h * (1 + t / c) / (1 + t * d)
+           FROM (SELECT *, CASE WHEN i % 2 = 0 THEN (i // 2 + 1) * (b - (i // 2 + 1)) * x / ((a + 2 * (i // 2 + 1) - 1) * (a + 2 * (i // 2 + 1)))
+                                ELSE -(a + (i // 2 + 1)) * (a + b + (i // 2 + 1)) * x / ((a + 2 * (i // 2 + 1)) * (a + 2 * (i // 2 + 1) + 1)) END AS t FROM cf)
+           WHERE i < 600),
+    r AS (SELECT exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) * h / a AS part FROM cf WHERE i = 600)
+    SELECT 'anova_f' AS test, k AS groups, CAST(nn AS BIGINT) AS n, round(f, 4) AS statistic, round(df1, 4) AS df1, round(df2, 4) AS df2,
+           round(CASE WHEN low THEN part ELSE 1 - part END, 6) AS p_value
+    FROM z, r
     """,
 )
 def a26_anova(spark, sf):
