@@ -6,7 +6,6 @@ columns reach the scan as pushed filters."""
 from __future__ import annotations
 
 import operator
-import re
 import uuid
 from collections.abc import Mapping, Sequence
 from decimal import ROUND_FLOOR, Decimal
@@ -171,25 +170,70 @@ def above_average(df: DataFrame, col: str) -> DataFrame:
     return df.where(number(df, col) > mean)
 
 
+# The parts of a query, by Spark's names of their parsed nodes.
+QUERY_NODES = frozenset(
+    """Aggregate Deduplicate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset
+    OneRowRelation Pivot Project Repartition RepartitionByExpression Sample Sort SubqueryAlias Tail Union Unpivot UnpivotTransformer
+    UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedWith Window
+    WithWindowDefinition""".split()
+)
+# Functions that run code by name or read what is not a table.
+REFUSED_FUNCTIONS = frozenset("java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length".split())
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _check_expressions(jvm, node, allowed: frozenset[str], builtin: frozenset[str]) -> None:
+    """Functions must be Spark's own; queries inside expressions are checked."""
+    holds_query = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+    todo = _items(node.expressions())
+    while todo:
+        e = todo.pop()
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            name = [str(x).lower() for x in _items(e.nameParts())]
+            if len(name) != 1 or name[0] not in builtin or name[0] in REFUSED_FUNCTIONS:
+                raise ValueError(f"function {'.'.join(name)!r} is not allowed")
+        if holds_query.isInstance(e):
+            _check_plan(jvm, e.plan(), allowed, builtin)
+        todo += _items(e.children())
+
+
+def _check_plan(jvm, node, allowed: frozenset[str], builtin: frozenset[str]) -> None:
+    kind = node.getClass().getSimpleName()
+    if kind not in QUERY_NODES:
+        raise ValueError(f"only SELECT or WITH queries over the given tables are allowed, not {kind}")
+    if kind == "UnresolvedRelation":
+        name = [str(x).lower() for x in _items(node.multipartIdentifier())]
+        if len(name) != 1 or name[0] not in allowed:
+            raise ValueError(f"relation {'.'.join(name)!r} is not allowed")
+    if kind == "UnresolvedWith":
+        # a name holds from where it is given, and only inside this query
+        for part in _items(node.cteRelations()):
+            own = frozenset({str(part.productElement(0)).lower()})
+            _check_plan(jvm, part.productElement(1), allowed | own if node.allowRecursion() else allowed, builtin)
+            allowed = allowed | own
+    _check_expressions(jvm, node, allowed, builtin)
+    for child in _items(node.children()):
+        _check_plan(jvm, child, allowed, builtin)
+
+
 def check_read_only(spark: SparkSession, sql: str, tables: Sequence[str] = ("data",)) -> str:
     """F9 guard: one query, no command or insert, that reads ``tables``, its
-    own WITH names and nothing else: no files, catalog tables or other views.
-    Spark's own parser decides, so words in names and texts do not matter."""
+    own WITH names and nothing else: no files, catalog tables, other views or
+    table functions, and calls only Spark's own functions (none that runs code
+    by its name). Spark's parser reads the text and its tree is checked node
+    by node, so words in names and texts do not matter."""
     text = sql.strip().rstrip(";").strip()
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         raise ValueError(f"not one SELECT or WITH query: {e}") from e
-    tree = plan.toString()
-    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
-    if command.isInstance(plan) or re.search(r"^[ :+-]*'?(InsertIntoStatement|DeleteFromTable|UpdateTable|MergeIntoTable)\b", tree, re.M):
-        raise ValueError("only SELECT or WITH queries are allowed")
-    allowed = {t.lower() for t in tables}
-    for names in re.findall(r"^[ :+-]*CTE \[(.*)\]$", tree, re.M):
-        allowed |= {x.strip().lower() for x in names.split(",")}
-    for found in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
-        if found.strip().lower() not in allowed:
-            raise ValueError(f"relation {found!r} is not allowed")
+    names = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin().listFunction().mkString("\n")
+    builtin = frozenset(n.strip("`").lower() for n in names.split("\n"))
+    _check_plan(spark._jvm, plan, frozenset(t.lower() for t in tables), builtin)
     return text
 
 
