@@ -294,6 +294,28 @@ def s2(spark, sf):
     return S.read_delimited(spark, path)
 
 
+def _as_array(batches):
+    """The rows of a partition as the lines of one JSON array."""
+    import pyarrow as pa
+
+    mark = "["
+    for b in batches:
+        rows = b.column("value").to_pylist()
+        if rows:
+            lines = [mark + rows[0], *("," + r for r in rows[1:])]
+            mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"], pa.string())], ["value"])
+
+
+@register("s4_json_array", "SELECT event_id, event_type, value, props AS \"in.props\" FROM events")
+def s4(spark, sf):
+    path = _scratch(spark, "s4")
+    ev = load(spark, sf, "events").select("event_id", "event_type", "value", F.struct("props").alias("in"))
+    ev.select(F.to_json(F.struct(*ev.columns)).alias("value")).mapInArrow(_as_array, "value string").write.text(path)
+    return S.read_json(spark, path).select("event_id", "event_type", "value", "`in.props`")
+
+
 @register(
     "s5_jsonl_roundtrip",
     "SELECT event_id, event_type, value FROM events",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import NA_TOKENS
+from .json_array import as_lines
 from ..functions.columns import nan_to_null, q, resolve
 from ..functions.ordering import with_positions
 from ..operators.filters import search_condition
@@ -114,7 +115,13 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records, or an object holding a ``data`` array; flattened."""
+    """A JSON array of records, or an object holding a ``data`` array; flattened.
+
+    Arrays are split over many tasks, whatever the size of a file; an object
+    is one record of one task."""
+    head = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    if head is not None and head["c"] == "[":
+        return read_jsonl(spark, as_lines(spark, path))
     raw = spark.read.json(path, multiLine=True)
     if "data" in raw.columns and isinstance(raw.schema["data"].dataType, T.ArrayType):
         raw = raw.select(F.inline(q("data")))
