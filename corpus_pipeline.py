@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last
-return the columns of ``documents``; ``n_chars`` follows the text."""
+return the columns of ``documents``; ``n_chars`` follows the text.
+
+Every stage gives an empty table for an empty one, takes nulls in any column,
+and keeps null and repeated ids apart by the text; a null text is empty."""
 
 from __future__ import annotations
 
@@ -25,7 +28,9 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that the base rules or the forest reject go."""
+    """Operator 10: documents that the base rules or the forest reject go.
+    Null and empty texts hold too few words, so they go; rows that agree in id
+    and text share a verdict, and all of them stay or go."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     rejected = shared(judge(docs, labels).where(~F.col("kept")).select("doc_id", "th").distinct())
     keyed = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -34,7 +39,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of similar lines one stays. A document whose lines are all
-    repeats of others goes."""
+    repeats of others goes; one that never had a line stays. Rows that agree
+    in id and text are one place, so all of them lose the same lines."""
     out = dedup_lines(docs, keep=("lang", "source", "n_chars"))
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     return _columns(out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
@@ -55,13 +61,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents come as often as the mix takes them, so ids may
-    repeat from here on."""
+    repeat from here on. Documents are taken whole; ones without a word have
+    no size and are never taken; a null source is a source."""
     out = mixed_documents(docs, keep=("lang", "source"))
     return _columns(out.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: every piece of every document with its ids and its place."""
+    """Operator 5: every piece of every document with its ids and its place;
+    repeated rows are packed each on its own, an empty text as its end id."""
     return pack(docs)
 
 
