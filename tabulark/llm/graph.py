@@ -18,6 +18,8 @@ from .common import join_groups, mix64, multiplied, shared
 
 #: standard deviations below the threshold at which a sketch rules a pair out
 DEVIATIONS = 6
+#: links that one task joins by itself (16 bytes each); more go on in steps
+ONE_TASK = 1 << 20
 #: buckets of at most so many members are compared in full
 SMALL = 64
 #: fresh pivots of a larger bucket in one round
@@ -55,10 +57,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame) -> DataFrame:
     """``links`` (bigint a, b) to (node, root): every linked node with the
-    least node it can reach. Union-find per partition, then large-star and
-    small-star steps over all partitions until only stars are left."""
+    least node it can reach. Union-find per partition; what is left of the
+    links is joined in one task if its count is at most ``ONE_TASK``, else by
+    large-star and small-star steps over all partitions until only stars are
+    left."""
     edges = shared(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long"))
-    while not _only_stars(edges):
+    few = edges.count() <= ONE_TASK
+    if few:
+        edges = shared(edges.repartition(1).mapInArrow(_forest, "a long, b long"))
+    while not few and not _only_stars(edges):
         # large star: the larger neighbours of a node go to its least neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = shared(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
@@ -149,10 +156,11 @@ def small_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & first).select("a", "b")
 
 
-def _open(members: DataFrame, roots: DataFrame, links: DataFrame, turn: int) -> DataFrame:
-    """``members`` (node, key) of the buckets that hold more than one
-    component, with ``PIVOTS`` fresh pivots: any members, but ones with many
-    links rather than few, since those are near the middle of a component."""
+def _open(members: DataFrame, roots: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(``members`` (node, key) with their component, materialised; the buckets
+    that hold more than one, with ``PIVOTS`` fresh pivots and the number of
+    members). Pivots are any members, but ones with many links rather than
+    few, since those are near the middle of a component."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     known = members.join(roots, "node", "left").join(degree, "node", "left")
     known = shared(known.select("node", "key", F.coalesce("root", "node").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree")))
@@ -161,9 +169,10 @@ def _open(members: DataFrame, roots: DataFrame, links: DataFrame, turn: int) ->
         luck = (F.pmod(F.xxhash64(F.lit(turn * PIVOTS + k), "node", "key"), F.lit(1 << 30)) + 1) / (1 << 30)
         return F.min(F.struct(-F.log(luck) / (F.col("degree") + 1), "node", "comp"))
 
-    picked = F.array(*[pivot(k) for k in range(PIVOTS)]).alias("pivots")
-    groups = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), picked).where("lo < hi")
-    return join_groups(known.select("node", "key", "comp"), shared(groups.select("key", "pivots")), ["key"])
+    picked = F.array(*[pivot(k) for k in range(PIVOTS)])
+    picked = F.transform(picked, lambda p: F.struct(p["node"].alias("node"), p["comp"].alias("comp"))).alias("pivots")
+    groups = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), picked).where("lo < hi")
+    return known.drop("degree"), shared(groups.select("key", "n", "pivots"))
 
 
 def linked(members: DataFrame, sketches: DataFrame, percent: int, bits: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -191,15 +200,16 @@ def linked(members: DataFrame, sketches: DataFrame, percent: int, bits: int, con
     turn = 0
     while True:
         turn += 1
-        large = shared(_open(large, roots, links, turn))
-        n = large.count()
+        known, open_ = _open(large, roots, links, turn)
+        n = open_.agg(F.sum("n")).first()[0]
         if not n:
             return roots
-        met = large.select("node", "comp", F.explode("pivots").alias("p")).where("comp <> p.comp").select("node", F.col("p.node").alias("pivot"))
+        here = join_groups(known, open_, ["key"])
+        met = here.select("node", "comp", F.explode("pivots").alias("p")).where("comp <> p.comp").select("node", F.col("p.node").alias("pivot"))
         found = shared(confirm(possible(met.select(*_pair("pivot", "node")), sketches, percent, bits)))
         new = found.count()
         if new:
             links, roots = links.unionByName(found), after(found)
         if new < YIELD * n:
             return roots
-        large = large.select("node", "key")
+        large = here.select("node", "key")
