@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process, shared, text_or_empty
+from .common import shared, text_or_empty
 
 CAPACITY = 4096
 EOT = 1
@@ -81,8 +81,8 @@ class WordTokenizer:
 
 def _tokenise(path: str | None, capacity: int, eot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the words that a process has seen serve all its tasks
-        tok = per_process(("words", path), lambda: WordTokenizer(path or default_tokenizer()))
+        # for each task anew: kept by the process, the words would take memory from later stages
+        tok = WordTokenizer(path or default_tokenizer())
         end = np.array([eot], "<u4").tobytes()
         for b in batches:
             texts, i = b.column("text").to_pylist(), 0
