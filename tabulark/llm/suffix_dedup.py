@@ -6,13 +6,15 @@ hashed bytes, and equal passages are cut alike, since a passage's own bytes
 decide its triggers. The dictionary holds each distinct phrase with the bytes
 around it once; the parse says where it occurs.
 
-A passage is a suffix of a dictionary entry, cut at ``length`` bytes. Only the
-order of equal suffixes is wanted (which occurrence comes first), so suffixes
-are sorted by a 64-bit fingerprint of those bytes. Combined with the parse this
-gives the corpus order in two steps: of a repeated entry all suffixes repeat
-and its first occurrence speaks for it; only the suffixes of entries that
-share a trigger but differ around it, at the ends of a copy or near an edit,
-are sorted. The bytes of all other text never leave their partition."""
+A passage is a suffix of a dictionary entry, cut at ``length`` bytes, and lies
+whole in that entry. Two suffix arrays give the corpus order to that depth. The
+parse is sorted by phrase and place: of a repeated entry all suffixes repeat,
+and its first occurrence speaks for it. The dictionary is sorted by the bytes
+of its suffixes, trigger by trigger, since equal passages have one trigger; only
+entries that share a trigger but differ around it, at the ends of a copy or
+near an edit, need it. Neighbours that agree in ``length`` bytes are one
+passage, whose earliest place in the parse stays. The bytes of all other text
+never leave their partition."""
 
 from __future__ import annotations
 
@@ -151,25 +153,58 @@ def _scan_contexts(length: int):
     return run
 
 
-def _suffixes(bytes_: pa.Array, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset, fingerprint) of each passage of the rows."""
+def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
+    """The suffix array of ``raw`` to a depth of ``length`` bytes, inverted:
+    ranks of the strings raw[i:i + length] in byte order, equal ones alike.
+    Eight bytes are one number; then prefix doubling on ranks, the last step
+    with an overlap. Only strings that do not reach over the end count."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.int64)
+    step = 8 if length >= 8 else 1
+    padded = np.append(raw, np.zeros(length, np.uint8)).astype(np.uint64)
+    word = np.zeros(n, np.uint64)
+    for k in range(step):
+        word = (word << np.uint64(8)) | padded[k : n + k]
+    rank = _dense(word)
+    while step < length:
+        # strings of twice the depth, or of the wanted one from two that overlap
+        wide = min(2 * step, length)
+        after = np.zeros(n, np.int64)
+        after[: max(n - wide + step, 0)] = rank[wide - step :] + 1
+        rank, step = _dense((rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)), wide
+    return rank
+
+
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Numbers to their ranks from 0, equal ones alike."""
+    order = np.argsort(x)
+    up = np.zeros(len(x), np.int64)
+    up[1:] = x[order[1:]] != x[order[:-1]]
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.cumsum(up)
+    return rank
+
+
+def _passages(bytes_: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the rows, row, offset and place in the bytes of each passage)."""
     raw, off = buffers(bytes_)
     row = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    place = off[row] + at
-    return row, at, Spans(raw, 5).hash(place, place + length)
+    return raw, row, at, off[row] + at
 
 
 def _rank_suffixes(length: int):
     """Rows sorted by trigger and place, to the runs of passages that come
-    earlier in another row of the same trigger."""
+    earlier in another row of the same trigger. Ranks in the suffix array of
+    the rows' bytes tell equal passages, which have the same trigger."""
 
     def later(t: pa.Table) -> pa.RecordBatch:
-        f, n = t.column("f").to_numpy().view(np.uint64), t.column("n").to_numpy().astype(np.int64)
+        n = t.column("n").to_numpy().astype(np.int64)
         same = [_equal_to_last(t.column(c).combine_chunks()) for c in ("f", "doc_id", "th", "start")]
         place = np.cumsum(~(same[0] & same[1] & same[2] & same[3]))
-        row, at, h = _suffixes(t.column("bytes").combine_chunks(), n, length)
-        key = mix64(h + mix64(f)[row])
+        raw, row, at, where = _passages(t.column("bytes").combine_chunks(), n)
+        key = suffix_ranks(raw, length)[where]
         order = np.lexsort((place[row], key))
         k, p = key[order], place[row][order]
         head = np.ones(len(k), bool)
@@ -208,7 +243,8 @@ def _hash_suffixes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, at, h = _suffixes(b.column("bytes"), b.column("n").to_numpy().astype(np.int64), length)
+            raw, row, at, where = _passages(b.column("bytes"), b.column("n").to_numpy().astype(np.int64))
+            h = Spans(raw, 5).hash(where, where + length)
             take = pa.array(row)
             start = (b.column("start").to_numpy()[row] + at).astype(np.int32)
             cols = [b.column("doc_id").take(take), b.column("th").take(take), pa.array(start), pa.array(h.view(np.int64))]

@@ -186,6 +186,18 @@ def test_drop_repeats(spark, length, gram):
     assert got == brute_repeats(texts, length)
 
 
+@pytest.mark.parametrize("length", [3, 8, 9, 48, 100])
+def test_suffix_ranks(length):
+    rng = np.random.default_rng(length)
+    part = rng.integers(0, 3, 150).astype(np.uint8)
+    raw = np.concatenate([part, rng.integers(0, 256, 200).astype(np.uint8), np.zeros(130, np.uint8), part, np.full(130, 255, np.uint8)])
+    strings = [raw[i : i + length].tobytes() for i in range(len(raw) - length + 1)]
+    got = sd.suffix_ranks(raw, length)[: len(strings)]
+    order = sorted(range(len(strings)), key=lambda i: got[i])
+    assert [strings[i] for i in order] == sorted(strings)
+    assert len(set(got.tolist())) == len(set(strings)) and len(sd.suffix_ranks(raw[:0], length)) == 0
+
+
 def test_drop_repeats_with_hot_triggers(spark, monkeypatch):
     monkeypatch.setattr(sd, "HOT_ROWS", 1)
     texts = hostile_texts()
