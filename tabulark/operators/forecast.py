@@ -104,43 +104,72 @@ def forecast_metrics(fc: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 # ---- M13: additive-trend exponential smoothing -------------------------------
 
-# Smoothing-parameter grid searched per series.
-ALPHAS = tuple(round(0.05 * i, 2) for i in range(1, 20))
-BETAS = tuple(round(0.05 * i, 2) for i in range(0, 20))
+#: pairs of weights at which the search begins; the best few are refined
+_GRID = np.linspace(0.05, 0.95, 19)
+_STARTS = 8
+
+
+def _holt_run(y: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """One recursion for arrays of weights (alpha, beta): last level, last
+    trend, squared error of the one-step forecasts, its gradient (2, pairs)
+    and the products of the forecasts' derivatives (2, 2, pairs)."""
+    level, trend = np.full(a.shape, y[0]), np.full(a.shape, y[1] - y[0])
+    d_level, d_trend = np.zeros((2, *a.shape)), np.zeros((2, *a.shape))
+    sse, grad, square = np.zeros(a.shape), np.zeros((2, *a.shape)), np.zeros((2, 2, *a.shape))
+    for x in y[1:]:
+        forecast, slope = level + trend, d_level + d_trend
+        e = x - forecast
+        sse += e * e
+        grad -= 2 * e * slope
+        square += slope[:, None] * slope[None, :]
+        # the derivative of the error is -slope
+        level, d_level = forecast + a * e, slope * (1 - a)
+        d_level[0] += e
+        trend, d_trend = trend + a * b * e, d_trend - a * b * slope
+        d_trend[0] += b * e
+        d_trend[1] += a * e
+    return level, trend, sse, grad, square
+
+
+def _holt_fit(y: np.ndarray, steps: int = 60):
+    """Weights in [0, 1] with the least squared error of one-step forecasts:
+    the best pairs of a grid, refined at once by damped Gauss-Newton steps
+    that are kept only where the error falls, so it is never above the
+    grid's. Returns (alpha, beta, last level, last trend, squared error)."""
+    a, b = (x.ravel() for x in np.meshgrid(_GRID, _GRID, indexing="ij"))
+    best = np.argsort(_holt_run(y, a, b)[2], kind="stable")[:_STARTS]
+    w = np.stack([a[best], b[best]])
+    level, trend, sse, grad, square = _holt_run(y, *w)
+    damp = np.full(_STARTS, 1e-3)
+    for _ in range(steps):
+        # a weight at its bound whose error falls only beyond it stays there
+        free = ~(((w <= 0) & (grad > 0)) | ((w >= 1) & (grad < 0)))
+        h = square * free[:, None] * free[None, :]
+        g = np.where(free, grad, 0) / 2
+        diag = np.stack([h[0, 0], h[1, 1]]) * (1 + damp) + ~free
+        det = diag[0] * diag[1] - h[0, 1] ** 2
+        det = np.where(det > 0, det, np.inf)
+        move = np.stack([h[0, 1] * g[1] - diag[1] * g[0], h[0, 1] * g[0] - diag[0] * g[1]]) / det
+        to = np.clip(w + move, 0, 1)
+        if np.abs(to - w).max() < 1e-10:
+            break
+        new = _holt_run(y, *to)
+        better = new[2] < sse
+        w = np.where(better, to, w)
+        level, trend, sse, grad, square = (np.where(better, n, o) for n, o in zip(new, (level, trend, sse, grad, square), strict=True))
+        damp = np.where(better, np.maximum(damp / 5, 1e-9), np.minimum(damp * 4, 1e12))
+    k = int(np.argmin(sse))
+    return w[0, k], w[1, k], level[k], trend[k], sse[k]
 
 
-def _holt_run(y: np.ndarray, a, b):
-    """Holt recursion for arrays of (alpha, beta) at once; returns final
-    level, final trend and SSE of one-step-ahead fits per parameter pair."""
-    level = np.full(np.shape(a), y[0], dtype=float)
-    tr = np.full(np.shape(a), y[1] - y[0], dtype=float)
-    sse = np.zeros(np.shape(a), dtype=float)
-    for i in range(1, len(y)):
-        f = level + tr
-        sse += (y[i] - f) ** 2
-        new_level = a * y[i] + (1 - a) * f
-        tr = b * (new_level - level) + (1 - b) * tr
-        level = new_level
-    return level, tr, sse
-
-
-def _holt_fit(y: np.ndarray):
-    """Grid-searched Holt linear smoothing (level + additive trend); returns
-    (alpha, beta, final level, final trend, one-step fitted values)."""
-    ga, gb = np.meshgrid(np.array(ALPHAS), np.array(BETAS), indexing="ij")
-    ga, gb = ga.ravel(), gb.ravel()
-    _, _, sse = _holt_run(y, ga, gb)
-    k = int(np.argmin(sse))
-    a, b = float(ga[k]), float(gb[k])
-    level, tr = y[0], y[1] - y[0]
-    fitted = np.empty_like(y)
-    fitted[0] = y[0]
+def _holt_fitted(y: np.ndarray, a: float, b: float) -> np.ndarray:
+    """One-step forecasts; the first value stands for itself."""
+    level, trend, fitted = y[0], y[1] - y[0], y.copy()
     for i in range(1, len(y)):
-        fitted[i] = level + tr
-        new_level = a * y[i] + (1 - a) * (level + tr)
-        tr = b * (new_level - level) + (1 - b) * tr
-        level = new_level
-    return a, b, level, tr, fitted
+        fitted[i] = level + trend
+        e = y[i] - fitted[i]
+        level, trend = fitted[i] + a * e, trend + a * b * e
+    return fitted
 
 
 def forecast_holt(
@@ -148,8 +177,8 @@ def forecast_holt(
 ) -> DataFrame:
     """Holt's additive-trend smoothing per series via ``applyInPandas``
     on the bucketed series (one group = one calendar-sized series). Same
-    output shape as M12. Parameters come from a fixed grid, so numbers differ
-    from a numerical optimiser's."""
+    output shape as M12. The two smoothing weights have the least squared
+    error of one-step forecasts; the first two values set level and trend."""
     date, value = resolve(df, date), resolve(df, value)
     keys = [resolve(df, k) for k in keys]
     freq = resolve_freq(df, date, freq)
@@ -166,8 +195,8 @@ def forecast_holt(
         y = pdf["value"].to_numpy(dtype=float)
         if len(y) < min_buckets:
             return pd.DataFrame(columns=[f.name for f in out_schema.fields])
-        a, b, level, tr, fitted = _holt_fit(y)
-        sd = float(np.std(y - fitted))
+        a, b, level, tr, _ = _holt_fit(y)
+        sd = float(np.std(y - _holt_fitted(y, a, b)))
         last = pd.Timestamp(pdf["period"].iloc[-1])
         fut = [(last + offset * h).date() for h in range(1, periods + 1)]
         yh = np.array([level + h * tr for h in range(1, periods + 1)])

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,38 @@ def test_regressor_interval_and_scenario(spark):
     assert len(pd_) == 5
     with pytest.raises(ValueError):
         M.train(df.limit(10), "y")
+
+
+def test_holt_weights_are_least_squares():
+    """Never above the starting grid, and as good as a fine search."""
+    fine = [x.ravel() for x in np.meshgrid(np.linspace(0, 1, 101), np.linspace(0, 1, 101), indexing="ij")]
+    coarse = [x.ravel() for x in np.meshgrid(FC._GRID, FC._GRID, indexing="ij")]
+    rng = np.random.default_rng(11)
+    for i in range(50):
+        t = np.arange(12 + i)
+        kind = i % 5
+        y = 100 + (3 * t if kind else 0) + rng.normal(0, 1 + 4 * kind, len(t)).cumsum() + rng.normal(0, 5, len(t))
+        a, b, level, trend, sse = FC._holt_fit(y)
+        assert 0 <= a <= 1 and 0 <= b <= 1
+        assert sse <= FC._holt_run(y, *coarse)[2].min()
+        lv, tr, errors, _, _ = FC._holt_run(y, *fine)
+        k = errors.argmin()
+        assert sse <= errors[k] * (1 + 1e-9)
+        # where the fine search is at the same weights, the forecasts agree
+        if abs(a - fine[0][k]) < 0.01 and abs(b - fine[1][k]) < 0.01:
+            assert level + trend == pytest.approx(lv[k] + tr[k], rel=0.01)
+        np.testing.assert_allclose(((y - FC._holt_fitted(y, a, b)) ** 2).sum(), sse)
+
+
+def test_holt_gradient():
+    rng = np.random.default_rng(12)
+    y, a, b, h = rng.normal(50, 9, 30), np.array([0.3, 0.8]), np.array([0.2, 0.6]), 1e-6
+    grad = FC._holt_run(y, a, b)[3]
+    assert grad[0] == pytest.approx((FC._holt_run(y, a + h, b)[2] - FC._holt_run(y, a - h, b)[2]) / (2 * h), rel=1e-5)
+    assert grad[1] == pytest.approx((FC._holt_run(y, a, b + h)[2] - FC._holt_run(y, a, b - h)[2]) / (2 * h), rel=1e-5)
+
+
+def test_holt_of_constant_and_linear_series():
+    for y in (np.full(5, 3.0), np.arange(6.0)):
+        _, _, level, trend, sse = FC._holt_fit(y)
+        assert sse == pytest.approx(0) and level + trend == pytest.approx(2 * y[-1] - y[-2])
