@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from ..operators import contract as CO
 from ..operators import roles as RO
 
 
@@ -174,3 +175,78 @@ def semantic_schema_sql(source: str, columns: Sequence[tuple[str, str]], dtypes:
                 WHEN NOT is_num AND ratio < 0.25 THEN 'dimension'
                 WHEN is_num AND ratio >= 0.40 THEN 'measure' WHEN is_num THEN 'measure,dimension' ELSE 'unknown' END AS candidate_roles
     FROM f LEFT JOIN smp ON f."column" = smp."column\""""
+
+
+_ROLE = """CASE WHEN is_id THEN 'identifier' WHEN is_time THEN 'time' WHEN is_metric THEN 'metric'
+                WHEN NOT is_num AND (dim_word OR uniq BETWEEN 2 AND 50) THEN 'dimension' ELSE 'attribute' END"""
+
+
+def types_cte(source: str, columns: Sequence[str]) -> str:
+    """``types``: column, position and contract type of each column of ``source``."""
+    tokens = ", ".join(f"'{x}'" for x in CO.BOOL_TOKENS)
+    long = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {i} AS position, any_value(typeof({c})) AS dt, count({c}) AS n, count_if(lower(trim(CAST({c} AS VARCHAR))) IN ({tokens})) AS b, "
+        f"count(TRY_CAST(CAST({c} AS VARCHAR) AS TIMESTAMP)) AS d, count(TRY_CAST(trim(CAST({c} AS VARCHAR)) AS DOUBLE)) AS x FROM {source}"
+        for i, c in enumerate(columns)
+    )
+    return f"""types AS (SELECT "column", position, CASE WHEN n = 0 THEN 'string' WHEN dt = 'BOOLEAN' THEN 'boolean' WHEN dt IN ('INTEGER', 'BIGINT') THEN 'integer'
+                WHEN dt IN ('FLOAT', 'DOUBLE') THEN 'number' WHEN dt IN ('DATE', 'TIMESTAMP') THEN 'date' WHEN b >= 0.9 * n THEN 'boolean'
+                WHEN d >= 0.8 * n THEN 'date' WHEN x >= 0.9 * n THEN 'number' ELSE 'string' END AS type FROM ({long}))"""
+
+
+_NAMES = [c for c, _ in EVENTS_COLUMNS]
+TYPES = f'WITH {types_cte("events", _NAMES)} SELECT "column", position, type FROM types'
+
+
+def contract_sql(source: str, columns: Sequence[tuple[str, str]]) -> str:
+    bounds = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", "
+        + ", ".join(
+            f"strftime({e}({c}), '%Y-%m-%d') AS {e}_" if k == "time" else f"CASE WHEN {e}({c}) = floor({e}({c})) THEN CAST(CAST({e}({c}) AS BIGINT) AS VARCHAR) ELSE CAST({e}({c}) AS VARCHAR) END AS {e}_"
+            for e in ("min", "max")
+        )
+        + " FROM t"
+        for c, k in columns
+        if k != "text"
+    )
+    allowed = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", string_agg(v, '|' ORDER BY v) AS allowed FROM (SELECT DISTINCT {c} AS v FROM t WHERE {c} IS NOT NULL) HAVING count(*) BETWEEN 1 AND {CO.MAX_ALLOWED}"
+        for c, k in columns
+        if k == "text"
+    )
+    return f"""WITH {quality_ctes(source, columns)}, {types_cte("t", [c for c, _ in columns])},
+    bounds AS ({bounds}), allowed AS ({allowed})
+    SELECT c."column", types.position, type, {_ROLE} AS role, missing = 0 AS required, missing > 0 AS nullable,
+           round((rows - missing) * 100.0 / r, 1) AS completeness_pct, uniq AS unique_count, min_ AS min, max_ AS max, allowed AS allowed_values,
+           concat_ws('|', CASE WHEN type IN ('integer', 'number') AND min_ IS NOT NULL THEN 'must_parse_as_number' END,
+                     CASE WHEN type = 'date' AND min_ IS NOT NULL THEN 'must_parse_as_date' END,
+                     CASE WHEN allowed IS NOT NULL THEN 'prefer_known_category' END, CASE WHEN missing = 0 THEN 'required' END) AS rules
+    FROM cols c JOIN types ON types."column" = c."column" LEFT JOIN bounds ON bounds."column" = c."column" LEFT JOIN allowed ON allowed."column" = c."column\""""
+
+
+CONTRACT = contract_sql("SELECT * FROM events", EVENTS_COLUMNS)
+
+
+def dictionary_sql(source: str, columns: Sequence[tuple[str, str]], dtypes: dict[str, str]) -> str:
+    kinds = " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in dtypes.items())
+    return f"""WITH {quality_ctes(source, columns)}, {samples_cte(columns)}
+    SELECT c."column", CASE c."column" {kinds} END AS dtype, {_ROLE} AS role, round((rows - missing) * 100.0 / r, 1) AS completeness_pct, uniq AS unique_count,
+           coalesce(samples, '') AS sample_values,
+           concat_ws('|', CASE WHEN missing > 0 THEN 'missing' END, CASE WHEN is_id THEN 'identifier' END,
+                     CASE WHEN uniq > 50 OR uniq > greatest(rows * 0.8, 20) THEN 'many_values' END, CASE WHEN num.n >= 8 AND abs(skew) >= 1.5 THEN 'skewed' END) AS warnings
+    FROM cols c LEFT JOIN smp ON smp."column" = c."column" LEFT JOIN num ON num."column" = c."column\""""
+
+
+def cleaning_sql(source: str, columns: Sequence[tuple[str, str]], cleaned: str, kept: Sequence[tuple[str, str]]) -> str:
+    """``cleaned``: SQL of the table after the default actions."""
+    padded = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS \"column\" FROM t WHERE {c} <> regexp_replace({c}, '^\\s+|\\s+$', '', 'g')" for i, (c, k) in enumerate(columns) if k == "text")
+    names = "string_agg(\"column\", '|' ORDER BY position)"
+    return f"""WITH {quality_ctes(source, columns)},
+    padded AS (SELECT DISTINCT * FROM ({padded})),
+    steps AS (
+      SELECT 1 AS o, 'drop_empty_columns' AS action, {names} AS columns, true AS "default" FROM cols WHERE filled = 0
+      UNION ALL SELECT 2, 'remove_duplicate_rows', '', true FROM prof WHERE duplicate_rows > 0
+      UNION ALL SELECT 3, 'trim_string_whitespace', {names}, true FROM padded
+      UNION ALL SELECT 4, 'fill_numeric_median', {names}, true FROM cols WHERE is_num AND missing > 0 AND filled > 0
+      UNION ALL SELECT 5, 'fill_categorical_mode', {names}, false FROM cols WHERE NOT is_num AND missing > 0 AND filled > 0)
+    SELECT *, (WITH {quality_ctes(cleaned, kept)} SELECT score FROM scored) AS estimated_score_after FROM steps WHERE columns IS NOT NULL"""

@@ -14,6 +14,7 @@ from ..session import checkpoint_dir
 from ..sources import io as S
 from . import quality_sql as QS
 from .catalog import load, register
+from .queries_stats import M12_SQL
 
 # ---- insight bundles --------------------------------------------------------------
 
@@ -216,7 +217,15 @@ def m11(spark, sf):
     return M.model_task(load(spark, sf, "labels"), "quality")
 
 
-@register("m12_forecast_metrics")
+@register(
+    "m12_forecast_metrics",
+    f"""
+    WITH fc AS ({M12_SQL}),
+    e AS (SELECT arg_max(value, period) FILTER (kind = 'historical') AS last_historical_value, arg_max(value, period) FILTER (kind = 'forecast') AS projected_final_value FROM fc),
+    g AS (SELECT *, round((projected_final_value - last_historical_value) / greatest(1e-5, abs(last_historical_value)) * 100, 1) AS growth_rate_pct FROM e)
+    SELECT *, CASE WHEN growth_rate_pct > 2 THEN 'upward' WHEN growth_rate_pct < -2 THEN 'downward' ELSE 'flat' END AS trend_direction FROM g
+    """,
+)
 def m12m(spark, sf):
     from ..operators import forecast as FC
 

@@ -285,9 +285,16 @@ d AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE event_type = 'click')
 """
 
 
-@register("q6_cleaning_plan")
+_DIRTY_COLUMNS = (("event_id", "integer"), ("user_id", "integer"), ("event_type", "text"), ("value", "double"), ("props", "text"), ("empty_col", "text"))
+_DIRTY_TYPES = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string", "empty_col": "string"}
+_CLEANED = f"""WITH {_DIRTY_SQL},
+    x AS (SELECT DISTINCT event_id, user_id, regexp_replace(event_type, '^\\s+|\\s+$', '', 'g') AS event_type, value, props FROM d)
+    SELECT event_id, user_id, event_type, coalesce(value, (SELECT median(value) FROM x)) AS value, props FROM x"""
+
+
+@register("q6_cleaning_plan", QS.cleaning_sql(f"WITH {_DIRTY_SQL} SELECT * FROM d", _DIRTY_COLUMNS, _CLEANED, _DIRTY_COLUMNS[:-1]))
 def q6_plan(spark, sf):
-    return Q.cleaning_plan(dirty_table(spark, sf))
+    return Q.cleaning_plan(dirty_table(spark, sf)).withColumn("columns", F.array_join("columns", "|"))
 
 
 @register(
@@ -315,19 +322,21 @@ def q9_dedupe(spark, sf):
     return cleaned
 
 
-@register("q12_column_dictionary")
+@register("q12_column_dictionary", QS.dictionary_sql(f"WITH {_DIRTY_SQL} SELECT * FROM d", _DIRTY_COLUMNS, _DIRTY_TYPES))
 def q12_dict(spark, sf):
-    return Q.column_dictionary(dirty_table(spark, sf))
+    lists = {c: F.array_join(c, "|") for c in ("sample_values", "warnings")}
+    return Q.column_dictionary(dirty_table(spark, sf)).withColumns(lists)
 
 
-@register("q13_infer_types")
+@register("q13_infer_types", QS.TYPES)
 def q13_types(spark, sf):
     return C.infer_types(load(spark, sf, "events"))
 
 
-@register("q14_infer_contract")
+@register("q14_infer_contract", QS.CONTRACT)
 def q14_contract(spark, sf):
-    return C.infer_contract(load(spark, sf, "events"))
+    lists = {c: F.array_join(c, "|") for c in ("allowed_values", "rules")}
+    return C.infer_contract(load(spark, sf, "events")).withColumns(lists)
 
 
 def new_event_rows(spark, sf):

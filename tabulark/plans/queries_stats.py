@@ -227,7 +227,7 @@ def w8_resample(spark, sf):
     return r.select("l_returnflag", "period", F.round("value", 4).alias("value"), "interpolated")
 
 
-_M12_SQL = """
+M12_SQL = """
 WITH b AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, avg(o_totalprice) AS y FROM orders
            WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1),
 span AS (SELECT min(period) AS lo, max(period) AS hi FROM b),
@@ -251,7 +251,7 @@ FROM fit, sd, ok, range(1, 13) r(h) WHERE n >= 3 AND rows >= 5
 """
 
 
-@register("m12_forecast_linear", _M12_SQL)
+@register("m12_forecast_linear", M12_SQL)
 def m12_forecast(spark, sf):
     return FC.forecast_linear(load(spark, sf, "orders"), "o_orderdate", "o_totalprice", periods=12)
 
