@@ -190,7 +190,7 @@ def with_positions(
     parts = partitions or shuffle_partitions(df)
     cols = list(df.columns)
     order = [q(o) if isinstance(o, str) else o for o in order_by]
-    base = df.withColumn("__tie", F.xxhash64(*[q(c) for c in cols]))
+    base = df.withColumn("__tie", row_hash(df))
     sort = [*order, F.col("__tie")]
     parted = _pin(base.repartitionByRange(parts, *sort).withColumn("__pid", F.spark_partition_id()))
     local = parted.withColumn("__lrn", F.row_number().over(Window.partitionBy("__pid").orderBy(*sort)))
@@ -206,6 +206,49 @@ def with_positions(
     return out.select(*[q(c) for c in cols], (F.col("__off") + F.col("__lrn")).cast("long").alias(name))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a whole row; maps, which Spark does not hash, as JSON."""
+    fields = df.schema.fields
+    has_map = [f.name for f in fields if "map<" in f.dataType.simpleString()]
+    return F.xxhash64(*[F.to_json(F.struct(q(f.name))) if f.name in has_map else q(f.name) for f in fields])
+
+
+def nth_row(df: DataFrame, n: int, order_by: Sequence[str], splits: int = 16, small: int = 65_536) -> DataFrame:
+    """The ``n``-th row (1-based) in ascending order, nulls first, ties by a
+    hash of the row; no row if there is none. Found by counting: each round
+    counts the rows below some sampled keys and goes on between two of them,
+    so no row is shuffled or stored until ``small`` are left. A key that holds
+    the wanted rank with all its copies is the answer at once."""
+    base = df.withColumn("__tie", row_hash(df))
+    names = [*order_by, "__tie"]
+    key = F.struct(*[q(c).alias(f"k{i}") for i, c in enumerate(names)])
+    types = [base.schema[c].dataType for c in names]
+    rest, skip, size = base, n - 1, base.count()
+    if not 0 <= skip < size:
+        return df.where(F.lit(False))
+    for seed in range(32):
+        if size <= small:
+            break
+        some = rest.sample(min(1.0, 32 * splits / size), seed).select(key.alias("k")).orderBy("k").collect()
+        keys = [r["k"] for r in some[:: max(len(some) // splits, 1)]]
+        if not keys:
+            continue
+        bounds = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(k, types, strict=True))]) for k in keys]
+        below = rest.agg(*[F.count_if(key < b) for b in bounds], *[F.count_if(key <= b) for b in bounds]).first()
+        under, upto = list(below)[: len(bounds)], list(below)[len(bounds) :]
+        hit = [b for b, lo, hi in zip(bounds, under, upto, strict=True) if lo <= skip < hi]
+        if hit:
+            rest, skip = rest.where((key >= hit[0]) & (key <= hit[0])), 0
+            return rest.limit(1).drop("__tie")
+        lo = [i for i, c in enumerate(upto) if c <= skip]
+        hi = [i for i, c in enumerate(under) if c > skip]
+        if hi:
+            rest, size = rest.where(key < bounds[hi[0]]), under[hi[0]]
+        if lo:
+            rest, skip, size = rest.where(key > bounds[lo[-1]]), skip - upto[lo[-1]], size - upto[lo[-1]]
+    return rest.orderBy(key).offset(skip).limit(1).drop("__tie")
+
+
 def top_k_per_group(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -234,7 +277,7 @@ def with_running_sum(
     parts = partitions or shuffle_partitions(df)
     cols = list(df.columns)
     order = [q(o) if isinstance(o, str) else o for o in order_by]
-    base = df.withColumn("__tie", F.xxhash64(*[q(c) for c in cols]))
+    base = df.withColumn("__tie", row_hash(df))
     sort = [*order, F.col("__tie")]
     parted = _pin(base.repartitionByRange(parts, *sort).withColumn("__pid", F.spark_partition_id()))
     wl = Window.partitionBy("__pid").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)

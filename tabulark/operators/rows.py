@@ -1,8 +1,8 @@
 """Sorting, top-k, extremes and row lookups (T1-T8; T9 is in ``roles``).
 
 Spark rows have no inherent order: every position-based operator takes an
-explicit ``order_by`` and numbers rows with the range-partition plan in
-``functions.ordering`` (never a single-task global window)."""
+explicit ``order_by``; ``functions.ordering`` finds a rank by counting or
+numbers rows in range partitions (never a single-task global window)."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric, is_string, numeric_columns, q, resolve
 from ..functions.columns import value as cell
-from ..functions.ordering import long_values, quantile_wide, with_positions
+from ..functions.ordering import long_values, nth_row, quantile_wide, row_hash, with_positions
 from .filters import numeric_condition
 
 
@@ -70,8 +70,7 @@ def row_at(df: DataFrame, n: int, order_by: Sequence[str], k_std: float = 1.2, d
     numeric values more than ``k_std`` sample stds from the mean are flagged
     high/low. Out of range -> no rows."""
     nums = numeric_columns(df)
-    pos = with_positions(df, list(order_by), name="__pos")
-    row = pos.where(F.col("__pos") == n).drop("__pos")
+    row = nth_row(df, n, [resolve(df, o) for o in order_by])
     cols = list(df.columns)
     pairs = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', cast(`{c}` as string)" for c in cols)
     long = row.select(F.expr(f"stack({len(cols)}, {pairs}) as (field, value)"))
@@ -108,6 +107,7 @@ def lookup(df: DataFrame, id_col: str, value, cols: Sequence[str] | None = None)
 def compare_to_median(df: DataFrame, id_col: str, value, k: int = 4, digits: int = 4) -> DataFrame:
     """Compare one row (by identifier) with column medians. Identifier and
     constant columns are excluded; the ``k`` largest |diff| / max(std, 1) win.
+    Of several rows with the identifier the one with the least row hash counts.
     Long ``(field, value, median, diff, direction, score)``."""
     from .roles import identifier_flags
 
@@ -115,7 +115,8 @@ def compare_to_median(df: DataFrame, id_col: str, value, k: int = 4, digits: int
     flags = identifier_flags(df)
     nums = numeric_columns(df)
     cand = flags.where(F.col("is_numeric") & ~F.col("is_identifier") & (F.col("distinct") > 1) & (F.col("column") != id_col))
-    target = lookup(df, id_col, value).limit(1)
+    found = lookup(df, id_col, value)
+    target = found.orderBy(row_hash(found)).limit(1)
     long = long_values(target, nums).select(F.col("column").alias("field"), F.col("v").alias("value"))
     st = long_values(df, nums).groupBy("column").agg(F.stddev_samp("v").alias("std"))
     med = quantile_wide(df, nums, [0.5], names=["median"])

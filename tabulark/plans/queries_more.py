@@ -365,5 +365,19 @@ def s7(spark, sf):
     """,
 )
 def s9(spark, sf):
-    rows, _info = S.page(load(spark, sf, "orders"), ["o_orderkey"], page=3, page_size=50, search="URGENT", sort_col="o_totalprice", sort_dir="desc")
-    return rows
+    return _urgent_page(spark, sf)[0]
+
+
+def _urgent_page(spark, sf):
+    return S.page(load(spark, sf, "orders"), ["o_orderkey"], page=3, page_size=50, search="URGENT", sort_col="o_totalprice", sort_dir="desc")
+
+
+@register(
+    "s9_page_info",
+    """
+    SELECT count(*) AS filtered_rows, CAST(ceil(count(*) / 50) AS BIGINT) AS total_pages, 3 AS page FROM orders
+    WHERE contains(lower(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority)), 'urgent')
+    """,
+)
+def s9_info(spark, sf):
+    return _urgent_page(spark, sf)[1]

@@ -178,16 +178,18 @@ def page(
 
     Positions come from range partitions (no single-task window), so deep
     pages cost the same as the first one. ``page_size <= 0`` returns all rows."""
-    numbered = with_positions(df, list(order_by), name="row_number")
-    if search:
-        numbered = numbered.where(search_condition(df, search))
+    found = search_condition(df, search) if search else F.lit(True)
+    numbered = with_positions(df, list(order_by), name="row_number").where(found)
     if sort_col:
         sc = q(resolve(df, sort_col))
         key = sc.desc_nulls_last() if sort_dir == "desc" else sc.asc_nulls_last()
         ordered = with_positions(numbered, [key, F.col("row_number")], name="__pos")
-    else:
+    elif search:
         ordered = with_positions(numbered, [F.col("row_number")], name="__pos")
-    total = numbered.agg(F.count(F.lit(1))).scalar()
+    else:
+        ordered = numbered.withColumn("__pos", F.col("row_number"))
+    # counting needs no positions
+    total = df.where(found).agg(F.count(F.lit(1))).scalar()
     if page_size and page_size > 0:
         lo = (max(page, 1) - 1) * page_size
         rows = ordered.where((F.col("__pos") > lo) & (F.col("__pos") <= lo + page_size))

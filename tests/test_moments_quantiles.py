@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from tabulark.functions.comoments import _state, merge, pair_moments
-from tabulark.functions.ordering import exact_quantiles
+from tabulark.functions.ordering import exact_quantiles, nth_row, with_positions
 from tabulark.operators import relate as R
 
 
@@ -105,3 +105,22 @@ def test_quantile_plan_has_no_exchange_by_value(spark):
     exchanges = [line for line in out.getvalue().splitlines() if "hashpartitioning" in line]
     assert exchanges and not any("v#" in line.split("hashpartitioning")[1].split("ENSURE")[0] for line in exchanges)
     assert "rangepartitioning" not in out.getvalue()
+
+
+def test_nth_row_by_counting(spark):
+    """Every rank of a frame with nulls, a hot key, exact copies and a map."""
+    rows = [(None if i % 11 == 0 else i % 7, f"s{i % 13}" if i % 5 else None, {"a": i % 3}) for i in range(120)] + [(3, "hot", {"a": 1})] * 80
+    df = spark.createDataFrame(rows, "x int, s string, m map<string,int>").repartition(4).cache()
+    order = sorted(((r["x"] is not None, r["x"] or 0, r["s"] is not None, r["s"] or "") for r in df.collect()))
+    for n in (1, 2, 17, 60, 100, 130, 180, 200):
+        got = nth_row(df, n, ["x", "s"], splits=4, small=8).collect()
+        assert [(r["x"] is not None, r["x"] or 0, r["s"] is not None, r["s"] or "") for r in got] == [order[n - 1]]
+    whole = [tuple(sorted(nth_row(df, n, ["x"], splits=4, small=8).first()["m"].items())) for n in range(60, 64)]
+    assert whole == [tuple(sorted(nth_row(df, n, ["x"]).first()["m"].items())) for n in range(60, 64)]
+    assert nth_row(df, 0, ["x"]).count() == nth_row(df, 201, ["x"]).count() == nth_row(df.where("false"), 1, ["x"]).count() == 0
+
+
+def test_positions_of_rows_with_maps(spark):
+    df = spark.createDataFrame([(i % 3, {"a": i}) for i in range(30)], "x int, m map<string,int>")
+    got = sorted((r["p"], r["x"]) for r in with_positions(df, ["x"], name="p").collect())
+    assert got == [(i + 1, i // 10) for i in range(30)]

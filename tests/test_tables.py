@@ -192,3 +192,13 @@ def test_cleaning_plan_estimate_and_issue_cut(spark):
     before = Q.quality_score(df).first()["score"]
     assert next(iter(plan.values()))["estimated_score_after"] >= before
     assert Q.quality_issues(dirty_quality(spark), keep=1).count() == 1
+
+
+def test_compare_to_median_of_a_repeated_identifier(spark):
+    """The same row whatever the order and the partitions."""
+    rows = [(1, float(x)) for x in range(20)] + [(2, 5.0), (3, 7.0)]
+    seen = set()
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows[::-1] if parts == 3 else rows, "code int, amount double").repartition(parts)
+        seen.add(tuple(r["value"] for r in T.compare_to_median(df, "code", 1).collect()))
+    assert len(seen) == 1 and seen != {()}
