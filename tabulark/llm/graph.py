@@ -26,6 +26,8 @@ SMALL = 64
 PIVOTS = 8
 #: least share of the open members that a round must link for another one
 YIELD = 1 / 16
+#: members of one slice of a bucket whose pairs are compared in full
+SLICE = 2048
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +177,22 @@ def _open(members: DataFrame, roots: DataFrame, links: DataFrame, turn: int) ->
     return known.drop("degree"), shared(groups.select("key", "n", "pivots"))
 
 
+def rest_pairs(known: DataFrame, sizes: DataFrame, sketches: DataFrame, percent: int, bits: int) -> DataFrame:
+    """All possible pairs of different components inside buckets: ``known``
+    (node, key, comp) of the buckets ``sizes`` (key, n), with ``sketches``.
+    Members are dealt to slices of about ``SLICE``, and each two slices of a
+    bucket meet under a key of their own, so no task holds a bucket."""
+    dealt = join_groups(known, sizes.select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), ["key"])
+    dealt = dealt.join(sketches.select("node", "size", "sketch"), "node")
+    dealt = shared(dealt.withColumn("slice", F.pmod(F.xxhash64("node"), "slices").cast("int")))
+    later, earlier = F.sequence("slice", F.col("slices") - 1), F.sequence(F.lit(0), "slice")
+    a = dealt.select("key", F.col("slice").alias("lo"), F.explode(later).alias("hi"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx"), F.col("sketch").alias("sx"))
+    b = dealt.select("key", F.explode(earlier).alias("lo"), F.col("slice").alias("hi"), F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("ny"), F.col("sketch").alias("sy"))
+    once = (F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))
+    met = a.join(b, ["key", "lo", "hi"]).where((F.col("cx") != F.col("cy")) & once & plausible("nx", "sx", "ny", "sy", percent, bits))
+    return met.select(*_pair("x", "y")).distinct()
+
+
 def linked(members: DataFrame, sketches: DataFrame, percent: int, bits: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (node, root) of the similar pairs of ``members`` (as
     :func:`crowded` gives them); ``confirm`` keeps the pairs that are similar.
@@ -183,9 +201,10 @@ def linked(members: DataFrame, sketches: DataFrame, percent: int, bits: int, con
     members all pairs of different components follow, so there each pair is
     verified, already connected or ruled out. Larger buckets go on in rounds
     in which fresh pivots meet the members of other components, for as long as
-    a round links a fair share of them. All steps are linear in the members;
-    what is left out are links inside a large bucket between components that
-    none of its pivots joins."""
+    a round links a fair share of them. These steps are linear in the members.
+    Then all pairs of different components that large buckets still hold
+    follow, so no link is left out there either: the square of what no pivot
+    joined, compared slice by slice."""
     star = members.where("node <> pivot").select(*_pair("pivot", "node"))
     links = shared(confirm(possible(star, sketches, percent, bits)))
     roots = components(links)
@@ -210,6 +229,9 @@ def linked(members: DataFrame, sketches: DataFrame, percent: int, bits: int, con
         new = found.count()
         if new:
             links, roots = links.unionByName(found), after(found)
-        if new < YIELD * n:
-            return roots
         large = here.select("node", "key")
+        if new < YIELD * n:
+            break
+    known, open_ = _open(large, roots, links, turn + 1)
+    found = shared(confirm(rest_pairs(known, open_.select("key", "n"), sketches, percent, bits)))
+    return roots if found.isEmpty() else after(found)

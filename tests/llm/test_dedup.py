@@ -5,6 +5,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulark.llm import exact_dedup as ed
 from tabulark.llm import near_dedup as nd
@@ -292,3 +293,41 @@ def test_candidates_of_template_lines_grow_in_proportion(spark, monkeypatch):
         assert want <= len(kept) <= want + 0.1 * (len(lines) - want), (want, len(kept), made)
     # four times the lines; the pairs of a bucket would be sixteen times as many
     assert 0 < made[1] < 8 * made[0]
+
+
+def templates(pairs, common, own, seed=8):
+    """(id, words) in pairs that differ in one word; different pairs share only
+    the ``common`` words, so few of their members meet a pivot like them."""
+    rng = np.random.default_rng(seed)
+    same = [f"w{i:04d}" for i in range(common)]
+    rows = []
+    for p in range(pairs):
+        mine = [f"{a:08x}" for a in rng.integers(0, 1 << 32, own)]
+        rows += [(2 * p, same + mine), (2 * p + 1, same + [*mine[:-1], f"{2 * p:08d}"])]
+    return [(i, " ".join(x)) for i, x in rows]
+
+
+def keys_of(docs, scan, fields):
+    """The band key of each id, one band."""
+    from tabulark.llm.common import text_or_empty
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), text_or_empty("text").alias("text"))
+    return {r["doc_id"]: r["keys"][0] for r in rows.mapInArrow(scan, fields).collect()}
+
+
+def test_lines_that_no_pivot_joins_are_linked(spark, monkeypatch):
+    """One band of one coordinate: most lines share a bucket in which only
+    pairs are similar."""
+    from tabulark.llm import graph, line_dedup
+
+    rows = templates(90, 18, 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text")).repartition(3)
+    keys = keys_of(docs, line_dedup._scan(6, 1, 1), "doc_id long, th long, line int, node long, keys array<bigint>")
+    assert max(collections.Counter(keys.values()).values()) > graph.SMALL
+    sets = [line_set(x, 6) for _, x in rows]
+    assert all(similar(sets[i], sets[j], 80) == (i // 2 == j // 2) for i in range(0, 180, 7) for j in range(180))
+    want = {2 * p + 1 for p in range(90) if keys[2 * p] == keys[2 * p + 1]}
+    for size in (graph.SLICE, 16):
+        monkeypatch.setattr(graph, "SLICE", size)
+        _, gone = line_dedup.repeated_lines(docs, bands=1, rows=1)
+        assert {r["doc_id"] for r in gone.collect()} == want and len(want) > 60
