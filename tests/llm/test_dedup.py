@@ -331,3 +331,17 @@ def test_lines_that_no_pivot_joins_are_linked(spark, monkeypatch):
         monkeypatch.setattr(graph, "SLICE", size)
         _, gone = line_dedup.repeated_lines(docs, bands=1, rows=1)
         assert {r["doc_id"] for r in gone.collect()} == want and len(want) > 60
+
+
+def test_documents_that_no_pivot_joins_are_linked(spark):
+    """The same with documents."""
+    from tabulark.llm import graph
+
+    rows = templates(90, 60, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keys = keys_of(docs, nd._scan(3, 1, 1), "doc_id long, th long, n_shingles long, h1 long, h2 long, keys array<bigint>")
+    assert max(collections.Counter(keys.values()).values()) > graph.SMALL
+    want = {2 * p + 1 for p in range(90) if keys[2 * p] == keys[2 * p + 1]}
+    got = near_groups(docs, words=3, percent=85, bands=1, rows=1).collect()
+    assert {r["doc_id"] for r in got if not r["kept"]} == want and len(want) > 60
+    assert all(r["component_id"] == r["doc_id"] - (r["doc_id"] in want) for r in got)
