@@ -345,3 +345,14 @@ def test_documents_that_no_pivot_joins_are_linked(spark):
     got = near_groups(docs, words=3, percent=85, bands=1, rows=1).collect()
     assert {r["doc_id"] for r in got if not r["kept"]} == want and len(want) > 60
     assert all(r["component_id"] == r["doc_id"] - (r["doc_id"] in want) for r in got)
+
+
+def test_pipeline_line_stage_links_lines_that_no_pivot_joins(spark):
+    """At the stage's own bands: lines at 0.77 of each other fill large
+    buckets, and one line of each similar pair goes."""
+    import corpus_pipeline as cp
+
+    rows = templates(300, 100, 10)
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = {r["doc_id"] for r in cp.line_dedup(spark, docs, "").select("doc_id").collect()}
+    assert left == {2 * p for p in range(300)}
