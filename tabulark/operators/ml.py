@@ -26,9 +26,11 @@ from .forest import mean_by_setting, node_table, with_spread
 from .profile import modes, value_freq
 from .roles import identifier_flags
 
-# Levels of a usable text feature, rows needed to train
+# Levels of a usable text feature, rows needed to train, rows of
+# one training task (the forest keeps about trees x 4 bytes for each)
 MAX_LEVELS = 15
 MIN_ROWS = 30
+TASK_ROWS = 50_000
 
 
 @dataclass
@@ -132,6 +134,14 @@ def split(df: DataFrame, by: str, train_pct: int = 75, seed: int = 42) -> tuple[
     return joined.where("__train").select(*cols), joined.where("not __train").select(*cols)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (materialised) in partitions of about ``TASK_ROWS``. Narrow rows
+    make few partitions by their bytes, but the forest keeps each with its
+    counts for all trees and reads them again at every level."""
+    parts = -(-rows.count() // TASK_ROWS)
+    return rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
+
+
 def train(df: DataFrame, target: str, trees: int = 200, seed: int = 42, max_depth: int | None = None) -> tuple[TrainedModel, DataFrame]:
     """M2: random forest; classification for a text target or <= 10 classes,
     else regression (depth 10 / 12). Returns (model, held-out 25% test frame)."""
@@ -166,6 +176,7 @@ def train(df: DataFrame, target: str, trees: int = 200, seed: int = 42, max_dept
     else:
         tr, te = split(prepared.withColumn("__all", F.lit(0)), "__all", seed=seed)
         tr, te = tr.drop("__all"), te.drop("__all")
+    tr, te = dealt(tr), dealt(te)
     pm = Pipeline(stages=[*stages, est]).fit(tr)
     names = list(num)
     for c in cat:

@@ -85,3 +85,21 @@ def test_query_without_sql_runs(spark, key, monkeypatch):
     monkeypatch.setattr(queries_more, "TREES", 5)
     rows = queries()[key](spark, SF).collect()
     assert rows and len({len(r) for r in rows}) == 1
+
+
+def rows_to_train(spark, n=400):
+    return spark.range(n).selectExpr("cast(id * 37 % 101 as double) AS x", "cast(id * 53 % 29 as double) AS z", "cast(id * 37 % 101 > 50 as string) AS y", "id * 37 % 101 * 2.5D AS v").coalesce(1)
+
+
+def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
+    seen, was = [], M.Pipeline.fit
+
+    def fit(self, rows, *more):
+        seen.append(rows.rdd.getNumPartitions())
+        return was(self, rows, *more)
+
+    monkeypatch.setattr(M.Pipeline, "fit", fit)
+    monkeypatch.setattr(M, "TASK_ROWS", 40)
+    _, test = M.train(rows_to_train(spark).drop("y"), "v", trees=2, max_depth=2)
+    # 300 rows to train on, 100 held out
+    assert seen == [8] and test.rdd.getNumPartitions() >= 3 and test.count() == 100
