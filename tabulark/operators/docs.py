@@ -38,9 +38,11 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     Chunks are cut inside one row with ``transform`` and then exploded, so a
     long document's text is not copied onto each of its chunk rows."""
     step = size - overlap
-    t = docs.select(q(id_col).alias("doc_id"), collapse_whitespace(q(text_col)).alias("_t"))
+    # a test that the optimiser cannot make of the whole collapse once more
+    some = docs.where(q(text_col).rlike("[^" + PY_SPACE[1:]))
+    t = some.select(q(id_col).alias("doc_id"), collapse_whitespace(q(text_col)).alias("_t"))
     pieces = F.expr(f"transform(sequence(0, greatest(length(_t) - 1, 0), {step}), s -> substring(_t, s + 1, {size}))")
-    ex = t.where(F.length("_t") > 0).select("doc_id", F.posexplode(pieces).alias("chunk_idx", "text"))
+    ex = t.select("doc_id", F.posexplode(pieces).alias("chunk_idx", "text"))
     ch = ex.select("doc_id", "chunk_idx", (F.col("chunk_idx") * step).alias("start"), "text")
     return ch.where(F.length(F.trim("text")) > min_chars)
 
@@ -52,9 +54,11 @@ def embed_arrays(frame: DataFrame, id_cols=("doc_id", "chunk_idx"), text_col: st
     A vector depends on its own text alone, so it is made inside the row: no
     shuffle."""
     ids = [q(c) for c in id_cols]
-    tokens = F.regexp_extract_all(F.lower(q(text_col)), F.lit(TOKEN_PATTERN), 0)
+    low = F.lower(q(text_col))
+    tokens = F.regexp_extract_all(low, F.lit(TOKEN_PATTERN), 0)
     hashed = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
-    rows = frame.select(*ids, F.array_sort(hashed).alias("_h")).where(F.size("_h") > 0)
+    # stops at the first token; a test of the array would be made before it, with all tokens taken twice
+    rows = frame.where(low.rlike(TOKEN_PATTERN)).select(*ids, F.sort_array(hashed).alias("_h"))
     # sorted buckets: a count is the distance from where a bucket starts to where
     # the next one does, found in one walk along the array
     first = F.transform("_h", lambda h, i: F.when((i == 0) | (h != F.get("_h", i - 1)), i))
@@ -62,7 +66,9 @@ def embed_arrays(frame: DataFrame, id_cols=("doc_id", "chunk_idx"), text_col: st
     rows = rows.withColumn("dims", F.transform("_s", lambda s: F.get("_h", s)))
     rows = rows.withColumn("_c", F.transform("_s", lambda s, i: (F.coalesce(F.get("_s", i + 1), F.size("_h")) - s).cast("double")))
     norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c * c))
-    return rows.withColumn("_n", norm).select(*ids, "dims", F.transform("_c", lambda c: c / F.col("_n")).alias("weights"))
+    # outside the lambda: inside it the norm would be worked out for each entry
+    weights = F.zip_with("_c", F.array_repeat(norm, F.size("_c")), lambda c, n: c / n)
+    return rows.select(*ids, "dims", weights.alias("weights"))
 
 
 def embed_hash(chunks: DataFrame, id_cols=("doc_id", "chunk_idx"), text_col: str = "text", dims: int = EMBED_DIM) -> DataFrame:

@@ -77,3 +77,13 @@ def test_stream_validation_matches_batch(spark, tmpdir_path):
     q.awaitTermination()
     got = {(r["row"], r["code"]) for r in spark.read.parquet(os.path.join(tmpdir_path, "out")).collect()}
     assert got == {(4, "unknown_category"), (4, "type_mismatch")}
+
+
+def test_vectors_take_tokens_and_norm_once(spark):
+    docs = spark.createDataFrame([(1, "ein zwei zwei drei " * 20), (2, "  \n"), (3, None), (4, "a b c " * 20)], "doc_id long, text string")
+    emb = D.embed_hash(D.chunk(docs))
+    plan = emb._jdf.queryExecution().optimizedPlan().toString().lower()
+    # neither all tokens for a test that there are some, nor the norm for each entry
+    assert plan.count("regexp_extract_all(") == 1 and "/ sqrt" not in plan and plan.count("regexp_replace(") == 1
+    rows = emb.collect()
+    assert {r["doc_id"] for r in rows} == {1} and abs(max(r["weight"] for r in rows) - 40 / (40**2 + 20**2 + 20**2) ** 0.5) < 1e-12
