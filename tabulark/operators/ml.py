@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import is_numeric, q, resolve
 from ..functions.columns import value as cell
 from ..functions.ordering import exact_quantiles, quantile_wide
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .forest import mean_by_setting, node_table, with_spread
 from .profile import modes, value_freq
 from .roles import identifier_flags
@@ -146,6 +146,8 @@ def train(df: DataFrame, target: str, trees: int = 200, seed: int = 42, max_dept
     """M2: random forest; classification for a text target or <= 10 classes,
     else regression (depth 10 / 12). Returns (model, held-out 25% test frame)."""
     target = resolve(df, target)
+    # its facts take several passes; what the caller's columns cost is paid once
+    df = written(df)
     task = model_task(df, target).select("task").first()["task"]
     n = df.where(q(target).isNotNull()).agg(F.count(F.lit(1))).first()[0]
     if n < MIN_ROWS:
@@ -226,11 +228,13 @@ def evaluate(model: TrainedModel, df: DataFrame, digits: int = 4) -> DataFrame:
     (regression), as SQL aggregates over the scored rows with a known target."""
     s = model.pipeline.transform(prepare(model, df)).where(F.col("__label").isNotNull())
     if model.task == "classification":
+        # rows are scored once; the table of label and prediction is classes x classes
+        s = cut_lineage(s.groupBy("__label", "prediction").agg(F.count(F.lit(1)).alias("__n")))
         per = s.groupBy("__label").agg(
-            F.count(F.lit(1)).alias("support"),
-            F.count_if(F.col("prediction") == F.col("__label")).alias("tp"),
+            F.sum("__n").alias("support"),
+            F.coalesce(F.sum(F.when(F.col("prediction") == F.col("__label"), F.col("__n"))), F.lit(0)).alias("tp"),
         )
-        pred_n = s.groupBy(F.col("prediction").alias("__label")).agg(F.count(F.lit(1)).alias("pred_n"))
+        pred_n = s.groupBy(F.col("prediction").alias("__label")).agg(F.sum("__n").alias("pred_n"))
         j = per.join(pred_n, "__label", "left").fillna(0, ["pred_n"])
         f1 = F.when((F.col("support") + F.col("pred_n")) > 0, 2 * F.col("tp") / (F.col("support") + F.col("pred_n"))).otherwise(0.0)
         return j.agg(

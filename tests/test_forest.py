@@ -103,3 +103,20 @@ def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
     _, test = M.train(rows_to_train(spark).drop("y"), "v", trees=2, max_depth=2)
     # 300 rows to train on, 100 held out
     assert seen == [8] and test.rdd.getNumPartitions() >= 3 and test.count() == 100
+
+
+def test_training_and_evaluation_evaluate_their_input_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        calls.add(1)
+        return v
+
+    once = F.udf(counted, "double")
+    df = rows_to_train(spark).drop("v").withColumn("x", once("x"))
+    model, _ = M.train(df, "y", trees=2, max_depth=3)
+    assert calls.value == 400
+    got = M.evaluate(model, df).first()
+    assert calls.value == 800
+    hit = M.score(model, rows_to_train(spark).drop("v")).select(F.avg((F.col("y") == F.col("predicted")).cast("double")), F.count(F.lit(1))).first()
+    assert (got["accuracy"], got["rows"]) == (round(hit[0], 4), hit[1])
