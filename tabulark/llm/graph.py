@@ -180,16 +180,19 @@ def _open(members: DataFrame, roots: DataFrame, links: DataFrame, turn: int) ->
 def rest_pairs(known: DataFrame, sizes: DataFrame, sketches: DataFrame, percent: int, bits: int) -> DataFrame:
     """All possible pairs of different components inside buckets: ``known``
     (node, key, comp) of the buckets ``sizes`` (key, n), with ``sketches``.
-    Members are dealt to slices of about ``SLICE``, and each two slices of a
-    bucket meet under a key of their own, so no task holds a bucket."""
+    A pair meets in the first of these buckets that both members share. Members
+    are dealt to slices of about ``SLICE``, and each two slices of a bucket
+    meet under a key of their own, so no task holds a bucket."""
+    keys = known.join(sizes.select("key"), "key", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     dealt = join_groups(known, sizes.select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), ["key"])
-    dealt = dealt.join(sketches.select("node", "size", "sketch"), "node")
+    dealt = dealt.join(sketches.select("node", "size", "sketch"), "node").join(keys, "node")
     dealt = shared(dealt.withColumn("slice", F.pmod(F.xxhash64("node"), "slices").cast("int")))
     later, earlier = F.sequence("slice", F.col("slices") - 1), F.sequence(F.lit(0), "slice")
-    a = dealt.select("key", F.col("slice").alias("lo"), F.explode(later).alias("hi"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx"), F.col("sketch").alias("sx"))
-    b = dealt.select("key", F.explode(earlier).alias("lo"), F.col("slice").alias("hi"), F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("ny"), F.col("sketch").alias("sy"))
+    a = dealt.select("key", F.col("slice").alias("lo"), F.explode(later).alias("hi"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx"), F.col("sketch").alias("sx"), F.col("keys").alias("kx"))
+    b = dealt.select("key", F.explode(earlier).alias("lo"), F.col("slice").alias("hi"), F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("ny"), F.col("sketch").alias("sy"), F.col("keys").alias("ky"))
     once = (F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))
-    met = a.join(b, ["key", "lo", "hi"]).where((F.col("cx") != F.col("cy")) & once & plausible("nx", "sx", "ny", "sy", percent, bits))
+    first = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")
+    met = a.join(b, ["key", "lo", "hi"]).where((F.col("cx") != F.col("cy")) & once & plausible("nx", "sx", "ny", "sy", percent, bits) & first)
     return met.select(*_pair("x", "y")).distinct()
 
 
