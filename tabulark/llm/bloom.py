@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unique
 from .exact_dedup import BLOCK_BITS, _places
 
 FILTER_BITS = 1 << 27
@@ -25,7 +26,7 @@ def _bits(n_blocks: int):
         bits = np.zeros(0, np.int64)
         for b in batches:
             block, off = _places(b.column(0).to_numpy(zero_copy_only=False), n_blocks)
-            bits = np.unique(np.concatenate([bits, (block * BLOCK_BITS + off).reshape(-1)]))
+            bits = unique(np.concatenate([bits, (block * BLOCK_BITS + off).reshape(-1)]))
         blocks = bits // BLOCK_BITS
         cut = np.append(np.flatnonzero(np.diff(blocks, prepend=-1)), len(bits))
         for i, j in zip(cut[:-1], cut[1:], strict=True):

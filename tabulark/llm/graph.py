@@ -28,6 +28,8 @@ PIVOTS = 8
 YIELD = 1 / 16
 #: members of one slice of a bucket whose pairs are compared in full
 SLICE = 2048
+#: least bits of a parity map for each value of its set, and words of its first part
+PARITY, HEAD = 3, 8
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +132,60 @@ def plausible(na, sa, nb, sb, percent: int, bits: int) -> Column:
     return F.when(sizes & (few <= most(head)), F.lit(True) if bits <= head else every <= most(bits)).otherwise(F.lit(False))
 
 
-def possible(pairs: DataFrame, sketches: DataFrame, percent: int, bits: int) -> DataFrame:
+def parity(owner: np.ndarray, x: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Parity maps of sets, as rows of longs: each of a set's values flips one
+    bit. ``x``: well-mixed distinct 64-bit values, ``owner`` the set of each,
+    ``sizes`` their number in each set. Every set has a map of ``HEAD`` words;
+    where these are fewer than ``PARITY`` bits for each value, one of the next
+    power of two that is not follows."""
+    need = np.maximum(PARITY * sizes, 1) / 64
+    more = np.where(need > HEAD, 1 << np.ceil(np.log2(need)).astype(np.int64), 0)
+    ends = np.concatenate([[0], np.cumsum(HEAD + more)])
+    first = 64 * ends[:-1][owner]
+    at = first + (x & np.uint64(64 * HEAD - 1)).astype(np.int64)
+    long = more[owner] > 0
+    at = np.append(at, first[long] + 64 * HEAD + (x[long].astype(np.int64) & (64 * more[owner][long] - 1)))
+    odd = (np.bincount(at, minlength=64 * ends[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
+
+def close_parity(na: str, sa: str, nb: str, sb: str, percent: int, whole: bool = True) -> Column:
+    """False only where set sizes or parity maps rule a Jaccard similarity of
+    ``percent`` hundredths out. Two maps differ in no more bits than their sets
+    have values of their own, so no similar pair is lost; with few of these to
+    a bit they differ in nearly as many. Without ``whole`` only the first
+    ``HEAD`` words are compared, which compiles better. The larger one of
+    whole maps is folded to the size of the smaller, which keeps the bound."""
+
+    def folded(s, t):
+        n = F.size(t)
+        halves = F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(s) > n, halves).otherwise(s)
+
+    # own / (na + nb) is (1 - J) / (1 + J) at a similarity of J
+    most = (100 - percent) * (F.col(na) + F.col(nb))
+    few = sum((F.bit_count(F.col(sa)[i].bitwiseXOR(F.col(sb)[i])) for i in range(HEAD)), F.lit(0))
+    near = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * few <= most)
+    if not whole:
+        return near
+    short, wide = F.least(F.size(sa), F.size(sb)) - HEAD, F.greatest(F.size(sa), F.size(sb)) - HEAD
+    ta, tb = (F.slice(s, F.lit(HEAD + 1), F.size(s) - HEAD) for s in (sa, sb))
+    differ = F.aggregate(F.zip_with(folded(ta, tb), folded(tb, ta), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return F.when(near, (short == 0) | (wide > 2 * short) | ((100 + percent) * differ <= most)).otherwise(F.lit(False))
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int, bits: int | None) -> DataFrame:
     """The different ``pairs`` (a, b) whose ``sketches`` (node, size of the
-    set, sketch) leave them possible."""
+    set, sketch) leave them possible: MinHash sketches of so many ``bits``, or
+    parity maps for None."""
+    return _still_possible(pairs.distinct(), sketches, percent, bits)
+
+
+def _still_possible(pairs: DataFrame, sketches: DataFrame, percent: int, bits: int | None) -> DataFrame:
     a = sketches.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
     b = sketches.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.distinct().join(a, "a").join(b, "b").where(plausible("na", "sa", "nb", "sb", percent, bits)).select("a", "b")
+    near = close_parity("na", "sa", "nb", "sb", percent) if bits is None else plausible("na", "sa", "nb", "sb", percent, bits)
+    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -177,26 +227,28 @@ def _open(members: DataFrame, roots: DataFrame, links: DataFrame, turn: int) ->
     return known.drop("degree"), shared(groups.select("key", "n", "pivots"))
 
 
-def rest_pairs(known: DataFrame, sizes: DataFrame, sketches: DataFrame, percent: int, bits: int) -> DataFrame:
+def rest_pairs(known: DataFrame, sizes: DataFrame, sketches: DataFrame, percent: int, bits: int | None) -> DataFrame:
     """All possible pairs of different components inside buckets: ``known``
     (node, key, comp) of the buckets ``sizes`` (key, n), with ``sketches``.
     A pair meets in the first of these buckets that both members share. Members
     are dealt to slices of about ``SLICE``, and each two slices of a bucket
-    meet under a key of their own, so no task holds a bucket."""
+    meet under a key of their own, so no task holds a bucket. Slices carry the
+    head of a parity map; what it leaves possible meets the whole maps after."""
     keys = known.join(sizes.select("key"), "key", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     dealt = join_groups(known, sizes.select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), ["key"])
-    dealt = dealt.join(sketches.select("node", "size", "sketch"), "node").join(keys, "node")
+    dealt = dealt.join(sketches.select("node", "size", "sketch" if bits is not None else F.slice("sketch", 1, HEAD).alias("sketch")), "node").join(keys, "node")
     dealt = shared(dealt.withColumn("slice", F.pmod(F.xxhash64("node"), "slices").cast("int")))
     later, earlier = F.sequence("slice", F.col("slices") - 1), F.sequence(F.lit(0), "slice")
     a = dealt.select("key", F.col("slice").alias("lo"), F.explode(later).alias("hi"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx"), F.col("sketch").alias("sx"), F.col("keys").alias("kx"))
     b = dealt.select("key", F.explode(earlier).alias("lo"), F.col("slice").alias("hi"), F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("ny"), F.col("sketch").alias("sy"), F.col("keys").alias("ky"))
     once = (F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))
     first = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")
-    met = a.join(b, ["key", "lo", "hi"]).where((F.col("cx") != F.col("cy")) & once & plausible("nx", "sx", "ny", "sy", percent, bits) & first)
-    return met.select(*_pair("x", "y")).distinct()
+    near = close_parity("nx", "sx", "ny", "sy", percent, whole=False) if bits is None else plausible("nx", "sx", "ny", "sy", percent, bits)
+    met = a.join(b, ["key", "lo", "hi"]).where((F.col("cx") != F.col("cy")) & once & near & first).select(*_pair("x", "y")).distinct()
+    return met if bits is not None else _still_possible(met, sketches, percent, None)
 
 
-def linked(members: DataFrame, sketches: DataFrame, percent: int, bits: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(members: DataFrame, sketches: DataFrame, percent: int, bits: int | None, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (node, root) of the similar pairs of ``members`` (as
     :func:`crowded` gives them); ``confirm`` keeps the pairs that are similar.
 

@@ -17,22 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import key_filter, maybe, meet, with_maybe
-from .common import Spans, blocks, buffers, chain, join_groups, lower_ascii, multiplied, shared, shared_table, text_or_empty, word_spans
-from .graph import crowded, linked, sketch
+from .common import Spans, blocks, buffers, chain, join_groups, lower_ascii, multiplied, segment_ids, shared, shared_table, text_or_empty, unique, word_spans
+from .graph import crowded, linked, parity
 
 SHINGLE = 6
 PERCENT = 80
 #: recall of a pair at 0.8: 1 - (1 - 0.8^4)^8 = 0.985, at 0.85 0.998
 BANDS, ROWS = 8, 4
-#: sketch bits of lines that share a bucket
-SKETCH = 512
 
 
 def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     r"""The \n-split lines that hold a word: (row, number of the line in its
     row, start and end of the line without white space around it)."""
     start, end, _ = word_spans(raw, offsets)
-    bounds = np.unique(np.concatenate([offsets, np.flatnonzero(raw == 10) + 1]))
+    bounds = unique(np.concatenate([offsets, np.flatnonzero(raw == 10) + 1]))
     lo, hi = bounds[:-1], bounds[1:]
     first, last = np.searchsorted(start, lo), np.searchsorted(start, hi)
     some = np.flatnonzero(last > first)
@@ -104,19 +102,19 @@ def _scan_texts(filter_):
 
 
 def _sketches(size: int):
-    """Lines (node, text) with the size and the sketch of their sets."""
+    """Lines (node, text) with the size and the parity map of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = buffers(b.column("text"))
-            for lo, hi in blocks(off):
+            for lo, hi in blocks(off, 1 << 18):
                 for i in range(lo, hi, 1 << 15):
                     j = min(hi, i + (1 << 15))
                     r, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-                    found, first = shingles(r, Spans(r), o[:-1], o[1:], size)
-                    n = np.diff(distinct(found, first)[1]).astype(np.int32)
+                    keyed, first = distinct(*shingles(r, Spans(r), o[:-1], o[1:], size))
+                    n = np.diff(first)
                     part = b.slice(i, j - i)
-                    cols = [part.column("node"), pa.array(n), sketch(found.astype(np.uint32), first, SKETCH), part.column("text")]
+                    cols = [part.column("node"), pa.array(n.astype(np.int32)), parity(segment_ids(n), keyed, n), part.column("text")]
                     yield pa.RecordBatch.from_arrays(cols, ["node", "size", "sketch", "text"])
 
     return run
@@ -128,7 +126,7 @@ def distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     span). At most 65,536 spans."""
     n = len(first) - 1
     keyed = (np.repeat(np.arange(n, dtype=np.uint64), np.diff(first)) << np.uint64(48)) | (hashes >> np.uint64(16))
-    keyed = np.unique(keyed)
+    keyed = unique(keyed)
     starts = np.searchsorted(keyed, np.arange(n, dtype=np.uint64) << np.uint64(48))
     return keyed, np.append(starts, len(keyed))
 
@@ -139,7 +137,8 @@ def common(ta: pa.Array, tb: pa.Array, size: int) -> tuple[np.ndarray, np.ndarra
     for col in (ta, tb):
         raw, off = buffers(col)
         sets.append(distinct(*shingles(raw, Spans(raw), off[:-1], off[1:], size)))
-    both = np.sort(np.concatenate([s[0] for s in sets]))
+    both = np.concatenate([s[0] for s in sets])
+    both.sort()
     twice = both[1:][both[1:] == both[:-1]] >> np.uint64(48)
     return np.diff(sets[0][1]), np.diff(sets[1][1]), np.bincount(twice.astype(np.int64), minlength=len(ta))
 
@@ -181,7 +180,7 @@ def repeated_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     # each different line is sketched once, however often it comes up
     texts = texts.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
     texts = shared_table(texts.mapInArrow(_sketches(size), "node long, size int, sketch array<bigint>, text string"))
-    roots = linked(members, texts, percent, SKETCH, lambda pairs: confirm(pairs, texts, size, percent))
+    roots = linked(members, texts, percent, None, lambda pairs: confirm(pairs, texts, size, percent))
 
     place = F.struct("doc_id", "th", "line")
     per_line = found.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))

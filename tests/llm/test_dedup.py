@@ -356,3 +356,45 @@ def test_pipeline_line_stage_links_lines_that_no_pivot_joins(spark):
     docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     left = {r["doc_id"] for r in cp.line_dedup(spark, docs, "").select("doc_id").collect()}
     assert left == {2 * p for p in range(300)}
+
+
+@pytest.mark.parametrize("union", [1, 7, 60, 900, 5000])
+def test_parity_maps_rule_out_no_similar_pair_and_most_others(spark, union):
+    from tabulark.llm.graph import close_parity, parity
+
+    n, rng = 60, np.random.default_rng(union)
+    rows, cases = [], [(similarity, -(-union * similarity // 100)) for similarity in (80, 70)]
+    for similarity, both in cases:
+        x = mix64(rng.integers(0, 1 << 62, (n, union)).astype(np.uint64))
+        own = (union - both) // 2
+        maps = []
+        for s in (x[:, : both + own], np.concatenate([x[:, :both], x[:, both + own :]], axis=1)):
+            size = s.shape[1]
+            maps.append((size, parity(np.repeat(np.arange(n), size), s.reshape(-1), np.full(n, size)).to_pylist()))
+        (na, sa), (nb, sb) = maps
+        rows += [(similarity, na, nb, a, b) for a, b in zip(sa, sb, strict=True)]
+    df = spark.createDataFrame(rows, "similarity int, na int, nb int, sa array<bigint>, sb array<bigint>")
+    whole, head = (close_parity("na", "sa", "nb", "sb", 80, whole=w) for w in (True, False))
+    got = rows_of(df.select("similarity", whole.alias("whole"), head.alias("head")))
+    assert all(r["whole"] and r["head"] for r in got if r["similarity"] == 80)
+    if union >= 60:
+        assert not any(r["whole"] for r in got if r["similarity"] == 70)
+
+
+def test_lines_just_below_the_threshold_are_not_all_confirmed(spark, monkeypatch):
+    """Lines at 0.77 of each other in large buckets: parity maps leave few
+    pairs to confirm, where MinHash sketches left nearly all."""
+    from tabulark.llm import line_dedup
+
+    seen = []
+    was = line_dedup.confirm
+
+    def counted(pairs, *rest):
+        pairs = pairs.localCheckpoint()
+        seen.append(pairs.count())
+        return was(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "confirm", counted)
+    docs = spark.createDataFrame(templates(300, 100, 10), "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r["n_removed"] for r in rows_of(line_dedup.dedup_lines(docs))}
+    assert out == {i: i % 2 for i in range(600)} and sum(seen) < 6 * 600, seen
