@@ -10,6 +10,7 @@ sequences. Only counts reach the driver."""
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared, text_or_empty
+from .common import blocks, buffers, shared, text_or_empty
 
 CAPACITY = 4096
 EOT = 1
@@ -28,11 +30,26 @@ PART = 8192
 #: sequences that a partition with a gap gives up, per sequence above its bound
 RELEASE = 8
 ROUNDS = 6
-#: words whose ids a worker remembers
-CACHE = 600_000
-
-#: white space for Python's split, but not for the tokenizer's
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: words, and parts of them, whose ids a worker remembers
+CACHE, PARTS = 600_000, 300_000
+
+#: words of ASCII and letters of Latin-1, which no Unicode version or form
+#: changes; "<" begins all added tokens
+_PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
+#: the tokenizer's split pattern as it is for lower-cased plain words
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: what a tokenizer does to a text before its model, where the above holds
+_BEFORE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 
 def default_tokenizer() -> str:
@@ -46,10 +63,30 @@ def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class _Parts(dict):
+    """Ids of the lower-cased parts of plain words, from the tokenizer's model."""
+
+    def __init__(self, model):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokens = model.tokenize
+        bytes_ = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {c: bytes_.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= PARTS:
+            self.clear()
+        self[part] = ids = pack_ids([t.id for t in self.tokens(part if part.isascii() else part.translate(self.table))])
+        return ids
+
+
 class WordTokenizer:
     """ids of texts, word by word: the vocabulary drops white space and never
     merges across it, so a text's ids are those of its white-space-separated
-    words in turn. Words already seen come from a bounded memory."""
+    words in turn (a word may hold other white space than that of ASCII). Words already seen come from a bounded memory; so do the
+    parts (runs of letters, digits, runs of marks) of plain new words, which the
+    tokenizer's model encodes one by one. Any other word, and all of them with
+    a tokenizer that prepares texts otherwise, takes the tokenizer's whole way."""
 
     def __init__(self, path: str):
         import os
@@ -60,23 +97,40 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
         self.known: dict[str, bytes] = {}
+        before = tuple(x and json.loads(x.__getstate__()) for x in (self.model.normalizer, self.model.pre_tokenizer))
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.parts = _Parts(self.model.model) if before == _BEFORE and all("<" in t for t in added) else None
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        here = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.known
-        new: set[str] = set()
-        for w in words:
-            new.update(w)
-        new.difference_update(known)
+        new = [w for w in here if w not in known]
         if len(known) + len(new) > CACHE:
             # the words of these texts stay, frequent ones among them
-            here = set().union(*words)
-            self.known = known = {w: known[w] for w in here.intersection(known)}
-        todo = list(new)
+            self.known = known = {w: known[w] for w in here if w in known}
+        todo = new
+        if self.parts is not None:
+            part, todo = self.parts.__getitem__, []
+            for w in new:
+                if _PLAIN.fullmatch(w):
+                    known[w] = part(w.lower()) if w.isalpha() else b"".join(map(part, _PARTS.findall(w.lower())))
+                else:
+                    todo.append(w)
         for w, e in zip(todo, self.encode(todo, add_special_tokens=False), strict=True):
             known[w] = pack_ids(e.ids)
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        # the ids of each word in turn, gathered from those of the different words
+        each = [known[w] for w in here]
+        ids = np.frombuffer(b"".join(each), "<u4")
+        sizes = np.array([len(x) // 4 for x in each], np.int64)
+        code = coded.indices.to_numpy()
+        n = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = ids[np.repeat((np.cumsum(sizes) - sizes)[code] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cut = 4 * ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [raw[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 def _tokenise(path: str | None, capacity: int, eot: int):
@@ -85,14 +139,10 @@ def _tokenise(path: str | None, capacity: int, eot: int):
         tok = WordTokenizer(path or default_tokenizer())
         end = np.array([eot], "<u4").tobytes()
         for b in batches:
-            texts, i = b.column("text").to_pylist(), 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < 1 << 21):
-                    size += len(texts[j])
-                    j += 1
+            texts = b.column("text")
+            for i, j in blocks(buffers(texts)[1], 1 << 21):
                 row, piece, start, ids = [], [], [], []
-                for k, x in enumerate(tok.ids(texts[i:j])):
+                for k, x in enumerate(tok.ids(texts.slice(i, j - i))):
                     x += end
                     for n, s in enumerate(range(0, len(x), 4 * capacity)):
                         row.append(i + k)
@@ -102,7 +152,6 @@ def _tokenise(path: str | None, capacity: int, eot: int):
                 cols = [b.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64())]
                 cols += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids"])
-                i = j
 
     return run
 

@@ -3,15 +3,18 @@
 import collections
 import hashlib
 import math
+import random
+import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tabulark.llm.chat import format_chats, read_back
 from tabulark.llm.mixing import capped_targets, mix, mixed_documents, sainte_lague
-from tabulark.llm.packing import CAPACITY, best_fit, default_tokenizer, lower_bound, pack, place
+from tabulark.llm.packing import CAPACITY, WordTokenizer, best_fit, default_tokenizer, lower_bound, pack, pack_ids, place
 from tabulark.llm.queries import ORACLE, QUERIES
 
 from .fixtures import SF, WORD, documents, hostile_texts, rows_of
@@ -169,6 +172,32 @@ def test_pack_against_the_tokenizer(spark):
     assert len({r["sequence_id"] for r in twice}) == 1 and sorted(r["offset"] for r in twice) in ([0, 1, 4], [0, 3, 4], [0, 3, 6])
 
 
+def test_plain_words_are_encoded_by_their_parts():
+    tok = WordTokenizer(default_tokenizer())
+    whole, slow = tok.encode, []
+    tok.encode = lambda words, **kw: slow.extend(words) or whole(words, **kw)
+    rng = random.Random(5)
+    plain = 5 * "'" + "stremvldSTREMVLD.,!-\"#$%&()*+/:;=?@[]^_`{}~\\0123ßÀÉÖØÞàéöøþÿ"
+    words = ["".join(rng.choices(plain, k=rng.randint(1, 9))) for _ in range(3000)]
+    odd = ["×", "<|endoftext|>", "a<b", "a\xa0b\x1cc", "", "\u0130x", "Σας", "e\u0301", "\ufb01n", "it’s", "½", "ª1"]
+    texts = [*words, *odd, " \n".join(words + odd) + "\t"]
+    got = tok.ids(pa.array(["x", *texts]).slice(1))
+    want = [pack_ids(e.ids) for e in whole(texts, add_special_tokens=False)]
+    assert got == want
+    assert set(slow) == set(odd)
+    # a tokenizer that prepares texts otherwise goes its own way
+    assert tok.parts is not None
+    from tokenizers import Tokenizer, normalizers
+
+    changed = Tokenizer.from_file(default_tokenizer())
+    changed.normalizer = normalizers.NFKC()
+    with tempfile.TemporaryDirectory() as d:
+        changed.save(f"{d}/t.json")
+        other = WordTokenizer(f"{d}/t.json")
+    assert other.parts is None
+    assert other.ids(pa.array(["Ab cD", "É"])) == [pack_ids(e.ids) for e in changed.encode_batch(["Ab cD", "É"], add_special_tokens=False)]
+
+
 def test_parts_with_a_gap_exchange_documents(spark):
     rng = np.random.default_rng(6)
     n = rng.integers(900, 1700, 3000)
