@@ -112,6 +112,12 @@ def sketch(x: np.ndarray, first: np.ndarray, bits: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(words.reshape(-1)))
 
 
+def most_apart(percent: int, n: int) -> int:
+    """Most of ``n`` sketch bits in which :func:`plausible` lets a pair differ."""
+    q = (1 + percent / 100) / 2
+    return int(n * (1 - q) + DEVIATIONS * (n * q * (1 - q)) ** 0.5)
+
+
 def plausible(na, sa, nb, sb, percent: int, bits: int) -> Column:
     """False only where set sizes rule a Jaccard similarity of ``percent``
     hundredths out, or the share of equal sketch bits does, which for a pair
@@ -119,17 +125,12 @@ def plausible(na, sa, nb, sb, percent: int, bits: int) -> Column:
     standard deviations, over its first 512 bits or all (a tail of about one in
     10^8 such pairs at 6). That holds for sets of any size, since mixed bits
     vary like independent ones."""
-    q = (1 + percent / 100) / 2
-
-    def most(n: int) -> int:
-        return int(n * (1 - q) + DEVIATIONS * (n * q * (1 - q)) ** 0.5)
-
     # a few words decide most pairs; spelling all out makes the compiled join too long to be optimised
     head = min(bits, 512)
     few = sum((F.bit_count(F.col(sa)[i].bitwiseXOR(F.col(sb)[i])) for i in range(head // 64)), F.lit(0))
     every = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    return F.when(sizes & (few <= most(head)), F.lit(True) if bits <= head else every <= most(bits)).otherwise(F.lit(False))
+    return F.when(sizes & (few <= most_apart(percent, head)), F.lit(True) if bits <= head else every <= most_apart(percent, bits)).otherwise(F.lit(False))
 
 
 def parity(owner: np.ndarray, x: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -232,22 +233,55 @@ def rest_pairs(known: DataFrame, sizes: DataFrame, sketches: DataFrame, percent:
     (node, key, comp) of the buckets ``sizes`` (key, n), with ``sketches``.
     A pair meets in the first of these buckets that both members share. Members
     are dealt to slices of about ``SLICE``, and each two slices of a bucket
-    meet under a key of their own, so no task holds a bucket. Slices carry the
-    head of a parity map; what it leaves possible meets the whole maps after."""
+    meet as a group of their own, so no task holds a bucket and no group needs
+    to be split. Slices carry the head of a parity map; what it leaves possible
+    meets the whole maps after."""
     keys = known.join(sizes.select("key"), "key", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     dealt = join_groups(known, sizes.select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), ["key"])
     dealt = dealt.join(sketches.select("node", "size", "sketch" if bits is not None else F.slice("sketch", 1, HEAD).alias("sketch")), "node").join(keys, "node")
     dealt = shared(dealt.withColumn("slice", F.pmod(F.xxhash64("node"), "slices").cast("int")))
-    later, earlier = F.sequence("slice", F.col("slices") - 1), F.sequence(F.lit(0), "slice")
-    a = dealt.select("key", F.col("slice").alias("lo"), F.explode(later).alias("hi"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx"), F.col("sketch").alias("sx"), F.col("keys").alias("kx"))
-    b = dealt.select("key", F.explode(earlier).alias("lo"), F.col("slice").alias("hi"), F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("ny"), F.col("sketch").alias("sy"), F.col("keys").alias("ky"))
-    once = (F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))
-    first = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")
-    near = close_parity("nx", "sx", "ny", "sy", percent, whole=False) if bits is None else plausible("nx", "sx", "ny", "sy", percent, bits)
-    met = a.join(b, ["key", "lo", "hi"]).where((F.col("cx") != F.col("cy")) & once & near & first).select(*_pair("x", "y")).distinct()
+    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    dealt = dealt.select("key", other.alias("other"), "slice", "node", "comp", "size", "sketch", "keys")
+    cells = dealt.groupBy("key", F.least("slice", "other").alias("lo"), F.greatest("slice", "other").alias("hi"))
+    met = cells.applyInArrow(_cell_pairs(percent, bits), "a long, b long").distinct()
     return met if bits is not None else _still_possible(met, sketches, percent, None)
 
 
+def _cell_pairs(percent: int, bits: int | None):
+    """The possible pairs of two slices of a bucket (or inside one): of
+    different components, near enough by sizes and sketches (the test of
+    :func:`plausible`, or that of :func:`close_parity` on the heads of maps),
+    and with no earlier bucket in common."""
+
+    def run(group: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        key, lo, hi = (x.as_py() for x in group)
+        node, comp, size, part = (rows.column(c).to_numpy() for c in ("node", "comp", "size", "slice"))
+        size = size.astype(np.int64)
+        words = pa.concat_arrays(rows.column("sketch").chunks).flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        earlier = [frozenset(k for k in ks if k < key) for ks in rows.column("keys").to_pylist()]
+        x, y = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        found = [(np.zeros(0, np.int64),) * 2]
+        step = max(1, (1 << 17) // max(len(y), 1))
+        for i in range(0, len(x), step):
+            p, q = x[i : i + step, None], y[None, :]
+            near = (comp[p] != comp[q]) & (100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q]))
+            if lo == hi:
+                near &= p < q
+            p, q = np.nonzero(near)
+            p, q = x[i + p], y[q]
+            for n in dict.fromkeys((HEAD, words.shape[1])):
+                apart = np.bitwise_count(words[p, :n] ^ words[q, :n]).sum(axis=1, dtype=np.int64)
+                keep = (100 + percent) * apart <= (100 - percent) * (size[p] + size[q]) if bits is None else apart <= most_apart(percent, 64 * n)
+                p, q = p[keep], q[keep]
+            keep = np.array([earlier[u].isdisjoint(earlier[v]) for u, v in zip(p.tolist(), q.tolist(), strict=True)], bool)
+            u, v = node[p[keep]], node[q[keep]]
+            found.append((np.minimum(u, v), np.maximum(u, v)))
+        return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return run
+
+
 def linked(members: DataFrame, sketches: DataFrame, percent: int, bits: int | None, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (node, root) of the similar pairs of ``members`` (as
     :func:`crowded` gives them); ``confirm`` keeps the pairs that are similar.

@@ -398,3 +398,40 @@ def test_lines_just_below_the_threshold_are_not_all_confirmed(spark, monkeypatch
     docs = spark.createDataFrame(templates(300, 100, 10), "doc_id long, text string").repartition(3)
     out = {r["doc_id"]: r["n_removed"] for r in rows_of(line_dedup.dedup_lines(docs))}
     assert out == {i: i % 2 for i in range(600)} and sum(seen) < 6 * 600, seen
+
+
+@pytest.mark.parametrize("slice_", [7, 2048])
+def test_slices_of_a_bucket_meet_as_groups_of_their_own(spark, monkeypatch, slice_):
+    """A join of slices let Spark split a hot cell on both sides, into the
+    square of its parts (15,336 tasks on the table of very large groups)."""
+    from tabulark.llm import graph
+    from tabulark.llm.common import mix64
+
+    monkeypatch.setattr(graph, "SLICE", slice_)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    sets = [mix64(np.sort(np.append(base[i % 3 * 100 : i % 3 * 100 + 90 + i % 9], 7000 + np.arange(i % 11)).astype(np.uint64))) for i in range(60)]
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    flat = np.concatenate(sets)
+    small = graph.sketch(flat.astype(np.uint32), first, 1024).to_pylist()
+    maps = graph.parity(np.repeat(np.arange(60), np.diff(first)), flat, np.diff(first)).to_pylist()
+    known = [(i, 1, i % 7) for i in range(60)] + [(i, 2, i % 7) for i in range(0, 60, 2)] + [(i, 3, i % 7) for i in range(0, 60, 3)]
+    known = graph.shared(spark.createDataFrame(known, "node long, key long, comp long"))
+    sizes = spark.createDataFrame([(1, 60), (2, 30), (3, 20)], "key long, n long")
+
+    def differ(u, v, n):
+        return sum((int(x) ^ int(y)).bit_count() if x >= 0 and y >= 0 else ((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(u[:n], v[:n], strict=True))
+
+    def wanted(near):
+        return sorted((i, j) for i in range(60) for j in range(i + 1, 60) if i % 7 != j % 7 and 100 * min(len(sets[i]), len(sets[j])) >= 85 * max(len(sets[i]), len(sets[j])) and near(i, j))
+
+    for rows, bits in ((small, 1024), (maps, None)):
+        sketches = spark.createDataFrame([(i, len(sets[i]), rows[i]) for i in range(60)], "node long, size int, sketch array<bigint>")
+        pairs = graph.rest_pairs(known, sizes, sketches, 85, bits)
+        got = sorted((r["a"], r["b"]) for r in pairs.collect())
+        if bits:
+            want = wanted(lambda i, j: all(differ(small[i], small[j], n // 64) <= graph.most_apart(85, n) for n in (512, 1024)))
+            assert "FlatMapGroupsInArrow" in pairs._jdf.queryExecution().toString()
+        else:
+            want = wanted(lambda i, j: 185 * differ(maps[i], maps[j], 8) <= 15 * (len(sets[i]) + len(sets[j])))
+        assert got == want and 0 < len(want) < 60 * 59 // 2
