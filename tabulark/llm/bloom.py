@@ -17,6 +17,8 @@ from .common import unique
 from .exact_dedup import BLOCK_BITS, _places
 
 FILTER_BITS = 1 << 27
+#: pairs that a task of :func:`several` takes at a time (16 bytes each)
+PAIRS = 1 << 20
 
 
 def _bits(n_blocks: int):
@@ -63,14 +65,91 @@ def maybe(filter_, key: np.ndarray) -> np.ndarray:
 
 
 def with_maybe(rows: DataFrame, filter_, column: str) -> DataFrame:
-    """``rows`` plus ``_maybe``: false only where ``column`` is not in the filter."""
+    """``rows`` plus ``_maybe``: false only where ``column`` is not in the
+    filter. Only that column goes to the Python workers."""
+
+    @F.arrow_udf("boolean")
+    def test(key: pa.Array) -> pa.Array:
+        return pa.array(maybe(filter_, key.to_numpy(zero_copy_only=False)))
+
+    return rows.withColumn("_maybe", test(column))
+
+
+def flat(keys: pa.Array, value: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(value, key) of each key of an Arrow column of keys or lists of them."""
+    if not pa.types.is_list(keys.type):
+        return value.to_numpy(), keys.to_numpy().view(np.uint64)
+    count = np.diff(keys.offsets.to_numpy())
+    return np.repeat(value.to_numpy(), count), keys.flatten().to_numpy().view(np.uint64)
+
+
+def _ends(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key with its least value and, where it is another one, its greatest,
+    by rising unsigned key."""
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    if len(first) == len(key):
+        return key, value
+    lo, hi = np.minimum.reduceat(value, first), np.maximum.reduceat(value, first)
+    twice = 1 + (lo < hi)
+    at = np.cumsum(twice) - twice
+    out = np.repeat(lo, twice)
+    out[at + twice - 1] = hi
+    return np.repeat(key[first], twice), out
+
+
+def _deal(parts: int):
+    """Ends of the keys of about ``PAIRS`` pairs at a time, packed by range of keys."""
+
+    def packed(key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        key, value = _ends(key, value)
+        part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        at = pa.py_buffer((8 * cut).astype(np.int32))
+        cols = [pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, at, pa.py_buffer(x)]) for x in (key, value)]
+        return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), *cols], ["part", "key", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [], 0
         for b in batches:
-            yield b.append_column("_maybe", pa.array(maybe(filter_, b.column(column).to_numpy(zero_copy_only=False))))
+            value, key = flat(b.column("keys"), b.column("value"))
+            some.append((key, value))
+            n += len(key)
+            if n >= PAIRS:
+                yield packed(*map(np.concatenate, zip(*some, strict=True)))
+                some, n = [], 0
+        if n:
+            yield packed(*map(np.concatenate, zip(*some, strict=True)))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, _maybe boolean")
+    return run
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys with two ends, out of all packed rows of a range."""
+    kept = key, value = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    some, n = [kept], 0
+    for b in batches:
+        for k, v in zip(b.column("key"), b.column("value"), strict=True):
+            some.append((np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.int64)))
+            n += len(some[-1][0])
+            if n >= max(PAIRS, len(some[0][0])):
+                some, n = [_ends(*map(np.concatenate, zip(*some, strict=True)))], 0
+    key, value = _ends(*map(np.concatenate, zip(*some, strict=True)))
+    twice = key[1:][key[1:] == key[:-1]].view(np.int64)
+    for i in range(0, len(twice), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(twice[i : i + (1 << 16)])], ["key"])
+
+
+def several(rows: DataFrame, n: int) -> DataFrame:
+    """The ``key``s that come with two or more different values: ``rows``
+    (keys array<bigint> or bigint, value bigint) with about ``n`` well-mixed keys in all.
+    Pairs travel packed by ranges of keys; each task sends two values of a key
+    at most, so a hot key is no load for the one that gets its range."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // PAIRS))
+    # more ranges than partitions, so that these are even
+    dealt = rows.mapInArrow(_deal(4 * parts), "part int, key binary, value binary")
+    return dealt.repartition(parts, "part").select("key", "value").mapInArrow(_several, "key long")
 
 
 
@@ -81,7 +160,7 @@ def meet(rows: DataFrame, per_key: DataFrame, keys: tuple[str, ...] = ("doc_id",
     ``per_key`` or nulls; all other rows). Only the first kind is shuffled."""
     hashes = per_key.select(F.xxhash64(*keys).alias("_k"))
     tested = with_maybe(rows.withColumn("_k", F.xxhash64(*keys)), key_filter(hashes, per_key.count(), "_k"), "_k").drop("_k")
-    t, r = tested.where("_maybe").drop("_maybe").alias("t"), per_key.alias("r")
+    t, r = tested.where("_maybe").drop("_maybe").alias("t"), per_key.hint("shuffle_hash").alias("r")
     same = F.lit(True)
     for k in keys:
         same = same & F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}"))

@@ -26,6 +26,8 @@ SMALL = 64
 PIVOTS = 8
 #: least share of the open members that a round must link for another one
 YIELD = 1 / 16
+#: pairs whose rows are picked by a broadcast (16 bytes each)
+FEW = 1 << 16
 #: members of one slice of a bucket whose pairs are compared in full
 SLICE = 2048
 #: least bits of a parity map for each value of its set, and words of its first part
@@ -93,8 +95,8 @@ def crowded(keys: DataFrame) -> DataFrame:
     one member as the bucket's ``pivot``, another one in each bucket, and the
     bucket's number of members."""
     any_ = F.xxhash64("node", "key")
-    groups = keys.groupBy("key").agg(F.min(F.struct(any_, "node")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return shared(join_groups(keys, shared(groups.select("key", F.col("p.node").alias("pivot"), "n")), ["key"]).select("node", "key", "pivot", "n"))
+    groups = keys.groupBy("key").agg(F.min_by("node", any_).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return shared(join_groups(keys, shared(groups), ["key"]).select("node", "key", "pivot", "n"))
 
 
 def sketch(x: np.ndarray, first: np.ndarray, bits: int) -> pa.Array:
@@ -182,7 +184,21 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int, bits: int | No
     return _still_possible(pairs.distinct(), sketches, percent, bits)
 
 
+def of_pairs(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (a, b), materialised, and ``rows`` (node, ...) to join them
+    with. For few pairs these are only the rows of their nodes, found by a
+    broadcast of at most 2 * ``FEW`` nodes, so the others are not shuffled. A
+    node has one row, so its side can be hashed, and neither side is sorted."""
+    pairs = shared(pairs)
+    if pairs.limit(FEW + 1).count() <= FEW:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        rows = rows.join(F.broadcast(nodes), "node", "left_semi")
+    return pairs, rows.hint("shuffle_hash")
+
+
 def _still_possible(pairs: DataFrame, sketches: DataFrame, percent: int, bits: int | None) -> DataFrame:
+    if bits is None:
+        pairs, sketches = of_pairs(pairs, sketches.select("node", "size", "sketch"))
     a = sketches.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
     b = sketches.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
     near = close_parity("na", "sa", "nb", "sb", percent) if bits is None else plausible("na", "sa", "nb", "sb", percent, bits)
@@ -209,6 +225,52 @@ def small_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & first).select("a", "b")
 
 
+def near_pairs(members: DataFrame, sketches: DataFrame, percent: int, roots: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) inside buckets of at most ``SMALL`` members which the heads
+    of their parity maps leave possible: for each member the nearest one before
+    it, or with ``roots`` (node, root) every pair of different components.
+    Buckets come sorted; those of a batch are compared at once."""
+    heads = sketches.select("node", F.col("node").alias("comp"), "size", F.slice("sketch", 1, HEAD).alias("sketch"))
+    if roots is not None:
+        heads = heads.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    small = members.where(F.col("n") <= SMALL).select("node", "key")
+    dealt = small.join(heads.hint("shuffle_hash"), "node").select("key", "node", "comp", "size", "sketch").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_near_pairs(percent, roots is not None), "a long, b long")
+
+
+def _near_pairs(percent: int, every: bool):
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        key, node, comp, size = (rows.column(c).to_numpy() for c in ("key", "node", "comp", "size"))
+        words = pa.concat_arrays([x.flatten() for x in rows.column("sketch").chunks]).to_numpy().view(np.uint64).reshape(len(key), HEAD)
+        size, met, found = size.astype(np.int64), np.zeros(len(key), bool), [np.zeros((2, 0), np.int64)]
+        for d in range(1, SMALL):
+            i = np.flatnonzero(key[d:] == key[:-d])
+            if not len(i):
+                break
+            i = i[(comp[i] != comp[i + d]) & ~met[i + d] & (100 * np.minimum(size[i], size[i + d]) >= percent * np.maximum(size[i], size[i + d]))]
+            apart = np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1, dtype=np.int64)
+            i = i[(100 + percent) * apart <= (100 - percent) * (size[i] + size[i + d])]
+            met[i + d] = not every
+            found.append(np.sort([node[i], node[i + d]], axis=0))
+        a, b = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            rows = pa.Table.from_batches([*rest, b])
+            key = rows.column("key").to_numpy()
+            # the last bucket may go on in the next batch
+            cut = int(np.argmax(key == key[-1])) if len(key) else 0
+            rest = rows.slice(cut).combine_chunks().to_batches()
+            if cut:
+                yield pairs(rows.slice(0, cut))
+        if rest:
+            yield pairs(pa.Table.from_batches(rest))
+
+    return run
+
+
 def _open(members: DataFrame, roots: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """(``members`` (node, key) with their component, materialised; the buckets
     that hold more than one, with ``PIVOTS`` fresh pivots and the number of
@@ -286,22 +348,29 @@ def linked(members: DataFrame, sketches: DataFrame, percent: int, bits: int | No
     """Components (node, root) of the similar pairs of ``members`` (as
     :func:`crowded` gives them); ``confirm`` keeps the pairs that are similar.
 
-    Every member meets its bucket's pivot. In buckets of at most ``SMALL``
-    members all pairs of different components follow, so there each pair is
-    verified, already connected or ruled out. Larger buckets go on in rounds
+    Every member meets its bucket's pivot, or with parity maps in buckets of at
+    most ``SMALL`` members the nearest one that its map leaves possible. In
+    these buckets all pairs of different components follow, so there each pair
+    is verified, already connected or ruled out. Larger buckets go on in rounds
     in which fresh pivots meet the members of other components, for as long as
     a round links a fair share of them. These steps are linear in the members.
     Then all pairs of different components that large buckets still hold
     follow, so no link is left out there either: the square of what no pivot
     joined, compared slice by slice."""
-    star = members.where("node <> pivot").select(*_pair("pivot", "node"))
+    star = members.where("node <> pivot")
+    if bits is None:
+        first = near_pairs(members, sketches, percent)
+        star = star.where(F.col("n") > SMALL).select(*_pair("pivot", "node")).unionByName(first)
+    else:
+        star = star.select(*_pair("pivot", "node"))
     links = shared(confirm(possible(star, sketches, percent, bits)))
     roots = components(links)
 
     def after(found: DataFrame) -> DataFrame:
         return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
-    found = shared(confirm(possible(small_pairs(members, roots), sketches, percent, bits)))
+    left = small_pairs(members, roots) if bits is not None else near_pairs(members, sketches, percent, roots)
+    found = shared(confirm(possible(left, sketches, percent, bits)))
     if not found.isEmpty():
         links, roots = links.unionByName(found), after(found)
     large = members.where(F.col("n") > SMALL).select("node", "key")

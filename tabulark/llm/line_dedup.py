@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import key_filter, maybe, meet, with_maybe
-from .common import Spans, blocks, buffers, chain, join_groups, lower_ascii, multiplied, segment_ids, shared, shared_table, text_or_empty, unique, word_spans
-from .graph import crowded, linked, parity
+from .bloom import flat, key_filter, maybe, meet, several, with_maybe
+from .common import SPACE, Spans, blocks, buffers, chain, join_groups, lower_ascii, multiplied, segment_ids, shared, shared_table, text_or_empty, unique, word_spans
+from .graph import crowded, linked, of_pairs, parity
 
 SHINGLE = 6
 PERCENT = 80
@@ -29,25 +29,44 @@ BANDS, ROWS = 8, 4
 def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     r"""The \n-split lines that hold a word: (row, number of the line in its
     row, start and end of the line without white space around it)."""
-    start, end, _ = word_spans(raw, offsets)
     bounds = unique(np.concatenate([offsets, np.flatnonzero(raw == 10) + 1]))
-    lo, hi = bounds[:-1], bounds[1:]
-    first, last = np.searchsorted(start, lo), np.searchsorted(start, hi)
-    some = np.flatnonzero(last > first)
-    row = np.searchsorted(offsets, lo, "right") - 1
-    number = np.arange(len(lo)) - np.searchsorted(bounds, offsets)[row]
-    return row[some], number[some], start[first[some]], end[last[some] - 1]
+    row = np.searchsorted(offsets, bounds[:-1], "right") - 1
+    number = np.arange(len(bounds) - 1) - np.searchsorted(bounds, offsets)[row]
+    solid = np.append(~SPACE[raw], False)
+    lo, hi = bounds[:-1].copy(), bounds[1:].copy()
+    # a few steps trim nearly all lines; runs of white space have no bound, so the words settle the rest
+    for _ in range(4):
+        lo += (lo < hi) & ~solid[lo]
+        hi -= (lo < hi) & ~solid[hi - 1]
+    left = np.flatnonzero((lo < hi) & ~(solid[lo] & solid[hi - 1]))
+    if len(left):
+        start, end, _ = word_spans(raw, offsets)
+        first, last = np.searchsorted(start, lo[left]), np.searchsorted(start, hi[left])
+        lo[left] = hi[left]
+        left, first, last = left[last > first], first[last > first], last[last > first]
+        lo[left], hi[left] = start[first], end[last - 1]
+    some = np.flatnonzero(lo < hi)
+    return row[some], number[some], lo[some], hi[some]
 
 
 def shingles(raw: np.ndarray, spans: Spans, lo: np.ndarray, hi: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the character shingles of each span, first of each span); a
     shorter span is one shingle."""
-    points = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    points = np.append(np.flatnonzero(raw.view(np.int8) >= -64), len(raw))
     i, j = np.searchsorted(points, lo), np.searchsorted(points, hi)
     count = np.maximum(j - i - size + 1, 1)
     first = np.concatenate([[0], np.cumsum(count)])
-    at = np.repeat(i - first[:-1], count) + np.arange(first[-1])
-    return spans.hash(points[at], points[np.minimum(at + size, np.repeat(j, count))]), first
+    every = spans.windows(points, size)
+    short = np.flatnonzero(j - i < size)
+    if not len(every):
+        return spans.hash(lo, hi), first
+    at = np.repeat(i - first[:-1], count)
+    at += np.arange(first[-1])
+    # a short span may be the last of the block
+    at[first[short]] = 0
+    found = every[at]
+    found[first[short]] = spans.hash(lo[short], hi[short])
+    return found, first
 
 
 def _scan(size: int, bands: int, rows: int):
@@ -79,10 +98,24 @@ def _scan(size: int, bands: int, rows: int):
     return run
 
 
+def _members(filter_):
+    """(node, key) of the band keys that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value, key = flat(b.column("keys"), b.column("node"))
+            some = maybe(filter_, key.view(np.int64)) if len(key) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(value[some]), pa.array(key[some].view(np.int64))], ["node", "key"])
+
+    return run
+
+
 def _scan_texts(filter_):
-    """(node, text) of the lines whose fingerprint the filter lets through."""
+    """(node, text) of the lines whose fingerprint the filter lets through, once
+    for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             raw, off = buffers(b.column("text"))
             for i, j in blocks(off):
@@ -92,6 +125,7 @@ def _scan_texts(filter_):
                 node = spans.hash(lo, hi).view(np.int64)
                 _, one = np.unique(node, return_index=True)
                 one = one[maybe(filter_, node[one])] if len(one) else one
+                one = _unseen(node, one, seen)
                 if not len(one):
                     continue
                 data = r.tobytes()
@@ -101,11 +135,25 @@ def _scan_texts(filter_):
     return run
 
 
+def _unseen(node: np.ndarray, at: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Those of the places ``at`` whose node comes up first, noted in ``seen``."""
+    new = []
+    for i, x in zip(at.tolist(), node[at].tolist(), strict=True):
+        if x not in seen:
+            seen.add(x)
+            new.append(i)
+    return np.array(new, np.int64)
+
+
 def _sketches(size: int):
-    """Lines (node, text) with the size and the parity map of their sets."""
+    """Different lines (node, text) with the size and the parity map of their
+    sets; all copies of a line come to one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
+            node = b.column("node").to_numpy()
+            b = b.take(pa.array(_unseen(node, np.arange(len(node)), seen)))
             raw, off = buffers(b.column("text"))
             for lo, hi in blocks(off, 1 << 18):
                 for i in range(lo, hi, 1 << 15):
@@ -158,6 +206,7 @@ def _confirm(size: int, percent: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of lines that are similar; ``texts``: node, text."""
+    pairs, texts = of_pairs(pairs, texts.select("node", "text"))
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(size, percent), "a long, b long")
@@ -168,26 +217,30 @@ def repeated_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     lines that go: doc_id, th, line)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = shared_table(docs.mapInArrow(_scan(size, bands, rows), f"doc_id {kind}, th long, line int, node long, keys array<bigint>"))
-    keys = found.select("node", F.explode("keys").alias("key"))
+    n = found.count()
     # buckets of at least two different lines; copies of one line make none
-    ends = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared_keys = shared(ends.where("lo < hi").select("key"))
+    shared_keys = shared(several(found.select("keys", F.col("node").alias("value")), bands * n))
     full = key_filter(shared_keys, shared_keys.count(), "key")
-    some = with_maybe(keys.withColumnRenamed("key", "_k"), full, "_k").where("_maybe").select("node", F.col("_k").alias("key")).distinct()
+    some = shared(found.select("node", "keys").mapInArrow(_members(full), "node long, key long").distinct())
     members = crowded(some)
     wanted = shared(members.select("node").distinct())
     texts = docs.select("text").mapInArrow(_scan_texts(key_filter(wanted, wanted.count(), "node")), "node long, text string")
     # each different line is sketched once, however often it comes up
-    texts = texts.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
-    texts = shared_table(texts.mapInArrow(_sketches(size), "node long, size int, sketch array<bigint>, text string"))
+    texts = shared_table(texts.join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(_sketches(size), "node long, size int, sketch array<bigint>, text string"))
     roots = linked(members, texts, percent, None, lambda pairs: confirm(pairs, texts, size, percent))
 
+    # most lines come once and have no link: they are their own components
+    copied = several(found.select(F.col("node").alias("keys"), F.monotonically_increasing_id().alias("value")), n)
+    ends = roots.select(F.explode(F.array("node", "root")).alias("key")).distinct()
+    more = shared(copied.unionByName(ends))
+    maybe_more = with_maybe(found.select("doc_id", "th", "line", "node"), key_filter(more, more.count(), "key"), "node")
+    places = shared_table(maybe_more.where("_maybe").drop("_maybe"))
     place = F.struct("doc_id", "th", "line")
-    per_line = found.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    per_line = places.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     per_line = shared(per_line.join(roots, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root")))
     per_root = shared(per_line.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").drop("n"))
     crowd = shared(join_groups(per_line.select("node", "root"), per_root, ["root"]).select("node", "keep"))
-    gone = join_groups(found.select("doc_id", "th", "line", "node"), crowd, ["node"]).where(place != F.col("keep"))
+    gone = join_groups(places, crowd, ["node"]).where(place != F.col("keep"))
     return found.drop("keys"), gone.select("doc_id", "th", "line")
 
 
