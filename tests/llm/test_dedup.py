@@ -435,3 +435,76 @@ def test_slices_of_a_bucket_meet_as_groups_of_their_own(spark, monkeypatch, slic
         else:
             want = wanted(lambda i, j: 185 * differ(maps[i], maps[j], 8) <= 15 * (len(sets[i]) + len(sets[j])))
         assert got == want and 0 < len(want) < 60 * 59 // 2
+
+
+def test_band_keys_of_lines_do_not_travel_as_rows(spark, monkeypatch):
+    """One row per band key made most of the shuffled rows and JVM time."""
+    from tabulark.llm import line_dedup
+
+    plans, was = [], line_dedup.shared
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return was(df)
+
+    monkeypatch.setattr(line_dedup, "shared", seen)
+    docs = documents(spark, [(i, f"line number {i} of many\nthe same line in all of them") for i in range(20)])
+    assert sorted(r["n_removed"] for r in rows_of(dedup_lines(docs))) == [0] + [1] * 19
+    assert "MapInArrow" in plans[0] and not any("explode(keys" in p for p in plans)
+
+
+def test_keys_with_several_values(spark):
+    import pyarrow as pa
+    from tabulark.llm import bloom
+
+    rng = np.random.default_rng(2)
+    rows = [([int(k) * 0x1E3779B97F4A7C for k in rng.integers(-300, 300, rng.integers(0, 5))], int(rng.integers(0, 1000))) for _ in range(300)]
+    # a hot key, and one whose rows agree
+    rows += [([77], i) for i in range(400)] + [([78, 78], 5)] * 3 + [([], 1)]
+    values = collections.defaultdict(set)
+    for ks, v in rows:
+        for k in ks:
+            values[k].add(v)
+    want = sorted(k for k, v in values.items() if len(v) > 1)
+    df = spark.createDataFrame(rows, "keys array<bigint>, value bigint").repartition(3)
+    assert sorted(r["key"] for r in bloom.several(df, len(rows)).collect()) == want
+    one = df.select(F.explode("keys").alias("keys"), "value")
+    assert sorted(r["key"] for r in bloom.several(one, 10).collect()) == want
+    # a task sends a hot key twice at most, and merges what it gets piece by piece
+    batches = [pa.RecordBatch.from_pydict({"keys": pa.array([r[0] for r in rows[i : i + 50]], pa.list_(pa.int64())), "value": [r[1] for r in rows[i : i + 50]]}) for i in range(0, len(rows), 50)]
+    sent = list(bloom._deal(4)(iter(batches)))
+    assert sum(len(x) // 8 for b in sent for x in b.column("key").to_pylist()) == sum(min(len(v), 2) for v in values.values())
+    assert sorted(k for b in bloom._several(iter(sent)) for k in b.column("key").to_pylist()) == want
+
+
+@pytest.mark.parametrize("batch", [5, 10000])
+def test_small_buckets_are_compared_by_heads(spark, batch):
+    """Whatever the batches, every pair of different components whose heads
+    leave it possible comes up, and one for each member at first."""
+    from tabulark.llm import graph
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = [mix64(np.append(base[i % 4 * 60 : i % 4 * 60 + 50 + i % 5], 9000 + np.arange(i % 7)).astype(np.uint64)) for i in range(48)]
+    sizes = np.array([len(s) for s in sets])
+    maps = graph.parity(np.repeat(np.arange(48), sizes), np.concatenate(sets), sizes).to_pylist()
+    sketches = spark.createDataFrame([(i, int(sizes[i]), maps[i]) for i in range(48)], "node long, size int, sketch array<bigint>")
+    buckets = {1: range(0, 48, 2), 2: range(0, 48, 3), 3: [5, 9], 4: range(20)}
+    rows = [(i, k, len(b)) for k, b in buckets.items() for i in b] + [(i, 9, graph.SMALL + 1) for i in range(48)]
+    members = spark.createDataFrame(rows, "node long, key long, n long")
+    roots = spark.createDataFrame([(i, i % 6) for i in range(6, 48)], "node long, root long")
+
+    def near(i, j):
+        apart = sum(((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(maps[i][:8], maps[j][:8], strict=True))
+        return 100 * min(sizes[i], sizes[j]) >= 85 * max(sizes[i], sizes[j]) and 185 * apart <= 15 * (sizes[i] + sizes[j])
+
+    pairs = {(i, j) for b in buckets.values() for i in b for j in b if i < j and near(i, j)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r["a"], r["b"]) for r in graph.near_pairs(members, sketches, 85, roots).collect()}
+        first = {(r["a"], r["b"]) for r in graph.near_pairs(members, sketches, 85).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(i, j) for i, j in pairs if i % 6 != j % 6} and got
+    assert first <= pairs and len(first) <= sum(len(b) for b in buckets.values())
+    assert {x for p in pairs for x in p} == {x for p in first for x in p}
